@@ -30,11 +30,14 @@ def valid_bid(b: DataFrame, a: DataFrame):
 
 def _winner(joined: DataFrame) -> DataFrame:
     # Order key: price up, time down, bidder down -> max is the winner.
+    # Grouping on the join key alone lets the aggregate reuse the join's
+    # clustering and sort order (no extra exchange or sort after a sort-merge
+    # join); the auction's own fields ride along in the value.
     order = F.struct(F.col("price"), -F.col("b_t"), -F.col("bidder"))
-    won = F.max_by(F.struct("bidder", "price", F.col("b_t").alias("bid_time_ns")), order)
-    return (joined.groupBy(F.col("a_id").alias("auction"), "category", "seller", "expires_ns")
-            .agg(won.alias("w"))
-            .select("auction", "category", "seller", "expires_ns", "w.bidder", "w.price", "w.bid_time_ns"))
+    won = F.max_by(F.struct("category", "seller", "expires_ns", "bidder", "price",
+                            F.col("b_t").alias("bid_time_ns")), order)
+    return (joined.groupBy(F.col("a_id").alias("auction")).agg(won.alias("w"))
+            .select("auction", "w.*"))
 
 
 def closed_auctions(auction: DataFrame, bid: DataFrame, hot: list | None = None) -> DataFrame:

@@ -76,19 +76,24 @@ def _flat_events() -> str:
     return "\nUNION ALL\n".join(parts)
 
 
-def _q5(size_ns: int, slide_ns: int) -> str:
+def _q5_ctes(size_ns: int, slide_ns: int) -> str:
     slices = size_ns // slide_ns
-    return _with(f"""
+    return f"""
 , w AS (
   SELECT DISTINCT (date_time_ns // {slide_ns}) * {slide_ns} + (1 + i) * {slide_ns} AS window_end_ns
   FROM ebid, range(0, {slices}) r(i)),
 c AS (
   SELECT w.window_end_ns, b.auction, count(*) AS n
   FROM w JOIN ebid b ON b.date_time_ns >= w.window_end_ns - {size_ns} AND b.date_time_ns < w.window_end_ns
-  GROUP BY w.window_end_ns, b.auction)
-SELECT window_end_ns, auction, n FROM c
-QUALIFY row_number() OVER (PARTITION BY window_end_ns ORDER BY n DESC, auction DESC) = 1
-""")
+  GROUP BY w.window_end_ns, b.auction),
+top AS (
+  SELECT window_end_ns, auction, n FROM c
+  QUALIFY row_number() OVER (PARTITION BY window_end_ns ORDER BY n DESC, auction DESC) = 1)
+"""
+
+
+def _q5(size_ns: int, slide_ns: int) -> str:
+    return _with(_q5_ctes(size_ns, slide_ns) + "SELECT * FROM top")
 
 
 _H = 3_600 * _NS_S
@@ -146,3 +151,37 @@ SELECT p.id, a.id AS auction_id FROM auction a JOIN person p
 SELECT o.id, a.id AS auction_id FROM auction a JOIN auction o
   ON a.seller = o.id AND a.date_time_ns < o.date_time_ns + {12 * _H}"""),
 }
+
+
+_SAMPLES = """
+, s AS (SELECT epoch_ns(ts) AS t_ns, CAST(round(value * 100) AS BIGINT) AS latency_ns FROM events)
+"""
+
+_Q7_10S = f"SELECT (date_time_ns // {10 * _NS_S}) * {10 * _NS_S} + {10 * _NS_S} AS window_end_ns, max(price) AS price"
+
+
+ORACLE_SQL.update({
+    "latency_ccdf": _with(_SAMPLES + """
+, h AS (SELECT latency_ns - latency_ns % 100 AS latency, count(*) AS samples FROM s GROUP BY 1)
+SELECT latency,
+       CAST(sum(samples) OVER (ORDER BY latency DESC ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS DOUBLE)
+         / (SELECT count(*) FROM s) AS ccdf,
+       samples
+FROM h"""),
+    "latency_timeline": _with(_SAMPLES + f"""
+, b AS (SELECT (t_ns // {_H}) * {_H} + {_H} AS slot_end_ns, latency_ns - latency_ns % 100 AS b FROM s)
+SELECT slot_end_ns, quantile_disc(b, 0.25) AS p25, quantile_disc(b, 0.5) AS p50, quantile_disc(b, 0.75) AS p75,
+       quantile_disc(b, 0.95) AS p95, quantile_disc(b, 0.99) AS p99, quantile_disc(b, 0.999) AS p999,
+       max(b) AS max, count(*) AS samples
+FROM b GROUP BY slot_end_ns"""),
+    "diff_q5_forms": _with(_q5_ctes(_H, 600 * _NS_S) + """
+SELECT 'left' AS side, * FROM (SELECT * FROM top EXCEPT ALL SELECT * FROM top)
+UNION ALL
+SELECT 'right' AS side, * FROM (SELECT * FROM top EXCEPT ALL SELECT * FROM top)"""),
+    "diff_q7_currency": _with(f"""
+, a AS ({_Q7_10S} FROM bid GROUP BY 1),
+b AS ({_Q7_10S} FROM (SELECT auction, bidder, (price * 89) // 100 AS price, date_time_ns FROM bid) GROUP BY 1)
+SELECT 'left' AS side, * FROM (SELECT * FROM a EXCEPT ALL SELECT * FROM b)
+UNION ALL
+SELECT 'right' AS side, * FROM (SELECT * FROM b EXCEPT ALL SELECT * FROM a)"""),
+})

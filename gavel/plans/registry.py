@@ -15,10 +15,12 @@ from pyspark.sql import DataFrame, SparkSession
 from gavel.operators.averages import q4_category_avg, q4_running_avg, q6_last_avg
 from gavel.operators.basic import q0_passthrough, q1_currency, q2_selection
 from gavel.operators.closing import closed_auctions
+from gavel.operators.diff import diff_by_time
+from gavel.operators.latency import latency_ccdf, latency_timeline, samples_from_events
 from gavel.operators.joins import q3_local_items, q8_as_written, q8_new_users
 from gavel.operators.windows import q5_hot_items, q5_hot_items_panes, q7_highest_bid
 from gavel.sources.events import demux, event_accessors, events_from_json, events_to_json, flatten, to_events
-from gavel.sources.tables import dense_bids, from_tpch
+from gavel.sources.tables import dense_bids, from_tpch, read_table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -60,6 +62,23 @@ QUERIES: dict[str, Query] = {
 }
 
 
+def _samples(spark: SparkSession, sf: str) -> DataFrame:
+    return samples_from_events(read_table(spark, sf, "events"))
+
+
+QUERIES.update({
+    "latency_ccdf": lambda s, d: latency_ccdf(_samples(s, d), width=100),
+    "latency_timeline": lambda s, d: latency_timeline(_samples(s, d), "1 hour", width=100),
+    # q5 by window() and by panes must agree: the diff is empty.
+    "diff_q5_forms": lambda s, d: diff_by_time(q5_hot_items(dense_bids(s, d), *DENSE_Q5),
+                                               q5_hot_items_panes(dense_bids(s, d), *DENSE_Q5), "window_end_ns"),
+    # q7 on raw and on converted prices differ in every window.
+    "diff_q7_currency": lambda s, d: diff_by_time(q7_highest_bid(from_tpch(s, d).bid, "10 seconds"),
+                                                  q7_highest_bid(q1_currency(from_tpch(s, d).bid), "10 seconds"),
+                                                  "window_end_ns"),
+})
+
+
 def entry_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Flagship: Q3, the query of the published baseline run."""
     return QUERIES["q3_local_items"](spark, sf_dir)

@@ -28,9 +28,10 @@ def bucket(latency: Column, width: int | None = None, sig_bits: int | None = Non
         return latency - F.pmod(latency, F.lit(width))
     # exponent of the highest set bit, exact: log2 then a one-step correction
     e = F.floor(F.log2(F.greatest(latency, F.lit(1)).cast("double"))).cast("int")
-    e = F.when(F.shiftleft(F.lit(1).cast("long"), e) > latency, e - 1).otherwise(e)
+    shl = lambda a, b: F.call_function("shiftleft", a, b)
+    e = F.when(shl(F.lit(1).cast("long"), e) > latency, e - 1).otherwise(e)
     shift = F.greatest(e - F.lit(sig_bits), F.lit(0))
-    return F.shiftleft(F.shiftright(latency, shift), shift)
+    return shl(F.call_function("shiftright", latency, shift), shift)
 
 
 def trim(samples: DataFrame, start_ns: int, end_ns: int, warmup: str | int = "2 seconds",

@@ -37,7 +37,7 @@ def hot_keys(df: DataFrame, key: str, hot_rows: int | None = None,
     `gavel.skew.maxKeys` give the defaults; `hotRows` <= 0 turns detection off.
     """
     hot_rows = _conf(df, "hotRows", DEFAULT_HOT_ROWS) if hot_rows is None else hot_rows
-    if hot_rows <= 0:
+    if hot_rows <= 0 or df.isStreaming:  # a stream has no finite sample to take
         return []
     fraction = _conf(df, "sampleFraction", DEFAULT_FRACTION) if fraction is None else fraction
     max_keys = _conf(df, "maxKeys", DEFAULT_MAX_KEYS) if max_keys is None else max_keys

@@ -22,6 +22,10 @@ DEFAULT_HOT_ROWS = 2_000_000
 DEFAULT_FRACTION = 0.01
 DEFAULT_MAX_KEYS = 10_000
 
+# Hot sets by (input plan, key, settings). A stale entry is harmless: any hot
+# set gives the same rows, only the plan shape differs.
+_HOT_CACHE: dict[tuple, list] = {}
+
 
 def _conf(df: DataFrame, name: str, default):
     v = df.sparkSession.conf.get(f"gavel.skew.{name}", None)
@@ -42,6 +46,9 @@ def hot_keys(df: DataFrame, key: str, hot_rows: int | None = None,
     fraction = _conf(df, "sampleFraction", DEFAULT_FRACTION) if fraction is None else fraction
     max_keys = _conf(df, "maxKeys", DEFAULT_MAX_KEYS) if max_keys is None else max_keys
     fraction = min(1.0, max(fraction, 1e-6))
+    cache_key = (df.semanticHash(), key, hot_rows, fraction, max_keys, seed)
+    if cache_key in _HOT_CACHE:
+        return _HOT_CACHE[cache_key]
     need = max(1, int(hot_rows * fraction))
     sampled = (df.select(F.col(key).alias("k")).where(F.col("k").isNotNull())
                .sample(fraction=fraction, seed=seed)
@@ -49,7 +56,11 @@ def hot_keys(df: DataFrame, key: str, hot_rows: int | None = None,
                .where(F.col("count") >= need)
                .orderBy(F.col("count").desc(), F.col("k"))
                .limit(max_keys))  # bounded: a top-k of hot keys, the rest stay exact on the cold path
-    return [r["k"] for r in sampled.collect()]
+    found = [r["k"] for r in sampled.collect()]
+    if len(_HOT_CACHE) > 256:
+        _HOT_CACHE.clear()
+    _HOT_CACHE[cache_key] = found
+    return found
 
 
 def split_join(big: DataFrame, small: DataFrame, big_key: str, small_key: str,

@@ -46,7 +46,7 @@ QUERIES: dict[str, Query] = {
     "events_json_roundtrip": lambda s, d: flatten(events_from_json(events_to_json(_events(s, d)))),
     "q1_currency": lambda s, d: q1_currency(from_tpch(s, d).bid),
     "q2_selection": lambda s, d: q2_selection(from_tpch(s, d).bid),
-    "q3_local_items": lambda s, d: q3_local_items(from_tpch(s, d).auction, from_tpch(s, d).person),
+    "q3_local_items": lambda s, d: (lambda t: q3_local_items(t.auction, t.person))(from_tpch(s, d)),
     "closed_auctions": _closed,
     "q4_category_avg": lambda s, d: q4_category_avg(_closed(s, d)),
     "q4_running_avg": lambda s, d: q4_running_avg(_closed(s, d)),
@@ -56,8 +56,8 @@ QUERIES: dict[str, Query] = {
     "q6_last10_seller": lambda s, d: q6_last_avg(_closed(s, d), "seller"),
     "q7_highest_bid": lambda s, d: q7_highest_bid(dense_bids(s, d), DENSE_Q7),
     "q7_highest_bid_10s": lambda s, d: q7_highest_bid(from_tpch(s, d).bid, "10 seconds"),
-    "q8_new_users": lambda s, d: q8_new_users(from_tpch(s, d).person, from_tpch(s, d).auction, "12 hours"),
-    "q8_new_users_30d": lambda s, d: q8_new_users(from_tpch(s, d).person, from_tpch(s, d).auction, "30 days"),
+    "q8_new_users": lambda s, d: (lambda t: q8_new_users(t.person, t.auction, "12 hours"))(from_tpch(s, d)),
+    "q8_new_users_30d": lambda s, d: (lambda t: q8_new_users(t.person, t.auction, "30 days"))(from_tpch(s, d)),
     "q8_as_written": lambda s, d: q8_as_written(from_tpch(s, d).auction, "12 hours"),
 }
 
@@ -70,12 +70,12 @@ QUERIES.update({
     "latency_ccdf": lambda s, d: latency_ccdf(_samples(s, d), width=100),
     "latency_timeline": lambda s, d: latency_timeline(_samples(s, d), "1 hour", width=100),
     # q5 by window() and by panes must agree: the diff is empty.
-    "diff_q5_forms": lambda s, d: diff_by_time(q5_hot_items(dense_bids(s, d), *DENSE_Q5),
-                                               q5_hot_items_panes(dense_bids(s, d), *DENSE_Q5), "window_end_ns"),
+    "diff_q5_forms": lambda s, d: (lambda b: diff_by_time(
+        q5_hot_items(b, *DENSE_Q5), q5_hot_items_panes(b, *DENSE_Q5), "window_end_ns"))(dense_bids(s, d)),
     # q7 on raw and on converted prices differ in every window.
-    "diff_q7_currency": lambda s, d: diff_by_time(q7_highest_bid(from_tpch(s, d).bid, "10 seconds"),
-                                                  q7_highest_bid(q1_currency(from_tpch(s, d).bid), "10 seconds"),
-                                                  "window_end_ns"),
+    "diff_q7_currency": lambda s, d: (lambda b: diff_by_time(
+        q7_highest_bid(b, "10 seconds"), q7_highest_bid(q1_currency(b), "10 seconds"), "window_end_ns"))(
+        from_tpch(s, d).bid),
 })
 
 

@@ -13,10 +13,8 @@ import datetime as _dt
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-from gavel.functions.time import NS_PER_DAY, NS_PER_SECOND, idiv, ns_of
-from gavel.schema import AUCTION_COLS, BID_COLS, PERSON_COLS
+from gavel.functions.time import NS_PER_DAY, NS_PER_SECOND, NS_PER_US
 
 # The generator's default city and state lists, in order.
 US_CITIES = ["phoenix", "los angeles", "san francisco", "boise", "portland",
@@ -37,69 +35,91 @@ class AuctionTables:
     bid: DataFrame
 
 
+# Declared schemas of the shared tables this library reads: no footer reads
+# for inference on every query.
+TABLE_SCHEMAS = {
+    "customer": "c_custkey BIGINT, c_name STRING, c_nationkey INT, c_acctbal DOUBLE, c_mktsegment STRING",
+    "orders": ("o_orderkey BIGINT, o_custkey BIGINT, o_orderstatus STRING, o_totalprice DOUBLE, "
+               "o_orderdate TIMESTAMP_NTZ, o_orderpriority STRING"),
+    "lineitem": ("l_orderkey BIGINT, l_partkey BIGINT, l_suppkey BIGINT, l_linenumber INT, l_quantity DOUBLE, "
+                 "l_extendedprice DOUBLE, l_discount DOUBLE, l_tax DOUBLE, l_returnflag STRING, "
+                 "l_linestatus STRING, l_shipdate TIMESTAMP_NTZ"),
+    "events": ("event_id BIGINT, ts TIMESTAMP_NTZ, user_id BIGINT, event_type STRING, value DOUBLE, "
+               "props STRING"),
+}
+
+
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    reader = spark.read
+    if name in TABLE_SCHEMAS:
+        reader = reader.schema(TABLE_SCHEMAS[name])
+    return reader.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+
+
+def _sql_list(xs: list[str]) -> str:
+    return "array(" + ", ".join("'" + x + "'" for x in xs) + ")"
+
+
+def _ns(col: str) -> str:
+    """SQL text: TIMESTAMP_NTZ column -> LONG ns (zone independent)."""
+    return f"timestampdiff(MICROSECOND, TIMESTAMP_NTZ'1970-01-01 00:00:00', {col}) * {NS_PER_US}"
+
 
+# The adapters are single selectExpr projections: one parse on the JVM side
+# instead of a py4j call per column expression.
 
 def person_from_customer(customer: DataFrame) -> DataFrame:
-    cities = F.array(*[F.lit(c) for c in US_CITIES])
-    states = F.array(*[F.lit(s) for s in US_STATES])
-    nation = F.col("c_nationkey").cast("long")
-    return customer.select(
-        F.col("c_custkey").alias("id"),
-        F.col("c_name").alias("name"),
-        F.lit("").alias("email_address"),
-        F.lit("").alias("credit_card"),
-        F.element_at(cities, (F.pmod(nation, F.lit(len(US_CITIES))) + 1).cast("int")).alias("city"),
-        F.element_at(states, (F.pmod(nation, F.lit(len(US_STATES))) + 1).cast("int")).alias("state"),
-        (F.lit(PERSON_EPOCH_NS)
-         + F.pmod(F.col("c_custkey") * F.lit(7919), F.lit(2400)) * F.lit(NS_PER_DAY)).alias("date_time_ns"),
+    return customer.selectExpr(
+        "c_custkey AS id",
+        "c_name AS name",
+        "'' AS email_address",
+        "'' AS credit_card",
+        f"element_at({_sql_list(US_CITIES)}, CAST(pmod(c_nationkey, {len(US_CITIES)}) + 1 AS INT)) AS city",
+        f"element_at({_sql_list(US_STATES)}, CAST(pmod(c_nationkey, {len(US_STATES)}) + 1 AS INT)) AS state",
+        f"{PERSON_EPOCH_NS}L + pmod(c_custkey * 7919, 2400) * {NS_PER_DAY}L AS date_time_ns",
     )
 
 
 def auction_from_orders(orders: DataFrame) -> DataFrame:
-    key = F.col("o_orderkey")
-    cents = F.round(F.col("o_totalprice") * 100).cast("long")
-    start = ns_of("o_orderdate")
-    return orders.select(
-        key.alias("id"),
-        F.lit("").alias("item_name"),
-        F.lit("").alias("description"),
-        idiv(cents, 40).alias("initial_bid"),
-        idiv(cents, 20).alias("reserve"),
-        start.alias("date_time_ns"),
-        (start + (F.pmod(key, F.lit(90)) + 1) * F.lit(NS_PER_DAY)).alias("expires_ns"),
-        F.col("o_custkey").alias("seller"),
-        (F.lit(FIRST_CATEGORY) + F.pmod(key, F.lit(NUM_CATEGORIES))).alias("category"),
+    cents = "CAST(round(o_totalprice * 100) AS BIGINT)"
+    return orders.selectExpr(
+        "o_orderkey AS id",
+        "'' AS item_name",
+        "'' AS description",
+        f"{cents} div 40 AS initial_bid",
+        f"{cents} div 20 AS reserve",
+        f"{_ns('o_orderdate')} AS date_time_ns",
+        f"{_ns('o_orderdate')} + (pmod(o_orderkey, 90) + 1) * {NS_PER_DAY}L AS expires_ns",
+        "o_custkey AS seller",
+        f"{FIRST_CATEGORY} + pmod(o_orderkey, {NUM_CATEGORIES}) AS category",
     )
 
 
 def bid_from_lineitem(lineitem: DataFrame) -> DataFrame:
-    return lineitem.select(
-        F.col("l_orderkey").alias("auction"),
-        F.col("l_suppkey").alias("bidder"),
-        F.round(F.col("l_extendedprice") * 100).cast("long").alias("price"),
-        (ns_of("l_shipdate") + F.col("l_linenumber").cast("long") * F.lit(NS_PER_SECOND)).alias("date_time_ns"),
+    return lineitem.selectExpr(
+        "l_orderkey AS auction",
+        "l_suppkey AS bidder",
+        "CAST(round(l_extendedprice * 100) AS BIGINT) AS price",
+        f"{_ns('l_shipdate')} + CAST(l_linenumber AS BIGINT) * {NS_PER_SECOND}L AS date_time_ns",
     )
 
 
 def from_tpch(spark: SparkSession, sf_dir: str) -> AuctionTables:
     """person / auction / bid over customer / orders / lineitem."""
     return AuctionTables(
-        person=person_from_customer(read_table(spark, sf_dir, "customer")).select(*PERSON_COLS),
-        auction=auction_from_orders(read_table(spark, sf_dir, "orders")).select(*AUCTION_COLS),
-        bid=bid_from_lineitem(read_table(spark, sf_dir, "lineitem")).select(*BID_COLS),
+        person=person_from_customer(read_table(spark, sf_dir, "customer")),
+        auction=auction_from_orders(read_table(spark, sf_dir, "orders")),
+        bid=bid_from_lineitem(read_table(spark, sf_dir, "lineitem")),
     )
 
 
 def bids_from_events(events: DataFrame) -> DataFrame:
     """Bids with a dense, strictly increasing clock (events.ts); auction 1000 + props.k."""
-    k = F.get_json_object("props", "$.k").cast("long")
-    return events.select(
-        (F.lit(1000) + k).alias("auction"),
-        F.col("user_id").alias("bidder"),
-        F.round(F.col("value") * 100).cast("long").alias("price"),
-        ns_of("ts").alias("date_time_ns"),
+    return events.selectExpr(
+        "1000 + CAST(get_json_object(props, '$.k') AS BIGINT) AS auction",
+        "user_id AS bidder",
+        "CAST(round(value * 100) AS BIGINT) AS price",
+        f"{_ns('ts')} AS date_time_ns",
     )
 
 

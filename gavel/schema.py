@@ -56,6 +56,7 @@ CLOSED = T.StructType([
     T.StructField("bidder", L, True),
     T.StructField("price", L, True),
     T.StructField("bid_time_ns", L, True),
+    T.StructField("event_time", T.TimestampType(), True),
 ])
 
 PERSON_COLS = [f.name for f in PERSON.fields]

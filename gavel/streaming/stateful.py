@@ -9,14 +9,17 @@
 * `LastKMeanProcessor`: Q6 mean of a key's last k closing prices.
 
 The last two expect their input in closing order across micro-batches, which
-the closing query guarantees (an auction is emitted only once the watermark
-passes its expiry); inside a micro-batch they sort by (expires, auction).
+the closing operator guarantees (an auction is emitted only once the
+watermark passes its expiry); inside a micro-batch they sort by (expires,
+auction). They can follow the closing operator in the same query (its output
+declares `event_time`) or read its output table in a second query.
 All three keep per-key state in the RocksDB state store, sharded by key over
 the shuffle partitions, and checkpointed with the query.
 """
 
 from __future__ import annotations
 
+import datetime as _dt
 import sys
 from collections.abc import Iterator
 
@@ -35,8 +38,12 @@ BID_STATE = "bidder long, price long, b_t long"
 
 CLOSING_INPUT = ("key long, kind string, reserve long, a_t long, expires_ns long, seller long, "
                  "category long, bidder long, price long, b_t long")
+# `event_time` is the watermark at which the result became final: later
+# stateful operators in the same query never see it as late.
 CLOSED_OUTPUT = ("auction long, category long, seller long, expires_ns long, bidder long, price long, "
-                 "bid_time_ns long")
+                 "bid_time_ns long, event_time timestamp")
+
+_EPOCH = _dt.datetime(1970, 1, 1, tzinfo=_dt.timezone.utc)
 
 
 def _better(b, best) -> bool:
@@ -97,8 +104,9 @@ class ClosingProcessor(StatefulProcessor):
             out = []
             if self.best.exists():
                 b = self.best.get()
+                final = _EPOCH + _dt.timedelta(milliseconds=timerValues.getCurrentWatermarkInMs())
                 out.append(Row(auction=key[0], category=a[4], seller=a[3], expires_ns=a[2],
-                               bidder=b[0], price=b[1], bid_time_ns=b[2]))
+                               bidder=b[0], price=b[1], bid_time_ns=b[2], event_time=final))
             self.auction.clear()
             self.best.clear()
             self.early.clear()

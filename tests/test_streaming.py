@@ -79,7 +79,7 @@ def closed_stream(spark, folder, delay="0 seconds"):
 def test_closed_auctions_stream_equals_batch(spark, feed):
     events, folder = feed
     b = demux(events)
-    got = run_to_memory(closed_stream(spark, folder), "s_closed")
+    got = run_to_memory(closed_stream(spark, folder), "s_closed").drop("event_time")
     ok, n = same(got, closed_auctions(b.auction, b.bid))
     assert ok and n[0] > 100, n
 
@@ -89,11 +89,42 @@ def test_closing_with_disorder(spark):
     events = generate_events(spark, N, cfg)
     folder = write_ordered_event_files(spark, events, chunks=6, sentinel_after_ns=FAR)
     b = demux(events)
-    got = run_to_memory(closed_stream(spark, folder, "20 milliseconds"), "s_closed_dis")
+    got = run_to_memory(closed_stream(spark, folder, "20 milliseconds"), "s_closed_dis").drop("event_time")
     ok, n = same(got, closed_auctions(b.auction, b.bid))
     assert ok and n[0] > 100, n
 
 
+def test_means_in_one_query(spark, feed):
+    """Closing and the per-closing means chained inside one streaming query."""
+    events, folder = feed
+    b = demux(events)
+    closed_batch = closed_auctions(b.auction, b.bid)
+    ok, n = same(run_to_memory(S.q4_running_stream(closed_stream(spark, folder)), "s1_q4r"),
+                 q4_running_avg(closed_batch))
+    assert ok and n[0] > 100, n
+    ok, n = same(run_to_memory(S.q6_stream(closed_stream(spark, folder), "seller"), "s1_q6"),
+                 q6_last_avg(closed_batch, "seller"))
+    assert ok and n[0] > 100, n
+
+
+def test_named_queries(spark, feed):
+    from gavel.streaming.named import NAMES, start_named
+    from stream_util import fresh
+    events, folder = feed
+    assert len(NAMES) == 35
+    counts = {}
+    for name in ["q2", "q3_rocksdb", "q4_faster", "q5_faster_in_mem", "q6_mem", "q7", "q8_rocksdb"]:
+        out = fresh("named")
+        q = start_named(spark, name, event_file_stream(spark, folder, max_files_per_trigger=1), out,
+                        checkpoint=fresh("nckpt"), available_now=True)
+        q.awaitTermination()
+        counts[name] = spark.read.parquet(out).count()
+    b = demux(events)
+    assert counts["q2"] == b.bid.where("auction % 123 = 0").count()
+    assert counts["q4_faster"] == counts["q6_mem"] == closed_auctions(b.auction, b.bid).count()
+    assert all(v > 0 for v in counts.values()), counts
+
+
 def test_chained_means(spark, feed):
     events, folder = feed
     b = demux(events)

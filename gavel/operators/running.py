@@ -6,9 +6,9 @@
 categories, or one bidder holding a third of all rows, that is one task for a
 large share of the data. Instead:
 
-1. range-partition on (key, order) and sort inside each partition, then
-   checkpoint, so every later job sees exactly the same partitions (on a
-   cluster the folder is the shared `spark.checkpoint.dir`);
+1. range-partition on (key, order) (AQE sizes the ranges) and sort inside
+   each partition, then checkpoint, so every later job sees exactly the same
+   partitions (on a cluster the folder is the shared `spark.checkpoint.dir`);
 2. one small summary row per partition: its first and last key, and for the
    last key its sum, count and last k-1 values;
 3. the driver chains those P summaries (P = number of partitions, not rows)
@@ -100,11 +100,14 @@ def running_frame(df: DataFrame, keys: list[str], order: list[str], value: str,
     or the last `last_k` rows, the current row included. `order` must be a
     total order within a key (ties give an arbitrary but fixed order).
     """
-    spark = df.sparkSession
+    from gavel.session import ensure_checkpoint_dir
+    ensure_checkpoint_dir(df.sparkSession)
     sort_cols = keys + order
-    p = num_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ranged = (df.repartitionByRange(p, *sort_cols).sortWithinPartitions(*sort_cols)
-              .checkpoint(eager=True))
+    # Without an explicit count, AQE sizes the range partitions (it merges
+    # only adjacent ranges, so partition order still follows the key order).
+    ranged = (df.repartitionByRange(num_partitions, *sort_cols) if num_partitions
+              else df.repartitionByRange(*sort_cols))
+    ranged = ranged.sortWithinPartitions(*sort_cols).checkpoint(eager=True)
     schema = ranged.schema
     key_types = [schema[c].dataType for c in keys]
 

@@ -1,9 +1,11 @@
 """Stream equality check: do two results hold the same rows per timestamp?
 
 Rows carry their time as a column, so "same multiset per timestamp" is "same
-multiset of (time, row)". The check returns the difference, tagged by side;
-an empty result means the two are equal. Both EXCEPT ALL passes shuffle on
-the full row, so no time slot is gathered into one task.
+multiset of (time, row)". Each side is read once: rows are counted with
++1 (left) / -1 (right) in one aggregation on the full row, and a row whose
+count is not zero is reported that many times on the side that has more.
+An empty result means the two are equal. The aggregation is partial/final
+and shuffles on the whole row, so no time slot meets in one task.
 """
 
 from __future__ import annotations
@@ -17,9 +19,12 @@ def diff_by_time(left: DataFrame, right: DataFrame, time_col: str) -> DataFrame:
     if sorted(left.columns) != sorted(right.columns):
         raise ValueError(f"column sets differ: {left.columns} vs {right.columns}")
     cols = [time_col] + sorted(c for c in left.columns if c != time_col)
-    l_, r_ = left.select(*cols), right.select(*cols)
-    return (l_.exceptAll(r_).select(F.lit("left").alias("side"), *cols)
-            .unionByName(r_.exceptAll(l_).select(F.lit("right").alias("side"), *cols)))
+    signed = (left.select(*cols, F.lit(1).alias("_d"))
+              .unionByName(right.select(*cols, F.lit(-1).alias("_d"))))
+    net = (signed.groupBy(*cols).agg(F.sum("_d").alias("_n"))
+           .where(F.col("_n") != 0))
+    side = F.when(F.col("_n") > 0, F.lit("left")).otherwise(F.lit("right"))
+    return net.select(F.explode(F.array_repeat(side, F.abs(F.col("_n")).cast("int"))).alias("side"), *cols)
 
 
 def assert_same_by_time(left: DataFrame, right: DataFrame, time_col: str, show: int = 5) -> None:

@@ -120,3 +120,12 @@ def test_q3_filters(spark):
                          dict(id=12, t=0, exp=1, seller=1, category=11)])
     out = q3_local_items(a, p).collect()
     assert [r.auction_id for r in out] == [10]
+
+
+def test_diff_by_time_multiset(spark):
+    from gavel.operators.diff import diff_by_time
+    a = spark.createDataFrame([(1, 5), (1, 5), (2, 7), (3, 1)], "t long, v long")
+    b = spark.createDataFrame([(1, 5), (2, 7), (2, 8), (3, 1)], "t long, v long")
+    got = sorted(tuple(r) for r in diff_by_time(a, b, "t").collect())
+    assert got == [("left", 1, 5), ("right", 2, 8)]
+    assert diff_by_time(a, a, "t").count() == 0

@@ -21,7 +21,7 @@ from gavel.streaming.stateful import (
 )
 
 __all__ = ["q1_currency", "q2_selection", "q3_stream", "q5_stream", "q7_stream", "q8_stream",
-           "closed_auctions_stream", "q4_category_avg_stream", "q4_running_stream", "q6_stream"]
+           "closed_auctions_stream", "closed_auctions_stream_bounded", "q4_category_avg_stream", "q4_running_stream", "q6_stream"]
 
 
 def _us(spec: str | int) -> str:
@@ -83,6 +83,49 @@ def closed_auctions_stream(auction: DataFrame, bid: DataFrame) -> DataFrame:
                                 eventTimeColumnName="event_time"))
 
 
+def closed_auctions_stream_bounded(events: DataFrame, max_length: str | int,
+                                   delay: str | int = "0 seconds") -> DataFrame:
+    """Closed auctions on built-in operators only, for auctions no longer
+    than `max_length` (a bound the data must keep).
+
+    * bids carry a watermark on their time; auctions on `close_time`
+      (expiry + 1 ms) with a delay of the length bound (+ `delay`), both
+      declared before any stateful operator;
+    * a stream-stream join on the auction id with the validity test; its
+      event-time range (close_time - bound <= bid time < close_time) lets
+      Spark evict auctions after they close and bids once no auction can
+      still start before them;
+    * an append-mode arg-max grouped by (auction, close_time). Spark's global
+      watermark is the minimum of both, so a group is emitted only after
+      every bid older than the expiry has arrived.
+
+    `events` is the tagged event stream *without* a watermark. The result
+    carries `event_time` (the close time) for later stateful operators.
+    """
+    from gavel.functions.time import event_time
+    bound_us = duration_ns(max_length) // 1000 + 1000
+    delay_us = duration_ns(delay) // 1000
+    bids = (events.where(F.col("type") == "Bid").select("bid.*")
+            .withColumn("b_time", event_time("date_time_ns"))
+            .withWatermark("b_time", f"{delay_us} microseconds"))
+    aucs = (events.where(F.col("type") == "Auction").select("auction.*")
+            .withColumn("close_time", event_time(F.col("expires_ns") + F.lit(1_000_000)))
+            .withWatermark("close_time", f"{bound_us + delay_us} microseconds"))
+    a = aucs.select(F.col("id").alias("a_id"), "reserve", F.col("date_time_ns").alias("a_t"), "expires_ns",
+                    "seller", "category", "close_time")
+    b = bids.select("auction", "bidder", "price", F.col("date_time_ns").alias("b_t"), "b_time")
+    cond = ((b["auction"] == a["a_id"]) & (b["b_time"] < a["close_time"])
+            & (b["b_time"] >= a["close_time"] - F.expr(f"INTERVAL {bound_us} MICROSECONDS"))
+            & (b["price"] >= a["reserve"]) & (a["a_t"] <= b["b_t"]) & (b["b_t"] < a["expires_ns"]))
+    order = F.struct(F.col("price"), -F.col("b_t"), -F.col("bidder"))
+    won = F.max_by(F.struct("category", "seller", "expires_ns", "bidder", "price",
+                            F.col("b_t").alias("bid_time_ns")), order)
+    return (b.join(a, cond, "inner").groupBy(F.col("a_id").alias("auction"), "close_time")
+            .agg(won.alias("w"))
+            .select("auction", "w.category", "w.seller", "w.expires_ns", "w.bidder", "w.price",
+                    "w.bid_time_ns", F.col("close_time").alias("event_time")))
+
+
 def q4_category_avg_stream(closed: DataFrame) -> DataFrame:
     """Latest mean per category (update/complete mode). Spark chains stateful
     operators only in append mode, so this reads the closing query's output

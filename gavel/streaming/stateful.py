@@ -33,7 +33,12 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 NS_PER_MS = 1_000_000
 
-AUCTION_STATE = "reserve long, a_t long, expires_ns long, seller long, category long"
+# One value per auction: the auction and its best valid bid so far (bid
+# fields null until there is one). Each state access is a call from the
+# Python worker to the state store, so the processor reads it once per key
+# and micro-batch and writes it only when it changes.
+AUCTION_STATE = ("reserve long, a_t long, expires_ns long, seller long, category long, "
+                 "bidder long, price long, b_t long")
 BID_STATE = "bidder long, price long, b_t long"
 
 CLOSING_INPUT = ("key long, kind string, reserve long, a_t long, expires_ns long, seller long, "
@@ -62,8 +67,7 @@ def _valid(b, a) -> bool:
 class ClosingProcessor(StatefulProcessor):
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.auction = handle.getValueState("auction", AUCTION_STATE)
-        self.best = handle.getValueState("best", BID_STATE)
+        self.state = handle.getValueState("auction", AUCTION_STATE)
         self.early = handle.getListState("early", BID_STATE)
 
     def handleInputRows(self, key, rows: Iterator[Row], timerValues: TimerValues) -> Iterator[Row]:
@@ -73,49 +77,47 @@ class ClosingProcessor(StatefulProcessor):
                 new_auction = (r.reserve, r.a_t, r.expires_ns, r.seller, r.category)
             else:
                 bids.append((r.bidder, r.price, r.b_t))
-        if new_auction is not None and not self.auction.exists():
-            self.auction.update(new_auction)
+        st = self.state.get()
+        if st is None and new_auction is None:
+            # Bids before their auction: keep until the watermark passes them.
+            self.early.appendList(bids)
+            for ms in {b[2] // NS_PER_MS + 1 for b in bids}:
+                self.handle.registerTimer(ms)
+            return iter([])
+        changed = False
+        if st is None:
+            early = [tuple(b) for b in self.early.get()]
+            if early:
+                bids = early + bids
+                self.early.clear()
             # close once the watermark reaches expires (timers are in ms)
             self.handle.registerTimer(-(-new_auction[2] // NS_PER_MS))
-            if self.early.exists():
-                bids = [tuple(b) for b in self.early.get()] + bids
-                self.early.clear()
-        if self.auction.exists():
-            a = self.auction.get()
-            best = self.best.get() if self.best.exists() else None
-            for b in bids:
-                if _valid(b, a) and _better(b, best):
-                    best = b
-            if best is not None:
-                self.best.update(tuple(best))
-        elif bids:
-            self.early.appendList(bids)
-            for b in bids:  # purge once the watermark passes the bid's time
-                self.handle.registerTimer(b[2] // NS_PER_MS + 1)
+            st, changed = new_auction + (None, None, None), True
+        best = st[5:] if st[5] is not None else None
+        for b in bids:
+            if _valid(b, st) and _better(b, best):
+                best, changed = b, True
+        if changed:
+            self.state.update(tuple(st[:5]) + (tuple(best) if best else (None, None, None)))
         return iter([])
 
     def handleExpiredTimer(self, key, timerValues: TimerValues,
                            expiredTimerInfo: ExpiredTimerInfo) -> Iterator[Row]:
         fired_ns = expiredTimerInfo.getExpiryTimeInMs() * NS_PER_MS
-        if self.auction.exists():
-            a = self.auction.get()
-            if fired_ns < a[2]:
+        st = self.state.get()
+        if st is not None:
+            if fired_ns < st[2]:
                 return iter([])  # an early bid's purge timer; the auction decides now
-            out = []
-            if self.best.exists():
-                b = self.best.get()
-                final = _EPOCH + _dt.timedelta(milliseconds=timerValues.getCurrentWatermarkInMs())
-                out.append(Row(auction=key[0], category=a[4], seller=a[3], expires_ns=a[2],
-                               bidder=b[0], price=b[1], bid_time_ns=b[2], event_time=final))
-            self.auction.clear()
-            self.best.clear()
-            self.early.clear()
-            return iter(out)
-        if self.early.exists():
-            keep = [tuple(b) for b in self.early.get() if b[2] >= fired_ns]
-            self.early.clear()
-            if keep:
-                self.early.appendList(keep)
+            self.state.clear()  # early bids were folded in when the auction came
+            if st[5] is None:
+                return iter([])
+            final = _EPOCH + _dt.timedelta(milliseconds=timerValues.getCurrentWatermarkInMs())
+            return iter([Row(auction=key[0], category=st[4], seller=st[3], expires_ns=st[2],
+                             bidder=st[5], price=st[6], bid_time_ns=st[7], event_time=final)])
+        keep = [tuple(b) for b in self.early.get() if b[2] >= fired_ns]
+        self.early.clear()
+        if keep:
+            self.early.appendList(keep)
         return iter([])
 
     def close(self) -> None:

@@ -26,7 +26,10 @@ def write_ordered_event_files(spark, events, chunks: int, sentinel_after_ns: int
     n = events.count()
     step = -(-n // chunks)
     def sentinel(t):
-        return spark.createDataFrame([("Bid", None, None, (SENTINEL_AUCTION, 0, 0, t))], EVENT)
+        # a bid and an auction: queries with a watermark per relation need both
+        return spark.createDataFrame(
+            [("Bid", None, None, (SENTINEL_AUCTION, 0, 0, t)),
+             ("Auction", None, (SENTINEL_AUCTION, "", "", 0, 10**12, t, t + 1, 0, 0), None)], EVENT)
     parts = [events.where((F.col("arrival") >= i * step) & (F.col("arrival") < (i + 1) * step))
              for i in range(chunks)] + [sentinel_after_ns, sentinel_after_ns + 1]
     for i, part in enumerate(parts):

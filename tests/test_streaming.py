@@ -80,6 +80,17 @@ def test_closed_auctions_stream_equals_batch(spark, feed):
     events, folder = feed
     b = demux(events)
     got = run_to_memory(closed_stream(spark, folder), "s_closed").drop("event_time")
+    got = got.where(F.col("auction") != SENTINEL_AUCTION)
+    ok, n = same(got, closed_auctions(b.auction, b.bid))
+    assert ok and n[0] > 100, n
+
+
+def test_bounded_builtin_closing_equals_batch(spark, feed):
+    from gavel.sources.generator import max_auction_length_ns
+    events, folder = feed
+    b = demux(events)
+    closed = S.closed_auctions_stream_bounded(event_file_stream(spark, folder, 1), max_auction_length_ns(CFG))
+    got = run_to_memory(closed, "s_closed_b").where(F.col("auction") != SENTINEL_AUCTION).drop("event_time")
     ok, n = same(got, closed_auctions(b.auction, b.bid))
     assert ok and n[0] > 100, n
 

@@ -68,7 +68,6 @@ def _frame_batch(pdf: pd.DataFrame, keys: list[str], value: str, k: int | None,
             cs[first] += carry_sum
             pos[first] += carry_cnt
         sums, cnts = cs, pos
-        last = grp == grp[-1]
         new_tail: list[int] = []
         new_sum, new_cnt = int(sums[-1]), int(cnts[-1])
     else:
@@ -85,8 +84,7 @@ def _frame_batch(pdf: pd.DataFrame, keys: list[str], value: str, k: int | None,
         back[has] = cs[np.nonzero(has)[0] - k]
         sums = (cs - back)[len(pre):]
         cnts = np.minimum(idx + 1, k)[len(pre):]
-        last = allg == allg[-1]
-        new_tail = allv[last][-(k - 1):].tolist() if k > 1 else []
+        new_tail = allv[allg == allg[-1]][-(k - 1):].tolist() if k > 1 else []
         new_sum, new_cnt = 0, 0
     last_key = tuple(pdf[c].iloc[-1] for c in keys)
     return sums, cnts, (last_key, new_sum, new_cnt, new_tail)

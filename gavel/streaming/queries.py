@@ -21,6 +21,7 @@ from gavel.streaming.stateful import (
 )
 
 __all__ = ["q1_currency", "q2_selection", "q3_stream", "q5_stream", "q7_stream", "q8_stream",
+           "q8_as_written_stream",
            "closed_auctions_stream", "closed_auctions_stream_bounded", "q4_category_avg_stream", "q4_running_stream", "q6_stream"]
 
 
@@ -63,6 +64,21 @@ def q8_stream(person: DataFrame, auction: DataFrame, window: str | int = Q8_WIND
     return a.join(p, cond, "inner").select("id", "auction_id")
 
 
+def q8_as_written_stream(auction: DataFrame, window: str | int = Q8_WINDOW) -> DataFrame:
+    """Q8 as originally wired: auctions joined with auctions (seller = id) when
+    the auction opens before the other's time + window. The upper event-time
+    bound lets Spark drop the matched side once the watermark passes it; the
+    probing side stays in state like the original's unbounded lookup."""
+    w = duration_ns(window)
+    a = auction.select(F.col("id").alias("auction_id"), "seller", F.col("date_time_ns").alias("a_t"),
+                       F.col("event_time").alias("a_time"))
+    o = auction.select("id", F.col("date_time_ns").alias("o_t"), F.col("event_time").alias("o_time"))
+    cond = ((a["seller"] == o["id"])
+            & (a["a_time"] <= o["o_time"] + F.expr(f"INTERVAL {w // 1000} MICROSECONDS"))
+            & (a["a_t"] < o["o_t"] + F.lit(w)))
+    return a.join(o, cond, "inner").select("id", "auction_id")
+
+
 def closing_input(auction: DataFrame, bid: DataFrame) -> DataFrame:
     """Bids and auctions as one stream keyed by auction id."""
     n = F.lit(None).cast("long")

@@ -9,7 +9,7 @@ from gavel.functions.time import NS_PER_SECOND
 from gavel.operators.averages import q4_category_avg, q4_running_avg, q6_last_avg
 from gavel.operators.basic import q1_currency, q2_selection
 from gavel.operators.closing import closed_auctions
-from gavel.operators.joins import q3_local_items, q8_new_users
+from gavel.operators.joins import q3_local_items, q8_as_written, q8_new_users
 from gavel.operators.windows import q5_hot_items, q7_highest_bid
 from gavel.schema import CLOSED
 from gavel.sources.events import demux
@@ -55,6 +55,10 @@ def test_stateless_and_join_streams(spark, feed):
     ok, n = same(run_to_memory(S.q8_stream(t.person, t.auction, "2 seconds"), "s_q8"),
                  q8_new_users(b.person, b.auction, "2 seconds"))
     assert ok and n[0] > 0, n
+    t = stream_tables(spark, folder)
+    got = run_to_memory(S.q8_as_written_stream(t.auction, "2 seconds"), "s_q8w").where(F.col("id") != SENTINEL_AUCTION)
+    ok, n = same(got, q8_as_written(b.auction, "2 seconds"))
+    assert ok and n[0] > 0, n
 
 
 def test_window_streams(spark, feed):

@@ -21,7 +21,7 @@ from gavel.streaming.stateful import (
 )
 
 __all__ = ["q1_currency", "q2_selection", "q3_stream", "q5_stream", "q7_stream", "q8_stream",
-           "q8_as_written_stream",
+           "q8_as_written_stream", "q5_stream_panes",
            "closed_auctions_stream", "closed_auctions_stream_bounded", "q4_category_avg_stream", "q4_running_stream", "q6_stream"]
 
 
@@ -46,6 +46,19 @@ def q5_stream(bid: DataFrame, size: str | int = Q5_SIZE, slide: str | int = Q5_S
             .select((F.unix_micros(F.col("w.end")) * 1000).alias("window_end_ns"), "b.auction", "b.n"))
 
 
+def q5_stream_panes(bid: DataFrame, size: str | int = Q5_SIZE, slide: str | int = Q5_SLIDE) -> DataFrame:
+    """Q5 by panes on a stream: count per (slide pane, auction), then slide
+    the window over pane times (window_time keeps the watermark), so the
+    size/slide fan-out runs on pane counts, not on bids; then the top auction
+    per window. Three chained append-mode aggregations."""
+    panes = (bid.groupBy(F.window("event_time", _us(slide)).alias("pane"), "auction")
+             .agg(F.count(F.lit(1)).alias("c")))
+    windows = (panes.groupBy(F.window(F.window_time("pane"), _us(size), _us(slide)).alias("w"), "auction")
+               .agg(F.sum("c").alias("n")))
+    return (windows.groupBy("w").agg(F.max(F.struct("n", "auction")).alias("b"))
+            .select((F.unix_micros(F.col("w.end")) * 1000).alias("window_end_ns"), "b.auction", "b.n"))
+
+
 def q7_stream(bid: DataFrame, size: str | int = Q7_SIZE) -> DataFrame:
     return (bid.groupBy(F.window("event_time", _us(size)).alias("w")).agg(F.max("price").alias("price"))
             .select((F.unix_micros(F.col("w.end")) * 1000).alias("window_end_ns"), "price"))

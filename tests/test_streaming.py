@@ -73,6 +73,10 @@ def test_window_streams(spark, feed):
     got = run_to_memory(S.q5_stream(t.bid, "4 seconds", "1 second"), "s_q5").where(F.col("window_end_ns") < FAR)
     ok, n = same(got, q5_hot_items(b.bid, "4 seconds", "1 second"))
     assert ok and n[0] > 0, n
+    t = stream_tables(spark, folder)
+    got = run_to_memory(S.q5_stream_panes(t.bid, "4 seconds", "1 second"), "s_q5p").where(F.col("window_end_ns") < FAR)
+    ok, n = same(got, q5_hot_items(b.bid, "4 seconds", "1 second"))
+    assert ok and n[0] > 0, n
 
 
 def closed_stream(spark, folder, delay="0 seconds"):

@@ -9,6 +9,7 @@ high-dynamic-range histograms do), which bounds the buckets per group.
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -44,11 +45,13 @@ def trim(samples: DataFrame, start_ns: int, end_ns: int, warmup: str | int = "2
 def latency_ccdf(samples: DataFrame, width: int | None = None, sig_bits: int | None = None) -> DataFrame:
     """(latency, ccdf, samples): per bucket, the fraction of samples at or above it."""
     hist = (samples.select(bucket(F.col("latency_ns"), width, sig_bits).alias("latency"))
-            .groupBy("latency").agg(F.count(F.lit(1)).alias("samples")))
+            .groupBy("latency").agg(F.count(F.lit(1)).alias("samples"))
+            .persist(StorageLevel.MEMORY_AND_DISK))  # read twice below; samples are scanned once
     total = hist.agg(F.sum("samples")).collect()[0][0] or 0  # one scalar
     # Suffix sums from the top bucket down, range-partitioned (no single task).
     desc = hist.select(F.lit(0).alias("g"), (-F.col("latency")).alias("neg"), "latency", "samples")
     r = running_frame(desc, keys=["g"], order=["neg"], value="samples")
+    hist.unpersist()
     return r.select("latency", (F.col("frame_sum") / F.lit(float(max(total, 1)))).alias("ccdf"), "samples")
 
 

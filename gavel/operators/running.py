@@ -27,7 +27,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark import cloudpickle
+from pyspark import StorageLevel, cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -103,9 +103,14 @@ def running_frame(df: DataFrame, keys: list[str], order: list[str], value: str,
     sort_cols = keys + order
     # Without an explicit count, AQE sizes the range partitions (it merges
     # only adjacent ranges, so partition order still follows the key order).
-    ranged = (df.repartitionByRange(num_partitions, *sort_cols) if num_partitions
-              else df.repartitionByRange(*sort_cols))
+    # The range partitioner samples its input before shuffling it; keeping the
+    # input for this one job stops the sample from recomputing the upstream
+    # (e.g. the closing join). Correctness rests on the checkpoint below.
+    src = df.persist(StorageLevel.MEMORY_AND_DISK)
+    ranged = (src.repartitionByRange(num_partitions, *sort_cols) if num_partitions
+              else src.repartitionByRange(*sort_cols))
     ranged = ranged.sortWithinPartitions(*sort_cols).checkpoint(eager=True)
+    src.unpersist()
     schema = ranged.schema
     key_types = [schema[c].dataType for c in keys]
 

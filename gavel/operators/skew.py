@@ -8,7 +8,9 @@ ordinary shuffle join. The hot set only steers the plan: any set, empty or
 not, gives the same rows, so the sample never changes results.
 
 Broadcast bound: the build side is unique on its key (person.id, auction.id),
-so the broadcast side has at most `max_keys` rows.
+so the broadcast side has at most `max_keys` rows. The rows are counted
+before the broadcast all the same; above `gavel.skew.maxBroadcastRows` the
+split is skipped and the plain join (with AQE skew splitting) runs instead.
 """
 
 from __future__ import annotations
@@ -21,6 +23,7 @@ from pyspark.sql import functions as F
 DEFAULT_HOT_ROWS = 2_000_000
 DEFAULT_FRACTION = 0.01
 DEFAULT_MAX_KEYS = 10_000
+DEFAULT_MAX_BROADCAST_ROWS = 1_000_000
 
 # Hot sets by (input plan, key, settings). A stale entry is harmless: any hot
 # set gives the same rows, only the plan shape differs.
@@ -76,8 +79,10 @@ def split_join(big: DataFrame, small: DataFrame, big_key: str, small_key: str,
         return finish(big.join(small, condition(big, small), "inner"))
     in_hot_b = F.col(big_key).isin(hot)
     in_hot_s = F.col(small_key).isin(hot)
-    hot_big, cold_big = big.where(in_hot_b), big.where(~in_hot_b)
     hot_small = small.where(in_hot_s)
+    if hot_small.count() > _conf(small, "maxBroadcastRows", DEFAULT_MAX_BROADCAST_ROWS):
+        return finish(big.join(small, condition(big, small), "inner"))
+    hot_big, cold_big = big.where(in_hot_b), big.where(~in_hot_b)
     hot_part = finish(hot_big.join(F.broadcast(hot_small), condition(hot_big, hot_small), "inner"))
     cold_part = finish(cold_big.join(small, condition(cold_big, small), "inner"))
     return hot_part.unionByName(cold_part)

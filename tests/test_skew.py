@@ -28,3 +28,19 @@ def test_split_paths_agree(spark):
     assert same(q8_new_users(t.person, t.auction, "30 days", hot=sellers),
                 q8_new_users(t.person, t.auction, "30 days", hot=[]))
     assert same(q8_as_written(t.auction, hot=sellers), q8_as_written(t.auction, hot=[]))
+
+
+def test_broadcast_side_is_checked(spark):
+    """A build side that is not unique on the key falls back to the plain join."""
+    from gavel.operators.skew import split_join
+    big = spark.createDataFrame([(1, i) for i in range(50)] + [(2, 0)], "k long, v long")
+    small = spark.createDataFrame([(1, j) for j in range(30)] + [(2, 9)], "id long, w long")
+    spark.conf.set("gavel.skew.maxBroadcastRows", "10")
+    try:
+        got = split_join(big, small, "k", "id", lambda b, s: b["k"] == s["id"], hot=[1])
+        plan = got._jdf.queryExecution().executedPlan().toString()
+        assert got.count() == 50 * 30 + 1 and "Union" not in plan
+    finally:
+        spark.conf.unset("gavel.skew.maxBroadcastRows")
+    got = split_join(big, small, "k", "id", lambda b, s: b["k"] == s["id"], hot=[1])
+    assert got.count() == 50 * 30 + 1

@@ -45,3 +45,19 @@ def test_rate_feed_matches_batch_generation(spark):
     want = generate_events(spark, n, cfg)
     assert _norm(flatten(got.drop("arrival", "time_ns")).toPandas()).equals(
         _norm(flatten(want.drop("arrival", "time_ns")).toPandas()))
+
+
+def test_json_lines_stream(spark):
+    """The JSON wire form as a streaming source (text lines -> events -> Q1)."""
+    from gavel.operators.basic import q1_currency
+    from gavel.sources.events import demux
+    from gavel.streaming.sources import timed_events, timed_tables
+    from stream_util import run_to_memory
+    ev = generate_events(spark, 2000, GeneratorConfig(base_time_ns=1_700_000_000 * 10**9))
+    folder = fresh("jsonl")
+    events_to_json(ev).coalesce(2).write.text(folder + "/in")
+    lines = spark.readStream.format("text").load(folder + "/in")
+    t = timed_tables(timed_events(events_from_json(lines)))
+    got = run_to_memory(q1_currency(t.bid), "json_q1")
+    want = q1_currency(demux(ev).bid)
+    assert _norm(got.toPandas()).equals(_norm(want.toPandas()))

@@ -61,3 +61,19 @@ def test_json_lines_stream(spark):
     got = run_to_memory(q1_currency(t.bid), "json_q1")
     want = q1_currency(demux(ev).bid)
     assert _norm(got.toPandas()).equals(_norm(want.toPandas()))
+
+
+def test_progress_samples(spark):
+    from gavel.operators.latency import latency_ccdf
+    from gavel.streaming.progress import progress_samples
+    stream = generated_event_stream(spark, rows_per_batch=100, cfg=GeneratorConfig(base_time_ns=10**18))
+    q = (stream.writeStream.format("noop").option("checkpointLocation", fresh("prog"))
+         .trigger(processingTime="100 milliseconds").start())
+    deadline = time.time() + 60
+    while time.time() < deadline and len(q.recentProgress) < 3:
+        time.sleep(0.2)
+    samples = progress_samples(spark, q)
+    q.stop()
+    rows = samples.collect()
+    assert len(rows) >= 3 and all(r.latency_ns >= 0 and r.t_ns > 0 for r in rows)
+    assert latency_ccdf(samples, sig_bits=3).count() >= 1

@@ -9,6 +9,7 @@ from gavel.functions.time import NS_PER_SECOND
 from gavel.operators.averages import q4_category_avg, q4_running_avg, q6_last_avg
 from gavel.operators.basic import q1_currency, q2_selection
 from gavel.operators.closing import closed_auctions
+from gavel.operators.diff import diff_by_time
 from gavel.operators.joins import q3_local_items, q8_as_written, q8_new_users
 from gavel.operators.windows import q5_hot_items, q7_highest_bid
 from gavel.schema import CLOSED
@@ -69,6 +70,8 @@ def test_window_streams(spark, feed):
     got = run_to_memory(S.q7_stream(t.bid, "1 second"), "s_q7").where(F.col("window_end_ns") < FAR)
     ok, n = same(got, q7_highest_bid(b.bid, "1 second"))
     assert ok and n[0] == 12, n
+    # the same check with the library's own stream-equality operator
+    assert diff_by_time(got, q7_highest_bid(b.bid, "1 second"), "window_end_ns").count() == 0
     t = stream_tables(spark, folder)
     got = run_to_memory(S.q5_stream(t.bid, "4 seconds", "1 second"), "s_q5").where(F.col("window_end_ns") < FAR)
     ok, n = same(got, q5_hot_items(b.bid, "4 seconds", "1 second"))

@@ -54,3 +54,30 @@ def test_q5_forms_agree(spark, bids, slices):
     x = sorted(tuple(r) for r in q5_hot_items(df, size, slide).collect())
     y = sorted(tuple(r) for r in q5_hot_items_panes(df, size, slide).collect())
     assert x == y and len(x) >= 1
+
+
+auction_st = st.lists(st.tuples(st.integers(0, 20), st.integers(1, 20), st.integers(0, 50)),  # start, length, reserve
+                      min_size=1, max_size=6)
+bid_st = st.lists(st.tuples(st.integers(0, 7), st.integers(0, 3), st.integers(0, 60), st.integers(0, 45)),
+                  max_size=60)  # auction (may not exist), bidder, price, time
+
+
+@SETTINGS
+@given(auctions=auction_st, bids=bid_st, hot_mask=st.integers(0, 255))
+def test_closed_auctions_property(spark, auctions, bids, hot_mask):
+    from gavel.operators.closing import closed_auctions
+    from helpers import auctions as mk_auctions, bids as mk_bids
+    arows = [dict(id=i, t=s, exp=s + n, reserve=r, seller=100 + i, category=10 + i % 5)
+             for i, (s, n, r) in enumerate(auctions)]
+    want = {}
+    for a in arows:
+        valid = [(p, -t, -b, b, t) for (au, b, p, t) in bids
+                 if au == a["id"] and p >= a["reserve"] and a["t"] <= t < a["exp"]]
+        if valid:
+            best = max(valid)
+            want[a["id"]] = (a["category"], a["seller"], a["exp"], best[3], best[0], best[4])
+    hot = [i for i in range(8) if hot_mask >> i & 1]
+    for h in ([], hot):
+        got = closed_auctions(mk_auctions(spark, arows), mk_bids(spark, bids), hot=h).collect()
+        assert {r.auction: (r.category, r.seller, r.expires_ns, r.bidder, r.price, r.bid_time_ns)
+                for r in got} == want

@@ -12,7 +12,8 @@ large share of the data. Instead:
 2. one small summary row per partition: its first and last key, and for the
    last key its sum, count and last k-1 values;
 3. the driver chains those P summaries (P = number of partitions, not rows)
-   into the carry each partition needs for its first key;
+   into the carry each partition needs for its first key, and broadcasts
+   them (one copy per executor);
 4. one vectorised pass per partition (pandas inside `mapInPandas`) adds the
    carry and computes the frame sum and count with exact int64 arithmetic.
 
@@ -171,6 +172,8 @@ def running_frame(df: DataFrame, keys: list[str], order: list[str], value: str,
     out_schema = T.StructType(list(schema.fields) + [T.StructField("frame_sum", T.LongType()),
                                                      T.StructField("frame_count", T.LongType())])
     cols = [f.name for f in schema.fields]
+    # P carries (each at most k-1 values): one copy per executor, not per task.
+    carries_bc = df.sparkSession.sparkContext.broadcast(carries)
 
     def apply(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         carry = None
@@ -178,7 +181,7 @@ def running_frame(df: DataFrame, keys: list[str], order: list[str], value: str,
             if not len(pdf):
                 continue
             if carry is None:
-                c = carries.get(int(pdf["_pid"].iloc[0]))
+                c = carries_bc.value.get(int(pdf["_pid"].iloc[0]))
                 carry = c if c is not None else (None, 0, 0, [])
             sums, cnts, carry = _frame_batch(pdf, keys, value, last_k, *carry)
             out = pdf[cols].copy()

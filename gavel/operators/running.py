@@ -124,28 +124,39 @@ def running_frame(df: DataFrame, keys: list[str], order: list[str], value: str,
            T.StructField("cnt", T.LongType()), T.StructField("tail", T.ArrayType(T.LongType()))])
 
     def summarize(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        first, carry, one_key, pid = None, None, True, None
+        # One pass: only the last key's segment of each batch feeds the carry.
+        first, last_key, one_key, pid = None, None, True, None
+        total, count, tail = 0, 0, []
+        keep = (last_k - 1) if last_k else 0
         for pdf in batches:
             if not len(pdf):
                 continue
             pid = int(pdf["_pid"].iloc[0])
+            starts = np.nonzero(_key_change(pdf, keys))[0]
             batch_first = tuple(pdf[c].iloc[0] for c in keys)
+            batch_last = tuple(pdf[c].iloc[-1] for c in keys)
             if first is None:
                 first = batch_first
-            elif batch_first != first:
+            if len(starts) > 1 or batch_first != first:
                 one_key = False
-            if _key_change(pdf, keys)[1:].any():
-                one_key = False
-            ck, cs_, cc, ct = carry if carry else (None, 0, 0, [])
-            _, _, carry = _frame_batch(pdf, keys, value, last_k, ck, cs_, cc, ct)
+            seg = pdf[value].to_numpy(dtype=np.int64)[starts[-1]:]
+            if starts[-1] == 0 and last_key == batch_first:  # the batch continues the last key
+                total, count = total + int(seg.sum()), count + len(seg)
+                tail = (tail + seg.tolist())[-keep:] if keep else []
+            else:
+                total, count = int(seg.sum()), len(seg)
+                tail = seg[-keep:].tolist() if keep else []
+            last_key = batch_last
         if first is None:
             return
         row = {"pid": pid}
         for i, v in enumerate(first):
             row[f"first_{i}"] = v
-        for i, v in enumerate(carry[0]):
+        for i, v in enumerate(last_key):
             row[f"last_{i}"] = v
-        row.update(one_key=one_key, sum=carry[1], cnt=carry[2], tail=carry[3])
+        # bounded frames carry only the tail; sums are recomputed from it
+        row.update(one_key=one_key, sum=total if last_k is None else 0,
+                   cnt=count if last_k is None else 0, tail=tail)
         yield pd.DataFrame([row])
 
     summaries = (ranged.withColumn("_pid", F.spark_partition_id())

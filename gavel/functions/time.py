@@ -14,7 +14,9 @@ NS_PER_HOUR = 60 * NS_PER_MINUTE
 NS_PER_DAY = 24 * NS_PER_HOUR
 
 _UNITS = {
-    "ns": 1, "us": NS_PER_US, "ms": 1_000_000, "s": NS_PER_SECOND,
+    "ns": 1, "nanosecond": 1, "nanoseconds": 1,
+    "us": NS_PER_US, "microsecond": NS_PER_US, "microseconds": NS_PER_US,
+    "ms": 1_000_000, "millisecond": 1_000_000, "milliseconds": 1_000_000, "s": NS_PER_SECOND,
     "second": NS_PER_SECOND, "seconds": NS_PER_SECOND,
     "m": NS_PER_MINUTE, "min": NS_PER_MINUTE, "minute": NS_PER_MINUTE, "minutes": NS_PER_MINUTE,
     "h": NS_PER_HOUR, "hour": NS_PER_HOUR, "hours": NS_PER_HOUR,

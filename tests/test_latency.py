@@ -30,3 +30,17 @@ def test_ccdf_and_timeline_small(spark):
     assert len(tl) == 1
     r = tl[0]
     assert (r.p25, r.p50, r.p75, r.p95, r.p99, r.p999, r.max, r.samples) == (200, 200, 300, 1000, 1000, 1000, 1000, 5)
+
+
+def test_duration_units():
+    from gavel.functions.time import duration_ns
+    assert duration_ns("250 milliseconds") == 250_000_000
+    assert duration_ns("10 microseconds") == 10_000
+    assert duration_ns("12h") == 12 * 3600 * 10**9
+    assert duration_ns("1 day") == 86_400 * 10**9
+    assert duration_ns(7) == 7
+
+
+def test_timeline_default_slot(spark):
+    df = spark.createDataFrame([(t * 100_000_000, 5) for t in range(10)], "t_ns long, latency_ns long")
+    assert latency_timeline(df, width=1).count() == 4  # 250 ms slots over one second

@@ -77,3 +77,15 @@ def test_progress_samples(spark):
     rows = samples.collect()
     assert len(rows) >= 3 and all(r.latency_ns >= 0 and r.t_ns > 0 for r in rows)
     assert latency_ccdf(samples, sig_bits=3).count() >= 1
+
+
+def test_run_named_writes_reports(spark):
+    from gavel.streaming.run import run_named
+    out = fresh("runs")
+    ccdf, timeline = run_named(spark, "q3_mem", rate=20_000, duration="4 seconds", out_dir=out,
+                               trigger="500 milliseconds")
+    lines = [r.value for r in spark.read.text(f"{out}/q3_mem/latency_ccdf").collect()]
+    assert lines and all(x.startswith("latency_ccdf\t") for x in lines)
+    assert max(float(x.split("\t")[2]) for x in lines) == 1.0
+    tl = [r.value for r in spark.read.text(f"{out}/q3_mem/summary_timeline").collect()]
+    assert tl and all(x.startswith("summary_timeline\t") for x in tl)

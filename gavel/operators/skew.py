@@ -1,20 +1,24 @@
-"""Hot-key split for joins whose probe side may be heavily skewed.
+"""Hot-key salting for joins whose probe side may be heavily skewed.
 
 A key (hot auction, hot seller) may hold a large share of one side's rows. A
 plain shuffle join sends all of them to one task. Here a sample finds keys
-above `hot_rows`; their rows join a broadcast copy of the matching build rows
-map-side (no shuffle of the hot rows at all), and all other rows take the
-ordinary shuffle join. The hot set only steers the plan: any set, empty or
-not, gives the same rows, so the sample never changes results.
-
-Broadcast bound: the build side is unique on its key (person.id, auction.id),
-so the broadcast side has at most `max_keys` rows. The rows are counted
-before the broadcast all the same; above `gavel.skew.maxBroadcastRows` the
-split is skipped and the plain join (with AQE skew splitting) runs instead.
+above `hot_rows` and estimates their size; each hot key gets a salt count in
+proportion (about `hot_rows` rows per salt). Probe rows of a hot key take a
+salt from a hash of the row, the build rows of that key are copied once per
+salt, and the join runs on (key, salt). The big side is read once and
+shuffled once, as in the plain join; only the hot keys' build rows grow, by
+at most sum(salts) <= rows / hot_rows copies in total.
+
+The hot set only steers the plan: any set, empty or not, gives the same rows,
+so the sample never changes results. The salt table (key, salts) has at most
+`max_keys` rows and is the only broadcast. The build rows of hot keys are
+counted first; above `gavel.skew.maxHotBuildRows` (a build side that is not
+unique on the key) the plain join runs instead, with AQE skew splitting.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
@@ -23,11 +27,14 @@ from pyspark.sql import functions as F
 DEFAULT_HOT_ROWS = 2_000_000
 DEFAULT_FRACTION = 0.01
 DEFAULT_MAX_KEYS = 10_000
-DEFAULT_MAX_BROADCAST_ROWS = 1_000_000
+DEFAULT_MAX_HOT_BUILD_ROWS = 1_000_000
+DEFAULT_MIN_SALTS = 8
+DEFAULT_MAX_SALTS = 100_000
 
-# Hot sets by (input plan, key, settings). A stale entry is harmless: any hot
-# set gives the same rows, only the plan shape differs.
+# Hot sets by (input plan, key, settings), with estimated row counts. A stale
+# entry is harmless: any hot set gives the same rows, only the plan differs.
 _HOT_CACHE: dict[tuple, list] = {}
+_ESTIMATES: dict = {}
 
 
 def _conf(df: DataFrame, name: str, default):
@@ -58,31 +65,53 @@ def hot_keys(df: DataFrame, key: str, hot_rows: int | None = None,
                .groupBy("k").count()
                .where(F.col("count") >= need)
                .orderBy(F.col("count").desc(), F.col("k"))
-               .limit(max_keys))  # bounded: a top-k of hot keys, the rest stay exact on the cold path
-    found = [r["k"] for r in sampled.collect()]
+               .limit(max_keys))  # bounded: a top-k of hot keys, the rest stay exact on the plain path
+    rows = sampled.collect()
+    found = [r["k"] for r in rows]
+    for r in rows:
+        _ESTIMATES[(key, r["k"])] = int(r["count"] / fraction)
     if len(_HOT_CACHE) > 256:
         _HOT_CACHE.clear()
     _HOT_CACHE[cache_key] = found
     return found
 
 
+def salt_counts(df: DataFrame, key: str, hot: list) -> list[tuple]:
+    """(key, salts) per hot key: about `hotRows` estimated rows per salt."""
+    hot_rows = max(1, _conf(df, "hotRows", DEFAULT_HOT_ROWS))
+    lo = _conf(df, "minSalts", DEFAULT_MIN_SALTS)
+    hi = _conf(df, "maxSalts", DEFAULT_MAX_SALTS)
+    out = []
+    for k in hot:
+        est = _ESTIMATES.get((key, k), 0)
+        out.append((k, int(min(hi, max(lo, math.ceil(est / hot_rows))))))
+    return out
+
+
 def split_join(big: DataFrame, small: DataFrame, big_key: str, small_key: str,
                condition: Callable[[DataFrame, DataFrame], Column], hot: list,
                finish: Callable[[DataFrame], DataFrame] = lambda d: d) -> DataFrame:
-    """Inner join `big` with `small` (unique on `small_key`), hot keys map-side.
+    """Inner join `big` with `small` (unique on `small_key`), hot keys salted.
 
-    `condition(b, s)` builds the full join condition including the equi key.
-    `finish` runs on each branch before the union (e.g. a per-key aggregate);
-    branches hold disjoint keys, so per-branch results simply union.
+    `condition(b, s)` builds the full join condition including the equi key;
+    `finish` runs on the joined rows (e.g. a per-key aggregate).
     """
     if not hot:
         return finish(big.join(small, condition(big, small), "inner"))
-    in_hot_b = F.col(big_key).isin(hot)
-    in_hot_s = F.col(small_key).isin(hot)
-    hot_small = small.where(in_hot_s)
-    if hot_small.count() > _conf(small, "maxBroadcastRows", DEFAULT_MAX_BROADCAST_ROWS):
+    if small.where(F.col(small_key).isin(hot)).count() > _conf(small, "maxHotBuildRows",
+                                                              DEFAULT_MAX_HOT_BUILD_ROWS):
         return finish(big.join(small, condition(big, small), "inner"))
-    hot_big, cold_big = big.where(in_hot_b), big.where(~in_hot_b)
-    hot_part = finish(hot_big.join(F.broadcast(hot_small), condition(hot_big, hot_small), "inner"))
-    cold_part = finish(cold_big.join(small, condition(cold_big, small), "inner"))
-    return hot_part.unionByName(cold_part)
+    spark = big.sparkSession
+    key_type = big.schema[big_key].dataType.simpleString()
+    salts = F.broadcast(spark.createDataFrame(salt_counts(big, big_key, hot),
+                                              f"_hk {key_type}, _ns int"))  # <= max_keys rows
+    b = (big.join(salts, big[big_key] == salts["_hk"], "left")
+         .withColumn("_salt", F.when(F.col("_ns").isNull(), F.lit(0))
+                     .otherwise(F.pmod(F.xxhash64(*[F.col(c) for c in big.columns]), F.col("_ns")).cast("int")))
+         .drop("_hk", "_ns"))
+    s = (small.join(salts, small[small_key] == salts["_hk"], "left")
+         .withColumn("_salt", F.explode(F.when(F.col("_ns").isNull(), F.array(F.lit(0)))
+                                        .otherwise(F.sequence(F.lit(0), F.col("_ns") - 1))))
+         .drop("_hk", "_ns"))
+    joined = b.join(s, condition(b, s) & (b["_salt"] == s["_salt"]), "inner")
+    return finish(joined.drop(b["_salt"]).drop(s["_salt"]))

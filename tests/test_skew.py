@@ -1,4 +1,4 @@
-"""The hot-key split gives the same rows as the plain join, with any hot set."""
+"""Hot-key salting gives the same rows as the plain join, with any hot set."""
 
 from conftest import SF_SMALL
 from oracle_util import _norm
@@ -35,12 +35,13 @@ def test_broadcast_side_is_checked(spark):
     from gavel.operators.skew import split_join
     big = spark.createDataFrame([(1, i) for i in range(50)] + [(2, 0)], "k long, v long")
     small = spark.createDataFrame([(1, j) for j in range(30)] + [(2, 9)], "id long, w long")
-    spark.conf.set("gavel.skew.maxBroadcastRows", "10")
+    spark.conf.set("gavel.skew.maxHotBuildRows", "10")
     try:
         got = split_join(big, small, "k", "id", lambda b, s: b["k"] == s["id"], hot=[1])
         plan = got._jdf.queryExecution().executedPlan().toString()
-        assert got.count() == 50 * 30 + 1 and "Union" not in plan
+        assert got.count() == 50 * 30 + 1 and "_salt" not in plan
     finally:
-        spark.conf.unset("gavel.skew.maxBroadcastRows")
+        spark.conf.unset("gavel.skew.maxHotBuildRows")
     got = split_join(big, small, "k", "id", lambda b, s: b["k"] == s["id"], hot=[1])
     assert got.count() == 50 * 30 + 1
+    assert "_salt" in got._jdf.queryExecution().executedPlan().toString()

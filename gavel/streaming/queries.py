@@ -124,12 +124,13 @@ def closed_auctions_stream_bounded(events: DataFrame, max_length: str | int,
       event-time range (close_time - bound <= bid time < close_time) lets
       Spark evict auctions after they close and bids once no auction can
       still start before them;
-    * an append-mode arg-max grouped by (auction, close_time). Spark's global
-      watermark is the minimum of both, so a group is emitted only after
-      every bid older than the expiry has arrived.
+    * an append-mode arg-max grouped by (auction, 1 ms window of close_time).
+      Spark's global watermark is the minimum of both, so a group is emitted
+      only after every bid older than the expiry has arrived.
 
     `events` is the tagged event stream *without* a watermark. The result
-    carries `event_time` (the close time) for later stateful operators.
+    carries `event_time` (window_time of the close window) for later
+    stateful operators.
     """
     from gavel.functions.time import event_time
     bound_us = duration_ns(max_length) // 1000 + 1000
@@ -149,10 +150,14 @@ def closed_auctions_stream_bounded(events: DataFrame, max_length: str | int,
     order = F.struct(F.col("price"), -F.col("b_t"), -F.col("bidder"))
     won = F.max_by(F.struct("category", "seller", "expires_ns", "bidder", "price",
                             F.col("b_t").alias("bid_time_ns")), order)
-    return (b.join(a, cond, "inner").groupBy(F.col("a_id").alias("auction"), "close_time")
+    # Grouping on a (1 ms) time window of close_time, with window_time as the
+    # output time, is what lets a later stateful operator in the same query
+    # take these rows without treating them as late.
+    return (b.join(a, cond, "inner")
+            .groupBy(F.col("a_id").alias("auction"), F.window("close_time", "1 millisecond").alias("cw"))
             .agg(won.alias("w"))
             .select("auction", "w.category", "w.seller", "w.expires_ns", "w.bidder", "w.price",
-                    "w.bid_time_ns", F.col("close_time").alias("event_time")))
+                    "w.bid_time_ns", F.window_time("cw").alias("event_time")))
 
 
 def q4_category_avg_stream(closed: DataFrame) -> DataFrame:

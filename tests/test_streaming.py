@@ -106,6 +106,18 @@ def test_bounded_builtin_closing_equals_batch(spark, feed):
     assert ok and n[0] > 100, n
 
 
+def test_bounded_closing_chains_into_running_mean(spark, feed):
+    from gavel.sources.generator import max_auction_length_ns
+    events, folder = feed
+    b = demux(events)
+    closed = S.closed_auctions_stream_bounded(event_file_stream(spark, folder, 1), max_auction_length_ns(CFG))
+    # no filter on the sentinel here: Catalyst would push it below the watermark
+    # (the sentinel auction never closes: its reserve is out of reach)
+    got = run_to_memory(S.q4_running_stream(closed), "s_b_q4r")
+    ok, n = same(got, q4_running_avg(closed_auctions(b.auction, b.bid)))
+    assert ok and n[0] > 100, n
+
+
 def test_closing_with_disorder(spark):
     cfg = GeneratorConfig(out_of_order_group_size=10, base_time_ns=BASE)
     events = generate_events(spark, N, cfg)

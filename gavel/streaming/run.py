@@ -26,12 +26,15 @@ from gavel.streaming.sources import ROCKSDB, generated_event_stream, use_rocksdb
 
 
 def run_named(spark: SparkSession, name: str, rate: int, duration: str | int, out_dir: str,
-              trigger: str = "1 second", sig_bits: int = 4,
-              timeline_slot: str = "1 second") -> tuple[DataFrame, DataFrame]:
+              trigger: str = "1 second", sig_bits: int = 4, timeline_slot: str = "1 second",
+              min_batches: int = 1, grace: str | int = "120 seconds") -> tuple[DataFrame, DataFrame]:
     """Run `name` for `duration` at `rate` events/s; return (ccdf, timeline).
 
-    Both reports are also written under `out_dir` (shared storage on a
-    cluster); the query checkpoints under the session's checkpoint folder.
+    The run lasts at least `duration` and until `min_batches` micro-batches
+    have completed (start-up can outlast a short run), but at most
+    `duration + grace`. Both reports are also written under `out_dir` (shared
+    storage on a cluster); the query checkpoints under the session's
+    checkpoint folder.
     """
     trigger_ns = duration_ns(trigger)
     per_batch = max(1, rate * trigger_ns // NS_PER_SECOND)
@@ -47,8 +50,13 @@ def run_named(spark: SparkSession, name: str, rate: int, duration: str | int, ou
     q = (df.writeStream.format("noop").queryName(f"run_{name}_{uuid.uuid4().hex[:8]}")
          .option("checkpointLocation", ckpt).trigger(processingTime=f"{trigger_ns // 1_000_000} milliseconds")
          .start())
-    deadline = time.monotonic() + duration_ns(duration) / NS_PER_SECOND
-    while time.monotonic() < deadline and q.isActive:
+    started = time.monotonic()
+    run_s = duration_ns(duration) / NS_PER_SECOND
+    limit_s = run_s + duration_ns(grace) / NS_PER_SECOND
+    while q.isActive:
+        elapsed = time.monotonic() - started
+        if elapsed >= limit_s or (elapsed >= run_s and len(q.recentProgress) >= min_batches):
+            break
         time.sleep(0.2)
     samples = progress_samples(spark, q)
     q.stop()

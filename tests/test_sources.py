@@ -83,7 +83,7 @@ def test_run_named_writes_reports(spark):
     from gavel.streaming.run import run_named
     out = fresh("runs")
     ccdf, timeline = run_named(spark, "q3_mem", rate=20_000, duration="4 seconds", out_dir=out,
-                               trigger="500 milliseconds")
+                               trigger="500 milliseconds", min_batches=2)
     lines = [r.value for r in spark.read.text(f"{out}/q3_mem/latency_ccdf").collect()]
     assert lines and all(x.startswith("latency_ccdf\t") for x in lines)
     assert max(float(x.split("\t")[2]) for x in lines) == 1.0

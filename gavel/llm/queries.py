@@ -1,11 +1,17 @@
 """Registered queries of the training-data operators, each over its whole table with production parameters."""
 
+from gavel.llm.bpe import op5_bpe
 from gavel.llm.decontaminate import op4_decontaminate
+from gavel.llm.quality import op10_quality
+from gavel.llm.secrets import op2_secrets
 from gavel.llm.simhash import op8_simhash
 
 QUERIES = {
+    "op2_secrets": op2_secrets,
     "op4_decontaminate": op4_decontaminate,
+    "op5_bpe": op5_bpe,
     "op8_simhash": op8_simhash,
+    "op10_quality": op10_quality,
 }
 
 ORACLE_SQL: dict[str, str] = {}

@@ -91,6 +91,20 @@ def span_hashes(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nda
     return mix((total[ends] - total[starts]) * down[starts] + (ends - starts).astype(np.uint64) * np.uint64(0xA24BAED4963EE407))
 
 
+def prefixes(rows: np.ndarray) -> np.ndarray:
+    """Running sums of equally long byte rows, from which ``stretch_hash`` takes the hash of any stretch."""
+    up, _ = _powers(rows.shape[1] + 1)
+    out = np.zeros((rows.shape[1] + 1, len(rows)), np.uint64)
+    np.cumsum(_VALUE[rows.T] * up[:-1, None], axis=0, out=out[1:])
+    return out
+
+
+def stretch_hash(total: np.ndarray, start: int, size: int) -> np.ndarray:
+    """``span_hashes`` of the stretch of ``size`` bytes from ``start`` of every row."""
+    _, down = _powers(start + 1)
+    return mix((total[start + size] - total[start]) * down[start] + np.uint64(size * 0xA24BAED4963EE407 & 0xFFFFFFFFFFFFFFFF))
+
+
 def per_text(flags: np.ndarray, offs: np.ndarray) -> np.ndarray:
     """Sum of ``flags`` over each text's stretch given by ``offs``."""
     total = np.zeros(len(flags) + 1, np.int64)

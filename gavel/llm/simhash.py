@@ -235,8 +235,7 @@ def links(distinct: DataFrame, bits: int = MAX_BITS, split_rows: int = SPLIT_ROW
 def components(edges: DataFrame) -> DataFrame:
     """(node, root): the smallest node reachable over the edges (u, v), by large-star and small-star rounds."""
     edges = saved(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
-    before = None
-    while True:
+    while _tangled(edges):
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
@@ -244,40 +243,52 @@ def components(edges: DataFrame) -> DataFrame:
         small = large.join(least, "u")
         edges = saved(small.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v")))
                       .where("u <> v").distinct())
-        now = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)"))).first()
-        if now == before:
-            return edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
-        before = now
+    return edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
 
 
-def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = SHINGLE_WORDS,
-                    bits: int = MAX_BITS, split_rows: int = SPLIT_ROWS) -> DataFrame:
-    """One row per document: key, ``fp`` and ``component_id``, the smallest key reachable over links."""
-    prints = saved(fingerprints(docs, key, text, words))
+def _tangled(edges: DataFrame) -> bool:
+    """Whether some node has two smaller neighbours, or a smaller and a larger one: no plain stars yet."""
+    ends = edges.select(F.col("u").alias("node"), F.lit(1).alias("low"), F.lit(0).alias("high")).unionByName(
+        edges.select(F.col("v").alias("node"), F.lit(0).alias("low"), F.lit(1).alias("high")))
+    ends = ends.groupBy("node").agg(F.sum("low").alias("low"), F.max("high").alias("high"))
+    return bool(ends.where("low > 1 or low + high > 1").head(1))
+
+
+def named_components(prints: DataFrame, key: str, bits: int = MAX_BITS, split_rows: int = SPLIT_ROWS) -> DataFrame:
+    """(fp, root, component_id) of every different fingerprint: the smallest fingerprint and key reachable over links."""
     distinct = saved(prints.groupBy("fp").agg(F.min(key).alias("least")))
     rooted = distinct.join(components(links(distinct, bits, split_rows)), F.col("fp") == F.col("node"), "left")
     rooted = rooted.select("fp", "least", F.coalesce("root", "fp").alias("root"))
     least = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = saved(rooted.join(least, "root").select("fp", "component_id"))
-    return prints.join(named, "fp").select(key, "fp", "component_id")
+    return saved(rooted.join(least, "root").select("fp", "root", "component_id"))
 
 
-def keep_first(docs: DataFrame, key: str = "doc_id", text: str = "text", **how) -> DataFrame:
-    """One document of each component, the one with the smallest id. Of rows that share that id the first by all
-    columns stays. Rows without an id stay only where no row of their component has one, and then one of them."""
+def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = SHINGLE_WORDS,
+                    bits: int = MAX_BITS, split_rows: int = SPLIT_ROWS) -> DataFrame:
+    """One row per document: key, ``fp`` and ``component_id``, the smallest key reachable over links."""
+    prints = saved(fingerprints(docs, key, text, words))
+    return prints.join(named_components(prints, key, bits, split_rows), "fp").select(key, "fp", "component_id")
+
+
+def keep_first(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = SHINGLE_WORDS,
+               bits: int = MAX_BITS, split_rows: int = SPLIT_ROWS) -> DataFrame:
+    """One document of each component, the one with the smallest id; of a component's rows that share this id, or of
+    one without any id, the first by all columns."""
     order = docs.columns
-    found = saved(near_duplicates(docs, key, text, **how))
-    first = saved(found.where(F.col(key) == F.col("component_id")).groupBy(key).agg(F.count("*").alias("n")))
-    kept = docs.join(first.where("n = 1").select(key), key, "left_semi").select(order)
-    if first.where("n > 1").head(1):
-        again = docs.join(first.where("n > 1").select(key), key, "left_semi")
-        kept = kept.unionByName(again.groupBy(key).agg(F.min(F.struct(*order)).alias("x")).select("x.*"))
-    free = found.where(F.col("component_id").isNull()).select("fp").distinct()
-    if free.head(1):
-        rows = docs.where(F.col(key).isNull()).withColumn("__row", F.xxhash64(*order))
-        groups = near_duplicates(rows, "__row", text, **how).join(free, "fp", "left_semi")
-        ones = rows.join(groups.select(F.col("component_id").alias("__row")).distinct(), "__row", "left_semi")
-        kept = kept.unionByName(ones.groupBy("__row").agg(F.min(F.struct(*order)).alias("x")).select("x.*"))
+    prints = saved(fingerprints(docs, key, text, words))
+    named = named_components(prints, key, bits, split_rows)
+    first = prints.join(named, "fp").where(F.col(key).eqNullSafe(F.col("component_id"))).groupBy(key).agg(F.count("*").alias("n"))
+    first = saved(first)
+    # Most documents stay, so the ids to keep grow with the documents: a shuffle join at every size.
+    kept = docs.join(first.where("n = 1").select(key).hint("merge"), key, "left_semi").select(order)
+    shared = first.where(F.col(key).isNull() | (F.col("n") > 1)).select(F.col(key).alias("__key"))
+    if shared.head(1):
+        # Ids that several rows share, and rows without one: told apart by their components.
+        rows = docs.join(shared, F.col(key).eqNullSafe(F.col("__key")), "left_semi").withColumn("__row", F.xxhash64(*order))
+        own = fingerprints(rows, "__row", text, words).distinct().join(named, "fp").select("__row", "root", F.col("component_id").alias("__id"))
+        rows = rows.join(own, "__row").where(F.col(key).eqNullSafe(F.col("__id")))
+        one = rows.groupBy(F.col(key).alias("__key"), "root").agg(F.min(F.struct(*order)).alias("__first"))
+        kept = kept.unionByName(one.select("__first.*"))
     return kept
 
 

@@ -21,7 +21,7 @@ import re
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gavel.llm.common import saved, table
+from gavel.llm.common import literal_rows, saved, table
 
 # Public notices.
 TEMPLATES = [
@@ -83,8 +83,8 @@ def notices(files: DataFrame, text: str = "text", templates=TEMPLATES, bar: floa
     spark = files.sparkSession
     known = model(files, text, templates, bar)
     rare = rf"(?i)(?<![a-z0-9])(?:{'|'.join(known['anchors'])})(?![a-z0-9])"
-    idf = spark.createDataFrame(known["idf"], "term string, idf double")
-    vectors = spark.createDataFrame(known["vectors"], "number int, license string, term string, weight double")
+    idf = literal_rows(spark, known["idf"], "term string, idf double")
+    vectors = literal_rows(spark, known["vectors"], "number int, license string, term string, weight double")
     parts = files.where(F.col(text).rlike(rare)).select(
         "path", F.monotonically_increasing_id().alias("row"), F.size(words(F.col(text))).alias("n_words"), F.posexplode(F.split(text, SENTENCE)).alias("pos", "part"))
     parts = saved(parts.where(F.col("part").rlike(rare)))  # from here on a row's number is fixed
@@ -134,4 +134,4 @@ def op3_licenses(spark, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     part = [F.coalesce(F.col(c).cast("string"), F.lit("-")) for c in ("source", "lang", "doc_id")]
     paths = scan(docs.select(F.concat(F.lit("/"), F.concat_ws("/", *part)).alias("path"), "text"))
-    return paths.withColumn("doc_id", F.element_at(F.split("path", "/"), -1).cast("long"))
+    return paths.withColumn("doc_id", F.element_at(F.split("path", "/"), -1).try_cast("long"))

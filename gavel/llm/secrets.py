@@ -178,3 +178,37 @@ def op2_secrets(spark, sf_dir: str) -> DataFrame:
     def count(kind):
         return F.size(F.filter(base, lambda x: x["kind"] == KINDS.index(kind))).cast("long").alias(f"n_{kind}")
     return found.select("doc_id", *map(count, KINDS[:3]), F.sha2(listed(base), 256).alias("base_sha256"), listed(every).alias("spans"))
+
+
+def _oracle_sql() -> str:
+    """The query in DuckDB SQL: the same patterns, places by lengths, entropy by counting every window afresh."""
+    patterns = [ASSIGN, ACCESS, HEX, CANDIDATE]
+    q = lambda x: "'" + x.replace("'", "''") + "'"
+    found = " UNION ALL ".join(f"SELECT doc_id, {kind} AS kind, string_split_regex(body, {q(p)}) AS gaps, regexp_extract_all(body, {q(p)}, 0) AS hits FROM t"
+                               for kind, p in enumerate(patterns))
+    allowed = " OR ".join(f"regexp_matches(word, {q(p)})" for p in ALLOW)
+    bars = " ".join(f"WHEN regexp_matches(word, {q(members)}) THEN {bar}" for _, members, _, bar in CLASSES)
+    names = "[" + ", ".join(map(q, KINDS)) + "]"
+    line = f"string_agg(({names})[kind + 1] || ':' || pos || ':' || (pos + length(word)), ',' ORDER BY pos, kind)"
+    counts = ", ".join(f"count(*) FILTER (kind = {k}) AS n_{name}" for k, name in enumerate(KINDS[:3]))
+    return f"""
+WITH t AS (SELECT doc_id, coalesce(text, '') AS body FROM documents),
+f AS ({found}),
+u AS (SELECT doc_id, kind, gaps, hits, unnest(range(1, len(hits) + 1)) AS i FROM f WHERE len(hits) > 0),
+s AS (SELECT doc_id, kind, hits[i] AS word, right(gaps[i], 12) AS before,
+        CAST(coalesce(list_sum(list_transform(gaps[1:i], lambda x: length(x))), 0)
+           + coalesce(list_sum(list_transform(hits[1:i - 1], lambda x: length(x))), 0) AS BIGINT) AS pos FROM u),
+base AS (SELECT * FROM s WHERE kind IN (1, 2) OR kind = 0 AND length(regexp_extract(word, {q(ASSIGN)}, 2)) >= {ASSIGN_CHARS}),
+more AS (SELECT * FROM s WHERE kind = 3 AND NOT ({allowed}) AND NOT regexp_matches(before, {q(ALLOW_BEFORE)})
+  AND list_max(list_transform(range(1, length(word) - {WINDOW} + 2), lambda i: list_aggregate(string_split(substr(word, i, {WINDOW}), ''), 'entropy')))
+      >= CASE {bars} END
+  AND NOT EXISTS (SELECT 1 FROM base b WHERE b.doc_id = s.doc_id AND b.pos <= s.pos AND b.pos + length(b.word) >= s.pos + length(s.word))),
+b AS (SELECT doc_id, {counts}, {line} AS spans FROM base GROUP BY doc_id),
+e AS (SELECT doc_id, {line} AS spans FROM (SELECT * FROM base UNION ALL SELECT * FROM more) GROUP BY doc_id)
+SELECT t.doc_id, {", ".join(f"coalesce(n_{k}, 0) AS n_{k}" for k in KINDS[:3])},
+  sha256(coalesce(b.spans, '')) AS base_sha256, coalesce(e.spans, '') AS spans
+FROM t LEFT JOIN b USING (doc_id) LEFT JOIN e USING (doc_id)
+"""
+
+
+ORACLE_SQL = _oracle_sql()

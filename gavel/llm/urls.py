@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gavel.llm.common import saved, table
+from gavel.llm.common import literal_rows, saved, table
 
 TOKEN = "[a-z0-9]+"
 #: The site rules (host, path) with their verdicts.
@@ -73,7 +73,7 @@ def judge(pages: DataFrame, rules: DataFrame, url: str = "url", default: str = "
 
 
 def default_rules(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(rule_rows(), RULE_SCHEMA)
+    return literal_rows(spark, rule_rows(), RULE_SCHEMA)
 
 
 def op9_urls(spark, sf_dir: str) -> DataFrame:

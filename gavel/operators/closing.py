@@ -8,9 +8,9 @@ their auction count like any other).
 
 Plan: bid JOIN auction on the auction id with the validity test as a residual
 condition, then an arg-max per auction. The join leaves rows clustered by
-auction, so the aggregate adds no shuffle on the cold path; on the hot path
-(hot auctions, broadcast join) partial aggregation shrinks each hot auction to
-one row per task before the only shuffle.
+auction, so the arg-max runs in the join's stage. Where one auction holds a
+large share of all bids, AQE splits that partition of the join
+(`forceOptimizeSkewedJoin`), and the arg-max shuffles its partial results.
 """
 
 from __future__ import annotations
@@ -18,8 +18,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gavel.operators.skew import hot_keys, split_join
-
 CLOSED_COLS = ["auction", "category", "seller", "expires_ns", "bidder", "price", "bid_time_ns"]
 
 
@@ -40,9 +38,8 @@ def _winner(joined: DataFrame) -> DataFrame:
             .select("auction", "w.*"))
 
 
-def closed_auctions(auction: DataFrame, bid: DataFrame, hot: list | None = None) -> DataFrame:
+def closed_auctions(auction: DataFrame, bid: DataFrame) -> DataFrame:
     a = auction.select(F.col("id").alias("a_id"), "reserve", F.col("date_time_ns").alias("a_t"),
                        "expires_ns", "seller", "category")
     b = bid.select("auction", "bidder", "price", F.col("date_time_ns").alias("b_t"))
-    hot = hot_keys(b, "auction") if hot is None else hot
-    return split_join(b, a, "auction", "a_id", valid_bid, hot, finish=_winner).select(*CLOSED_COLS)
+    return _winner(b.join(a, valid_bid(b, a))).select(*CLOSED_COLS)

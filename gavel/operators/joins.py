@@ -6,7 +6,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gavel.functions.time import duration_ns
-from gavel.operators.skew import hot_keys, split_join
 
 # Fixed values of Q3.
 Q3_CATEGORY = 10
@@ -15,36 +14,29 @@ Q8_WINDOW = "12 hours"
 
 
 def q3_local_items(auction: DataFrame, person: DataFrame, category: int = Q3_CATEGORY,
-                   states: list[str] = Q3_STATES, hot: list | None = None) -> DataFrame:
+                   states: list[str] = Q3_STATES) -> DataFrame:
     """Q3: (name, city, state, auction_id) of category-10 auctions by sellers in OR/ID/CA.
 
     Both filters run before the join (pushed to the scans), then an inner
-    equi-join seller = id. Hot sellers join map-side (operators.skew).
+    equi-join seller = id; AQE splits the partition of a hot seller.
     """
     a = auction.where(F.col("category") == category).select(F.col("id").alias("auction_id"), "seller")
     p = person.where(F.col("state").isin(states)).select("id", "name", "city", "state")
-    hot = hot_keys(a, "seller") if hot is None else hot
-    out = split_join(a, p, "seller", "id", lambda b, s: b["seller"] == s["id"], hot)
-    return out.select("name", "city", "state", "auction_id")
+    return a.join(p, a["seller"] == p["id"]).select("name", "city", "state", "auction_id")
 
 
-def q8_new_users(person: DataFrame, auction: DataFrame, window: str | int = Q8_WINDOW,
-                 hot: list | None = None) -> DataFrame:
+def q8_new_users(person: DataFrame, auction: DataFrame, window: str | int = Q8_WINDOW) -> DataFrame:
     """Q8: (id, auction_id) for each auction opened by a person within `window`
     of registering: p.t <= a.t < p.t + window, joined on seller = id.
     """
     w = duration_ns(window)
     a = auction.select(F.col("id").alias("auction_id"), "seller", F.col("date_time_ns").alias("a_t"))
     p = person.select("id", F.col("date_time_ns").alias("p_t"))
-    hot = hot_keys(a, "seller") if hot is None else hot
+    cond = (a["seller"] == p["id"]) & (p["p_t"] <= a["a_t"]) & (a["a_t"] < p["p_t"] + F.lit(w))
+    return a.join(p, cond).select("id", "auction_id")
 
-    def cond(b, s):
-        return (b["seller"] == s["id"]) & (s["p_t"] <= b["a_t"]) & (b["a_t"] < s["p_t"] + F.lit(w))
 
-    return split_join(a, p, "seller", "id", cond, hot).select("id", "auction_id")
-
-
-def q8_as_written(auction: DataFrame, window: str | int = Q8_WINDOW, hot: list | None = None) -> DataFrame:
+def q8_as_written(auction: DataFrame, window: str | int = Q8_WINDOW) -> DataFrame:
     """Q8 exactly as the original dataflow wires it: both sides read auctions.
 
     An auction matches the auction whose id equals its seller when it opens
@@ -53,9 +45,4 @@ def q8_as_written(auction: DataFrame, window: str | int = Q8_WINDOW, hot: list |
     w = duration_ns(window)
     a = auction.select(F.col("id").alias("auction_id"), "seller", F.col("date_time_ns").alias("a_t"))
     o = auction.select(F.col("id").alias("id"), F.col("date_time_ns").alias("o_t"))
-    hot = hot_keys(a, "seller") if hot is None else hot
-
-    def cond(b, s):
-        return (b["seller"] == s["id"]) & (b["a_t"] < s["o_t"] + F.lit(w))
-
-    return split_join(a, o, "seller", "id", cond, hot).select("id", "auction_id")
+    return a.join(o, (a["seller"] == o["id"]) & (a["a_t"] < o["o_t"] + F.lit(w))).select("id", "auction_id")

@@ -9,7 +9,6 @@ high-dynamic-range histograms do), which bounds the buckets per group.
 
 from __future__ import annotations
 
-from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -42,17 +41,32 @@ def trim(samples: DataFrame, start_ns: int, end_ns: int, warmup: str | int = "2
     return samples.where((F.col("t_ns") >= lo) & (F.col("t_ns") < hi))
 
 
+def _weight(samples: DataFrame) -> Column:
+    """How many samples the rows of a group stand for: their `rows` (input rows
+    of a micro-batch) if there is such a column, else one each."""
+    return F.sum("rows") if "rows" in samples.columns else F.count(F.lit(1))
+
+
+def _counted(samples: DataFrame) -> list[str]:
+    return ["rows"] if "rows" in samples.columns else []
+
+
 def latency_ccdf(samples: DataFrame, width: int | None = None, sig_bits: int | None = None) -> DataFrame:
     """(latency, ccdf, samples): per bucket, the fraction of samples at or above it."""
-    hist = (samples.select(bucket(F.col("latency_ns"), width, sig_bits).alias("latency"))
-            .groupBy("latency").agg(F.count(F.lit(1)).alias("samples"))
-            .persist(StorageLevel.MEMORY_AND_DISK))  # read twice below; samples are scanned once
-    total = hist.agg(F.sum("samples")).collect()[0][0] or 0  # one scalar
-    # Suffix sums from the top bucket down, range-partitioned (no single task).
+    hist = (samples.select(bucket(F.col("latency_ns"), width, sig_bits).alias("latency"), *_counted(samples))
+            .groupBy("latency").agg(_weight(samples).alias("samples")).where(F.col("samples") > 0))
+    if sig_bits is not None:
+        # At most 64 * 2^sig_bits buckets, so one window over them is small.
+        w = Window.partitionBy(F.lit(0)).orderBy(F.col("latency").desc())
+        return (hist.withColumns({"frame_sum": F.sum("samples").over(w.rowsBetween(Window.unboundedPreceding, 0)),
+                                  "total": F.sum("samples").over(Window.partitionBy(F.lit(0)))})
+                .select("latency", (F.col("frame_sum") / F.col("total").cast("double")).alias("ccdf"), "samples"))
+    # Buckets of a fixed width are as many as the latencies' spread: suffix
+    # sums from the top bucket down, by ranges (no single task).
     desc = hist.select(F.lit(0).alias("g"), (-F.col("latency")).alias("neg"), "latency", "samples")
     r = running_frame(desc, keys=["g"], order=["neg"], value="samples")
-    hist.unpersist()
-    return r.select("latency", (F.col("frame_sum") / F.lit(float(max(total, 1)))).alias("ccdf"), "samples")
+    total = r.agg(F.max("frame_sum").cast("double")).scalar()
+    return r.select("latency", (F.col("frame_sum") / total).alias("ccdf"), "samples")
 
 
 def latency_timeline(samples: DataFrame, slot: str | int = "250 milliseconds", width: int | None = None,
@@ -64,8 +78,8 @@ def latency_timeline(samples: DataFrame, slot: str | int = "250 milliseconds", w
     """
     slot_ns = duration_ns(slot)
     hist = (samples.select(window_end_ns("t_ns", slot_ns).alias("slot_end_ns"),
-                           bucket(F.col("latency_ns"), width, sig_bits).alias("b"))
-            .groupBy("slot_end_ns", "b").agg(F.count(F.lit(1)).alias("c")))
+                           bucket(F.col("latency_ns"), width, sig_bits).alias("b"), *_counted(samples))
+            .groupBy("slot_end_ns", "b").agg(_weight(samples).alias("c")).where(F.col("c") > 0))
     # Rows per slot are bounded by the bucket count, so a per-slot window is small.
     w = Window.partitionBy("slot_end_ns").orderBy("b").rowsBetween(Window.unboundedPreceding, 0)
     cum = hist.select("slot_end_ns", "b", F.sum("c").over(w).alias("cum"),

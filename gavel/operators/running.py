@@ -4,200 +4,114 @@
 `rows between k-1 preceding and current row` (q6 last-k mean) over
 `Window.partitionBy(key)` would put every row of a key in one task; with five
 categories, or one bidder holding a third of all rows, that is one task for a
-large share of the data. Instead:
-
-1. range-partition on (key, order) (AQE sizes the ranges) and sort inside
-   each partition, then checkpoint, so every later job sees exactly the same
-   partitions (on a cluster the folder is the shared `spark.checkpoint.dir`);
-2. one small summary row per partition: its first and last key, and for the
-   last key its sum, count and last k-1 values;
-3. the driver chains those P summaries (P = number of partitions, not rows)
-   into the carry each partition needs for its first key, and broadcasts
-   them (one copy per executor);
-4. one vectorised pass per partition (pandas inside `mapInPandas`) adds the
-   carry and computes the frame sum and count with exact int64 arithmetic.
-
-A key spanning many partitions is handled by the chain in step 3, so no
-partition is larger than the range partitioner makes it.
+large share of the data. Instead rows are range-partitioned on (key, order),
+each row keeps the number of its range, and the window runs over (range, key):
+
+* the rows before a range are summed up in one small carry row per
+  (range, key), for the keys that reach into several ranges only (at most two
+  keys of a range do), which a join with null-safe equality adds to the
+  window's result;
+* for the last-k frame the carry is the k-1 rows before the range; copies of
+  them join the range's rows, and leave after the window.
+
+Everything is a built-in expression: NULL keys form one group as in any
+window, NULL values are skipped by sum and count, and a sum beyond LONG
+raises under ANSI as Spark's own window does.
 """
 
 from __future__ import annotations
 
-import sys
-from collections.abc import Iterator
-
-import numpy as np
-import pandas as pd
-from pyspark import StorageLevel, cloudpickle
-from pyspark.sql import DataFrame
+from pyspark import StorageLevel
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
-
-# Ship this module's task code by value: executors need no installed package.
-cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
+RANGE = "__range"
 
-def _key_change(pdf: pd.DataFrame, keys: list[str]) -> np.ndarray:
-    """True where a row starts a new key group within the batch."""
-    start = np.zeros(len(pdf), dtype=bool)
-    if len(pdf):
-        start[0] = True
-        for k in keys:
-            v = pdf[k].to_numpy()
-            start[1:] |= v[1:] != v[:-1]
-    return start
 
+def _same(left: DataFrame, right: DataFrame, pairs: list[tuple[str, str]]) -> Column:
+    cond = F.lit(True)
+    for a, b in pairs:
+        cond = cond & left[a].eqNullSafe(right[b])
+    return cond
 
-def _frame_batch(pdf: pd.DataFrame, keys: list[str], value: str, k: int | None,
-                 carry_key, carry_sum: int, carry_cnt: int, carry_tail: list[int]):
-    """Frame sum/count for one sorted batch given the carry of its first key.
 
-    Returns (sums, counts, new carry) where the carry describes the batch's
-    last key (its total so far and its last k-1 values).
-    """
-    n = len(pdf)
-    vals = pdf[value].to_numpy(dtype=np.int64)
-    start = _key_change(pdf, keys)
-    grp = np.cumsum(start) - 1
-    first_key = tuple(pdf[c].iloc[0] for c in keys)
-    continues = carry_key is not None and first_key == carry_key
-    if k is None:
-        cs = pd.Series(vals).groupby(grp).cumsum().to_numpy(dtype=np.int64)
-        pos = pd.Series(np.ones(n, dtype=np.int64)).groupby(grp).cumsum().to_numpy(dtype=np.int64)
-        if continues:
-            first = grp == 0
-            cs[first] += carry_sum
-            pos[first] += carry_cnt
-        sums, cnts = cs, pos
-        new_tail: list[int] = []
-        new_sum, new_cnt = int(sums[-1]), int(cnts[-1])
-    else:
-        # Prepend the previous k-1 values of the continuing key, then a
-        # difference of prefix sums gives each row's last-k sum exactly.
-        pre = list(carry_tail) if continues else []
-        allv = np.concatenate([np.asarray(pre, dtype=np.int64), vals])
-        allg = np.concatenate([np.zeros(len(pre), dtype=np.int64), grp])
-        s = pd.Series(allv)
-        cs = s.groupby(allg).cumsum().to_numpy(dtype=np.int64)
-        idx = s.groupby(allg).cumcount().to_numpy(dtype=np.int64)
-        back = np.zeros_like(cs)
-        has = idx >= k
-        back[has] = cs[np.nonzero(has)[0] - k]
-        sums = (cs - back)[len(pre):]
-        cnts = np.minimum(idx + 1, k)[len(pre):]
-        new_tail = allv[allg == allg[-1]][-(k - 1):].tolist() if k > 1 else []
-        new_sum, new_cnt = 0, 0
-    last_key = tuple(pdf[c].iloc[-1] for c in keys)
-    return sums, cnts, (last_key, new_sum, new_cnt, new_tail)
+def _ranged(df: DataFrame, sort_cols: list[str], num_partitions: int | None) -> DataFrame:
+    """`df` with the number of each row's range of `sort_cols`, checkpointed, so
+    that every later job sees the same ranges and the lineage ends here."""
+    from gavel.session import ensure_checkpoint_dir
+    ensure_checkpoint_dir(df.sparkSession)
+    # The range partitioner samples its input before shuffling it; keeping the
+    # input for this one job stops the sample from recomputing the upstream.
+    # A caller's own cache is left as it is.
+    level = df.storageLevel
+    cached = level.useMemory or level.useDisk
+    src = df if cached else df.persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        ranged = (src.repartitionByRange(num_partitions, *sort_cols) if num_partitions
+                  else src.repartitionByRange(*sort_cols))
+        return ranged.withColumn(RANGE, F.spark_partition_id()).checkpoint(eager=True)
+    finally:
+        if not cached:
+            src.unpersist()
+
+
+def _carries(ranged: DataFrame, keys: list[str], value: str) -> DataFrame:
+    """(range, keys, sum, count and rows before the range) of keys that began in an earlier range."""
+    total = ranged.groupBy(RANGE, *keys).agg(F.sum(value).alias("s"), F.count(value).alias("n"),
+                                             F.count(F.lit(1)).alias("rows"))
+    before = Window.partitionBy(*keys).orderBy(RANGE).rowsBetween(Window.unboundedPreceding, -1)
+    return (total.select(F.col(RANGE).alias("c_range"), *[F.col(k).alias(f"c_{i}") for i, k in enumerate(keys)],
+                         F.sum("s").over(before).alias("c_sum"), F.sum("n").over(before).alias("c_count"),
+                         F.sum("rows").over(before).alias("c_rows"))
+            .where(F.col("c_rows") > 0))
 
 
 def running_frame(df: DataFrame, keys: list[str], order: list[str], value: str,
                   last_k: int | None = None, num_partitions: int | None = None) -> DataFrame:
-    """Add `frame_sum` and `frame_count` (LONG) to every row of `df`.
+    """Add `frame_sum` and `frame_count` (of non-NULL values) to every row of `df`.
 
     The frame is all earlier rows of the same key in `order` (`last_k=None`)
     or the last `last_k` rows, the current row included. `order` must be a
     total order within a key (ties give an arbitrary but fixed order).
     """
-    from gavel.session import ensure_checkpoint_dir
-    ensure_checkpoint_dir(df.sparkSession)
-    sort_cols = keys + order
-    # Without an explicit count, AQE sizes the range partitions (it merges
-    # only adjacent ranges, so partition order still follows the key order).
-    # The range partitioner samples its input before shuffling it; keeping the
-    # input for this one job stops the sample from recomputing the upstream
-    # (e.g. the closing join). Correctness rests on the checkpoint below.
-    src = df.persist(StorageLevel.MEMORY_AND_DISK)
-    ranged = (src.repartitionByRange(num_partitions, *sort_cols) if num_partitions
-              else src.repartitionByRange(*sort_cols))
-    ranged = ranged.sortWithinPartitions(*sort_cols).checkpoint(eager=True)
-    src.unpersist()
-    schema = ranged.schema
-    key_types = [schema[c].dataType for c in keys]
-
-    # Step 2: per-partition summaries, P rows in total.
-    summary_schema = T.StructType(
-        [T.StructField("pid", T.IntegerType())]
-        + [T.StructField(f"first_{i}", t) for i, t in enumerate(key_types)]
-        + [T.StructField(f"last_{i}", t) for i, t in enumerate(key_types)]
-        + [T.StructField("one_key", T.BooleanType()), T.StructField("sum", T.LongType()),
-           T.StructField("cnt", T.LongType()), T.StructField("tail", T.ArrayType(T.LongType()))])
-
-    def summarize(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        # One pass: only the last key's segment of each batch feeds the carry.
-        first, last_key, one_key, pid = None, None, True, None
-        total, count, tail = 0, 0, []
-        keep = (last_k - 1) if last_k else 0
-        for pdf in batches:
-            if not len(pdf):
-                continue
-            pid = int(pdf["_pid"].iloc[0])
-            starts = np.nonzero(_key_change(pdf, keys))[0]
-            batch_first = tuple(pdf[c].iloc[0] for c in keys)
-            batch_last = tuple(pdf[c].iloc[-1] for c in keys)
-            if first is None:
-                first = batch_first
-            if len(starts) > 1 or batch_first != first:
-                one_key = False
-            seg = pdf[value].to_numpy(dtype=np.int64)[starts[-1]:]
-            if starts[-1] == 0 and last_key == batch_first:  # the batch continues the last key
-                total, count = total + int(seg.sum()), count + len(seg)
-                tail = (tail + seg.tolist())[-keep:] if keep else []
-            else:
-                total, count = int(seg.sum()), len(seg)
-                tail = seg[-keep:].tolist() if keep else []
-            last_key = batch_last
-        if first is None:
-            return
-        row = {"pid": pid}
-        for i, v in enumerate(first):
-            row[f"first_{i}"] = v
-        for i, v in enumerate(last_key):
-            row[f"last_{i}"] = v
-        # bounded frames carry only the tail; sums are recomputed from it
-        row.update(one_key=one_key, sum=total if last_k is None else 0,
-                   cnt=count if last_k is None else 0, tail=tail)
-        yield pd.DataFrame([row])
-
-    summaries = (ranged.withColumn("_pid", F.spark_partition_id())
-                 .mapInPandas(summarize, summary_schema).collect())
-
-    # Step 3: chain summaries in partition order into the carry of each partition.
-    carries: dict[int, tuple] = {}
-    prev = None  # (last_key, sum, cnt, tail) at the end of the previous non-empty partition
-    for r in sorted(summaries, key=lambda r: r["pid"]):
-        first = tuple(r[f"first_{i}"] for i in range(len(keys)))
-        last = tuple(r[f"last_{i}"] for i in range(len(keys)))
-        if prev is not None and prev[0] == first:
-            carries[r["pid"]] = prev
-        own = (last, r["sum"], r["cnt"], list(r["tail"] or []))
-        if r["one_key"] and prev is not None and prev[0] == last:
-            # The whole partition continues the previous key: accumulate.
-            if last_k is None:
-                own = (last, prev[1] + r["sum"], prev[2] + r["cnt"], [])
-            else:
-                tail = prev[3] + own[3]
-                own = (last, 0, 0, tail[-(last_k - 1):] if last_k > 1 else [])
-        prev = own
-
-    out_schema = T.StructType(list(schema.fields) + [T.StructField("frame_sum", T.LongType()),
-                                                     T.StructField("frame_count", T.LongType())])
-    cols = [f.name for f in schema.fields]
-    # P carries (each at most k-1 values): one copy per executor, not per task.
-    carries_bc = df.sparkSession.sparkContext.broadcast(carries)
-
-    def apply(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        carry = None
-        for pdf in batches:
-            if not len(pdf):
-                continue
-            if carry is None:
-                c = carries_bc.value.get(int(pdf["_pid"].iloc[0]))
-                carry = c if c is not None else (None, 0, 0, [])
-            sums, cnts, carry = _frame_batch(pdf, keys, value, last_k, *carry)
-            out = pdf[cols].copy()
-            out["frame_sum"] = sums
-            out["frame_count"] = cnts
-            yield out
-
-    return ranged.withColumn("_pid", F.spark_partition_id()).mapInPandas(apply, out_schema)
+    if last_k is not None and last_k < 1:
+        raise ValueError("last_k must be at least 1")
+    columns = df.columns
+    ranged = _ranged(df, keys + order, num_partitions)
+    carry = _carries(ranged, keys, value)
+    names = [(RANGE, "c_range")] + [(k, f"c_{i}") for i, k in enumerate(keys)]
+    if last_k is None:
+        w = Window.partitionBy(RANGE, *keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+        own = ranged.withColumns({"o_sum": F.sum(value).over(w), "o_count": F.count(value).over(w)})
+        out = own.join(carry, _same(own, carry, names), "left")
+        both = F.col("o_sum") + F.col("c_sum")
+        return out.select(*columns, F.coalesce(both, "o_sum", "c_sum").alias("frame_sum"),
+                          (F.col("o_count") + F.coalesce("c_count", F.lit(0))).alias("frame_count"))
+    own = ranged.select(*columns, RANGE, F.lit(1).alias("__own"))
+    if last_k > 1:
+        own = own.unionByName(_tails(ranged, carry, columns, keys, order, last_k))
+    w = Window.partitionBy(RANGE, *keys).orderBy("__own", *order).rowsBetween(-(last_k - 1), 0)
+    framed = own.withColumns({"frame_sum": F.sum(value).over(w), "frame_count": F.count(value).over(w)})
+    return framed.where(F.col("__own") == 1).select(*columns, "frame_sum", "frame_count")
+
+
+def _tails(ranged: DataFrame, carry: DataFrame, columns: list[str], keys: list[str], order: list[str],
+           last_k: int) -> DataFrame:
+    """The last_k - 1 rows before each range of a key that began earlier, as
+    rows of that range. A row with number r of its key is wanted by the ranges
+    whose first row has one of the numbers r + 1 .. r + last_k - 1."""
+    keyed = [(k, f"c_{i}") for i, k in enumerate(keys)]
+    spread = carry.select(*[c for _, c in keyed]).distinct()
+    rows = ranged.join(spread, _same(ranged, spread, keyed), "left_semi")
+    part = Window.partitionBy(RANGE, *keys)
+    rows = rows.withColumns({"__at": F.row_number().over(part.orderBy(*order)),
+                             "__size": F.count(F.lit(1)).over(part)})
+    rows = rows.where(F.col("__size") - F.col("__at") < last_k - 1)
+    begun = carry.select(F.col("c_range").alias("b_range"), *[F.col(c).alias(f"b_{c}") for _, c in keyed],
+                         F.col("c_rows").alias("b_rows"))
+    rows = rows.join(begun, _same(rows, begun, [(RANGE, "b_range")] + [(k, f"b_{c}") for k, c in keyed]), "left")
+    number = F.col("__at") + F.coalesce("b_rows", F.lit(0))
+    rows = rows.select(*columns, F.explode(F.sequence(number, number + F.lit(last_k - 2))).alias("__before"))
+    # c_rows rows precede a range, so its first row has number c_rows + 1.
+    wanted = rows.join(carry, _same(rows, carry, keyed + [("__before", "c_rows")]))
+    return wanted.select(*columns, F.col("c_range").alias(RANGE), F.lit(0).alias("__own"))

@@ -157,6 +157,16 @@ _SAMPLES = """
 , s AS (SELECT epoch_ns(ts) AS t_ns, CAST(round(value * 100) AS BIGINT) AS latency_ns FROM events)
 """
 
+def _diff(left: str, right: str, cols: str) -> str:
+    """Rows that one of two relations holds more often, and how many times more."""
+    return f"""
+, l_ AS (SELECT {cols}, count(*) AS n_ FROM {left} GROUP BY ALL),
+r_ AS (SELECT {cols}, count(*) AS m_ FROM {right} GROUP BY ALL)
+SELECT CASE WHEN coalesce(n_, 0) > coalesce(m_, 0) THEN 'left' ELSE 'right' END AS side, {cols},
+       abs(coalesce(n_, 0) - coalesce(m_, 0)) AS n_more
+FROM l_ FULL JOIN r_ USING ({cols}) WHERE coalesce(n_, 0) <> coalesce(m_, 0)"""
+
+
 _Q7_10S = f"SELECT (date_time_ns // {10 * _NS_S}) * {10 * _NS_S} + {10 * _NS_S} AS window_end_ns, max(price) AS price"
 
 
@@ -174,14 +184,68 @@ SELECT slot_end_ns, quantile_disc(b, 0.25) AS p25, quantile_disc(b, 0.5) AS p50,
        quantile_disc(b, 0.95) AS p95, quantile_disc(b, 0.99) AS p99, quantile_disc(b, 0.999) AS p999,
        max(b) AS max, count(*) AS samples
 FROM b GROUP BY slot_end_ns"""),
-    "diff_q5_forms": _with(_q5_ctes(_H, 600 * _NS_S) + """
-SELECT 'left' AS side, * FROM (SELECT * FROM top EXCEPT ALL SELECT * FROM top)
-UNION ALL
-SELECT 'right' AS side, * FROM (SELECT * FROM top EXCEPT ALL SELECT * FROM top)"""),
+    "diff_q5_forms": _with(_q5_ctes(_H, 600 * _NS_S) + _diff("top", "top", "window_end_ns, auction, n")),
     "diff_q7_currency": _with(f"""
 , a AS ({_Q7_10S} FROM bid GROUP BY 1),
 b AS ({_Q7_10S} FROM (SELECT auction, bidder, (price * 89) // 100 AS price, date_time_ns FROM bid) GROUP BY 1)
-SELECT 'left' AS side, * FROM (SELECT * FROM a EXCEPT ALL SELECT * FROM b)
-UNION ALL
-SELECT 'right' AS side, * FROM (SELECT * FROM b EXCEPT ALL SELECT * FROM a)"""),
+""" + _diff("a", "b", "window_end_ns, price")),
+    "diff_repeated_rows": _with(f"""
+, a AS (SELECT (date_time_ns // {_H}) * {_H} + {_H} AS window_end_ns, auction % 4 AS v FROM ebid),
+b AS (SELECT (date_time_ns // {_H}) * {_H} + {_H} AS window_end_ns, bidder % 4 AS v FROM ebid)
+""" + _diff("a", "b", "window_end_ns, v")),
+    "latency_ccdf_trimmed": _with(_SAMPLES + f"""
+, kept AS (SELECT latency_ns FROM s, (SELECT min(t_ns) AS lo, max(t_ns) + 1 AS hi FROM s)
+  WHERE t_ns >= lo + {2 * 24 * _H} AND t_ns < hi - {2 * 24 * _H}),
+e AS (SELECT latency_ns, greatest(length(ltrim(bin(latency_ns), '0')) - 5, 0) AS shift FROM kept),
+h AS (SELECT (latency_ns >> shift) << shift AS latency, count(*) AS samples FROM e GROUP BY 1)
+SELECT latency,
+       CAST(sum(samples) OVER (ORDER BY latency DESC ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS DOUBLE)
+         / (SELECT count(*) FROM kept) AS ccdf,
+       samples
+FROM h"""),
+    "latency_report_lines": _with(_SAMPLES + f"""
+, b AS (SELECT (t_ns // {_H}) * {_H} + {_H} AS slot_end_ns, latency_ns - latency_ns % 100 AS b FROM s)
+SELECT concat_ws(chr(9), 'summary_timeline', slot_end_ns, quantile_disc(b, 0.25), quantile_disc(b, 0.5),
+  quantile_disc(b, 0.75), quantile_disc(b, 0.95), quantile_disc(b, 0.99), quantile_disc(b, 0.999), max(b)) AS value
+FROM b GROUP BY slot_end_ns"""),
+})
+
+
+# Streaming forms: what the batch form gives, as far as the watermark (whole
+# milliseconds, the latest event time, the least of several inputs') closes it.
+def _ms(ns: str) -> str:
+    return f"({ns}) // 1000000 * 1000000"
+
+
+_EVENTS_MARK = f"(SELECT {_ms('max(date_time_ns)')} FROM ebid)"
+_CLOSING_MARK = (f"least((SELECT {_ms('max(date_time_ns)')} FROM bid), "
+                 f"(SELECT {_ms('max(date_time_ns)')} FROM auction))")
+# Bounded closing: bids' watermark, and the latest close time (expiry + 1 ms)
+# less the length bound + 1 ms. An auction leaves with the 1 ms window of its close time, once
+# the watermark that the join hands on, less by the range of its condition, has passed it.
+_BOUNDED_MARK = (f"least((SELECT {_ms('max(date_time_ns)')} FROM bid), "
+                 f"(SELECT {_ms('max(expires_ns)')} FROM auction) - {90 * 24 * _H})")
+_BOUNDED = f", done AS (SELECT * FROM closed WHERE expires_ns + 2000000 <= {_BOUNDED_MARK} - {90 * 24 * _H + 1000000})\n"
+
+ORACLE_SQL.update({
+    "q3_stream": ORACLE_SQL["q3_local_items"],
+    "q5_stream": _with(_q5_ctes(_H, 600 * _NS_S) + f"SELECT * FROM top WHERE window_end_ns <= {_EVENTS_MARK}"),
+    "q7_stream": _with(f"""
+SELECT * FROM (SELECT (date_time_ns // {_H}) * {_H} + {_H} AS window_end_ns, max(price) AS price FROM ebid GROUP BY 1)
+WHERE window_end_ns <= {_EVENTS_MARK}"""),
+    "q8_stream": ORACLE_SQL["q8_new_users_30d"],
+    "q8_as_written_stream": ORACLE_SQL["q8_as_written"],
+    "closed_auctions_stream": _with(f"SELECT * FROM closed WHERE expires_ns <= {_CLOSING_MARK}"),
+    "closed_auctions_bounded_stream": _with(_BOUNDED + "SELECT * FROM done"),
+    "q4_running_stream": _with(_BOUNDED + """
+SELECT category, auction, expires_ns,
+       CAST(sum(price) OVER w // count(*) OVER w AS BIGINT) AS avg_price
+FROM done
+WINDOW w AS (PARTITION BY category ORDER BY expires_ns, auction
+             ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)"""),
+    "q6_stream": _with(_BOUNDED + """
+SELECT bidder, auction, expires_ns,
+       CAST(sum(price) OVER w // count(*) OVER w AS BIGINT) AS avg_price
+FROM done
+WINDOW w AS (PARTITION BY bidder ORDER BY expires_ns, auction ROWS BETWEEN 9 PRECEDING AND CURRENT ROW)"""),
 })

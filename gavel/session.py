@@ -12,14 +12,16 @@ import tempfile
 
 from pyspark.sql import SparkSession
 
-# Settings every gavel job expects. AQE re-plans joins and coalesces small
-# shuffle partitions at runtime; skew-join splitting is the backstop for hot
-# keys that the explicit hot-key split (operators.skew) does not catch.
+# Settings every gavel job expects. AQE re-plans joins, coalesces small shuffle
+# partitions and splits the partitions of hot join keys at runtime; forcing the
+# split allows the extra shuffle of partial results that a later aggregate on
+# the same key (closed auctions) then needs.
 DEFAULT_CONF = {
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
+    "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
     "spark.sql.adaptive.advisoryPartitionSizeInBytes": "128m",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
 }
@@ -34,7 +36,7 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8,
         .config("spark.ui.enabled", "false")
         .config("spark.driver.host", "127.0.0.1")
         .config("spark.driver.bindAddress", "127.0.0.1")
-        .config("spark.driver.memory", "16g")
+        .config("spark.driver.memory", _half_of_memory())
         .config("spark.sql.shuffle.partitions", str(shuffle_partitions))
         # remove reliable-checkpoint files once their DataFrame is unreachable
         .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
@@ -47,6 +49,11 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8,
     return spark
 
 
+def _half_of_memory() -> str:
+    """Half of the machine's memory (local mode runs everything in the driver)."""
+    return f"{max(1024, os.sysconf('SC_PAGE_SIZE') * os.sysconf('SC_PHYS_PAGES') // 2 // 2**20)}m"
+
+
 def configure(spark: SparkSession) -> SparkSession:
     """Apply DEFAULT_CONF to an existing session (cluster use)."""
     for k, v in DEFAULT_CONF.items():

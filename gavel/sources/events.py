@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from gavel.schema import AUCTION, AUCTION_COLS, BID, BID_COLS, EVENT, PERSON, PERSON_COLS
+from gavel.schema import AUCTION, AUCTION_COLS, BID, BID_COLS, EVENT, EVENT_TYPES, PERSON, PERSON_COLS
 from gavel.sources.tables import AuctionTables
 
 
@@ -70,10 +70,12 @@ def events_to_json(events: DataFrame) -> DataFrame:
         fields += [F.col(f"{kind}.{f.name}").alias(_WIRE.get(f.name, f.name)) for f in schema.fields]
         return F.to_json(F.struct(*fields))
 
+    unknown = F.raise_error(F.concat(F.lit("unknown event type "), F.coalesce(F.col("type"), F.lit("NULL"))))
     return events.select(
         F.when(F.col("type") == "Person", variant("person", PERSON))
          .when(F.col("type") == "Auction", variant("auction", AUCTION))
-         .otherwise(variant("bid", BID)).alias("value"))
+         .when(F.col("type") == "Bid", variant("bid", BID))
+         .otherwise(unknown.cast("string")).alias("value"))
 
 
 def _wire_schema() -> T.StructType:
@@ -87,16 +89,37 @@ def _wire_schema() -> T.StructType:
     return T.StructType(fields)
 
 
-def events_from_json(lines: DataFrame, col: str = "value") -> DataFrame:
-    """Parse the JSON form back into the tagged union (batch or streaming)."""
-    j = lines.select(F.from_json(F.col(col), _wire_schema()).alias("j")).select("j.*")
+def events_from_json(lines: DataFrame, col: str = "value", bad: str = "fail") -> DataFrame:
+    """Parse the JSON form back into the tagged union (batch or streaming).
+
+    A line is bad when it does not parse, a field has the wrong type, or its
+    type is none of the three. `bad="fail"` fails the query on the first one;
+    `bad="keep"` adds a column `bad_line`, which holds such a line (its type
+    and structs are then NULL, so no query takes it for an event) and is NULL
+    for events.
+    """
+    if bad not in ("fail", "keep"):
+        raise ValueError("bad must be 'fail' or 'keep'")
+    known = F.col("type").isin(*EVENT_TYPES)
+    schema = _wire_schema()
+    if bad == "keep":
+        schema = T.StructType([*schema.fields, T.StructField("_bad", T.StringType())])
+        options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_bad"}
+        j = lines.select(F.col(col).alias("_line"), F.from_json(F.col(col), schema, options).alias("j")).select("_line", "j.*")
+        good = F.col("_bad").isNull() & F.coalesce(known, F.lit(False))
+        j = j.withColumns({"bad_line": F.when(~good, F.coalesce("_line", F.lit(""))), "type": F.when(good, F.col("type"))})
+    else:
+        j = lines.select(F.from_json(F.col(col), schema, {"mode": "FAILFAST"}).alias("j")).select("j.*")
+        unknown = F.raise_error(F.concat(F.lit("unknown event type "), F.coalesce(F.col("type"), F.lit("NULL"))))
+        j = j.withColumn("type", F.when(F.coalesce(known, F.lit(False)), F.col("type")).otherwise(unknown.cast("string")))
 
     def struct_of(kind: str, schema: T.StructType):
         body = F.struct(*[F.col(_WIRE.get(f.name, f.name)).alias(f.name) for f in schema.fields])
         return F.when(F.col("type") == kind, body.cast(schema)).otherwise(_null_struct(schema))
 
     return j.select("type", struct_of("Person", PERSON).alias("person"),
-                    struct_of("Auction", AUCTION).alias("auction"), struct_of("Bid", BID).alias("bid"))
+                    struct_of("Auction", AUCTION).alias("auction"), struct_of("Bid", BID).alias("bid"),
+                    *(["bad_line"] if bad == "keep" else []))
 
 
 __all__ = ["EVENT", "to_events", "demux", "event_accessors", "flatten", "events_to_json", "events_from_json"]

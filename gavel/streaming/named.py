@@ -11,11 +11,15 @@ Window sizes default to the original workload: Q5 60 s sliding by 1 s, Q7
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import StreamingQuery
 
+from gavel.operators.averages import Q6_LAST
 from gavel.streaming import queries as S
-from gavel.streaming.sources import ROCKSDB, timed_events, timed_tables, use_rocksdb
+from gavel.streaming.frames import running_means
+from gavel.streaming.sources import ROCKSDB, state_store, timed_events, timed_tables
 
 HDFS = "org.apache.spark.sql.execution.streaming.state.HDFSBackedStateStoreProvider"
 
@@ -24,6 +28,9 @@ PROVIDERS = {
     "faster": ROCKSDB, "faster_node": ROCKSDB, "rocksdb": ROCKSDB,
 }
 
+# Longest auction that q4 and q6 accept unless told otherwise.
+MAX_AUCTION_LENGTH = "1 hour"
+
 BASES = ("q0", "q1", "q2", "q3", "q4", "q5", "q6", "q7", "q8")
 NAMES = (["q0", "q1", "q2"] + ["q3", "q3_faster", "q3_rocksdb", "q3_faster_node", "q3_faster_in_mem", "q3_mem",
                                "q3_mem_native"]
@@ -38,13 +45,26 @@ def parse(name: str) -> tuple[str, str]:
     return base, suffix
 
 
+def closing_stream(events: DataFrame, delay: str = "0 seconds",
+                   max_auction_length: str | int | None = MAX_AUCTION_LENGTH) -> DataFrame:
+    """Closed auctions of a tagged event stream, by built-in operators if their length is bounded."""
+    if max_auction_length is not None:
+        return S.closed_auctions_stream_bounded(events, max_auction_length, delay)
+    t = timed_tables(timed_events(events, delay))
+    return S.closed_auctions_stream(t.auction, t.bid)
+
+
 def named_stream(name: str, events: DataFrame, delay: str = "0 seconds",
-                 max_auction_length: str | int | None = None) -> tuple[DataFrame, str | None]:
+                 max_auction_length: str | int | None = MAX_AUCTION_LENGTH,
+                 state_bound: str | int | None = None) -> tuple[DataFrame, str | None]:
     """(streaming DataFrame, state provider) for an original query name.
 
     `events` is a stream of tagged events (e.g. `generated_event_stream`).
-    With `max_auction_length`, q4/q6 close auctions on built-in operators
-    (a join and an aggregation); without it, with the keyed processor.
+    q4/q6 close auctions on built-in operators (a join and an aggregation) and
+    fail on an auction longer than `max_auction_length`; None closes auctions
+    of any length with the keyed processor, row by row in Python.
+    `state_bound` bounds the state of q3 (event time), q4 and q6 (processing
+    time), which otherwise grows with the keys, as in the original.
     """
     base, suffix = parse(name)
     provider = PROVIDERS[suffix]
@@ -57,36 +77,48 @@ def named_stream(name: str, events: DataFrame, delay: str = "0 seconds",
     if base == "q2":
         return S.q2_selection(t.bid), provider
     if base == "q3":
-        return S.q3_stream(t.auction, t.person), provider
+        return S.q3_stream(t.auction, t.person, state_bound), provider
     if base == "q5":
         return S.q5_stream_panes(t.bid), provider  # 3x faster than window(60 s, 1 s) on raw bids
     if base == "q7":
         return S.q7_stream(t.bid), provider
     if base == "q8":
         return S.q8_stream(t.person, t.auction), provider
-    if max_auction_length is not None:
-        S.use_rocksdb(events.sparkSession)
-        closed = S.closed_auctions_stream_bounded(events, max_auction_length, delay)
-    else:
-        closed = S.closed_auctions_stream(t.auction, t.bid)
+    closed = closing_stream(events, delay, max_auction_length)
     if base == "q4":
-        return S.q4_running_stream(closed), ROCKSDB
-    return S.q6_stream(closed, "bidder"), ROCKSDB
+        return S.q4_running_stream(closed, state_bound), ROCKSDB
+    return S.q6_stream(closed, "bidder", ttl=state_bound), ROCKSDB
+
+
+def sink_checkpoint(spark: SparkSession, name: str, sink_path: str) -> str:
+    """The checkpoint folder of one query into one sink, under the session's
+    shared folder: a second sink has offsets of its own, and a restart of the
+    same name into the same sink resumes."""
+    from gavel.session import ensure_checkpoint_dir
+    sink = hashlib.sha256(sink_path.rstrip("/").encode()).hexdigest()[:16]
+    base = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or ensure_checkpoint_dir(spark)
+    return f"{base.rstrip('/')}/streams/{name}-{sink}"
 
 
 def start_named(spark: SparkSession, name: str, events: DataFrame, sink_path: str,
                 checkpoint: str | None = None, delay: str = "0 seconds", available_now: bool = False,
-                fmt: str = "parquet", max_auction_length: str | int | None = None) -> StreamingQuery:
+                fmt: str = "parquet", max_auction_length: str | int | None = MAX_AUCTION_LENGTH,
+                state_bound: str | int | None = None) -> StreamingQuery:
     """Start a named query into a table folder; its checkpoint defaults to a
-    sub-folder of the session's shared `spark.checkpoint.dir`."""
-    from gavel.session import ensure_checkpoint_dir
-    df, provider = named_stream(name, events, delay, max_auction_length)
-    if provider == ROCKSDB:
-        use_rocksdb(spark)
-    elif provider:
-        spark.conf.set("spark.sql.streaming.stateStore.providerClass", provider)
-    ckpt = checkpoint or f"{ensure_checkpoint_dir(spark).rstrip('/')}/streams/{name}"
-    writer = (df.writeStream.format(fmt).option("path", sink_path).option("checkpointLocation", ckpt)
-              .outputMode("append").queryName(name))
+    folder for this name and sink (`sink_checkpoint`). q4 and q6 into parquet
+    compute their means per micro-batch on built-in operators
+    (`frames.running_means`), unless a state bound asks for the keyed form."""
+    base, suffix = parse(name)
+    ckpt = checkpoint or sink_checkpoint(spark, name, sink_path)
+    if base in ("q4", "q6") and fmt == "parquet" and state_bound is None:
+        provider = ROCKSDB
+        closed = closing_stream(events, delay, max_auction_length)
+        how = ("category", None) if base == "q4" else ("bidder", Q6_LAST)
+        writer = running_means(closed, sink_path, f"{ckpt}-means", *how)
+    else:
+        df, provider = named_stream(name, events, delay, max_auction_length, state_bound)
+        writer = df.writeStream.format(fmt).option("path", sink_path).outputMode("append")
+    writer = writer.option("checkpointLocation", ckpt).queryName(f"{name}-{ckpt.rsplit('-', 1)[-1]}")
     writer = writer.trigger(availableNow=True) if available_now else writer
-    return writer.start()
+    with state_store(spark, provider):
+        return writer.start()

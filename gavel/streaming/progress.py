@@ -1,10 +1,11 @@
 """Latency samples from a running query's progress reports.
 
 Each micro-batch gives one sample: its end time and its duration (trigger
-execution), both in ns, ready for `operators.latency` (CCDF, timeline, trim).
-The list is Spark's retained progress of the query
-(`spark.sql.streaming.numRecentProgressUpdates`, 100 by default), so it is
-bounded by that setting, not by the data.
+execution), both in ns, ready for `operators.latency` (CCDF, timeline, trim),
+and its input rows. Spark retains only the last progress reports of a query
+(`spark.sql.streaming.numRecentProgressUpdates`, 100 by default); a
+`ProgressLog` polled during the run collects every batch, and samples that
+would leave out a batch raise instead.
 """
 
 from __future__ import annotations
@@ -22,12 +23,34 @@ def _ns(ts: str) -> int:
     return (int(t.timestamp()) * 1_000_000 + t.microsecond) * 1000
 
 
+class ProgressLog:
+    """Every executed micro-batch of a query, by batch id. Poll it more often
+    than the retained reports turn over."""
+
+    def __init__(self, query: StreamingQuery, first_batch: int = 0):
+        """`first_batch`: the batch that the run began with (not 0 when it resumed a checkpoint)."""
+        self.query, self.first_batch = query, first_batch
+        self.batches: dict[int, tuple[int, int, int]] = {}
+
+    def poll(self) -> int:
+        """Take in the retained reports; the number of batches so far."""
+        for p in self.query.recentProgress:
+            dur = p["durationMs"].get("triggerExecution")
+            if dur is None or "addBatch" not in p["durationMs"]:
+                continue  # an idle trigger executes nothing
+            end = _ns(p["timestamp"]) + dur * NS_PER_MS
+            self.batches[p["batchId"]] = (end, dur * NS_PER_MS, p["numInputRows"])
+        return len(self.batches)
+
+    def samples(self, spark: SparkSession, skip: int = 0) -> DataFrame:
+        """(t_ns, latency_ns, rows) of every batch after the first `skip`."""
+        self.poll()
+        ids = sorted(self.batches)
+        if ids and ids != list(range(self.first_batch, self.first_batch + len(ids))):
+            raise RuntimeError("progress reports of earlier batches are gone; poll the log during the run")
+        return spark.createDataFrame([self.batches[i] for i in ids[skip:]], "t_ns long, latency_ns long, rows long")
+
+
 def progress_samples(spark: SparkSession, query: StreamingQuery) -> DataFrame:
-    rows = []
-    for p in query.recentProgress:
-        dur = p["durationMs"].get("triggerExecution")
-        if dur is None:
-            continue
-        start = _ns(p["timestamp"])
-        rows.append((start + dur * NS_PER_MS, dur * NS_PER_MS))
-    return spark.createDataFrame(rows, "t_ns long, latency_ns long")
+    """Samples of all batches of a query; raises if some reports are gone."""
+    return ProgressLog(query).samples(spark)

@@ -3,7 +3,8 @@
 Inputs are watermarked relations from `sources.timed_tables` (each with an
 `event_time` column). Stateless and join/window queries reuse Spark's
 built-in streaming operators; closing and the per-closing means use the
-processors of `stateful`.
+processors of `stateful`, which need the RocksDB store when they start
+(`sources.state_store`).
 """
 
 from __future__ import annotations
@@ -11,11 +12,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gavel.functions.time import duration_ns
+from gavel.functions.time import NS_PER_US, duration_ns, event_time
 from gavel.operators.basic import q1_currency, q2_selection
 from gavel.operators.joins import Q3_CATEGORY, Q3_STATES, Q8_WINDOW
-from gavel.operators.windows import Q5_SIZE, Q5_SLIDE, Q7_SIZE
-from gavel.streaming.sources import use_rocksdb
+from gavel.operators.windows import Q5_SIZE, Q5_SLIDE, Q7_SIZE, sliding
 from gavel.streaming.stateful import (
     CLOSED_OUTPUT, ClosingProcessor, LastKMeanProcessor, RunningMeanProcessor,
 )
@@ -26,20 +26,34 @@ __all__ = ["q1_currency", "q2_selection", "q3_stream", "q5_stream", "q7_stream",
 
 
 def _us(spec: str | int) -> str:
-    return f"{duration_ns(spec) // 1000} microseconds"
+    ns = duration_ns(spec)
+    if ns % NS_PER_US:
+        raise ValueError(f"{spec!r} is not a whole number of microseconds")
+    return f"{ns // NS_PER_US} microseconds"
 
 
-def q3_stream(auction: DataFrame, person: DataFrame) -> DataFrame:
+def q3_stream(auction: DataFrame, person: DataFrame, bound: str | int | None = None) -> DataFrame:
     """Stream-stream inner join (append). Both sides are kept in state, as in
-    the original (people and auctions are never evicted)."""
-    a = auction.where(F.col("category") == Q3_CATEGORY).select(F.col("id").alias("auction_id"), "seller")
-    p = person.where(F.col("state").isin(Q3_STATES)).select("id", "name", "city", "state")
-    return a.join(p, a["seller"] == p["id"], "inner").select("name", "city", "state", "auction_id")
+    the original (people and auctions are never evicted).
+
+    With `bound`, an auction joins only a person whose time is at most that far
+    away, in either direction; Spark then drops either side's state once the
+    watermark has passed it by the bound. The state of a long run is bounded,
+    and a pair further apart is not a result."""
+    time = [] if bound is None else ["event_time"]
+    a = auction.where(F.col("category") == Q3_CATEGORY).select(F.col("id").alias("auction_id"), "seller", *time)
+    p = person.where(F.col("state").isin(Q3_STATES)).select("id", "name", "city", "state", *time)
+    cond = a["seller"] == p["id"]
+    if bound is not None:
+        far = F.expr(f"INTERVAL {_us(bound)}")
+        cond = cond & (a["event_time"] >= p["event_time"] - far) & (a["event_time"] <= p["event_time"] + far)
+    return a.join(p, cond, "inner").select("name", "city", "state", "auction_id")
 
 
 def q5_stream(bid: DataFrame, size: str | int = Q5_SIZE, slide: str | int = Q5_SLIDE) -> DataFrame:
     """Sliding-window counts, then the top auction per window; each window is
     emitted once, when the watermark passes its end (append)."""
+    sliding(size, slide)
     counts = (bid.groupBy(F.window("event_time", _us(size), _us(slide)).alias("w"), "auction")
               .agg(F.count(F.lit(1)).alias("n")))
     return (counts.groupBy("w").agg(F.max(F.struct("n", "auction")).alias("b"))
@@ -51,6 +65,7 @@ def q5_stream_panes(bid: DataFrame, size: str | int = Q5_SIZE, slide: str | int
     the window over pane times (window_time keeps the watermark), so the
     size/slide fan-out runs on pane counts, not on bids; then the top auction
     per window. Three chained append-mode aggregations."""
+    sliding(size, slide)
     panes = (bid.groupBy(F.window("event_time", _us(slide)).alias("pane"), "auction")
              .agg(F.count(F.lit(1)).alias("c")))
     windows = (panes.groupBy(F.window(F.window_time("pane"), _us(size), _us(slide)).alias("w"), "auction")
@@ -106,7 +121,6 @@ def closing_input(auction: DataFrame, bid: DataFrame) -> DataFrame:
 
 def closed_auctions_stream(auction: DataFrame, bid: DataFrame) -> DataFrame:
     """Closed auctions with their winners, emitted when the watermark passes expiry."""
-    use_rocksdb(auction.sparkSession)
     return (closing_input(auction, bid).groupBy("key")
             .transformWithState(ClosingProcessor(), CLOSED_OUTPUT, "Append", "EventTime",
                                 eventTimeColumnName="event_time"))
@@ -115,7 +129,8 @@ def closed_auctions_stream(auction: DataFrame, bid: DataFrame) -> DataFrame:
 def closed_auctions_stream_bounded(events: DataFrame, max_length: str | int,
                                    delay: str | int = "0 seconds") -> DataFrame:
     """Closed auctions on built-in operators only, for auctions no longer
-    than `max_length` (a bound the data must keep).
+    than `max_length`. A longer auction fails the query: its state could be
+    gone before its last bids, so it is never closed silently wrong.
 
     * bids carry a watermark on their time; auctions on `close_time`
       (expiry + 1 ms) with a delay of the length bound (+ `delay`), both
@@ -132,7 +147,6 @@ def closed_auctions_stream_bounded(events: DataFrame, max_length: str | int,
     carries `event_time` (window_time of the close window) for later
     stateful operators.
     """
-    from gavel.functions.time import event_time
     bound_us = duration_ns(max_length) // 1000 + 1000
     delay_us = duration_ns(delay) // 1000
     bids = (events.where(F.col("type") == "Bid").select("bid.*")
@@ -141,7 +155,11 @@ def closed_auctions_stream_bounded(events: DataFrame, max_length: str | int,
     aucs = (events.where(F.col("type") == "Auction").select("auction.*")
             .withColumn("close_time", event_time(F.col("expires_ns") + F.lit(1_000_000)))
             .withWatermark("close_time", f"{bound_us + delay_us} microseconds"))
-    a = aucs.select(F.col("id").alias("a_id"), "reserve", F.col("date_time_ns").alias("a_t"), "expires_ns",
+    too_long = F.raise_error(F.concat(F.lit(f"an auction runs longer than max_length ({max_length}): id "),
+                                      F.col("id").cast("string"))).cast("long")
+    checked = F.when(F.col("expires_ns") - F.col("date_time_ns") > duration_ns(max_length), too_long)
+    a = aucs.select(F.col("id").alias("a_id"), "reserve", F.col("date_time_ns").alias("a_t"),
+                    checked.otherwise(F.col("expires_ns")).alias("expires_ns"),
                     "seller", "category", "close_time")
     b = bids.select("auction", "bidder", "price", F.col("date_time_ns").alias("b_t"), "b_time")
     cond = ((b["auction"] == a["a_id"]) & (b["b_time"] < a["close_time"])
@@ -169,15 +187,21 @@ def q4_category_avg_stream(closed: DataFrame) -> DataFrame:
             .select("category", F.expr("s div n").alias("avg_price")))
 
 
-def q4_running_stream(closed: DataFrame) -> DataFrame:
-    use_rocksdb(closed.sparkSession)
+def q4_running_stream(closed: DataFrame, ttl: str | int | None = None) -> DataFrame:
+    """Mean per category so far, one row per closed auction. `ttl` drops a
+    category's sums that long after their last closing (processing time)."""
     return (closed.groupBy("category").transformWithState(
-        RunningMeanProcessor("category"), "category long, auction long, expires_ns long, avg_price long",
-        "Append", "None"))
+        RunningMeanProcessor("category", _ttl_ms(ttl)), "category long, auction long, expires_ns long, avg_price long",
+        "Append", "None" if ttl is None else "ProcessingTime"))
 
 
-def q6_stream(closed: DataFrame, key: str = "bidder", last: int = 10) -> DataFrame:
-    use_rocksdb(closed.sparkSession)
+def _ttl_ms(ttl: str | int | None) -> int | None:
+    return None if ttl is None else max(1, duration_ns(ttl) // 1_000_000)
+
+
+def q6_stream(closed: DataFrame, key: str = "bidder", last: int = 10, ttl: str | int | None = None) -> DataFrame:
+    """Mean of a key's last closings. `ttl` drops a key's prices that long
+    after its last closing (processing time)."""
     return (closed.groupBy(key).transformWithState(
-        LastKMeanProcessor(key, last), f"{key} long, auction long, expires_ns long, avg_price long",
-        "Append", "None"))
+        LastKMeanProcessor(key, last, _ttl_ms(ttl)), f"{key} long, auction long, expires_ns long, avg_price long",
+        "Append", "None" if ttl is None else "ProcessingTime"))

@@ -16,23 +16,26 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 from gavel.functions.time import NS_PER_SECOND, duration_ns
-from gavel.operators.latency import latency_ccdf, latency_timeline
+from gavel.operators.latency import latency_ccdf, latency_timeline, trim
 from gavel.session import ensure_checkpoint_dir
-from gavel.sources.generator import GeneratorConfig
+from gavel.sources.generator import GeneratorConfig, max_auction_length_ns
 from gavel.sources.sinks import write_report
 from gavel.streaming.named import named_stream
-from gavel.streaming.progress import progress_samples
-from gavel.streaming.sources import ROCKSDB, generated_event_stream, use_rocksdb
+from gavel.streaming.progress import ProgressLog
+from gavel.streaming.sources import generated_event_stream, state_store
 
 
 def run_named(spark: SparkSession, name: str, rate: int, duration: str | int, out_dir: str,
               trigger: str = "1 second", sig_bits: int = 4, timeline_slot: str = "1 second",
-              min_batches: int = 1, grace: str | int = "120 seconds") -> tuple[DataFrame, DataFrame]:
+              min_batches: int = 1, grace: str | int = "120 seconds", warmup: str | int = "2 seconds",
+              cooldown: str | int = "2 seconds") -> tuple[DataFrame, DataFrame]:
     """Run `name` for `duration` at `rate` events/s; return (ccdf, timeline).
 
     The run lasts at least `duration` and until `min_batches` micro-batches
     have completed (start-up can outlast a short run), but at most
-    `duration + grace`. Both reports are also written under `out_dir` (shared
+    `duration + grace`. The reports leave out `warmup` and `cooldown` at the
+    ends of the run, as the original does, and count every micro-batch once for
+    each of its input rows. Both reports are also written under `out_dir` (shared
     storage on a cluster); the query checkpoints under the session's
     checkpoint folder.
     """
@@ -41,25 +44,26 @@ def run_named(spark: SparkSession, name: str, rate: int, duration: str | int, ou
     start_ns = time.time_ns()
     cfg = GeneratorConfig(base_time_ns=start_ns, events_per_second=rate,
                           in_flight_auctions=max(100, rate * 2592 // 1000))
-    df, provider = named_stream(name, generated_event_stream(spark, per_batch, cfg))
-    if provider == ROCKSDB:
-        use_rocksdb(spark)
-    elif provider:
-        spark.conf.set("spark.sql.streaming.stateStore.providerClass", provider)
+    df, provider = named_stream(name, generated_event_stream(spark, per_batch, cfg),
+                                max_auction_length=max_auction_length_ns(cfg))
     ckpt = f"{ensure_checkpoint_dir(spark).rstrip('/')}/run-{name}-{uuid.uuid4().hex}"
-    q = (df.writeStream.format("noop").queryName(f"run_{name}_{uuid.uuid4().hex[:8]}")
-         .option("checkpointLocation", ckpt).trigger(processingTime=f"{trigger_ns // 1_000_000} milliseconds")
-         .start())
+    with state_store(spark, provider):
+        q = (df.writeStream.format("noop").queryName(f"run_{name}_{uuid.uuid4().hex[:8]}")
+             .option("checkpointLocation", ckpt).trigger(processingTime=f"{trigger_ns // 1_000_000} milliseconds")
+             .start())
+    log = ProgressLog(q)
     started = time.monotonic()
     run_s = duration_ns(duration) / NS_PER_SECOND
     limit_s = run_s + duration_ns(grace) / NS_PER_SECOND
     while q.isActive:
         elapsed = time.monotonic() - started
-        if elapsed >= limit_s or (elapsed >= run_s and len(q.recentProgress) >= min_batches):
+        done = log.poll()
+        if elapsed >= limit_s or (elapsed >= run_s and done >= min_batches):
             break
         time.sleep(0.2)
-    samples = progress_samples(spark, q)
+    samples = log.samples(spark)
     q.stop()
+    samples = trim(samples, start_ns, time.time_ns(), warmup, cooldown)
     ccdf = latency_ccdf(samples, sig_bits=sig_bits)
     timeline = latency_timeline(samples, timeline_slot, sig_bits=sig_bits)
     base = out_dir.rstrip("/")

@@ -41,6 +41,9 @@ AUCTION_STATE = ("reserve long, a_t long, expires_ns long, seller long, category
                  "bidder long, price long, b_t long")
 BID_STATE = "bidder long, price long, b_t long"
 
+# Bids of an unknown auction that go to the state together.
+EARLY_LOT = 1000
+
 CLOSING_INPUT = ("key long, kind string, reserve long, a_t long, expires_ns long, seller long, "
                  "category long, bidder long, price long, b_t long")
 # `event_time` is the watermark at which the result became final: later
@@ -69,55 +72,73 @@ class ClosingProcessor(StatefulProcessor):
         self.handle = handle
         self.state = handle.getValueState("auction", AUCTION_STATE)
         self.early = handle.getListState("early", BID_STATE)
+        self.purge = handle.getValueState("purge", "at_ms long")
 
     def handleInputRows(self, key, rows: Iterator[Row], timerValues: TimerValues) -> Iterator[Row]:
-        new_auction, bids = None, []
+        st = self.state.get()
+        best = st[5:] if st is not None and st[5] is not None else None
+        changed, waiting, latest = False, [], None
         for r in rows:
             if r.kind == "A":
-                new_auction = (r.reserve, r.a_t, r.expires_ns, r.seller, r.category)
-            else:
-                bids.append((r.bidder, r.price, r.b_t))
-        st = self.state.get()
-        if st is None and new_auction is None:
-            # Bids before their auction: keep until the watermark passes them.
-            self.early.appendList(bids)
-            for ms in {b[2] // NS_PER_MS + 1 for b in bids}:
-                self.handle.registerTimer(ms)
-            return iter([])
-        changed = False
+                if st is None:
+                    st, changed = (r.reserve, r.a_t, r.expires_ns, r.seller, r.category), True
+                continue
+            b = (r.bidder, r.price, r.b_t)
+            if st is not None:
+                if _valid(b, st) and _better(b, best):
+                    best, changed = b, True
+                continue
+            # The auction is not known yet: bids go to the state in small lots.
+            waiting.append(b)
+            latest = b[2] if latest is None else max(latest, b[2])
+            if len(waiting) >= EARLY_LOT:
+                self.early.appendList(waiting)
+                waiting = []
         if st is None:
-            early = [tuple(b) for b in self.early.get()]
-            if early:
-                bids = early + bids
-                self.early.clear()
+            if waiting:
+                self.early.appendList(waiting)
+            # One timer a key: it purges what is past and, if later bids have
+            # come, sets the next one.
+            if latest is not None and not self.purge.exists():
+                self._purge_at(latest // NS_PER_MS + 1)
+            return iter([])
+        if changed and len(st) == 5:  # the auction has just come
+            for b in self.early.get():
+                if _valid(tuple(b), st) and _better(tuple(b), best):
+                    best = tuple(b)
+            self.early.clear()
             # close once the watermark reaches expires (timers are in ms)
-            self.handle.registerTimer(-(-new_auction[2] // NS_PER_MS))
-            st, changed = new_auction + (None, None, None), True
-        best = st[5:] if st[5] is not None else None
-        for b in bids:
-            if _valid(b, st) and _better(b, best):
-                best, changed = b, True
+            self.handle.registerTimer(-(-st[2] // NS_PER_MS))
+            for b in waiting:
+                if _valid(b, st) and _better(b, best):
+                    best = b
         if changed:
             self.state.update(tuple(st[:5]) + (tuple(best) if best else (None, None, None)))
         return iter([])
 
+    def _purge_at(self, ms: int) -> None:
+        self.purge.update((ms,))
+        self.handle.registerTimer(ms)
+
     def handleExpiredTimer(self, key, timerValues: TimerValues,
                            expiredTimerInfo: ExpiredTimerInfo) -> Iterator[Row]:
         fired_ns = expiredTimerInfo.getExpiryTimeInMs() * NS_PER_MS
         st = self.state.get()
         if st is not None:
             if fired_ns < st[2]:
-                return iter([])  # an early bid's purge timer; the auction decides now
+                return iter([])  # the early bids' purge timer; the auction decides now
             self.state.clear()  # early bids were folded in when the auction came
             if st[5] is None:
                 return iter([])
             final = _EPOCH + _dt.timedelta(milliseconds=timerValues.getCurrentWatermarkInMs())
             return iter([Row(auction=key[0], category=st[4], seller=st[3], expires_ns=st[2],
                              bidder=st[5], price=st[6], bid_time_ns=st[7], event_time=final)])
+        self.purge.clear()
         keep = [tuple(b) for b in self.early.get() if b[2] >= fired_ns]
         self.early.clear()
         if keep:
             self.early.appendList(keep)
+            self._purge_at(max(b[2] for b in keep) // NS_PER_MS + 1)
         return iter([])
 
     def close(self) -> None:
@@ -127,11 +148,11 @@ class ClosingProcessor(StatefulProcessor):
 class RunningMeanProcessor(StatefulProcessor):
     """Per key: (key, auction, expires_ns, avg_price) with the mean of all prices so far."""
 
-    def __init__(self, key_name: str = "category"):
-        self.key_name = key_name
+    def __init__(self, key_name: str = "category", ttl_ms: int | None = None):
+        self.key_name, self.ttl_ms = key_name, ttl_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.acc = handle.getValueState("acc", "total long, n long")
+        self.acc = handle.getValueState("acc", "total long, n long", self.ttl_ms)
 
     def handleInputRows(self, key, rows: Iterator[Row], timerValues: TimerValues) -> Iterator[Row]:
         total, n = self.acc.get() if self.acc.exists() else (0, 0)
@@ -150,11 +171,11 @@ class RunningMeanProcessor(StatefulProcessor):
 class LastKMeanProcessor(StatefulProcessor):
     """Per key: (key, auction, expires_ns, avg_price) over the last k prices."""
 
-    def __init__(self, key_name: str = "bidder", k: int = 10):
-        self.key_name, self.k = key_name, k
+    def __init__(self, key_name: str = "bidder", k: int = 10, ttl_ms: int | None = None):
+        self.key_name, self.k, self.ttl_ms = key_name, k, ttl_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.tail = handle.getValueState("tail", "prices array<long>")
+        self.tail = handle.getValueState("tail", "prices array<long>", self.ttl_ms)
 
     def handleInputRows(self, key, rows: Iterator[Row], timerValues: TimerValues) -> Iterator[Row]:
         tail = list(self.tail.get()[0]) if self.tail.exists() else []

@@ -9,6 +9,7 @@ import tempfile
 from pyspark.sql import functions as F
 
 from gavel.schema import BID, EVENT
+from gavel.streaming.sources import ROCKSDB, state_store
 
 SENTINEL_AUCTION = -1
 
@@ -44,17 +45,19 @@ def write_ordered_event_files(spark, events, chunks: int, sentinel_after_ns: int
     return folder
 
 
-def run_to_memory(df, name: str, mode: str = "append"):
-    q = (df.writeStream.format("memory").queryName(name).outputMode(mode)
-         .option("checkpointLocation", fresh("ckpt")).trigger(availableNow=True).start())
+def run_to_memory(df, name: str, mode: str = "append", provider: str = ROCKSDB):
+    with state_store(df.sparkSession, provider):
+        q = (df.writeStream.format("memory").queryName(name).outputMode(mode)
+             .option("checkpointLocation", fresh("ckpt")).trigger(availableNow=True).start())
     q.awaitTermination()
     return df.sparkSession.table(name)
 
 
 def run_to_folder(df, mode: str = "append") -> str:
     out = fresh("sink")
-    q = (df.writeStream.format("parquet").option("path", out).outputMode(mode)
-         .option("checkpointLocation", fresh("ckpt")).trigger(availableNow=True).start())
+    with state_store(df.sparkSession, ROCKSDB):
+        q = (df.writeStream.format("parquet").option("path", out).outputMode(mode)
+             .option("checkpointLocation", fresh("ckpt")).trigger(availableNow=True).start())
     q.awaitTermination()
     return out
 

@@ -7,13 +7,13 @@ from gavel.operators.averages import q4_category_avg, q4_running_avg, q6_last_av
 from gavel.operators.basic import q1_currency, q2_selection
 from gavel.operators.closing import closed_auctions
 from gavel.operators.joins import q3_local_items, q8_new_users
-from gavel.operators.windows import q5_hot_items, q5_hot_items_panes, q7_highest_bid
+from gavel.operators.windows import q5_hot_items, q5_hot_items_by_window, q7_highest_bid
 
 A = dict(id=1, reserve=5, t=10, exp=20)
 
 
-def winner(spark, bid_rows, auction=A, hot=None):
-    out = closed_auctions(auctions(spark, [auction]), bids(spark, bid_rows), hot=hot).collect()
+def winner(spark, bid_rows, auction=A):
+    out = closed_auctions(auctions(spark, [auction]), bids(spark, bid_rows)).collect()
     return [(r.price, r.bid_time_ns) for r in out]
 
 
@@ -51,11 +51,6 @@ def test_no_valid_bid_no_row(spark):
     assert winner(spark, [(1, 7, 4, 12)]) == []
 
 
-def test_hot_path_same_winner(spark):
-    rows = [(1, 7, 9, 12), (1, 8, 9, 11), (1, 9, 3, 12)]
-    assert winner(spark, rows, hot=[1]) == winner(spark, rows, hot=[])
-
-
 def _closed_series(spark, prices, key_col="bidder"):
     arows = [dict(id=i + 1, reserve=0, t=0, exp=100 + i, seller=1) for i in range(len(prices))]
     brows = [(i + 1, 5, p, 1) for i, p in enumerate(prices)]
@@ -92,7 +87,7 @@ def test_window_boundary_goes_to_later_window(spark):
 
 def test_q5_tie_goes_to_higher_auction(spark):
     rows = [(a, 1, 1, NS_PER_SECOND * s) for a in (7, 9) for s in (1, 2, 3)]
-    for fn in (q5_hot_items, q5_hot_items_panes):
+    for fn in (q5_hot_items, q5_hot_items_by_window):
         out = fn(bids(spark, rows), "10 seconds", "10 seconds").collect()
         assert [(r.auction, r.n) for r in out] == [(9, 3)]
 
@@ -100,7 +95,7 @@ def test_q5_tie_goes_to_higher_auction(spark):
 def test_q5_forms_agree_on_sliding_windows(spark):
     rows = [((i * 7) % 5, 1, 1, i * 333 * NS_PER_US * 1000) for i in range(300)]
     a = q5_hot_items(bids(spark, rows), "60 seconds", "1 second")
-    b = q5_hot_items_panes(bids(spark, rows), "60 seconds", "1 second")
+    b = q5_hot_items_by_window(bids(spark, rows), "60 seconds", "1 second")
     assert a.count() > 0
     assert a.exceptAll(b).count() == 0 and b.exceptAll(a).count() == 0
 
@@ -127,5 +122,12 @@ def test_diff_by_time_multiset(spark):
     a = spark.createDataFrame([(1, 5), (1, 5), (2, 7), (3, 1)], "t long, v long")
     b = spark.createDataFrame([(1, 5), (2, 7), (2, 8), (3, 1)], "t long, v long")
     got = sorted(tuple(r) for r in diff_by_time(a, b, "t").collect())
-    assert got == [("left", 1, 5), ("right", 2, 8)]
+    assert got == [("left", 1, 5, 1), ("right", 2, 8, 1)]
     assert diff_by_time(a, a, "t").count() == 0
+
+
+def test_diff_by_time_counts_a_row_that_differs_often(spark):
+    from gavel.operators.diff import diff_by_time
+    many = spark.range(50_000).selectExpr("1L AS t", "5L AS v")
+    few = spark.createDataFrame([(1, 5)] * 3, "t long, v long")
+    assert [tuple(r) for r in diff_by_time(few, many, "t").collect()] == [("right", 1, 5, 49_997)]

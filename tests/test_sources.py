@@ -3,6 +3,7 @@
 import json
 import time
 
+import pytest
 from oracle_util import _norm
 from stream_util import fresh
 
@@ -24,6 +25,33 @@ def test_json_is_internally_tagged(spark):
     assert _norm(back.toPandas()).equals(_norm(flatten(ev.drop("arrival", "time_ns")).toPandas()))
 
 
+BAD_LINES = ['{"type":"Bid","auction":1,"bidder":2,"pri', '{"type":"Bid","auction":"x","bidder":2,"price":3,"date_time":4}',
+             '{"type":"Offer","auction":1}', "{}", None]
+
+
+def test_bad_json_lines_are_kept_and_counted(spark):
+    good = '{"type":"Bid","auction":1,"bidder":2,"price":3,"date_time":4}'
+    lines = spark.createDataFrame([(x,) for x in [good, *BAD_LINES]], "value string")
+    got = events_from_json(lines, bad="keep").collect()
+    assert sorted(r.bad_line or "" for r in got if r.bad_line is not None) == sorted(x or "" for x in BAD_LINES)
+    (event,) = [r for r in got if r.bad_line is None]
+    assert event.type == "Bid" and event.bid.price == 3
+    assert all(r.type is None and r.person is None and r.auction is None and r.bid is None for r in got if r.bad_line is not None)
+
+
+@pytest.mark.parametrize("line", BAD_LINES)
+def test_bad_json_lines_fail_by_default(spark, line):
+    with pytest.raises(Exception, match="(?i)malformed|unknown event type"):
+        events_from_json(spark.createDataFrame([(line,)], "value string")).collect()
+
+
+def test_unknown_types_are_not_written_as_bids(spark):
+    from gavel.schema import EVENT
+    for kind in ("Offer", None):
+        with pytest.raises(Exception, match="unknown event type"):
+            events_to_json(spark.createDataFrame([(kind, None, None, None)], EVENT)).collect()
+
+
 def test_trim_keeps_steady_part(spark):
     df = spark.createDataFrame([(t * 10**9, 1) for t in range(31)], "t_ns long, latency_ns long")
     kept = sorted(r.t_ns // 10**9 for r in trim(df, 0, 30 * 10**9).collect())
@@ -75,6 +103,7 @@ def test_progress_samples(spark):
     samples = progress_samples(spark, q)
     q.stop()
     rows = samples.collect()
+    assert all(r.rows == 100 for r in rows)
     assert len(rows) >= 3 and all(r.latency_ns >= 0 and r.t_ns > 0 for r in rows)
     assert latency_ccdf(samples, sig_bits=3).count() >= 1
 
@@ -83,7 +112,7 @@ def test_run_named_writes_reports(spark):
     from gavel.streaming.run import run_named
     out = fresh("runs")
     ccdf, timeline = run_named(spark, "q3_mem", rate=20_000, duration="4 seconds", out_dir=out,
-                               trigger="500 milliseconds", min_batches=2)
+                               trigger="500 milliseconds", min_batches=2, warmup="0 seconds", cooldown="0 seconds")
     lines = [r.value for r in spark.read.text(f"{out}/q3_mem/latency_ccdf").collect()]
     assert lines and all(x.startswith("latency_ccdf\t") for x in lines)
     assert max(float(x.split("\t")[2]) for x in lines) == 1.0

@@ -2,6 +2,7 @@
 
 import pytest
 from oracle_util import _norm
+from pyspark.errors import StreamingQueryException
 from pyspark.sql import functions as F
 from stream_util import SENTINEL_AUCTION, run_to_folder, run_to_memory, write_ordered_event_files
 
@@ -159,6 +160,133 @@ def test_named_queries(spark, feed):
     assert all(v > 0 for v in counts.values()), counts
 
 
+@pytest.mark.parametrize("key, last", [("category", None), ("bidder", 10), ("seller", 1), ("seller", 3)])
+def test_running_means_by_micro_batch(spark, feed, key, last):
+    from gavel.sources.generator import max_auction_length_ns
+    from gavel.streaming.frames import running_means
+    from gavel.streaming.sources import state_store
+    from stream_util import fresh
+    events, folder = feed
+    b = demux(events)
+    batch = closed_auctions(b.auction, b.bid)
+    closed = S.closed_auctions_stream_bounded(event_file_stream(spark, folder, 1), max_auction_length_ns(CFG))
+    out = fresh("means")
+    with state_store(spark):
+        q = (running_means(closed, out + "/table", out + "/state", key, last).trigger(availableNow=True)
+             .option("checkpointLocation", out + "/checkpoint").start())
+    q.awaitTermination()
+    want = q4_running_avg(batch) if last is None else q6_last_avg(batch, key, last)
+    ok, n = same(spark.read.parquet(out + "/table").drop("batch"), want)
+    assert ok and n[0] > 100, n
+
+
+def test_an_auction_over_the_bound_fails(spark, feed):
+    """A bound that is too short fails the query; it loses no auction."""
+    _, folder = feed
+    closed = S.closed_auctions_stream_bounded(event_file_stream(spark, folder, 1), "200 milliseconds")
+    with pytest.raises(StreamingQueryException, match="longer than max_length"):
+        run_to_memory(closed, "s_closed_short")
+
+
+def test_each_sink_has_its_own_checkpoint(spark, feed):
+    from gavel.streaming.named import start_named
+    from stream_util import fresh
+    events, folder = feed
+    want = demux(events).bid.where("auction % 123 = 0").count()
+    for _ in range(2):
+        out = fresh("sink2")
+        start_named(spark, "q2", event_file_stream(spark, folder), out, available_now=True).awaitTermination()
+        assert spark.read.parquet(out).count() == want > 0
+
+
+def test_all_batches_are_sampled(spark):
+    """More micro-batches than Spark retains: a polled log has them all, a late look raises."""
+    import time
+    from gavel.streaming.progress import ProgressLog, progress_samples
+    from gavel.streaming.sources import generated_event_stream
+    from stream_util import fresh
+    key = "spark.sql.streaming.numRecentProgressUpdates"
+    spark.conf.set(key, "5")
+    try:
+        q = (generated_event_stream(spark, 10, CFG).writeStream.format("noop")
+             .option("checkpointLocation", fresh("many")).trigger(processingTime="50 milliseconds").start())
+        log = ProgressLog(q)
+        deadline = time.time() + 120
+        while log.poll() < 12 and time.time() < deadline:
+            time.sleep(0.02)
+        with pytest.raises(RuntimeError, match="gone"):
+            progress_samples(spark, q)
+        q.stop()
+        rows = log.samples(spark).collect()
+        assert len(rows) >= 12 and all(r.rows == 10 for r in rows)
+    finally:
+        spark.conf.unset(key)
+
+
+def write_feed(spark, batches):
+    """One file of tagged bids (auction, price, t) or events for each micro-batch."""
+    import glob
+    import os
+    from gavel.schema import EVENT
+    from stream_util import fresh
+    folder, stage = fresh("feed"), fresh("stage")
+    for i, rows in enumerate(batches):
+        spark.createDataFrame(rows, EVENT).coalesce(1).write.parquet(f"{stage}/{i}")
+        (src,) = glob.glob(f"{stage}/{i}/part-*.parquet")
+        os.link(src, f"{folder}/{i:05d}.parquet")
+        os.utime(f"{folder}/{i:05d}.parquet", (1_600_000_000 + i, 1_600_000_000 + i))
+    return folder
+
+
+def bid_event(auction, price, t):
+    return ("Bid", None, None, (auction, 1, price, BASE + t * NS_PER_SECOND))
+
+
+def auction_event(id_, t, expires, reserve=0):
+    return ("Auction", None, (id_, "", "", 0, reserve, BASE + t * NS_PER_SECOND, BASE + expires * NS_PER_SECOND, 5, 10), None)
+
+
+def test_a_row_behind_the_watermark_is_dropped(spark):
+    """A bid later than the delay allows is left out of its closed window; one within the delay counts."""
+    folder = write_feed(spark, [
+        [bid_event(1, 10, 1)], [bid_event(1, 20, 30)],
+        [bid_event(1, 99, 2)],  # its window [0 s, 10 s) closed when the watermark reached 25 s
+        [bid_event(1, 50, 27)],  # behind the latest event, within the delay of 5 s
+        [bid_event(1, 1, 1000)], [bid_event(1, 1, 1001)]])
+    t = stream_tables(spark, folder, "5 seconds")
+    got = run_to_memory(S.q7_stream(t.bid, "10 seconds"), "s_late").collect()
+    assert {(r.window_end_ns - BASE) // NS_PER_SECOND: r.price for r in got} == {10: 10, 30: 50, 40: 20}
+
+
+def test_early_bids_wait_for_their_auction_and_are_purged(spark):
+    folder = write_feed(spark, [
+        [bid_event(1, 30, 5), bid_event(1, 40, 6), bid_event(2, 70, 3)],  # both auctions unknown yet
+        [auction_event(1, 4, 50), bid_event(9, 1, 4)],  # auction 1 takes its early bids
+        [bid_event(1, 35, 20), bid_event(9, 1, 30)],
+        [auction_event(2, 40, 60), bid_event(2, 5, 45)],  # the bid at 3 s came before auction 2 began
+        [bid_event(9, 1, 1000)], [bid_event(9, 1, 1001)]])
+    t = stream_tables(spark, folder, "0 seconds")
+    got = run_to_memory(S.closed_auctions_stream(t.auction, t.bid), "s_early").collect()
+    assert {r.auction: r.price for r in got} == {1: 40, 2: 5}
+
+
+def test_q3_state_bound(spark, feed):
+    """With a bound only pairs that close in time join; a wide one gives all."""
+    events, folder = feed
+    b = demux(events)
+    t = stream_tables(spark, folder)
+    ok, n = same(run_to_memory(S.q3_stream(t.auction, t.person, "1 hour"), "s_q3_wide"), q3_local_items(b.auction, b.person))
+    assert ok and n[0] > 0, n
+    t = stream_tables(spark, folder)
+    got = run_to_memory(S.q3_stream(t.auction, t.person, "1 second"), "s_q3_near")
+    near = (b.auction.alias("a").where("category = 10").join(
+        b.person.alias("p").where("state IN ('OR', 'ID', 'CA')"),
+        F.expr(f"a.seller = p.id AND abs(a.date_time_ns - p.date_time_ns) <= {NS_PER_SECOND}"))
+        .selectExpr("p.name", "p.city", "p.state", "a.id AS auction_id"))
+    ok, m = same(got, near)
+    assert ok and 0 < m[0] < n[0], m
+
+
 def test_chained_means(spark, feed):
     events, folder = feed
     b = demux(events)

@@ -82,12 +82,15 @@ def notices(files: DataFrame, text: str = "text", templates=TEMPLATES, bar: floa
     """(path, license, score, share): the best notice of each path that has one, and the share of its words in notices."""
     spark = files.sparkSession
     known = model(files, text, templates, bar)
-    rare = rf"(?i)(?<![a-z0-9])(?:{'|'.join(known['anchors'])})(?![a-z0-9])"
+    rare = F.array(*map(F.lit, known["anchors"]))
+
+    def hopeful(col):
+        return F.arrays_overlap(F.split(F.lower(F.col(col)), "[^a-z0-9]+"), rare)
     idf = literal_rows(spark, known["idf"], "term string, idf double")
     vectors = literal_rows(spark, known["vectors"], "number int, license string, term string, weight double")
-    parts = files.where(F.col(text).rlike(rare)).select(
+    parts = files.where(hopeful(text)).select(
         "path", F.monotonically_increasing_id().alias("row"), F.size(words(F.col(text))).alias("n_words"), F.posexplode(F.split(text, SENTENCE)).alias("pos", "part"))
-    parts = saved(parts.where(F.col("part").rlike(rare)))  # from here on a row's number is fixed
+    parts = saved(parts.where(hopeful("part")))  # from here on a row's number is fixed
     terms = parts.select("row", "pos", F.explode(words(F.col("part"))).alias("term")).groupBy("row", "pos", "term").agg(F.count("*").alias("tf"))
     terms = terms.join(idf, "term", "left").select("row", "pos", "term", (F.col("tf") * F.coalesce("idf", F.lit(known["most"]))).alias("w"), "tf")
     size = terms.groupBy("row", "pos").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("size"), F.sum("tf").alias("n"))

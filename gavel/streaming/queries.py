@@ -40,13 +40,14 @@ def q3_stream(auction: DataFrame, person: DataFrame, bound: str | int | None = N
     away, in either direction; Spark then drops either side's state once the
     watermark has passed it by the bound. The state of a long run is bounded,
     and a pair further apart is not a result."""
-    time = [] if bound is None else ["event_time"]
-    a = auction.where(F.col("category") == Q3_CATEGORY).select(F.col("id").alias("auction_id"), "seller", *time)
-    p = person.where(F.col("state").isin(Q3_STATES)).select("id", "name", "city", "state", *time)
+    def time(name):
+        return [] if bound is None else [F.col("event_time").alias(name)]
+    a = auction.where(F.col("category") == Q3_CATEGORY).select(F.col("id").alias("auction_id"), "seller", *time("a_time"))
+    p = person.where(F.col("state").isin(Q3_STATES)).select("id", "name", "city", "state", *time("p_time"))
     cond = a["seller"] == p["id"]
     if bound is not None:
         far = F.expr(f"INTERVAL {_us(bound)}")
-        cond = cond & (a["event_time"] >= p["event_time"] - far) & (a["event_time"] <= p["event_time"] + far)
+        cond = cond & (a["a_time"] >= p["p_time"] - far) & (a["a_time"] <= p["p_time"] + far)
     return a.join(p, cond, "inner").select("name", "city", "state", "auction_id")
 
 

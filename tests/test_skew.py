@@ -61,13 +61,13 @@ def test_closed_auctions_splits_a_hot_auction(spark, skewed, split_soon):
         plain, want = final_plan(closed_auctions(skewed["auction"], skewed["bid"]))
     finally:
         spark.conf.set("spark.sql.adaptive.skewJoin.enabled", "true")
-    assert "skew=true" not in plain and rows.equals(want) and len(rows) == 500
+    assert "skew=true" not in plain and rows.equals(want) and len(rows) == 250
 
 
 def test_q8_splits_a_hot_seller(spark, skewed, split_soon):
     plan, rows = final_plan(q8_new_users(skewed["person"], skewed["auction"]).groupBy("id").agg(F.count("*").alias("n")))
     assert "skew=true" in plan
-    assert dict(zip(rows["id"], rows["n"]))[3] == 30_000 + 75 and rows["n"].sum() == 60_000
+    assert dict(zip(rows["id"], rows["n"]))[3] == 30_000 + 150 and rows["n"].sum() == 60_000
 
 
 def test_building_a_query_runs_no_job(spark):

@@ -247,9 +247,10 @@ def auction_event(id_, t, expires, reserve=0):
 
 
 def test_a_row_behind_the_watermark_is_dropped(spark):
-    """A bid later than the delay allows is left out of its closed window; one within the delay counts."""
+    """A bid behind the watermark of the micro-batch before is left out of its closed window (Spark judges
+    lateness by that one); a bid within the delay counts."""
     folder = write_feed(spark, [
-        [bid_event(1, 10, 1)], [bid_event(1, 20, 30)],
+        [bid_event(1, 10, 1)], [bid_event(1, 20, 30)], [bid_event(1, 15, 31)],
         [bid_event(1, 99, 2)],  # its window [0 s, 10 s) closed when the watermark reached 25 s
         [bid_event(1, 50, 27)],  # behind the latest event, within the delay of 5 s
         [bid_event(1, 1, 1000)], [bid_event(1, 1, 1001)]])

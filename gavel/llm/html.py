@@ -14,7 +14,8 @@ Every wrapper stream is folded as it is read. Wrappers join back by host; the op
 and otherwise splits the pages of a hot host.
 
 Defined results: null or empty html gives an empty text; pages without a URL or host share the wrapper of the empty
-host; repeated pages give equal texts; a page that has nothing in its host's content slots is labelled by its own wrapper; elements
+host; repeated pages give equal texts; a page that has nothing in its host's content slots is labelled by its own wrapper, and so is
+what the host's wrapper has no place for; elements
 nested over ``DEPTH`` deep are read as part of their ancestor; an empty table gives none.
 """
 
@@ -38,7 +39,7 @@ DEPTH = 100
 GROUP = 4
 #: Items of one level that are aligned by dynamic programming; longer levels are aligned by unique signatures in order.
 ALIGNED = 200
-#: Items a wrapper level keeps apart; beyond, items are told apart by tag name and class no more.
+#: Items a wrapper level keeps in order; a longer level has one item for each signature, in any order.
 LEVEL_ITEMS = 256
 #: Hosts a task folds at once, and salted groups of partial wrappers of a host.
 HOSTS_AT_ONCE, SALTS = 2000, 32
@@ -252,7 +253,6 @@ def merge(a: list, b: list) -> list:
     if len(out) > LEVEL_ITEMS:
         by: dict[str, list] = {}
         for item in out:
-            item[0] = TEXT if item[3] is None else item[0].split(".")[0]
             item[1] = item[2] = True
             by[item[0]] = merged(by[item[0]], item) if item[0] in by else item
         out = list(by.values())
@@ -311,18 +311,31 @@ def label(items: list) -> list:
     return items
 
 
-def content(page: list, wrapper: list) -> list[int]:
-    """Numbers of the page's text runs in content slots."""
-    out = []
+def _numbers(items: list) -> list[int]:
+    return [k for x in items for k in (x[4][4] if x[3] is None else _numbers(x[3]))]
+
+
+def content(page: list, wrapper: list) -> tuple[list[int], list[int]]:
+    """Numbers of the page's text runs in content slots, and of those that the wrapper has no place for."""
+    out, strange = [], []
+    places = None
     for i, j in align(page, wrapper):
-        if i is None or j is None:
+        if i is None:
             continue
-        x, y = page[i], wrapper[j]
-        if x[3] is None:
-            out += x[4][4] if y[4][4] == [1] else []
-        elif y[3] is not None:
-            out += content(x[3], y[3])
-    return out
+        x = page[i]
+        if j is None:  # a level in any order has its place elsewhere
+            if places is None:
+                places = {y[0]: k for k, y in reversed(list(enumerate(wrapper)))}
+            j = places.get(x[0])
+        if j is None:
+            strange += _numbers([x])
+        elif x[3] is None:
+            out += x[4][4] if wrapper[j][4][4] == [1] else []
+        else:
+            inner = content(x[3], wrapper[j][3])
+            out += inner[0]
+            strange += inner[1]
+    return out, strange
 
 
 def _own(page: list) -> list[int]:
@@ -351,8 +364,11 @@ def extract(html: str, wrapper: list | None) -> str:
     """Main text of one page."""
     items, texts = parse(html)
     page = fold(items)
-    numbers = content(page, wrapper) if wrapper is not None else []
-    numbers = numbers or _own(page)
+    numbers, strange = content(page, wrapper) if wrapper is not None else ([], [])
+    if not numbers:
+        numbers = _own(page)
+    elif strange:
+        numbers += set(strange).intersection(_own(page))
     return "\n\n".join(" ".join(texts[k].split()) for k in sorted(numbers))
 
 

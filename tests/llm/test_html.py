@@ -109,6 +109,21 @@ def test_long_levels_align():
     assert len(H.merge(a, b)) <= H.LEVEL_ITEMS
 
 
+def test_levels_of_many_layouts_keep_whole_articles():
+    rnd = random.Random(7)
+    names = [a + b for a in "bcdfghjklmnpqrstvwxyz" for b in "bcdfghjklmnpqrstvwxyz"][:400]
+    pages, want = [], []
+    for k, name in enumerate(names):
+        blocks = [f"<h2>head {k}</h2><p>lead {k}</p>", f'<div class="{name}">body {k}</div>', f'<p class="{rnd.choice(names)}">more {k}</p>',
+                  f'<div class="{rnd.choice(names)}"><p>quote {k}</p><ul><li>item {k}</li></ul></div>']
+        rnd.shuffle(blocks)
+        pages.append("<article><h1>Title</h1>" + "".join(blocks) + "</article>")
+        want.append(re.sub("(?:<[^>]*>)+", "\n\n", pages[-1]).strip())
+    for order in (pages, pages[::-1], rnd.sample(pages, len(pages))):
+        known = H.label(json.loads(json.dumps(wrapper(*order))))
+        assert [H.extract(p, known) for p in pages] == want
+
+
 def test_awkward_rows(spark):
     rows = [(1, None, None), (2, "http://a/b", ""), (3, "http://a/c", "plain text"), (4, "http://a/c", PAGE), (4, "http://a/c", PAGE),
             (None, "no url", "<p>un<b>closed"), (5, "http://long/", "<article>" + "<p>word word</p>" * 20_000 + "</article>")]

@@ -43,7 +43,7 @@ ALIGNED = 200
 LEVEL_ITEMS = 256
 #: Hosts a task folds at once, and salted groups of partial wrappers of a host.
 HOSTS_AT_ONCE, SALTS = 2000, 32
-#: Pages from which a text that never changes counts as the template's.
+#: Pages of different main text from which a text that never changes counts as the template's.
 TEMPLATE_PAGES = 10
 
 _TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>"']|"[^"]*"|'[^']*')*+)>""", re.S)
@@ -65,9 +65,11 @@ _CLOSED_BY = {
     "option": {"option"},
 }
 _HEADINGS = {"h1", "h2", "h3"}
+_MAIN = (("article",), ("main",))
 
 # An item of a wrapper: [signature, optional, repeated, children or None for text, statistics]. Statistics of text:
-# [times, characters, characters in links, hash of the only text so far or 0, numbers of the page's runs];
+# [times, characters, characters in links, hash of the only text so far or 0, numbers of the page's runs, hash of all
+# texts]; in a wrapper the last is the least TEMPLATE_PAGES different hashes of the main text of the slot's pages;
 # of elements: times. A signature that starts with "!" is no main text and keeps no children.
 TEXT = "#"
 
@@ -98,7 +100,8 @@ def parse(html: str) -> tuple[list, list[str]]:
                 if size:
                     texts.append(whole)
                     linked = sum(len(x) for x, inside in run if inside)
-                    stack[-1][1].append([TEXT, False, False, None, [1, size, min(linked, size), zlib.crc32(" ".join(whole.split()).encode("utf-8", "replace")) | 1 << 32, [len(texts) - 1]]])
+                    only = zlib.crc32(" ".join(whole.split()).encode("utf-8", "replace")) | 1 << 32
+                    stack[-1][1].append([TEXT, False, False, None, [1, size, min(linked, size), only, [len(texts) - 1], only]])
             run.clear()
 
     def text(s):
@@ -161,6 +164,7 @@ def merged(a: list, b: list) -> list:
         s[2] += t[2]
         s[3] = s[3] if s[3] == t[3] else 0
         s[4] += t[4]
+        s[5] = sorted({*s[5], *t[5]})[:TEMPLATE_PAGES] if isinstance(s[5], list) else (31 * s[5] + t[5]) % (1 << 61)
     else:
         a[3] = merge(a[3], b[3])
         a[4] += b[4]
@@ -259,9 +263,16 @@ def merge(a: list, b: list) -> list:
     return out
 
 
-def bare(items: list) -> list:
-    """A wrapper without the numbers of a page's text runs."""
-    return [[x[0], x[1], x[2], None, [*x[4][:4], []]] if x[3] is None else [x[0], x[1], x[2], bare(x[3]), x[4]] for x in items]
+def bare(items: list, own: list[int] | None = None) -> list:
+    """A page's wrapper, without the numbers of its text runs."""
+    if own is None:
+        main = next((r for names in _MAIN if any(map(weight, r := _regions(items, names)))), items)
+        own = [zlib.crc32(repr(_hashes(main)).encode())]
+    return [[x[0], x[1], x[2], None, [*x[4][:4], [], own]] if x[3] is None else [x[0], x[1], x[2], bare(x[3], own), x[4]] for x in items]
+
+
+def _hashes(items: list) -> list[int]:
+    return [k for x in items for k in ([x[4][5]] if x[3] is None else _hashes(x[3]))]
 
 
 def weight(item: list) -> int:
@@ -281,9 +292,11 @@ def _regions(items: list, names: tuple[str, ...]) -> list:
 
 
 def label(items: list) -> list:
-    """The wrapper with 1 or 0 as the only number of each text slot: content or not."""
-    chosen = next((r for names in (("article",), ("main",)) if any(map(weight, r := _regions(items, names)))), None)
-    if chosen is None:
+    """The wrapper with 1 or 0 as the only number of each text slot: content or not. In an article or main element only
+    text that all pages share is the template's; elsewhere also text that some share, and slots that are mostly links."""
+    chosen = next((r for names in _MAIN if any(map(weight, r := _regions(items, names)))), None)
+    found = chosen is not None
+    if not found:
         region = ["", False, False, items, 1]
         while True:
             total = weight(region)
@@ -299,15 +312,17 @@ def label(items: list) -> list:
         return any(x[4][3] == 0 if x[3] is None else varies(x[3]) for x in items)
     changing = any(varies(x[3]) for x in chosen)
 
-    def mark(items, within, parent):
+    def mark(items, within, parent, everywhere):
         for x in items:
             if x[3] is None:
-                times, chars, links, only, _ = x[4]
-                template = only and changing and times >= TEMPLATE_PAGES and parent not in _HEADINGS
-                x[4] = [*x[4][:4], [int(bool(within and not template and 2 * links <= chars))]]
+                _, chars, links, only, _, pages = x[4]
+                shared = isinstance(pages, list) and len(pages) >= TEMPLATE_PAGES and (not found or everywhere and not x[1])
+                template = only and changing and shared and parent not in _HEADINGS
+                x[4] = [*x[4][:4], [int(bool(within and not template and (found or 2 * links <= chars)))]]
             elif x[0][0] != "!":
-                mark(x[3], within or id(x) in inside, x[0].split(".")[0])
-    mark(items, whole, "")
+                first = id(x) in inside
+                mark(x[3], within or first, x[0].split(".")[0], first or everywhere and not x[1])
+    mark(items, whole, "", True)
     return items
 
 

@@ -88,6 +88,26 @@ def test_template_text_inside_the_article_goes():
     assert H.extract(pages[3], known) == "Same\n\ntext 3"
 
 
+def test_repeated_text_inside_the_article_stays():
+    copy = "<article><h1>A</h1><blockquote>quoted</blockquote><p>the story</p></article>"
+    others = [f"<article><h1>B {i}</h1><p>text {i}</p></article>" for i in range(30)]
+    for pages in ([copy] * 12 + others, others + [copy] * 40):
+        known = H.label(json.loads(json.dumps(wrapper(*pages))))
+        assert H.extract(copy, known) == "A\n\nquoted\n\nthe story" and H.extract(others[3], known) == "B 3\n\ntext 3"
+    copies = H.label(wrapper(*[copy + f"<div>{i}</div>" for i in range(12)]))
+    assert H.extract(copy, copies) == "A\n\nquoted\n\nthe story"
+    items = "<article><p>one</p><p>two</p><ul>" + "<li>same</li>" * 12 + "</ul></article>"
+    want = "\n\n".join(["one", "two"] + ["same"] * 12)
+    assert H.extract(items, None) == want == H.extract(items, H.label(wrapper(items)))
+
+
+def test_links_inside_the_article_stay():
+    pages = [f'<article><h1><a href=/{i}>Title {i}</a></h1><p>text of page {i}</p><ul><li><a href=x>source {i}</a></li></ul></article>' for i in range(12)]
+    known = H.label(wrapper(*pages))
+    assert [H.extract(p, known) for p in pages] == [f"Title {i}\n\ntext of page {i}\n\nsource {i}" for i in range(12)]
+    assert H.extract(pages[0], None) == "Title 0\n\ntext of page 0\n\nsource 0"
+
+
 def test_without_an_article_the_densest_region_counts():
     long = "<div><div>" + "<p>prose of the page, at some length</p>" * 5 + "</div><div><a href=x>one</a><a href=y>two links</a></div></div>"
     assert H.extract(long, None) == "\n\n".join(["prose of the page, at some length"] * 5)

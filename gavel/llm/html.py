@@ -25,6 +25,7 @@ import html as entities
 import json
 import re
 import zlib
+from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -87,7 +88,8 @@ def signature(tag: str, attributes: str) -> str:
 def parse(html: str) -> tuple[list, list[str]]:
     """A page's items, unfolded, and its text runs with white space as it came."""
     root: list = []
-    stack = [("", root, False)]  # tag, children, inside something that is no main text
+    stack = [("", root, False)]  # tag, children (over DEPTH those of the ancestor), inside something that is no main text
+    opened: Counter = Counter()  # tags on the stack
     texts: list[str] = []
     run: list[tuple[str, bool]] = []
     links = 0
@@ -126,11 +128,11 @@ def parse(html: str) -> tuple[list, list[str]]:
             continue
         flush()
         if m[1]:
-            for depth in range(len(stack) - 1, 0, -1):
-                if stack[depth][0] == tag:
-                    del stack[depth:]
-                    links = 0
-                    break
+            if opened[tag]:
+                links = 0
+                while (name := stack.pop()[0]) != tag:
+                    opened[name] -= 1
+                opened[tag] -= 1
             continue
         if tag in _RAW:
             if not m[3].rstrip().endswith("/"):
@@ -138,18 +140,17 @@ def parse(html: str) -> tuple[list, list[str]]:
                 at = close.end() if close else len(html)
             continue
         while tag in _CLOSED_BY.get(stack[-1][0], ()):
-            stack.pop()
+            opened[stack.pop()[0]] -= 1
             links = 0
         if tag in _VOID:
             continue
-        if len(stack) > DEPTH:
-            continue
         sign = signature(tag, m[3])
         skip = stack[-1][2] or sign[0] == "!"
-        children: list = []
-        if not stack[-1][2]:
+        children: list = stack[-1][1] if len(stack) > DEPTH else []
+        if not stack[-1][2] and len(stack) <= DEPTH:
             stack[-1][1].append([sign, False, False, children, 1])
         stack.append((tag, children, skip))
+        opened[tag] += 1
     flush()
     return root, texts
 

@@ -120,6 +120,12 @@ def test_broken_markup():
     assert H.extract("<div>" * 5000 + "deep", None) == "deep"
 
 
+def test_deep_elements_end_by_their_own_tags():
+    deep = "<div>" * 150 + "<p>inner</p><nav>menu</nav>" + "</div>" * 150
+    page = f"<body><article><h1>Title</h1><div><p>one</p>{deep}<p>two</p></div><p>three</p></article><div>after</div></body>"
+    assert H.extract(page, None) == "Title\n\none\n\ninner\n\ntwo\n\nthree"
+
+
 def test_long_levels_align():
     rnd = random.Random(1)
     a, b = ([[f"t{rnd.randrange(80)}", False, False, [], 1] for _ in range(400)] for _ in range(2))

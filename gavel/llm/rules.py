@@ -2,9 +2,9 @@
 
 Words and word pairs are hashed into buckets. Their counts over all documents give the raw multinomial, those of
 trusted documents the target one; a document's verdict is the mean over its n-grams of log target - log raw against a
-fixed bar, so equal texts always get equal verdicts. Trusted are labelled documents of label 1, ``TARGET`` at most (the first
-by a hash of their ids); the raw counts take in every document. Both come from one pass whose tasks emit one row
-for each bucket, and a second pass judges; no text is shuffled.
+fixed bar, so equal texts always get equal verdicts. Trusted are all labelled documents of label 1, marked by a shuffle
+join with their ids at every size; the raw counts take in every document. Both come from one pass whose tasks emit one
+row for each bucket, and a second pass judges, for which no text is shuffled.
 
 Defined results: a null or empty text has no words and fails; without trusted documents the ratio is zero and the
 counts alone decide; repeated rows are judged alike; an empty table gives none.
@@ -22,8 +22,8 @@ from gavel.llm import text as tx
 from gavel.llm.common import arrow_schema, map_batches, table
 
 BUCKET_BITS = 16
-#: Trusted documents that the target counts take in at most.
-TARGET = 50_000
+#: Column that marks trusted rows.
+TARGET = "__trusted"
 #: Pseudo-count of every bucket.
 SMOOTHING = 1.0
 #: Mean log ratio from which a document is kept.
@@ -47,26 +47,26 @@ def ngrams(buf: np.ndarray, offs: np.ndarray):
     return np.concatenate((words >> shift, pairs >> shift)).astype(np.int64), np.concatenate((text, text[pair])), words, first
 
 
-def counts(docs: DataFrame, trusted: DataFrame, key: str, text: str, target: int) -> np.ndarray:
+def counts(docs: DataFrame, trusted: DataFrame, key: str, text: str, target: str = TARGET) -> np.ndarray:
     """Raw and target counts of every bucket."""
-    rows = trusted.where(F.col(key).isNotNull()).select(key).distinct().orderBy(F.xxhash64(key), key).limit(target)
-    chosen = docs.sparkSession.sparkContext.broadcast(frozenset(r[0] for r in rows.collect()))
+    ids = trusted.where(F.col(key).isNotNull()).select(F.col(key).alias("__id"), F.lit(True).alias(target)).distinct().hint("merge")
+    marked = docs.select(key, text).join(ids, F.col(key) == F.col("__id"), "left").select(text, F.coalesce(target, F.lit(False)).alias(target))
     schema = T.StructType([T.StructField("bucket", T.IntegerType()), T.StructField("raw", T.LongType()), T.StructField("target", T.LongType())])
     out = arrow_schema(schema)
 
     def run(batches):
         total = np.zeros((2, 1 << BUCKET_BITS), np.int64)
         for batch in batches:
-            ids = batch.column(0).to_pylist()
-            for a, b, buf, offs in tx.blocks(batch.column(1)):
+            chosen = batch.column(1).to_numpy(zero_copy_only=False)
+            for a, b, buf, offs in tx.blocks(batch.column(0)):
                 bucket, owner, _, _ = ngrams(buf, offs)
                 total[0] += np.bincount(bucket, minlength=1 << BUCKET_BITS)
-                good = np.array([i in chosen.value for i in ids[a:b]], bool)
+                good = chosen[a:b]
                 if good.any():
                     total[1] += np.bincount(bucket[good[owner]], minlength=1 << BUCKET_BITS)
         seen = np.flatnonzero(total[0])
         yield pa.RecordBatch.from_arrays([pa.array(seen.astype(np.int32)), pa.array(total[0][seen]), pa.array(total[1][seen])], schema=out)
-    sums = docs.select(key, text).mapInArrow(run, schema).groupBy("bucket").agg(F.sum("raw").alias("raw"), F.sum("target").alias("target"))
+    sums = marked.mapInArrow(run, schema).groupBy("bucket").agg(F.sum("raw").alias("raw"), F.sum("target").alias("target"))
     result = np.zeros((2, 1 << BUCKET_BITS))
     for r in sums.collect():  # one row for each bucket at most
         result[:, r.bucket] = r.raw, r.target
@@ -113,10 +113,9 @@ def _per_text_key(hashes: np.ndarray, text: np.ndarray) -> np.ndarray:
     return tx.mix(hashes + text.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 
 
-def quality_rules(docs: DataFrame, trusted: DataFrame, key: str = "doc_id", text: str = "text", bar: float = BAR,
-                  target: int = TARGET) -> DataFrame:
+def quality_rules(docs: DataFrame, trusted: DataFrame, key: str = "doc_id", text: str = "text", bar: float = BAR) -> DataFrame:
     """(key, counts, log_ratio, base_failed, kept) of every row; ``trusted`` holds the ids of trusted documents."""
-    shared = docs.sparkSession.sparkContext.broadcast(log_ratio(counts(docs, trusted, key, text, target)))
+    shared = docs.sparkSession.sparkContext.broadcast(log_ratio(counts(docs, trusted, key, text)))
     docs = docs.select(key, text)
     names = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
     schema = T.StructType([docs.schema[0], *(T.StructField(x, T.LongType()) for x in names), T.StructField("log_ratio", T.DoubleType()),

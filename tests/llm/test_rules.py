@@ -52,6 +52,13 @@ def test_ratio_against_plain_counts(spark):
         assert math.isclose(r.log_ratio, sum(ratio[b] for b in bucket) / len(bucket), abs_tol=1e-6)
 
 
+def test_all_trusted_documents_count(spark):
+    n = 60_000
+    docs = spark.range(n + 500).selectExpr("id AS doc_id", "concat('w', id % 7, ' same') AS text")
+    both = R.counts(docs, spark.range(n).selectExpr("id AS doc_id"), "doc_id", "text", R.TARGET)
+    assert both.sum(1).tolist() == [3 * (n + 500), 3 * n]
+
+
 def test_clean_stay_and_junk_goes(spark):
     sf = "/root/testdata/sf0.1"
     rows = R.op6_quality_rules(spark, sf).join(table(spark, sf, "labels"), "doc_id").toPandas()

@@ -1,6 +1,7 @@
 import collections
 import math
 import re
+import textwrap
 
 from llm_util import awkward, empty
 from pyspark.sql import functions as F
@@ -59,6 +60,29 @@ def test_notices_in_running_text(spark):
     assert got["/f0"][0] == "CC-BY-SA-4.0" and got["/f5"][0] == "GPL-2.0" and got["/f4"][0] == "MIT"
 
 
+def test_common_words_weigh_little(spark):
+    texts = ["unless noted otherwise somewhere by somebody"] * 300 + ["Released under the MIT License unless noted otherwise somewhere by somebody."]
+    files = spark.createDataFrame([(f"/f{i}", t) for i, t in enumerate(texts)], "path string, text string")
+    assert [(r.path, r.license) for r in L.notices(files).collect()] == [("/f300", "MIT")]
+
+
+def test_headers_files_and_identifiers(spark):
+    gpl, bsd, mit = (dict(L.TEXTS)[x] for x in ("GPL-2.0", "BSD-3-Clause", "MIT"))
+
+    def lines(t, mark=""):
+        return "\n".join(f"{mark}{x}" for x in textwrap.wrap(t, 60))
+    code = "int main() {\n  return compute(alpha, beta, gamma);\n}\n" * 30
+    rows = [("/a/x.c", "/*\n * Copyright 2019 Somebody\n *\n" + lines(gpl, " * ") + "\n */\n" + code, "GPL-2.0"),
+            ("/b/LICENSE", "Copyright (c) 2020, Somebody\n\n" + "\n\n".join(lines(x) for x in bsd.split(". ")), "BSD-3-Clause"),
+            ("/c/x.py", lines(mit, "# ") + "\nimport os\n" + code, "MIT"),
+            ("/d/x.py", "# SPDX-License-Identifier: GPL-3.0-or-later\n" + code, "GPL-3.0"),
+            ("/e/x.js", "/* SPDX-License-Identifier: (MIT OR Apache-2.0) */\n" + code, "(MIT OR Apache-2.0)"),
+            ("/g/x.md", "Some prose.\n\nThis work is licensed under the\nGNU General Public License,\nversion 3.\n\nMore prose, " + code, "GPL-3.0"),
+            ("/h/x.c", code, None)]
+    got = L.scan(spark.createDataFrame([r[:2] for r in rows], "path string, text string")).collect()
+    assert {r.path: r.license for r in got} == {p: x for p, _, x in rows}
+
+
 def test_nearest_ancestor(spark):
     rows = [("/a/LICENSE", "Released under the MIT License."), ("/a/b/x.c", "code"), ("/a/b/c/y.c", "// Licensed under CC BY-SA 4.0.\nfoo " + "bar " * 40),
             ("/z/q", None), ("/a/b/COPYING", "Copyright me. Licensed under the Apache License, Version 2.0. And a great many other words follow here"),

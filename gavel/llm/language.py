@@ -28,8 +28,8 @@ from gavel.llm.bpe import VOCABULARY, load_ranks
 from gavel.llm.common import arrow_schema, map_batches, table
 
 LONGEST = 31
-#: Bytes of the longest piece in use.
-PIECE_BYTES = 12
+#: Bytes of the longest piece that a word can hold, with its space.
+PIECE_BYTES = LONGEST + 1
 ROUNDS = 2
 SMOOTHING = 0.1
 #: Expected counts are summed as whole numbers of this fraction, so that sums don't depend on their order.

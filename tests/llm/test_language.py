@@ -41,6 +41,22 @@ def test_forward_sums_all_segmentations(pieces):
     assert np.allclose(got, want)
 
 
+def test_long_pieces_count(pieces):
+    known = {b: i for i, b in enumerate(pieces)}
+    prob = np.random.default_rng(2).random((len(pieces), 2))
+    cut, parts = words("understanding international representatives")
+    assert all(c in known for c in cut)
+
+    def total(word):
+        reach = [np.ones(2)] + [np.zeros(2) for _ in word]
+        for high in range(1, len(word) + 1):
+            for low in range(high):
+                if word[low:high] in known:
+                    reach[high] = reach[high] + reach[low] * prob[known[word[low:high]]]
+        return reach[-1]
+    assert np.allclose(np.exp(L.Scorer(L.Vocabulary(pieces), prob).words(*parts)), [total(c) for c in cut])
+
+
 def test_expected_counts_are_posterior(pieces):
     """Forward-backward against the posterior over listed segmentations."""
     known = {b: i for i, b in enumerate(pieces) if len(b) <= L.PIECE_BYTES}

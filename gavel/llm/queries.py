@@ -10,6 +10,7 @@ from gavel.llm.quality import op10_quality
 from gavel.llm.rules import op6_quality_rules
 from gavel.llm.secrets import op2_secrets
 from gavel.llm.simhash import op8_simhash
+from gavel.llm.tokenfile import op11_tokenfile
 
 QUERIES = {
     "op1_html": op1_html,
@@ -22,6 +23,7 @@ QUERIES = {
     "op8_simhash": op8_simhash,
     "op9_urls": urls.op9_urls,
     "op10_quality": op10_quality,
+    "op11_tokenfile": op11_tokenfile,
 }
 
 ORACLE_SQL: dict[str, str] = {

@@ -11,17 +11,16 @@ and its words end, so that a whole block, or one document of it, is unpacked wit
 ``shards`` says how many ids come before each file. Ids continue from file to file in ascending key order; every
 document ends with one ``end`` id.
 
-Spark. Texts are encoded and packed where they are read; the packed words (about 2 bytes an id) are dealt to files by
-ranges of the key, each file is written in order, and a sum over files gives their starts. Spark's own committer
-writes all files, so a lost executor costs only its tasks.
+Spark. Texts are dealt to files by ranges of the key; each task encodes, packs and writes its texts in order, and a sum
+over files gives their starts. Spark's own committer writes all files, so a lost executor costs only its tasks.
 
 Encoding is that of the tokenizers library without special tokens. The library splits a text by its pattern and
 encodes each piece by itself, so a piece's ids don't depend on its text; here each distinct piece goes to the library
 once and a text's ids are put together from them (equal pieces are compared, not only their hashes). Cutting alone costs the
 library 320 seconds a GB.
 
-Defined results: a null text counts as empty and has only the end id; rows of one key keep together, ordered by their
-words, and equal rows are interchangeable; null keys come first; texts of any length are encoded whole; an empty
+Defined results: a null text counts as empty and has only the end id; rows of one key keep together, ordered by a
+hash of their texts, and equal rows are interchangeable; null keys come first; texts of any length are encoded whole; an empty
 table gives an empty file; only the two named columns are read, whatever others are called.
 """
 
@@ -43,21 +42,35 @@ from pyspark.sql import types as T
 
 from gavel.llm import text as tx
 from gavel.llm.bpe import LETTER, NUMBER, OTHER, SPACE, classes, code_points, piece_starts
-from gavel.llm.common import arrow_schema, map_batches, saved, table
+from gavel.llm.common import arrow_schema, map_batches, table
 from gavel.session import ensure_checkpoint_dir
 
 VOCABULARY = "byte_bpe_50k.json"
-#: Ids in a block.
+#: Bytes of texts that a task encodes together, and ids in a block of a file.
+TEXT_BYTES = 1 << 20
 BLOCK_IDS = 1 << 16
-#: Distinct pieces that a worker remembers; beyond, remembering starts anew.
-REMEMBERED = 200_000
+#: Distinct pieces that a worker remembers (about 80 bytes each); beyond, remembering starts anew. And slots of its table.
+REMEMBERED = 1_000_000
+SLOTS = 1 << 21
+#: Words that go to the library as one text.
+LOT = 128
 #: Fixed values of the coding: ids in a word and bits of each, by selector.
-COUNTS = np.array([0, 60, 30, 20, 15, 12, 10, 8, 7, 6, 5, 4, 3, 2, 1, 0])
-BITS = np.array([0, 1, 2, 3, 4, 5, 6, 7, 8, 10, 12, 15, 20, 30, 60, 60])
+COUNTS = np.array([0, 60, 30, 20, 15, 12, 10, 8, 7, 6, 5, 4, 3, 2, 1, 0], np.uint8)
+BITS = np.array([0, 1, 2, 3, 4, 5, 6, 7, 8, 10, 12, 15, 20, 30, 60, 60], np.uint8)
 LAST, ESCAPE = 14, 15
 _LOW = np.uint64((1 << 60) - 1)
 
 
+_SHORT = np.maximum(np.ceil(np.log2(np.arange(1, (1 << 16) + 1))), 1).astype(np.uint8)
+
+
+def _widths(ids: np.ndarray) -> np.ndarray:
+    """Bits of each id, one at least."""
+    if ids.max() < len(_SHORT):
+        return _SHORT[ids]
+    return np.searchsorted(np.uint64(1) << np.arange(1, 64, dtype=np.uint64), ids, "right").astype(np.uint8) + 1
+
+
 def _reach(widths: np.ndarray) -> dict[int, np.ndarray]:
     """For each selector's count n, the widest of the n ids from every place (beyond the end nothing is added)."""
     top = {1: widths}
@@ -83,17 +96,18 @@ def pack(ids: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     if not len(ids):
         return np.zeros(0, np.uint64), np.zeros(len(ends), np.int64)
     # The selector of a word that starts at any given id: the one with most ids that fit and end in the document.
-    widths = np.searchsorted(np.uint64(1) << np.arange(1, 64, dtype=np.uint64), ids, "right").astype(np.uint8) + 1
     left = np.repeat(ends, np.diff(ends, prepend=0)) - np.arange(len(ids))
-    reach = _reach(widths)
+    left = np.minimum(left, COUNTS.max()).astype(np.uint8)
+    reach = _reach(_widths(ids))
     choice = np.full(len(ids), ESCAPE, np.uint8)
     for s in range(LAST, 0, -1):
-        choice[(reach[int(COUNTS[s])] <= BITS[s]) & (left >= COUNTS[s])] = s
-    step = np.maximum(COUNTS[choice], 1)
+        np.copyto(choice, np.uint8(s), where=(reach[int(COUNTS[s])] <= BITS[s]) & (left >= COUNTS[s]))
+    step = np.maximum(COUNTS, 1)[choice]
     # Following the words from the first id is the one sequential part.
     steps, at, starts = step.tolist(), 0, []
-    while at < len(steps):
-        starts.append(at)
+    add, end = starts.append, len(steps)
+    while at < end:
+        add(at)
         at += steps[at]
     starts = np.array(starts)
     choice = choice[starts]
@@ -117,7 +131,7 @@ def unpack(words: np.ndarray) -> np.ndarray:
     selector = (words >> np.uint64(60)).astype(np.int64)
     if (selector == 0).any():
         raise ValueError("not a word of a token file")
-    counts = COUNTS[selector]
+    counts = COUNTS[selector].astype(np.int64)
     at = np.cumsum(counts) - counts
     out = np.zeros(int(counts.sum()), np.uint64)
     for s in range(1, ESCAPE):
@@ -159,24 +173,116 @@ def stand_ins(definition: bytes) -> list[tuple[int, int]]:
     return out
 
 
+def _spread(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Every place of the stretches that begin at ``starts``."""
+    ends = np.cumsum(sizes)
+    return np.repeat(starts - ends + sizes, sizes) + np.arange(ends[-1] if len(ends) else 0)
+
+
+class Rows:
+    """A growing array of stretches, such as the ids of every remembered piece."""
+
+    def __init__(self, dtype):
+        self.data, self.used = np.zeros(1 << 16, dtype), 0
+        self.starts, self.sizes = np.zeros(0, np.int64), np.zeros(0, np.int64)
+
+    def add(self, data: np.ndarray, sizes: np.ndarray) -> None:
+        if self.used + len(data) > len(self.data):
+            self.data = np.concatenate((self.data[:self.used], np.zeros(self.used + len(data), self.data.dtype)))
+        self.data[self.used:self.used + len(data)] = data
+        self.starts = np.concatenate((self.starts, self.used + np.cumsum(sizes) - sizes))
+        self.sizes = np.concatenate((self.sizes, sizes))
+        self.used += len(data)
+
+
 class PieceIds:
-    """Ids of pieces by the tokenizers library; each distinct piece is encoded once."""
+    """Ids of pieces by the tokenizers library, each distinct piece encoded once while it is remembered.
+
+    Remembered pieces have numbers; a table over the lowest bits of a 64-bit hash leads to the last piece with these
+    bits, whose hash, length and characters are then compared."""
 
     def __init__(self, definition: bytes, others: list[tuple[int, int]]):
         self.library = load(definition)
-        self.known: dict[str, bytes] = {}
         self.seen = np.arange(0x110000, dtype=np.uint32)
         for code, stand_in in others:
             self.seen[code] = stand_in
+        self.forget()
+
+    def forget(self) -> None:
+        self.number = np.full(SLOTS, -1, np.int32)
+        self.key = np.zeros(SLOTS, np.uint64)
+        self.chars, self.ids = Rows(np.uint32), Rows(np.uint32)
+
+    def encode(self, whole: str, kinds: np.ndarray, starts: np.ndarray, stops: np.ndarray) -> None:
+        """Have the library encode some different pieces, and remember them."""
+        # Words behind a space are cut again as they were when they follow each other, so many go as one text.
+        ones = stops - starts
+        plain = (ones > 1) & (kinds[starts] == SPACE) & (kinds[np.minimum(starts + 1, len(kinds) - 1)] == LETTER)
+        pieces = [whole[s:e] for s, e in zip(starts.tolist(), stops.tolist())]
+        order = np.concatenate((np.flatnonzero(plain), np.flatnonzero(~plain)))
+        words = int(plain.sum())
+        lots = [order[i:min(i + LOT, words)].tolist() for i in range(0, words, LOT)]
+        got = self.library.encode_batch(["".join(map(pieces.__getitem__, lot)) for lot in lots], add_special_tokens=False)
+        if words < len(order):
+            lots.append(order[words:].tolist())
+            got.append(self.library.encode(list(map(pieces.__getitem__, lots[-1])), is_pretokenized=True, add_special_tokens=False))
+        sizes = np.concatenate([np.bincount(g.word_ids, minlength=len(lot)) for g, lot in zip(got, lots)])
+        rows = Rows(np.uint32)
+        rows.add(np.concatenate([np.array(g.ids, np.uint32) for g in got]), sizes)
+        back = np.argsort(order)
+        self.ids.add(rows.data[_spread(rows.starts[back], sizes[back])], sizes[back])
+
+    def __call__(self, whole: str, code: np.ndarray, kinds: np.ndarray, cuts: np.ndarray, stops: np.ndarray) -> np.ndarray:
+        """The number of every piece of a text, known or new."""
+        if len(self.ids.sizes) > REMEMBERED:
+            self.forget()
+        size = stops - cuts
+        key = _piece_hashes(code, cuts, stops)
+        slot = (key & np.uint64(SLOTS - 1)).astype(np.int64)
+        number = np.where(self.key[slot] == key, self.number[slot], -1)
+        found = number >= 0
+        wrong = found.copy()  # same hash, another piece
+        wrong[found] = self.chars.sizes[number[found]] != size[found]
+        same = np.flatnonzero(found & ~wrong)
+        places = _spread(cuts[same], size[same])
+        differ = self.chars.data[_spread(self.chars.starts[number[same]], size[same])] != code[places]
+        if differ.any():
+            wrong[same[np.repeat(np.arange(len(same)), size[same])[differ]]] = True
+        number[wrong] = -1
+        new = np.flatnonzero(number < 0)
+        if len(new):
+            sample, which = distinct_pieces(code, cuts[new], stops[new], key[new])
+            first = new[sample]
+            base = len(self.chars.sizes)
+            self.encode(whole, kinds, cuts[first], stops[first])
+            self.chars.add(code[_spread(cuts[first], size[first])], size[first])
+            number[new] = base + which
+            self.number[slot[first]] = base + np.arange(len(first))
+            self.key[slot[first]] = key[first[self.number[slot[first]] - base]]  # one piece of several with one slot
+        return number
+
+
+def _piece_hashes(code: np.ndarray, cuts: np.ndarray, stops: np.ndarray) -> np.ndarray:
+    up, down = tx._powers(len(code) + 1)
+    total = np.concatenate(([np.uint64(0)], np.cumsum(tx.mix(code.astype(np.uint64) + np.uint64(0x51ED2701)) * up[:-1], dtype=np.uint64)))
+    return tx.mix((total[stops] - total[cuts]) * down[cuts] + (stops - cuts).astype(np.uint64))
 
-    def __call__(self, pieces: list[str]) -> list[bytes]:
-        if len(self.known) > REMEMBERED:
-            self.known.clear()
-        new = [p for p in pieces if p not in self.known]
-        if new:
-            for p, e in zip(new, self.library.encode_batch(new, add_special_tokens=False)):
-                self.known[p] = np.array(e.ids, "<u4").tobytes()
-        return list(map(self.known.__getitem__, pieces))
+
+def distinct_pieces(code: np.ndarray, cuts: np.ndarray, stops: np.ndarray, key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(a piece of each distinct kind, the kind of every piece), by hashes and then by their characters."""
+    size = stops - cuts
+    _, sample, which = np.unique(key, return_index=True, return_inverse=True)
+    if (size[sample][which] == size).all() and (code[_spread(cuts[sample][which], size)] == code[_spread(cuts, size)]).all():
+        return sample, which
+    kinds: dict[bytes, int] = {}
+    first = []
+    which = np.zeros(len(cuts), np.int64)
+    for i, (s, e) in enumerate(zip(cuts.tolist(), stops.tolist())):
+        k = kinds.setdefault(code[s:e].tobytes(), len(first))
+        if k == len(first):
+            first.append(i)
+        which[i] = k
+    return np.array(first), which
 
 
 def encode_texts(library: PieceIds, data: bytes, offs: np.ndarray, end: int) -> tuple[np.ndarray, np.ndarray]:
@@ -185,16 +291,15 @@ def encode_texts(library: PieceIds, data: bytes, offs: np.ndarray, end: int) ->
     code, _ = code_points(whole)
     lead = np.concatenate(([0], np.cumsum((np.frombuffer(data, np.uint8) & 0xC0) != 0x80)))
     at = lead[offs]
-    cuts = piece_starts(library.seen[code], at)
+    seen = library.seen[code]
+    cuts = piece_starts(seen, at)
     if len(cuts):
-        stops = np.concatenate((cuts[1:], [len(code)]))
-        sample, which = distinct_pieces(code, cuts, stops)
-        packed = library([whole[s:e] for s, e in zip(cuts[sample].tolist(), stops[sample].tolist())])
-        sizes = np.fromiter(map(len, packed), np.int64, len(packed)) // 4
-        ids = np.frombuffer(b"".join(map(packed.__getitem__, which.tolist())), "<u4")
-        before = np.concatenate(([0], np.cumsum(sizes[which])))[np.searchsorted(cuts, at[1:])]
+        number = library(whole, code, classes()[seen], cuts, np.concatenate((cuts[1:], [len(code)])))
+        sizes = library.ids.sizes[number]
+        ids = library.ids.data[_spread(library.ids.starts[number], sizes)]
+        before = np.concatenate(([0], np.cumsum(sizes)))[np.searchsorted(cuts, at[1:])]
     else:
-        ids, before = np.zeros(0, "<u4"), np.zeros(len(offs) - 1, np.int64)
+        ids, before = np.zeros(0, np.uint32), np.zeros(len(offs) - 1, np.int64)
     ends = before + np.arange(1, len(before) + 1)
     out = np.full(len(ids) + len(before), end, np.uint32)
     own = np.ones(len(out), bool)
@@ -203,27 +308,6 @@ def encode_texts(library: PieceIds, data: bytes, offs: np.ndarray, end: int) ->
     return out, ends
 
 
-def distinct_pieces(code: np.ndarray, cuts: np.ndarray, stops: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(a piece of each distinct kind, the kind of every piece), by hashes and then by their characters."""
-    up, down = tx._powers(len(code) + 1)
-    total = np.concatenate(([np.uint64(0)], np.cumsum(tx.mix(code.astype(np.uint64) + np.uint64(0x51ED2701)) * up[:-1], dtype=np.uint64)))
-    size = stops - cuts
-    key = tx.mix((total[stops] - total[cuts]) * down[cuts] + size.astype(np.uint64))
-    _, sample, which = np.unique(key, return_index=True, return_inverse=True)
-    twin = np.repeat(cuts[sample][which] - cuts, size) + np.arange(len(code))  # each character's place in the sample
-    if (size[sample][which] == size).all() and (code[twin] == code).all():
-        return sample, which
-    kinds: dict[bytes, int] = {}
-    first = []
-    which = np.zeros(len(cuts), np.int64)
-    for i, (s, e) in enumerate(zip(cuts.tolist(), stops.tolist())):
-        k = kinds.setdefault(code[s:e].tobytes(), len(first))
-        if k == len(first):
-            first.append(i)
-        which[i] = k
-    return np.array(first), which
-
-
 def _library(shared) -> PieceIds:
     """The worker's library for a broadcast definition."""
     kept = sys.modules.setdefault("_gavel_llm_tokenfile", types.SimpleNamespace(by_digest={}, last=(None, None)))
@@ -237,31 +321,6 @@ def _library(shared) -> PieceIds:
     return kept.last[1]
 
 
-def packed_tokens(docs: DataFrame, key: str = "doc_id", text: str = "text", path: str | None = None, end: int = 0) -> DataFrame:
-    """(key, n_ids, words) of every row: its ids and the end id, packed. ``path`` names a definition of the tokenizers
-    library, whose size is that of the vocabulary."""
-    if path is None:
-        import public_tokenizers
-        path = public_tokenizers.path(VOCABULARY)
-    with open(path, "rb") as f:
-        definition = f.read()
-    shared = docs.sparkSession.sparkContext.broadcast((definition, stand_ins(definition)))
-    docs = docs.select(F.col(key).alias("key"), F.col(text).alias("text"))
-    schema = T.StructType([docs.schema[0], T.StructField("n_ids", T.LongType()), T.StructField("words", T.BinaryType())])
-    out = arrow_schema(schema)
-
-    def run(batch: pa.RecordBatch):
-        library = _library(shared)
-        for a, b, buf, offs in tx.blocks(batch.column(1)):
-            ids, ends = encode_texts(library, buf.tobytes(), offs, end)
-            words, stops = pack(ids, ends)
-            data = words.astype("<u8").tobytes()
-            starts = np.concatenate(([0], stops[:-1]))
-            rows = [data[8 * s:8 * e] for s, e in zip(starts.tolist(), stops.tolist())]
-            yield pa.RecordBatch.from_arrays([batch.column(0)[a:b].cast(out[0].type), pa.array(np.diff(ends, prepend=0)), pa.array(rows, pa.binary())], schema=out)
-    return map_batches(docs, run, schema)
-
-
 def _block_schema(key: T.DataType) -> T.StructType:
     longs = T.ArrayType(T.LongType())
     return T.StructType([T.StructField("shard", T.LongType()), T.StructField("before", T.LongType()), T.StructField("n_ids", T.LongType()),
@@ -270,35 +329,45 @@ def _block_schema(key: T.DataType) -> T.StructType:
 
 
 def write_tokens(docs: DataFrame, folder: str, key: str = "doc_id", text: str = "text", path: str | None = None, end: int = 0) -> None:
-    """Write the token file of a table of texts into ``folder``, which all executors share."""
+    """Write the token file of a table of texts into ``folder``, which all executors share. ``path`` names a definition
+    of the tokenizers library, whose size is that of the vocabulary."""
     spark = docs.sparkSession
-    # Dealing by ranges looks at its input twice, so the packed rows are written once.
-    rows = saved(packed_tokens(docs, key, text, path, end))
-    order = [F.col("key").asc_nulls_first(), F.xxhash64("words"), F.col("n_ids")]
-    ranged = rows.repartitionByRange(*order).sortWithinPartitions(*order)
-    schema = _block_schema(rows.schema["key"].dataType)
+    if path is None:
+        import public_tokenizers
+        path = public_tokenizers.path(VOCABULARY)
+    with open(path, "rb") as f:
+        definition = f.read()
+    shared = spark.sparkContext.broadcast((definition, stand_ins(definition)))
+    order = [F.col("key").asc_nulls_first(), F.xxhash64("text"), F.length("text")]
+    docs = docs.select(F.col(key).alias("key"), F.col(text).alias("text"))
+    ranged = docs.repartitionByRange(*order).sortWithinPartitions(*order)
+    schema = _block_schema(docs.schema["key"].dataType)
     out = arrow_schema(schema)
 
     def run(batches):
-        shard, before = TaskContext.get().partitionId(), 0
-        held: list[tuple] = []
-        size = 0
+        library, shard, before = _library(shared), TaskContext.get().partitionId(), 0
+        keys, counts, rows, size = [], [], [], 0
 
         def block():
             nonlocal before, size
-            ids = np.cumsum([n for _, n, _ in held]).tolist()
-            words = np.cumsum([len(w) // 8 for _, _, w in held]).tolist()
-            row = [shard, before, size, [k for k, _, _ in held], ids, words, b"".join(w for _, _, w in held)]
+            row = [shard, before, size, list(keys), np.cumsum(counts).tolist(), np.cumsum([len(w) // 8 for w in rows]).tolist(), b"".join(rows)]
             before, size = before + size, 0
-            held.clear()
+            for held in (keys, counts, rows):
+                held.clear()
             return pa.RecordBatch.from_arrays([pa.array([x], f.type) for x, f in zip(row, out)], schema=out)
         for batch in batches:
-            for one in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), (w.as_py() for w in batch.column(2))):
-                if held and size + one[1] > BLOCK_IDS:
-                    yield block()
-                held.append(one)
-                size += one[1]
-        if held:
+            for a, b, buf, offs in tx.blocks(batch.column(1), TEXT_BYTES):
+                ids, ends = encode_texts(library, buf.tobytes(), offs, end)
+                words, stops = pack(ids, ends)
+                data, stops = words.astype("<u8").tobytes(), (8 * stops).tolist()
+                for k, n, s, e in zip(batch.column(0)[a:b].to_pylist(), np.diff(ends, prepend=0).tolist(), [0, *stops], stops):
+                    if keys and size + n > BLOCK_IDS:
+                        yield block()
+                    keys.append(k)
+                    counts.append(n)
+                    rows.append(data[s:e])
+                    size += n
+        if keys:
             yield block()
     # The words are as dense as they get.
     ranged.mapInArrow(run, schema).write.option("compression", "uncompressed").parquet(f"{folder}/blocks")

@@ -74,11 +74,21 @@ def test_every_character_is_cut_as_by_the_library(pieces, library):
         assert own == [s for _, (s, _) in library.pre_tokenizer.pre_tokenize_str(text)]
 
 
-def test_equal_hashes_of_different_pieces(monkeypatch):
-    monkeypatch.setattr(K.tx, "mix", lambda h: h * np.uint64(0))
-    code = np.frombuffer("abcabd".encode("utf-32-le"), "<u4")
-    sample, which = K.distinct_pieces(code, np.array([0, 2, 3, 5]), np.array([2, 3, 5, 6]))
-    assert sample.tolist() == [0, 1, 3] and which.tolist() == [0, 1, 0, 2]
+@settings(max_examples=100, deadline=None)
+@given(texts=st.lists(st.one_of(odd, st.text("ab é1!", max_size=30)), min_size=1, max_size=6), bits=st.sampled_from([0, 3, 64]))
+def test_equal_hashes_of_different_pieces(pieces, library, texts, bits):
+    """Whatever the hashes and slots have in common, pieces are told apart."""
+    with pytest.MonkeyPatch.context() as m:
+        m.setattr(K, "SLOTS", 4)
+        m.setattr(K, "REMEMBERED", 30)
+        plain = K._piece_hashes
+        m.setattr(K, "_piece_hashes", lambda *a: plain(*a) & np.uint64((1 << bits) - 1))
+        pieces.forget()
+        for t in texts * 2:
+            data = t.encode()
+            ids, _ = K.encode_texts(pieces, data, np.array([0, len(data)]), 0)
+            assert ids.tolist() == [*library.encode(t, add_special_tokens=False).ids, 0]
+    pieces.forget()
 
 
 def _by_library(rows, library):

@@ -1,6 +1,6 @@
 """Registered queries of the training-data operators, each over its whole table with production parameters."""
 
-from gavel.llm import decontaminate, secrets, urls
+from gavel.llm import decontaminate, merkle, secrets, urls
 from gavel.llm.bpe import op5_bpe
 from gavel.llm.decontaminate import op4_decontaminate
 from gavel.llm.html import op1_html
@@ -24,10 +24,12 @@ QUERIES = {
     "op9_urls": urls.op9_urls,
     "op10_quality": op10_quality,
     "op11_tokenfile": op11_tokenfile,
+    "op12_merkle": merkle.op12_merkle,
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op2_secrets": secrets.ORACLE_SQL,
     "op4_decontaminate": decontaminate.ORACLE_SQL,
     "op9_urls": urls.ORACLE_SQL,
+    "op12_merkle": merkle.ORACLE_SQL,
 }

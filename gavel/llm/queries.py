@@ -1,6 +1,6 @@
 """Registered queries of the training-data operators, each over its whole table with production parameters."""
 
-from gavel.llm import decontaminate, merkle, secrets, urls
+from gavel.llm import decontaminate, merkle, secrets, spelling, urls
 from gavel.llm.bpe import op5_bpe
 from gavel.llm.decontaminate import op4_decontaminate
 from gavel.llm.html import op1_html
@@ -25,6 +25,7 @@ QUERIES = {
     "op10_quality": op10_quality,
     "op11_tokenfile": op11_tokenfile,
     "op12_merkle": merkle.op12_merkle,
+    "op13_spelling": spelling.op13_spelling,
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -32,4 +33,5 @@ ORACLE_SQL: dict[str, str] = {
     "op4_decontaminate": decontaminate.ORACLE_SQL,
     "op9_urls": urls.ORACLE_SQL,
     "op12_merkle": merkle.ORACLE_SQL,
+    "op13_spelling": spelling.ORACLE_SQL,
 }

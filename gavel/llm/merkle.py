@@ -185,12 +185,12 @@ class Manifest:
         """Requests (group, at, what) with subroot, root, digest and path."""
         start = self.top.trees.select("group", F.array().cast(SEGMENT).alias("path"))
         tops = descend(self.top, start, self.places.select(F.lit("").alias("group"), "at", F.struct("of").alias("what")))
-        tops = saved(tops.select(F.col("what")["of"].alias("group"), "path", F.col("digest").alias("subroot")))
+        root = self.top.trees.select(F.col("group").alias("all"), F.col("digest").alias("root"))
+        tops = tops.join(root, F.col("group") == F.col("all"))
+        tops = saved(tops.select(F.col("what")["of"].alias("group"), "path", F.col("digest").alias("subroot"), "root"))
         found = descend(self.groups, tops.select("group", "path"), requests)
-        subroots = tops.select(F.col("group").alias("of"), "subroot")
-        root = self.top.trees.select(F.col("digest").alias("root"))  # one row
-        found = found.join(subroots, F.col("group").eqNullSafe(F.col("of"))).drop("of")
-        return found.join(F.broadcast(root))
+        known = tops.select(F.col("group").alias("of"), "subroot", "root")
+        return found.join(known, F.col("group").eqNullSafe(F.col("of"))).drop("of")
 
 
 def manifest(docs: DataFrame, key: str = "doc_id", group: str = "source", fields: tuple[str, ...] = FIELDS, **also: Column) -> Manifest:

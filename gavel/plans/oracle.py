@@ -218,8 +218,10 @@ def _ms(ns: str) -> str:
 
 
 _EVENTS_MARK = f"(SELECT {_ms('max(date_time_ns)')} FROM ebid)"
-_CLOSING_MARK = (f"least((SELECT {_ms('max(date_time_ns)')} FROM bid), "
-                 f"(SELECT {_ms('max(date_time_ns)')} FROM auction))")
+# Closing by sessions runs on a clock of three ticks a ns, whose watermark moves in steps of 1,000 ticks: a session ends
+# one tick before three times the expiry; the latest bid begins one tick after three times its time.
+_SESSION_OVER = ("3 * expires_ns - 1 <= greatest((SELECT 3 * max(date_time_ns) + 1 FROM bid), "
+                 "(SELECT 3 * max(date_time_ns) FROM auction)) // 1000 * 1000")
 # Bounded closing: bids' watermark, and the latest close time (expiry + 1 ms)
 # less the length bound + 1 ms. An auction leaves with the 1 ms window of its close time, once
 # the watermark that the join hands on, less by the range of its condition, has passed it.
@@ -235,7 +237,8 @@ SELECT * FROM (SELECT (date_time_ns // {_H}) * {_H} + {_H} AS window_end_ns, max
 WHERE window_end_ns <= {_EVENTS_MARK}"""),
     "q8_stream": ORACLE_SQL["q8_new_users_30d"],
     "q8_as_written_stream": ORACLE_SQL["q8_as_written"],
-    "closed_auctions_stream": _with(f"SELECT * FROM closed WHERE expires_ns <= {_CLOSING_MARK}"),
+    "closed_auctions_stream": _with(f"SELECT * FROM closed WHERE {_SESSION_OVER}"),
+    "closed_auctions_table_stream": _with(f"SELECT * FROM closed WHERE {_SESSION_OVER}"),
     "closed_auctions_bounded_stream": _with(_BOUNDED + "SELECT * FROM done"),
     "q4_running_stream": _with(_BOUNDED + """
 SELECT category, auction, expires_ns,

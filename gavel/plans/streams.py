@@ -1,11 +1,13 @@
 """Registered streaming queries: the streaming forms over the shared tables.
 
-Each reads its tables as file streams, runs with `availableNow` into a table
-under the session's checkpoint folder and returns that table. The files hold
+Each runs with `availableNow` into a table under the session's checkpoint folder
+and returns that table. Some read their tables as file streams: the files hold
 rows in no time order, so all of them form one micro-batch, in which no row is
-late; the batch that follows it runs with the watermark at the latest event time
-and emits what that watermark closes. Windows and auctions still open then are
-not results, which is what the oracles state.
+late, and the batch that follows it runs with the watermark at the latest event
+time and emits what that watermark closes. Others read a replay of the tables
+in time order (`streaming.replay`) in `BATCHES` micro-batches, in which windows
+and auctions close one after another. Windows and auctions still open at the end
+are not results, which is what the oracles state.
 """
 
 from __future__ import annotations
@@ -14,19 +16,26 @@ import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from gavel.functions.time import event_time
 from gavel.session import ensure_checkpoint_dir
 from gavel.sources.events import to_events
 from gavel.sources.tables import (
-    TABLE_SCHEMAS, AuctionTables, auction_from_orders, bid_from_lineitem, bids_from_events, person_from_customer,
+    TABLE_SCHEMAS, AuctionTables, auction_from_orders, bid_from_lineitem, bids_from_events, dense_bids, from_tpch,
+    person_from_customer,
 )
 from gavel.streaming import queries as S
+from gavel.streaming.closing import closed_auctions_sessions
+from gavel.streaming.replay import write_replay
 from gavel.streaming.sources import ROCKSDB, state_store
 
 # Longest auction of the adapter (expiry is 1 to 90 days after the start).
 MAX_AUCTION_LENGTH = "90 days"
 
+# Micro-batches of a replay.
+BATCHES = 20
+
 
 def read_stream(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     # As a pattern, the path may be a folder or a single file.
@@ -43,10 +52,20 @@ def timed(df: DataFrame, delay: str = "0 seconds") -> DataFrame:
     return df.withColumn("event_time", event_time("date_time_ns")).withWatermark("event_time", delay)
 
 
+def fresh_folder(spark: SparkSession) -> str:
+    return f"{ensure_checkpoint_dir(spark).rstrip('/')}/streams/{uuid.uuid4().hex}"
+
+
+def replayed(df: DataFrame, time_col: str = "date_time_ns", batches: int = BATCHES, **how) -> DataFrame:
+    """A table as a stream in time order."""
+    spark = df.sparkSession
+    return write_replay(df, f"{fresh_folder(spark)}/feed", time_col, batches, **how).stream(spark)
+
+
 def run_to_table(df: DataFrame) -> DataFrame:
     """Run a streaming query over all input that is there, into shared storage; its result as a table."""
     spark = df.sparkSession
-    folder = f"{ensure_checkpoint_dir(spark).rstrip('/')}/streams/{uuid.uuid4().hex}"
+    folder = fresh_folder(spark)
     with state_store(spark, ROCKSDB):
         query = (df.writeStream.format("parquet").option("path", f"{folder}/table").outputMode("append")
                  .option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start())
@@ -54,9 +73,10 @@ def run_to_table(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(f"{folder}/table")
 
 
-def _closed(spark: SparkSession, sf: str) -> DataFrame:
-    t = stream_tpch(spark, sf)
-    return S.closed_auctions_stream(timed(t.auction), timed(t.bid))
+def auction_events(spark: SparkSession, sf: str) -> DataFrame:
+    """Auctions and bids of the shared tables as one table of tagged events, with their time."""
+    events = to_events(from_tpch(spark, sf)).where(F.col("type") != "Person")
+    return events.withColumn("date_time_ns", F.coalesce("auction.date_time_ns", "bid.date_time_ns"))
 
 
 def _closed_bounded(spark: SparkSession, sf: str) -> DataFrame:
@@ -71,12 +91,13 @@ def _dense(spark: SparkSession, sf: str) -> DataFrame:
 STREAM_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "q3_stream": lambda s, d: (lambda t: run_to_table(S.q3_stream(t.auction, t.person)))(stream_tpch(s, d)),
     "q5_stream": lambda s, d: run_to_table(S.q5_stream_panes(_dense(s, d), "1 hour", "10 minutes")),
-    "q7_stream": lambda s, d: run_to_table(S.q7_stream(_dense(s, d), "1 hour")),
+    "q7_stream": lambda s, d: run_to_table(S.q7_stream(timed(replayed(dense_bids(s, d))), "1 hour")),
     "q8_stream": lambda s, d: (lambda t: run_to_table(
         S.q8_stream(timed(t.person), timed(t.auction), "30 days")))(stream_tpch(s, d)),
     "q8_as_written_stream": lambda s, d: (lambda t: run_to_table(
         S.q8_as_written_stream(timed(t.auction), "12 hours")))(stream_tpch(s, d)),
-    "closed_auctions_stream": lambda s, d: run_to_table(_closed(s, d)).drop("event_time"),
+    "closed_auctions_stream": lambda s, d: run_to_table(closed_auctions_sessions(replayed(auction_events(s, d)))),
+    "closed_auctions_table_stream": lambda s, d: run_to_table(closed_auctions_sessions(to_events(stream_tpch(s, d)))),
     "closed_auctions_bounded_stream": lambda s, d: run_to_table(_closed_bounded(s, d)).drop("event_time"),
     "q4_running_stream": lambda s, d: run_to_table(S.q4_running_stream(_closed_bounded(s, d))),
     "q6_stream": lambda s, d: run_to_table(S.q6_stream(_closed_bounded(s, d), "bidder")),
@@ -85,6 +106,7 @@ STREAM_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 STREAM_INPUTS = {
     "q3_stream": ["customer", "orders"], "q5_stream": ["events"], "q7_stream": ["events"],
     "q8_stream": ["customer", "orders"], "q8_as_written_stream": ["orders"],
-    "closed_auctions_stream": ["orders", "lineitem"], "closed_auctions_bounded_stream": ["orders", "lineitem"],
+    "closed_auctions_stream": ["orders", "lineitem"], "closed_auctions_table_stream": ["orders", "lineitem"],
+    "closed_auctions_bounded_stream": ["orders", "lineitem"],
     "q4_running_stream": ["orders", "lineitem"], "q6_stream": ["orders", "lineitem"],
 }

@@ -34,7 +34,7 @@ def bucket(latency: Column, width: int | None = None, sig_bits: int | None = Non
     return shl(F.call_function("shiftright", latency, shift), shift)
 
 
-def trim(samples: DataFrame, start_ns: int, end_ns: int, warmup: str | int = "2 seconds",
+def trim(samples: DataFrame, start_ns: int | Column, end_ns: int | Column, warmup: str | int = "2 seconds",
          cooldown: str | int = "2 seconds") -> DataFrame:
     """Keep samples of the steady part of a run: [start + warmup, end - cooldown)."""
     lo, hi = start_ns + duration_ns(warmup), end_ns - duration_ns(cooldown)
@@ -55,7 +55,12 @@ def latency_ccdf(samples: DataFrame, width: int | None = None, sig_bits: int | N
     """(latency, ccdf, samples): per bucket, the fraction of samples at or above it."""
     hist = (samples.select(bucket(F.col("latency_ns"), width, sig_bits).alias("latency"), *_counted(samples))
             .groupBy("latency").agg(_weight(samples).alias("samples")).where(F.col("samples") > 0))
-    if sig_bits is not None:
+    return ccdf_of_histogram(hist, bounded=sig_bits is not None)
+
+
+def ccdf_of_histogram(hist: DataFrame, bounded: bool) -> DataFrame:
+    """The CCDF of (latency, samples), a row per bucket. `bounded`: the buckets are log-linear."""
+    if bounded:
         # At most 64 * 2^sig_bits buckets, so one window over them is small.
         w = Window.partitionBy(F.lit(0)).orderBy(F.col("latency").desc())
         return (hist.withColumns({"frame_sum": F.sum("samples").over(w.rowsBetween(Window.unboundedPreceding, 0)),
@@ -80,10 +85,15 @@ def latency_timeline(samples: DataFrame, slot: str | int = "250 milliseconds", w
     hist = (samples.select(window_end_ns("t_ns", slot_ns).alias("slot_end_ns"),
                            bucket(F.col("latency_ns"), width, sig_bits).alias("b"), *_counted(samples))
             .groupBy("slot_end_ns", "b").agg(_weight(samples).alias("c")).where(F.col("c") > 0))
-    # Rows per slot are bounded by the bucket count, so a per-slot window is small.
-    w = Window.partitionBy("slot_end_ns").orderBy("b").rowsBetween(Window.unboundedPreceding, 0)
-    cum = hist.select("slot_end_ns", "b", F.sum("c").over(w).alias("cum"),
-                      F.sum("c").over(Window.partitionBy("slot_end_ns")).alias("n"))
+    totals = hist.groupBy("slot_end_ns").agg(F.sum("c").alias("n"))
+    if sig_bits is not None:
+        # Rows per slot are bounded by the log-linear buckets, so a per-slot window is small.
+        w = Window.partitionBy("slot_end_ns").orderBy("b").rowsBetween(Window.unboundedPreceding, 0)
+        cum = hist.withColumn("cum", F.sum("c").over(w))
+    else:
+        # Buckets of a fixed width are as many as a slot's spread: cumulative counts by ranges.
+        cum = running_frame(hist, keys=["slot_end_ns"], order=["b"], value="c").withColumnRenamed("frame_sum", "cum")
+    cum = cum.join(totals, "slot_end_ns")
     aggs = [F.min(F.when(F.col("cum") * 1000 >= F.col("n") * pm, F.col("b"))).alias(name)
             for pm, name in zip(TIMELINE_PERMILLE, TIMELINE_NAMES)]
     return (cum.groupBy("slot_end_ns").agg(*aggs, F.max("b").alias("max"), F.max("n").alias("samples")))

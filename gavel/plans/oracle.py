@@ -229,6 +229,8 @@ _BOUNDED_MARK = (f"least((SELECT {_ms('max(date_time_ns)')} FROM bid), "
                  f"(SELECT {_ms('max(expires_ns)')} FROM auction) - {90 * 24 * _H})")
 _BOUNDED = f", done AS (SELECT * FROM closed WHERE expires_ns + 2000000 <= {_BOUNDED_MARK} - {90 * 24 * _H + 1000000})\n"
 
+_DONE = f", done AS (SELECT * FROM closed WHERE {_SESSION_OVER})\n"
+
 ORACLE_SQL.update({
     "q3_stream": ORACLE_SQL["q3_local_items"],
     "q5_stream": _with(_q5_ctes(_H, 600 * _NS_S) + f"SELECT * FROM top WHERE window_end_ns <= {_EVENTS_MARK}"),
@@ -240,15 +242,74 @@ WHERE window_end_ns <= {_EVENTS_MARK}"""),
     "closed_auctions_stream": _with(f"SELECT * FROM closed WHERE {_SESSION_OVER}"),
     "closed_auctions_table_stream": _with(f"SELECT * FROM closed WHERE {_SESSION_OVER}"),
     "closed_auctions_bounded_stream": _with(_BOUNDED + "SELECT * FROM done"),
-    "q4_running_stream": _with(_BOUNDED + """
+    "q4_running_stream": _with(_DONE + """
 SELECT category, auction, expires_ns,
        CAST(sum(price) OVER w // count(*) OVER w AS BIGINT) AS avg_price
 FROM done
 WINDOW w AS (PARTITION BY category ORDER BY expires_ns, auction
              ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)"""),
-    "q6_stream": _with(_BOUNDED + """
+    "q6_stream": _with(_DONE + """
 SELECT bidder, auction, expires_ns,
        CAST(sum(price) OVER w // count(*) OVER w AS BIGINT) AS avg_price
 FROM done
 WINDOW w AS (PARTITION BY bidder ORDER BY expires_ns, auction ROWS BETWEEN 9 PRECEDING AND CURRENT ROW)"""),
 })
+
+
+def _late(delay_us: int, batches: int = 20) -> str:
+    """Q7 over bids in bounded disorder: the arrival order is stated forwards (place p holds row p div n * n + p * 953
+    mod n), and a row is late by the watermark of the micro-batch before its own."""
+    return _with(f"""
+, k AS (SELECT count(*) AS rows, (count(*) + {batches - 1}) // {batches} AS size FROM ebid),
+g AS (SELECT rows, size, CASE WHEN (3 * size + 1) % 953 = 0 THEN 3 * size + 2 ELSE 3 * size + 1 END AS n FROM k),
+places AS (SELECT p, CASE WHEN p < rows // n * n THEN p // n * n + (p * 953) % n ELSE p END AS number, p // size AS file
+  FROM g, range(0, rows) r(p)),
+rows_ AS (SELECT price, date_time_ns, row_number() OVER (ORDER BY date_time_ns) - 1 AS number FROM ebid),
+fed AS (SELECT price, date_time_ns, dense_rank() OVER (ORDER BY file) AS batch FROM rows_ JOIN places USING (number)),
+marks AS (SELECT batch, max(date_time_ns) // 1000000 * 1000 - {delay_us} AS mark_us FROM fed GROUP BY batch),
+told AS (SELECT batch, max(mark_us) OVER (ORDER BY batch ROWS BETWEEN UNBOUNDED PRECEDING AND 2 PRECEDING) AS mark_us FROM marks),
+judged AS (SELECT price, date_time_ns, date_time_ns // 1000 <= coalesce(mark_us, 0) AS late FROM fed JOIN told USING (batch))
+SELECT 'window' AS what, window_end_ns, value FROM (
+  SELECT (date_time_ns // {_H}) * {_H} + {_H} AS window_end_ns, max(price) AS value FROM judged WHERE NOT late GROUP BY 1)
+WHERE window_end_ns <= (SELECT max(mark_us) * 1000 FROM marks)
+UNION ALL SELECT 'dropped', NULL, count(*) FROM judged WHERE late""")
+
+
+_MEAN = "CAST(sum(price) OVER w // count(*) OVER w AS BIGINT) AS avg_price"
+_LOG_LINEAR = "(latency_ns >> greatest(length(ltrim(bin(latency_ns), '0')) - 5, 0)) << greatest(length(ltrim(bin(latency_ns), '0')) - 5, 0)"
+_DENSE_Q7 = f"SELECT (date_time_ns // {_H}) * {_H} + {_H} AS window_end_ns, max(price) AS price"
+
+ORACLE_SQL.update({
+    "q3_latest_registration": _with("""
+, p AS (SELECT CASE WHEN id % 3 = 0 THEN 0 ELSE id // 4 + 1 END AS id, name, city, state, date_time_ns FROM person),
+a AS (SELECT id AS auction_id, CASE WHEN seller % 3 = 0 THEN 0 ELSE seller // 4 + 1 END AS seller, date_time_ns FROM auction WHERE category = 10),
+m AS (SELECT p.name, p.city, p.state, a.auction_id FROM a JOIN p ON a.seller = p.id AND p.date_time_ns <= a.date_time_ns
+  QUALIFY row_number() OVER (PARTITION BY a.auction_id ORDER BY p.date_time_ns DESC, p.name DESC, p.city DESC, p.state DESC) = 1)
+SELECT * FROM m WHERE state IN ('OR', 'ID', 'CA')"""),
+    "q4_q6_shared_stream": _with(_DONE + f"""
+SELECT 'q4' AS query, category AS key, auction, expires_ns, {_MEAN} FROM done
+WINDOW w AS (PARTITION BY category ORDER BY expires_ns, auction ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)
+UNION ALL
+SELECT 'q6', bidder, auction, expires_ns, {_MEAN} FROM done
+WINDOW w AS (PARTITION BY bidder ORDER BY expires_ns, auction ROWS BETWEEN 9 PRECEDING AND CURRENT ROW)"""),
+    "q4_update_stream": _with(_DONE + "SELECT category, CAST(sum(price) // count(*) AS BIGINT) AS avg_price FROM done GROUP BY category"),
+    "diff_q5_stream": _with(_q5_ctes(_H, 600 * _NS_S) + f", over AS (SELECT * FROM top WHERE window_end_ns <= {_EVENTS_MARK})"
+                            + _diff("over", "over", "window_end_ns, auction, n")),
+    "diff_q7_stream": _with(f"""
+, a AS (SELECT * FROM ({_DENSE_Q7} FROM ebid GROUP BY 1) WHERE window_end_ns <= {_EVENTS_MARK}),
+b AS (SELECT * FROM ({_DENSE_Q7} FROM (SELECT (price * 89) // 100 AS price, date_time_ns FROM ebid) GROUP BY 1) WHERE window_end_ns <= {_EVENTS_MARK})
+""" + _diff("a", "b", "window_end_ns, price")),
+    "late_rows_stream": _late(3_600 * 10**6),
+    "late_rows_none_stream": _late(8 * 24 * 3_600 * 10**6),
+    "latency_timeline_stream": _with(_SAMPLES + f"""
+, b AS (SELECT (t_ns // {_H}) * {_H} + {_H} AS slot_end_ns, {_LOG_LINEAR} AS b FROM s)
+SELECT slot_end_ns, quantile_disc(b, 0.25) AS p25, quantile_disc(b, 0.5) AS p50, quantile_disc(b, 0.75) AS p75,
+       quantile_disc(b, 0.95) AS p95, quantile_disc(b, 0.99) AS p99, quantile_disc(b, 0.999) AS p999,
+       max(b) AS max, count(*) AS samples
+FROM b WHERE slot_end_ns <= (SELECT {_ms('max(t_ns)')} FROM s) GROUP BY slot_end_ns"""),
+    "latency_ccdf_stream": _with(_SAMPLES + f"""
+, h AS (SELECT {_LOG_LINEAR} AS latency, count(*) AS samples FROM s GROUP BY 1)
+SELECT latency, CAST(sum(samples) OVER (ORDER BY latency DESC ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS DOUBLE)
+         / (SELECT count(*) FROM s) AS ccdf, samples
+FROM h"""),
+})

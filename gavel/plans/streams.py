@@ -17,24 +17,35 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import DataStreamWriter, StreamingQuery
 
 from gavel.functions.time import event_time
+from gavel.operators.latency import samples_from_events
 from gavel.session import ensure_checkpoint_dir
 from gavel.sources.events import to_events
 from gavel.sources.tables import (
     TABLE_SCHEMAS, AuctionTables, auction_from_orders, bid_from_lineitem, bids_from_events, dense_bids, from_tpch,
-    person_from_customer,
+    person_from_customer, read_table,
 )
 from gavel.streaming import queries as S
 from gavel.streaming.closing import closed_auctions_sessions
-from gavel.streaming.replay import write_replay
+from gavel.streaming.diff import diff_stream
+from gavel.streaming.fanout import fan_out
+from gavel.streaming.frames import means_sink
+from gavel.streaming.late import dropped_rows, without_late
+from gavel.streaming.latency import ccdf_so_far, ccdf_writer, latency_timeline_stream
+from gavel.streaming.replay import STRIDE, write_replay
 from gavel.streaming.sources import ROCKSDB, state_store
+from gavel.streaming.upserts import KeyedLog
 
 # Longest auction of the adapter (expiry is 1 to 90 days after the start).
 MAX_AUCTION_LENGTH = "90 days"
 
-# Micro-batches of a replay.
+# Micro-batches of a replay, and of one whose batches run several jobs each.
 BATCHES = 20
+SHARED_BATCHES = 4
+
+Q5_DENSE = ("1 hour", "10 minutes")
 
 
 def read_stream(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -62,15 +73,24 @@ def replayed(df: DataFrame, time_col: str = "date_time_ns", batches: int = BATCH
     return write_replay(df, f"{fresh_folder(spark)}/feed", time_col, batches, **how).stream(spark)
 
 
+def finished(writer: DataStreamWriter, folder: str, provider: str = ROCKSDB, checkpoint: str = "checkpoint") -> StreamingQuery:
+    """Run a streaming query over all input that is there."""
+    spark = SparkSession.active()
+    with state_store(spark, provider):
+        query = writer.option("checkpointLocation", f"{folder}/{checkpoint}").trigger(availableNow=True).start()
+    query.awaitTermination()
+    return query
+
+
+def into(df: DataFrame, folder: str) -> DataStreamWriter:
+    return df.writeStream.format("parquet").option("path", f"{folder}/table").outputMode("append")
+
+
 def run_to_table(df: DataFrame) -> DataFrame:
     """Run a streaming query over all input that is there, into shared storage; its result as a table."""
-    spark = df.sparkSession
-    folder = fresh_folder(spark)
-    with state_store(spark, ROCKSDB):
-        query = (df.writeStream.format("parquet").option("path", f"{folder}/table").outputMode("append")
-                 .option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start())
-    query.awaitTermination()
-    return spark.read.schema(df.schema).parquet(f"{folder}/table")
+    folder = fresh_folder(df.sparkSession)
+    finished(into(df, folder), folder)
+    return df.sparkSession.read.schema(df.schema).parquet(f"{folder}/table")
 
 
 def auction_events(spark: SparkSession, sf: str) -> DataFrame:
@@ -88,6 +108,90 @@ def _dense(spark: SparkSession, sf: str) -> DataFrame:
     return timed(bids_from_events(read_stream(spark, sf, "events")))
 
 
+def _closed_of_tables(spark: SparkSession, sf: str) -> DataFrame:
+    return closed_auctions_sessions(to_events(stream_tpch(spark, sf)))
+
+
+def means(closed: DataFrame, sinks: dict[str, tuple[str, int | None]]) -> dict[str, DataFrame]:
+    """Run one closing stream into several running means: name -> (key, last); their results by name."""
+    spark = closed.sparkSession
+    folder = fresh_folder(spark)
+    made = {name: means_sink(spark, f"{folder}/{name}", f"{folder}/{name}-state", key, last) for name, (key, last) in sinks.items()}
+    finished(fan_out(closed, made), folder)
+    out = {}
+    for name, (key, _) in sinks.items():
+        schema = f"{key} long, auction long, expires_ns long, avg_price long, batch int"
+        out[name] = spark.read.schema(schema).parquet(f"{folder}/{name}").drop("batch")
+    return out
+
+
+def q4_q6_shared(spark: SparkSession, sf: str) -> DataFrame:
+    """Q4 and Q6 from one closing of the auctions, which come in time order in a few micro-batches."""
+    closed = closed_auctions_sessions(replayed(auction_events(spark, sf), batches=SHARED_BATCHES))
+    got = means(closed, {"q4": ("category", None), "q6": ("bidder", 10)})
+    rows = [df.select(F.lit(name).alias("query"), F.col(df.columns[0]).alias("key"), "auction", "expires_ns", "avg_price") for name, df in got.items()]
+    return rows[0].unionByName(rows[1])
+
+
+def q4_update(spark: SparkSession, sf: str) -> DataFrame:
+    """Q4's latest mean per category: one query closes the auctions into a table, a second one reads its files as they
+    come, in update mode into an upsert table."""
+    folder = fresh_folder(spark)
+    closed = closed_auctions_sessions(replayed(auction_events(spark, sf), batches=SHARED_BATCHES))
+    finished(into(closed, folder), folder)
+    again = spark.readStream.schema(closed.schema).option("maxFilesPerTrigger", 8).parquet(f"{folder}/table")
+    log = KeyedLog(spark, f"{folder}/q4", "category long, avg_price long", ["category"])
+    finished(S.q4_category_avg_stream(again).writeStream.outputMode("update").foreachBatch(log.put), folder, checkpoint="second")
+    return log.table()
+
+
+def dense_replay(spark: SparkSession, sf: str, delay: str = "0 seconds", **how) -> DataFrame:
+    return timed(replayed(dense_bids(spark, sf), **how), delay)
+
+
+def diff_q5(spark: SparkSession, sf: str) -> DataFrame:
+    """Q5 by window() against Q5 by panes, both live: equal, so the result is empty."""
+    bids = dense_replay(spark, sf)
+    return run_to_table(diff_stream(S.q5_stream(bids, *Q5_DENSE, timed=True), S.q5_stream_panes(bids, *Q5_DENSE, timed=True))).drop("event_time")
+
+
+def diff_q7(spark: SparkSession, sf: str) -> DataFrame:
+    """Q7 on raw against Q7 on converted prices, both live: every window differs."""
+    bids = replayed(dense_bids(spark, sf))
+    raw, converted = (S.q7_stream(timed(b), "1 hour", timed=True) for b in (bids, S.q1_currency(bids)))
+    return run_to_table(diff_stream(raw, converted)).drop("event_time")
+
+
+def disorder_of(rows: int, batches: int = BATCHES) -> int:
+    """Groups of a little over three micro-batches, without a common factor with the stride."""
+    n = 3 * -(-rows // batches) + 1
+    return n if n % STRIDE else n + 1
+
+
+def late_rows(spark: SparkSession, sf: str, delay: str) -> DataFrame:
+    """Q7 over bids that come in bounded disorder, and how many of them the delay was too short for (by Spark's metric)."""
+    bids = dense_bids(spark, sf)
+    feed = timed(replayed(bids, disorder=disorder_of(bids.count())), delay)
+    kept = S.q7_stream(without_late(feed, ["date_time_ns"]), "1 hour")
+    folder = fresh_folder(spark)
+    query = finished(into(kept, folder), folder)
+    table = spark.read.schema(kept.schema).parquet(f"{folder}/table")
+    lost = spark.range(1).select(F.lit("dropped").alias("what"), F.lit(None).cast("long").alias("window_end_ns"), F.lit(dropped_rows(query)).cast("long").alias("value"))
+    return table.select(F.lit("window").alias("what"), "window_end_ns", F.col("price").alias("value")).unionByName(lost)
+
+
+def _samples(spark: SparkSession, sf: str) -> DataFrame:
+    feed = replayed(samples_from_events(read_table(spark, sf, "events")), "t_ns")
+    return feed.withColumn("event_time", event_time("t_ns")).withWatermark("event_time", "0 seconds")
+
+
+def latency_ccdf_live(spark: SparkSession, sf: str) -> DataFrame:
+    folder = fresh_folder(spark)
+    writer, log = ccdf_writer(_samples(spark, sf), f"{folder}/histogram")
+    finished(writer, folder)
+    return ccdf_so_far(log)
+
+
 STREAM_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "q3_stream": lambda s, d: (lambda t: run_to_table(S.q3_stream(t.auction, t.person)))(stream_tpch(s, d)),
     "q5_stream": lambda s, d: run_to_table(S.q5_stream_panes(_dense(s, d), "1 hour", "10 minutes")),
@@ -97,10 +201,18 @@ STREAM_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "q8_as_written_stream": lambda s, d: (lambda t: run_to_table(
         S.q8_as_written_stream(timed(t.auction), "12 hours")))(stream_tpch(s, d)),
     "closed_auctions_stream": lambda s, d: run_to_table(closed_auctions_sessions(replayed(auction_events(s, d)))),
-    "closed_auctions_table_stream": lambda s, d: run_to_table(closed_auctions_sessions(to_events(stream_tpch(s, d)))),
+    "closed_auctions_table_stream": lambda s, d: run_to_table(_closed_of_tables(s, d)),
     "closed_auctions_bounded_stream": lambda s, d: run_to_table(_closed_bounded(s, d)).drop("event_time"),
-    "q4_running_stream": lambda s, d: run_to_table(S.q4_running_stream(_closed_bounded(s, d))),
-    "q6_stream": lambda s, d: run_to_table(S.q6_stream(_closed_bounded(s, d), "bidder")),
+    "q4_running_stream": lambda s, d: means(_closed_of_tables(s, d), {"q4": ("category", None)})["q4"],
+    "q6_stream": lambda s, d: means(_closed_of_tables(s, d), {"q6": ("bidder", 10)})["q6"],
+    "q4_q6_shared_stream": q4_q6_shared,
+    "q4_update_stream": q4_update,
+    "diff_q5_stream": diff_q5,
+    "diff_q7_stream": diff_q7,
+    "late_rows_stream": lambda s, d: late_rows(s, d, "1 hour"),
+    "late_rows_none_stream": lambda s, d: late_rows(s, d, "8 days"),
+    "latency_timeline_stream": lambda s, d: run_to_table(latency_timeline_stream(_samples(s, d), "1 hour")),
+    "latency_ccdf_stream": latency_ccdf_live,
 }
 
 STREAM_INPUTS = {
@@ -109,4 +221,7 @@ STREAM_INPUTS = {
     "closed_auctions_stream": ["orders", "lineitem"], "closed_auctions_table_stream": ["orders", "lineitem"],
     "closed_auctions_bounded_stream": ["orders", "lineitem"],
     "q4_running_stream": ["orders", "lineitem"], "q6_stream": ["orders", "lineitem"],
+    "q4_q6_shared_stream": ["orders", "lineitem"], "q4_update_stream": ["orders", "lineitem"],
+    "diff_q5_stream": ["events"], "diff_q7_stream": ["events"], "late_rows_stream": ["events"],
+    "late_rows_none_stream": ["events"], "latency_timeline_stream": ["events"], "latency_ccdf_stream": ["events"],
 }

@@ -11,9 +11,11 @@ def _path(spark: SparkSession, path: str):
     return p.getFileSystem(spark._jsc.hadoopConfiguration()), p
 
 
-def exists(spark: SparkSession, path: str) -> bool:
-    fs, p = _path(spark, path)
-    return fs.exists(p)
+def numbered(spark: SparkSession, folder: str) -> list[int]:
+    """The sub-folders of a folder that are named by a number."""
+    fs, p = _path(spark, folder)
+    names = [f.getPath().getName() for f in fs.listStatus(p)] if fs.exists(p) else []
+    return sorted(int(x) for x in names if x.isdigit())
 
 
 def delete(spark: SparkSession, path: str) -> None:

@@ -34,9 +34,8 @@ def tick(ns: Column) -> Column:
     return F.timestamp_micros(ns * F.lit(TICKS))
 
 
-def closed_auctions_sessions(events: DataFrame, delay: str | int = "0 seconds", salts: int = SALTS) -> DataFrame:
-    """(auction, category, seller, expires_ns, bidder, price, bid_time_ns) of every closed auction, once the watermark
-    (the latest time of any auction or bid, less `delay`) has passed its expiry. Auction ids are unique."""
+def session_rows(events: DataFrame, salts: int = SALTS) -> DataFrame:
+    """Auctions and bids of tagged events as sessions: (id, salt, begin, ticks, a, b, rank)."""
     if salts < 1:
         raise ValueError("salts must be at least 1")
     a, b, opens = F.col("auction"), F.col("bid"), F.col("type") == "Auction"
@@ -48,15 +47,20 @@ def closed_auctions_sessions(events: DataFrame, delay: str | int = "0 seconds",
         F.when(~opens, F.struct(b["bidder"], b["price"], b["date_time_ns"].alias("bid_time_ns"))).alias("b"),
         # Order of winners: price up, time down, bidder down.
         F.when(~opens, F.struct(b["price"], -b["date_time_ns"], -b["bidder"])).alias("rank"))
-    rows = rows.where("id IS NOT NULL AND begin IS NOT NULL").withWatermark("begin", f"{duration_ns(delay) * TICKS} microseconds")
+    rows = rows.where("id IS NOT NULL AND begin IS NOT NULL")
+    if salts == 1:
+        return rows.withColumn("salt", F.lit(0))
+    one = F.array(F.pmod(F.xxhash64("b"), F.lit(salts)).cast("int"))
+    return rows.withColumn("salt", F.explode(F.when(F.col("a").isNotNull(), F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(one)))
+
+
+def closed_auctions_sessions(events: DataFrame, delay: str | int = "0 seconds", salts: int = SALTS) -> DataFrame:
+    """(auction, category, seller, expires_ns, bidder, price, bid_time_ns) of every closed auction, once the watermark
+    (the latest time of any auction or bid, less `delay`) has passed its expiry. Auction ids are unique."""
+    rows = session_rows(events, salts).withWatermark("begin", f"{duration_ns(delay) * TICKS} microseconds")
     span = F.expr("make_interval(0, 0, 0, 0, 0, 0, CAST(ticks AS DECIMAL(20, 0)) / 1000000)")
-    keys = ["id"]
-    if salts > 1:
-        one = F.array(F.pmod(F.xxhash64("b"), F.lit(salts)).cast("int"))
-        rows = rows.withColumn("salt", F.explode(F.when(F.col("a").isNotNull(), F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(one)))
-        keys.append("salt")
     best = F.max_by("b", "rank").alias("b")
-    won = (rows.groupBy(*keys, F.session_window("begin", span).alias("session"))
+    won = (rows.groupBy("id", "salt", F.session_window("begin", span).alias("session"))
            .agg(F.max("a").alias("a"), best, F.max("rank").alias("rank"))
            .where("a IS NOT NULL AND b.price >= a.reserve"))
     if salts > 1:

@@ -51,17 +51,22 @@ def q3_stream(auction: DataFrame, person: DataFrame, bound: str | int | None = N
     return a.join(p, cond, "inner").select("name", "city", "state", "auction_id")
 
 
-def q5_stream(bid: DataFrame, size: str | int = Q5_SIZE, slide: str | int = Q5_SLIDE) -> DataFrame:
+def _window_time(timed: bool) -> list:
+    """The time of a result row, for a stateful operator that follows in the same query."""
+    return [F.window_time("w").alias("event_time")] if timed else []
+
+
+def q5_stream(bid: DataFrame, size: str | int = Q5_SIZE, slide: str | int = Q5_SLIDE, timed: bool = False) -> DataFrame:
     """Sliding-window counts, then the top auction per window; each window is
-    emitted once, when the watermark passes its end (append)."""
+    emitted once, when the watermark passes its end (append). `timed` adds `event_time`."""
     sliding(size, slide)
     counts = (bid.groupBy(F.window("event_time", _us(size), _us(slide)).alias("w"), "auction")
               .agg(F.count(F.lit(1)).alias("n")))
     return (counts.groupBy("w").agg(F.max(F.struct("n", "auction")).alias("b"))
-            .select((F.unix_micros(F.col("w.end")) * 1000).alias("window_end_ns"), "b.auction", "b.n"))
+            .select((F.unix_micros(F.col("w.end")) * 1000).alias("window_end_ns"), "b.auction", "b.n", *_window_time(timed)))
 
 
-def q5_stream_panes(bid: DataFrame, size: str | int = Q5_SIZE, slide: str | int = Q5_SLIDE) -> DataFrame:
+def q5_stream_panes(bid: DataFrame, size: str | int = Q5_SIZE, slide: str | int = Q5_SLIDE, timed: bool = False) -> DataFrame:
     """Q5 by panes on a stream: count per (slide pane, auction), then slide
     the window over pane times (window_time keeps the watermark), so the
     size/slide fan-out runs on pane counts, not on bids; then the top auction
@@ -72,12 +77,12 @@ def q5_stream_panes(bid: DataFrame, size: str | int = Q5_SIZE, slide: str | int
     windows = (panes.groupBy(F.window(F.window_time("pane"), _us(size), _us(slide)).alias("w"), "auction")
                .agg(F.sum("c").alias("n")))
     return (windows.groupBy("w").agg(F.max(F.struct("n", "auction")).alias("b"))
-            .select((F.unix_micros(F.col("w.end")) * 1000).alias("window_end_ns"), "b.auction", "b.n"))
+            .select((F.unix_micros(F.col("w.end")) * 1000).alias("window_end_ns"), "b.auction", "b.n", *_window_time(timed)))
 
 
-def q7_stream(bid: DataFrame, size: str | int = Q7_SIZE) -> DataFrame:
+def q7_stream(bid: DataFrame, size: str | int = Q7_SIZE, timed: bool = False) -> DataFrame:
     return (bid.groupBy(F.window("event_time", _us(size)).alias("w")).agg(F.max("price").alias("price"))
-            .select((F.unix_micros(F.col("w.end")) * 1000).alias("window_end_ns"), "price"))
+            .select((F.unix_micros(F.col("w.end")) * 1000).alias("window_end_ns"), "price", *_window_time(timed)))
 
 
 def q8_stream(person: DataFrame, auction: DataFrame, window: str | int = Q8_WINDOW) -> DataFrame:

@@ -5,7 +5,8 @@ equal length, each written by one task; a file stream then takes so many files a
 the watermark moves on from batch to batch, windows close and state is evicted, as with a live feed.
 
 Bounded disorder: within groups of `disorder` rows, row number k of the arrival order is row
-`(k * 953) mod disorder` of its group in time order, so no row comes more than a group late.
+`(k * 953) mod disorder` of its group in time order, so no row comes more than a group late. What is left over after
+the last whole group comes in order.
 """
 
 from __future__ import annotations
@@ -39,7 +40,7 @@ class Replay:
                 .parquet(self.folder))
 
 
-def arrival(number: Column, disorder: int) -> Column:
+def arrival(number: Column, disorder: int, rows: int) -> Column:
     """The place in arrival order of a row, by its number (from 0) in time order."""
     if disorder == 1:
         return number
@@ -47,7 +48,8 @@ def arrival(number: Column, disorder: int) -> Column:
         raise ValueError(f"disorder must be at least 1 and share no factor with {STRIDE}")
     back = pow(STRIDE, -1, disorder)
     within = F.pmod(number, F.lit(disorder))
-    return number - within + F.pmod(within * F.lit(back), F.lit(disorder))
+    moved = number - within + F.pmod(within * F.lit(back), F.lit(disorder))
+    return F.when(number < rows // disorder * disorder, moved).otherwise(number)
 
 
 def write_replay(df: DataFrame, folder: str, time_col: str, batches: int, files_per_batch: int = 1, disorder: int = 1) -> Replay:
@@ -59,7 +61,7 @@ def write_replay(df: DataFrame, folder: str, time_col: str, batches: int, files_
     rows = numbered.count()
     files = batches * files_per_batch
     size = max(1, -(-rows // files))
-    at = arrival(F.col("frame_count") - 1, disorder)
+    at = arrival(F.col("frame_count") - 1, disorder, rows)
     dealt = numbered.select(*columns, at.alias("__at")).repartitionById(files, idiv("__at", F.lit(size)).cast("int"))
     dealt.sortWithinPartitions("__at").drop("__at").write.parquet(folder)
     order_by_time(df.sparkSession, part_files(df.sparkSession, folder))

@@ -18,11 +18,11 @@ from pyspark.sql import DataFrame, SparkSession
 from gavel.functions.time import NS_PER_SECOND, duration_ns
 from gavel.operators.latency import latency_ccdf, latency_timeline, trim
 from gavel.session import ensure_checkpoint_dir
-from gavel.sources.generator import GeneratorConfig, max_auction_length_ns
+from gavel.sources.generator import GeneratorConfig
 from gavel.sources.sinks import write_report
-from gavel.streaming.named import named_stream
+from gavel.streaming.named import start_named
 from gavel.streaming.progress import ProgressLog
-from gavel.streaming.sources import generated_event_stream, state_store
+from gavel.streaming.sources import generated_event_stream
 
 
 def run_named(spark: SparkSession, name: str, rate: int, duration: str | int, out_dir: str,
@@ -44,13 +44,9 @@ def run_named(spark: SparkSession, name: str, rate: int, duration: str | int, ou
     start_ns = time.time_ns()
     cfg = GeneratorConfig(base_time_ns=start_ns, events_per_second=rate,
                           in_flight_auctions=max(100, rate * 2592 // 1000))
-    df, provider = named_stream(name, generated_event_stream(spark, per_batch, cfg),
-                                max_auction_length=max_auction_length_ns(cfg))
     ckpt = f"{ensure_checkpoint_dir(spark).rstrip('/')}/run-{name}-{uuid.uuid4().hex}"
-    with state_store(spark, provider):
-        q = (df.writeStream.format("noop").queryName(f"run_{name}_{uuid.uuid4().hex[:8]}")
-             .option("checkpointLocation", ckpt).trigger(processingTime=f"{trigger_ns // 1_000_000} milliseconds")
-             .start())
+    q = start_named(spark, name, generated_event_stream(spark, per_batch, cfg), f"{ckpt}-table", ckpt,
+                    trigger=f"{trigger_ns // 1_000_000} milliseconds")
     log = ProgressLog(q)
     started = time.monotonic()
     run_s = duration_ns(duration) / NS_PER_SECOND

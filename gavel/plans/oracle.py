@@ -125,6 +125,7 @@ WINDOW w AS (PARTITION BY category ORDER BY expires_ns, auction
              ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)"""),
     "q5_hot_items": _q5(_H, 600 * _NS_S),
     "q5_hot_items_panes": _q5(_H, 600 * _NS_S),
+    "q5_hot_items_deltas": _q5(_H, 60 * _NS_S),
     "q6_last10_bidder": _with("""
 SELECT bidder, auction, expires_ns,
        CAST(sum(price) OVER w // count(*) OVER w AS BIGINT) AS avg_price

@@ -21,7 +21,7 @@ from gavel.operators.diff import diff_by_time
 from gavel.operators.latency import latency_ccdf, latency_timeline, samples_from_events, trim
 from gavel.operators.joins import q3_local_items, q8_as_written, q8_new_users
 from gavel.functions.time import idiv, window_end_ns
-from gavel.operators.windows import q5_hot_items, q5_hot_items_by_window, q5_hot_items_panes, q7_highest_bid
+from gavel.operators.windows import q5_hot_items, q5_hot_items_by_window, q5_hot_items_deltas, q5_hot_items_panes, q7_highest_bid
 from gavel.plans.streams import STREAM_INPUTS, STREAM_QUERIES
 from gavel.sources.sinks import report_lines
 from gavel.sources.events import demux, event_accessors, events_from_json, events_to_json, flatten, to_events
@@ -65,6 +65,7 @@ QUERIES: dict[str, Query] = {
     "q4_running_avg": lambda s, d: q4_running_avg(_closed(s, d)),
     "q5_hot_items": lambda s, d: q5_hot_items(dense_bids(s, d), *DENSE_Q5),
     "q5_hot_items_panes": lambda s, d: q5_hot_items_panes(dense_bids(s, d), *DENSE_Q5),
+    "q5_hot_items_deltas": lambda s, d: q5_hot_items_deltas(dense_bids(s, d), "1 hour", "1 minute"),
     "q6_last10_bidder": lambda s, d: q6_last_avg(_closed(s, d), "bidder"),
     "q6_last10_seller": lambda s, d: q6_last_avg(_closed(s, d), "seller"),
     "q7_highest_bid": lambda s, d: q7_highest_bid(dense_bids(s, d), DENSE_Q7),
@@ -122,7 +123,7 @@ QUERY_INPUTS.update({
     "q3_local_items": ["customer", "orders"], "q3_latest_registration": ["customer", "orders"], "closed_auctions": ["orders", "lineitem"],
     "q4_category_avg": ["orders", "lineitem"], "q4_running_avg": ["orders", "lineitem"],
     "q6_last10_bidder": ["orders", "lineitem"], "q6_last10_seller": ["orders", "lineitem"],
-    "q5_hot_items": ["events"], "q5_hot_items_panes": ["events"], "q7_highest_bid": ["events"],
+    "q5_hot_items": ["events"], "q5_hot_items_panes": ["events"], "q5_hot_items_deltas": ["events"], "q7_highest_bid": ["events"],
     "q7_highest_bid_10s": ["lineitem"], "q8_new_users": ["customer", "orders"],
     "q8_new_users_30d": ["customer", "orders"], "q8_as_written": ["orders"],
     "latency_ccdf": ["events"], "latency_ccdf_trimmed": ["events"], "latency_timeline": ["events"],

@@ -16,6 +16,7 @@ from gavel.operators.averages import q4_category_avg, q4_running_avg, q6_last_av
 from gavel.operators.closing import closed_auctions
 from gavel.operators.joins import q3_local_items
 from gavel.operators.latency import latency_ccdf, latency_timeline
+from gavel.operators.windows import q5_hot_items, q5_hot_items_deltas
 from gavel.plans import streams as P
 from gavel.sources.events import demux, to_events
 from gavel.sources.files import numbered, part_files
@@ -280,6 +281,24 @@ def test_live_latency_with_weights(spark):
     assert same(P.ccdf_so_far(log), latency_ccdf(samples, sig_bits=4))
 
 
+# Q5 by adding and retracting
+
+
+@pytest.mark.parametrize("size, slide", [("60 seconds", "1 second"), ("6 seconds", "2 seconds"), ("1 second", "1 second")])
+def test_deltas_equal_panes(spark, size, slide):
+    """Bursts, quiet stretches over a window long, ties, and times before the epoch."""
+    draw = random.Random(3)
+    offers = [(draw.randrange(4), 1, 1, (draw.choice([-500, 0, 3, 40, 200, 5000]) + draw.randrange(90)) * 10**9 + draw.randrange(2) * 999_999_999) for _ in range(300)]
+    b = bids(spark, offers)
+    assert same(q5_hot_items_deltas(b, size, slide), q5_hot_items(b, size, slide))
+
+
+def test_deltas_copy_no_panes(spark):
+    """Three rows a pane; the only fan-out is on the best auctions of whole stretches."""
+    plan = q5_hot_items_deltas(dense_bids(spark, SF), "1 hour", "1 minute")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Generate") == 1 and plan.index("Generate") < plan.index("Window") and plan.count("Union") == 1
+
+
 # As-of join
 
 

@@ -18,6 +18,7 @@ from pyspark.sql.streaming import DataStreamWriter, StreamingQuery
 
 from gavel.operators.averages import Q6_LAST
 from gavel.sources.events import demux
+from gavel.sources.tables import AuctionTables
 from gavel.streaming import queries as S
 from gavel.streaming.closing import closed_auctions_sessions
 from gavel.streaming.fanout import Sink, fan_out, table_sink
@@ -36,6 +37,9 @@ STATELESS = {"q0": lambda events: events,
              "q1": lambda events: S.q1_currency(demux(events).bid),
              "q2": lambda events: S.q2_selection(demux(events).bid)}
 
+# Names that read the union itself; the others read relations.
+OF_EVENTS = ("q0", "q4", "q6")
+
 BASES = ("q0", "q1", "q2", "q3", "q4", "q5", "q6", "q7", "q8")
 NAMES = (["q0", "q1", "q2"] + ["q3", "q3_faster", "q3_rocksdb", "q3_faster_node", "q3_faster_in_mem", "q3_mem",
                                "q3_mem_native"]
@@ -59,20 +63,20 @@ def closing_stream(events: DataFrame, delay: str | int = "0 seconds",
     return closed_auctions_sessions(events, delay)
 
 
-def named_stream(name: str, events: DataFrame, delay: str = "0 seconds",
+def named_stream(name: str, events: DataFrame | AuctionTables, delay: str = "0 seconds",
                  state_bound: str | int | None = None) -> tuple[DataFrame, str | None]:
     """(streaming DataFrame, state provider) for an original query name but q4 and q6, which are sinks of
     a closing stream (`means_of`) unless a state bound asks for keyed processors.
 
-    `events` is a stream of tagged events (e.g. `generated_event_stream`). `state_bound` bounds the state of q3 (event
+    `events` is a stream of tagged events (e.g. `generated_event_stream`) or, for a query that reads relations,
+    their watermarked streams (e.g. `generated_table_stream`). `state_bound` bounds the state of q3 (event
     time), q4 and q6 (processing time), which otherwise grows with the keys, as in the original.
     """
     base, suffix = parse(name)
     provider = PROVIDERS[suffix]
-    timed = timed_events(events, delay)
-    t = timed_tables(timed)
     if base == "q0":
-        return timed, provider
+        return timed_events(events, delay), provider
+    t = events if isinstance(events, AuctionTables) else timed_tables(timed_events(events, delay))
     if base == "q1":
         return S.q1_currency(t.bid), provider
     if base == "q2":
@@ -120,7 +124,7 @@ def _started(writer: DataStreamWriter, label: str, checkpoint: str, available_no
         return writer.start()
 
 
-def start_named(spark: SparkSession, name: str, events: DataFrame, sink_path: str,
+def start_named(spark: SparkSession, name: str, events: DataFrame | AuctionTables, sink_path: str,
                 checkpoint: str | None = None, delay: str = "0 seconds", available_now: bool = False,
                 fmt: str = "parquet", max_auction_length: str | int | None = None,
                 state_bound: str | int | None = None, trigger: str | None = None) -> StreamingQuery:

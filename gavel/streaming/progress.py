@@ -2,7 +2,7 @@
 
 Each micro-batch gives one sample: its end time and its duration (trigger
 execution), both in ns, ready for `operators.latency` (CCDF, timeline, trim),
-and its input rows. Spark retains only the last progress reports of a query
+and the events it took in. Spark retains only the last progress reports of a query
 (`spark.sql.streaming.numRecentProgressUpdates`, 100 by default); a
 `ProgressLog` polled during the run collects every batch, and samples that
 would leave out a batch raise instead.
@@ -11,6 +11,7 @@ would leave out a batch raise instead.
 from __future__ import annotations
 
 import datetime as _dt
+import re
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import StreamingQuery
@@ -23,6 +24,22 @@ def _ns(ts: str) -> int:
     return (int(t.timestamp()) * 1_000_000 + t.microsecond) * 1000
 
 
+def events_fed(progress) -> int:
+    """Events that a micro-batch took in, each once. `numInputRows` counts a source as often as the query reads it, so
+    where a source has row numbers as offsets their difference counts instead."""
+    total = 0
+    for source in progress["sources"]:
+        start, end = (_row_number(source[k]) for k in ("startOffset", "endOffset"))
+        total += source["numInputRows"] if end is None else end - (start or 0)
+    return total
+
+
+def _row_number(offset) -> int | None:
+    """The row number in an offset of the rate source, a text of {offset, timestamp}."""
+    found = re.search(r"\boffset\W+(\d+)", str(offset)) if "timestamp" in str(offset) else None
+    return int(found.group(1)) if found else None
+
+
 class ProgressLog:
     """Every executed micro-batch of a query, by batch id. Poll it more often
     than the retained reports turn over."""
@@ -39,7 +56,7 @@ class ProgressLog:
             if dur is None or "addBatch" not in p["durationMs"]:
                 continue  # an idle trigger executes nothing
             end = _ns(p["timestamp"]) + dur * NS_PER_MS
-            self.batches[p["batchId"]] = (end, dur * NS_PER_MS, p["numInputRows"])
+            self.batches[p["batchId"]] = (end, dur * NS_PER_MS, events_fed(p))
         return len(self.batches)
 
     def samples(self, spark: SparkSession, skip: int = 0) -> DataFrame:

@@ -20,9 +20,9 @@ from gavel.operators.latency import latency_ccdf, latency_timeline, trim
 from gavel.session import ensure_checkpoint_dir
 from gavel.sources.generator import GeneratorConfig
 from gavel.sources.sinks import write_report
-from gavel.streaming.named import start_named
+from gavel.streaming.named import OF_EVENTS, parse, start_named
 from gavel.streaming.progress import ProgressLog
-from gavel.streaming.sources import generated_event_stream
+from gavel.streaming.sources import generated_event_stream, generated_table_stream
 
 
 def run_named(spark: SparkSession, name: str, rate: int, duration: str | int, out_dir: str,
@@ -45,7 +45,8 @@ def run_named(spark: SparkSession, name: str, rate: int, duration: str | int, ou
     cfg = GeneratorConfig(base_time_ns=start_ns, events_per_second=rate,
                           in_flight_auctions=max(100, rate * 2592 // 1000))
     ckpt = f"{ensure_checkpoint_dir(spark).rstrip('/')}/run-{name}-{uuid.uuid4().hex}"
-    q = start_named(spark, name, generated_event_stream(spark, per_batch, cfg), f"{ckpt}-table", ckpt,
+    feed = generated_event_stream if parse(name)[0] in OF_EVENTS else generated_table_stream
+    q = start_named(spark, name, feed(spark, per_batch, cfg), f"{ckpt}-table", ckpt,
                     trigger=f"{trigger_ns // 1_000_000} milliseconds")
     log = ProgressLog(q)
     started = time.monotonic()

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from gavel.functions.time import event_time
 from gavel.schema import EVENT
-from gavel.sources.generator import GeneratorConfig, events_from_numbers
+from gavel.sources.generator import GeneratorConfig, events_from_numbers, tables_from_numbers
 from gavel.sources.tables import AuctionTables
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
@@ -54,6 +54,15 @@ def generated_event_stream(spark: SparkSession, rows_per_batch: int, cfg: Genera
     return events_from_numbers(reader.load(), "value", cfg)
 
 
+def generated_table_stream(spark: SparkSession, rows_per_batch: int, cfg: GeneratorConfig = GeneratorConfig(),
+                           delay: str = "0 seconds") -> AuctionTables:
+    """The same feed as three watermarked relations with flat columns."""
+    numbers = spark.readStream.format("rate-micro-batch").option("rowsPerBatch", rows_per_batch).load()
+    t = tables_from_numbers(numbers, "value", cfg)
+    return AuctionTables(*(df.withColumn("event_time", event_time("date_time_ns")).withWatermark("event_time", delay)
+                           for df in (t.person, t.auction, t.bid)))
+
+
 def event_file_stream(spark: SparkSession, path: str, max_files_per_trigger: int | None = None) -> DataFrame:
     """Tagged events from parquet files (schema fixed, no inference)."""
     reader = spark.readStream.schema(EVENT).format("parquet")
@@ -76,4 +85,4 @@ def timed_tables(events: DataFrame) -> AuctionTables:
     return AuctionTables(part("Person", "person"), part("Auction", "auction"), part("Bid", "bid"))
 
 
-__all__ = ["state_store", "generated_event_stream", "event_file_stream", "timed_events", "timed_tables"]
+__all__ = ["state_store", "generated_event_stream", "generated_table_stream", "event_file_stream", "timed_events", "timed_tables"]

@@ -2,14 +2,17 @@
 
 Each language has probabilities for the pieces of a fixed public vocabulary. A word's probability is the sum over all
 its segmentations into pieces of the product of their probabilities, computed by the forward algorithm; a text's is
-the product over its words. Training takes expected piece counts from the forward-backward algorithm, at first under equal
-piece probabilities and then under those learned; each round is one pass whose tasks emit one row for each language
-and piece. The model's size is that of the vocabulary times the languages, whatever the documents.
-
-The dynamic programme runs over all different words of a length at once, place by place. Words are runs of letters,
-lower-cased in ASCII, each led by a space; runs over ``LONGEST`` bytes are cut into such stretches, all of which
-count. Defined results: a text that is null or has no letter is ``und`` with score 0, and so is any text without
-training rows; ties go to the first language by name; repeated rows are judged alike; an empty table gives none.
+the product over its words. Training counts the words of every language once, by a group-by; its rounds then run over
+this table of different words and take expected piece counts from the forward-backward algorithm, at first under equal
+piece probabilities and then under those learned. A round's tasks emit one row for each language and piece. The model's
+size is that of the vocabulary times the languages, whatever the documents.
+
+Words are runs of letters, lower-cased in ASCII, each led by a space. The dynamic programme runs over all different words
+of a length at once, place by place; a run of over ``SHORT`` bytes, such as a sentence without spaces, goes by itself and in
+logarithms, place by place over the pieces that end there, whatever its length. Defined results: a text that is null
+or has no letter is ``und`` with score 0, and so is any text without training rows; ties go to the first language by
+name; repeated rows are judged alike; texts and words of any length are taken whole; an empty table gives none; only
+the named columns are read, whatever others are called.
 """
 
 from __future__ import annotations
@@ -25,17 +28,16 @@ from pyspark.sql import types as T
 
 from gavel.llm import text as tx
 from gavel.llm.bpe import VOCABULARY, load_ranks
-from gavel.llm.common import arrow_schema, map_batches, table
+from gavel.llm.common import arrow_schema, saved, table
 
-LONGEST = 31
-#: Bytes of the longest piece that a word can hold, with its space.
-PIECE_BYTES = LONGEST + 1
+#: Bytes of a word, with its space, up to which words of a length go together.
+SHORT = 32
 ROUNDS = 2
 SMOOTHING = 0.1
 #: Expected counts are summed as whole numbers of this fraction, so that sums don't depend on their order.
 GRAIN = 1 << 20
-#: Different words a task holds before it turns them into piece counts.
-WORDS_AT_ONCE = 200_000
+#: Different words a task counts before it hands them on, and whose scores it remembers.
+WORDS_AT_ONCE, WORDS_KNOWN = 200_000, 600_000
 UNKNOWN = "und"
 
 
@@ -45,7 +47,7 @@ class Vocabulary:
     def __init__(self, pieces: list[bytes]):
         self.size = len(pieces)
         self.by_length = {}
-        for length in range(1, PIECE_BYTES + 1):
+        for length in range(1, max(map(len, pieces)) + 1):
             own = [(i, p) for i, p in enumerate(pieces) if len(p) == length]
             buf = np.frombuffer(b"".join(p for _, p in own), np.uint8)
             at = np.arange(len(own)) * length
@@ -72,6 +74,59 @@ class Vocabulary:
         return found
 
 
+    def arcs(self, word: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """For one word: (from, to, piece) of all pieces in it in the order of their ends, and where each end's begin."""
+        n = len(word)
+        low, high, piece = [], [], []
+        for length, (hashes, ids, _) in self.by_length.items():
+            if length > n or not len(hashes):
+                continue
+            at = np.arange(n - length + 1)
+            h = tx.span_hashes(word, at, at + length)
+            place = np.minimum(np.searchsorted(hashes, h), len(hashes) - 1)
+            true = np.flatnonzero(hashes[place] == h)
+            low.append(true)
+            high.append(true + length)
+            piece.append(ids[place[true]])
+        low, high, piece = (np.concatenate([np.zeros(0, np.int64), *x]) for x in (low, high, piece))
+        order = np.argsort(high, kind="stable")
+        high = high[order]
+        return low[order], high, piece[order], np.searchsorted(high, np.arange(n + 2))
+
+
+def _summed(logs: np.ndarray) -> np.ndarray:
+    """log of the sum of exp over rows."""
+    top = logs.max(0)
+    return top + np.log(np.exp(logs - np.where(np.isfinite(top), top, 0)).sum(0)) if len(logs) else top
+
+
+def long_forward(arcs, n: int, logs: np.ndarray) -> np.ndarray:
+    """``forward`` of one word in logarithms, a row for every place."""
+    low, _, piece, first = arcs
+    reach = np.full((n + 1, logs.shape[1]), -np.inf)
+    reach[0] = 0
+    for place in range(1, n + 1):
+        own = slice(first[place], first[place + 1])
+        if first[place] < first[place + 1]:
+            reach[place] = _summed(reach[low[own]] + logs[piece[own]])
+    return reach
+
+
+def long_expected(arcs, n: int, logs: np.ndarray) -> np.ndarray:
+    """Expected count of every arc of one word in every language."""
+    low, high, piece, first = arcs
+    ahead = long_forward(arcs, n, logs)
+    order = np.argsort(low, kind="stable")
+    start = np.searchsorted(low[order], np.arange(n + 2))
+    back = np.full((n + 1, logs.shape[1]), -np.inf)
+    back[n] = 0
+    for place in range(n - 1, -1, -1):
+        own = order[start[place]: start[place + 1]]
+        if len(own):
+            back[place] = _summed(back[high[own]] + logs[piece[own]])
+    return np.exp(ahead[low] + logs[piece] + back[high] - ahead[n])
+
+
 def forward(found, size: int, n: int, prob: np.ndarray) -> list[np.ndarray]:
     """For every place of n words of ``size`` bytes, the summed probability of all segmentations up to it."""
     reach = [np.zeros((n, prob.shape[1])) for _ in range(size + 1)]
@@ -103,12 +158,7 @@ def by_size(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray):
 
 def words_of(buf: np.ndarray, offs: np.ndarray):
     """Words led by a space: bytes, starts, ends, hashes and where each text's words begin."""
-    starts, ends, _ = tx.spans(buf, offs, tx.LETTER_WORD)
-    pieces = (ends - starts + LONGEST - 1) // LONGEST
-    part = np.arange(int(pieces.sum())) - np.repeat(np.cumsum(pieces) - pieces, pieces)
-    low = np.repeat(starts, pieces) + part * LONGEST
-    high = np.minimum(low + LONGEST, np.repeat(ends, pieces))
-    first = np.searchsorted(low, offs)
+    low, high, first = tx.spans(buf, offs, tx.LETTER_WORD)
     size = high - low
     spaced = np.full(int(size.sum()) + len(size), 0x20, np.uint8)
     kept = tx.LOWER[buf[tx.LETTER_WORD[buf]]]
@@ -145,58 +195,90 @@ class Words:
         return at, new
 
 
-def expected(docs: DataFrame, langs: list[str], pieces, prob, text: str, lang: str) -> np.ndarray:
-    """Expected counts of every piece in every language under the given probabilities, from one pass."""
-    shared = docs.sparkSession.sparkContext.broadcast(prob)
+def word_counts(docs: DataFrame, langs: list[str], text: str, lang: str) -> DataFrame:
+    """(word, lang, n): how often each language has each word, ``lang`` being its number."""
     number = {x: i for i, x in enumerate(langs)}
-    schema = T.StructType([T.StructField("cell", T.LongType()), T.StructField("n", T.LongType())])
+    schema = T.StructType([T.StructField("word", T.BinaryType()), T.StructField("lang", T.IntegerType()), T.StructField("n", T.LongType())])
     out = arrow_schema(schema)
 
-    def fold(vocabulary, words, chunks, total):
-        p, done = shared.value, 0
+    def told(words, chunks):
+        done = 0
         for buf, starts, ends in chunks:
-            times = words.values[done: done + len(starts)]
+            word, kind = np.nonzero(words.values[done: done + len(starts)])
+            times = words.values[done: done + len(starts)][word, kind].astype(np.int64)
             done += len(starts)
-            for own, rows in by_size(buf, starts, ends):
-                n, size = rows.shape
-                found = vocabulary.pieces(rows)
-                a, b = forward(found, size, n, p), backward(found, size, n, p)
-                scale = times[own] / np.maximum(a[size], 1e-300)
-                pieces_, shares = [], []
-                for (low, high), (word, piece) in found.items():
-                    pieces_.append(piece)
-                    shares.append(a[low][word] * p[piece] * b[high][word] * scale[word])
-                if pieces_:
-                    piece, share = np.concatenate(pieces_), np.concatenate(shares)
-                    for k in range(len(langs)):
-                        total[:, k] += np.bincount(piece, share[:, k], minlength=vocabulary.size)
+            size = (ends - starts)[word]
+            stops = np.cumsum(size)
+            data = buf[np.repeat(starts[word] - stops + size, size) + np.arange(stops[-1] if len(stops) else 0)]
+            binary = pa.Array.from_buffers(pa.binary(), len(word), [None, pa.py_buffer(np.concatenate(([0], stops)).astype(np.int32)), pa.py_buffer(data)])
+            yield pa.RecordBatch.from_arrays([binary, pa.array(kind.astype(np.int32)), pa.array(times)], schema=out)
 
     def run(batches):
-        vocabulary = _vocabulary(pieces)
-        total = np.zeros((vocabulary.size, len(langs)))
         words, chunks = Words(len(langs)), []
         for batch in batches:
-            own = np.array([number.get(x, -1) for x in batch.column(0).to_pylist()], np.int64)
+            own = np.array([number[x] for x in batch.column(0).to_pylist()], np.int64)
             for a, b, buf, offs in tx.blocks(batch.column(1)):
                 spaced, starts, ends, hashes, first = words_of(buf, offs)
                 kind = own[a:b][tx.owner(first)]
                 _, sample, which = np.unique(hashes, return_index=True, return_inverse=True)
-                times = np.bincount((which * len(langs) + kind)[kind >= 0], minlength=len(sample) * len(langs)).reshape(-1, len(langs))
+                times = np.bincount(which * len(langs) + kind, minlength=len(sample) * len(langs)).reshape(-1, len(langs))
                 at, new = words.rows(hashes[sample])
                 words.values[at] += times
                 chunks.append((spaced, starts[sample[new]], ends[sample[new]]))
                 if len(words.seen) >= WORDS_AT_ONCE:
-                    fold(vocabulary, words, chunks, total)
+                    yield from told(words, chunks)
                     words, chunks = Words(len(langs)), []
-        fold(vocabulary, words, chunks, total)
+        yield from told(words, chunks)
+    return docs.select(lang, text).mapInArrow(run, schema).groupBy("word", "lang").agg(F.sum("n").alias("n"))
+
+
+def expected(counted: DataFrame, langs: int, pieces, prob) -> np.ndarray:
+    """Expected counts of every piece in every language under the given probabilities, from one pass over the words."""
+    shared = counted.sparkSession.sparkContext.broadcast(prob)
+    schema = T.StructType([T.StructField("cell", T.LongType()), T.StructField("n", T.LongType())])
+    out = arrow_schema(schema)
+
+    def run(batches):
+        vocabulary, p = _vocabulary(pieces), shared.value
+        logs = np.log(np.maximum(p, 1e-300))
+        total = np.zeros((vocabulary.size, langs))
+        for batch in batches:
+            if not len(batch):
+                continue
+            word = batch.column(0)
+            offs = np.frombuffer(word.buffers()[1], np.int32)[word.offset: word.offset + len(word) + 1].astype(np.int64)
+            buf = np.frombuffer(word.buffers()[2], np.uint8)
+            hashes = tx.span_hashes(buf[offs[0]: offs[-1]], offs[:-1] - offs[0], offs[1:] - offs[0])
+            # A word of several languages goes once.
+            _, sample, which = np.unique(hashes, return_index=True, return_inverse=True)
+            times = np.zeros((len(sample), langs))
+            np.add.at(times, (which, batch.column(1).to_numpy()), batch.column(2).to_numpy())
+            starts, ends = offs[:-1][sample], offs[1:][sample]
+            short = ends - starts <= SHORT
+            for own, rows in by_size(buf, starts[short], ends[short]):
+                n, size = rows.shape
+                found = vocabulary.pieces(rows)
+                a, b = forward(found, size, n, p), backward(found, size, n, p)
+                scale = times[short][own] / np.maximum(a[size], 1e-300)
+                pieces_, shares = [], []
+                for (low, high), (at, piece) in found.items():
+                    pieces_.append(piece)
+                    shares.append(a[low][at] * p[piece] * b[high][at] * scale[at])
+                if pieces_:
+                    piece, share = np.concatenate(pieces_), np.concatenate(shares)
+                    for k in range(langs):
+                        total[:, k] += np.bincount(piece, share[:, k], minlength=vocabulary.size)
+            for i in np.flatnonzero(~short).tolist():
+                arcs = vocabulary.arcs(buf[starts[i]: ends[i]])
+                np.add.at(total, arcs[2], long_expected(arcs, int(ends[i] - starts[i]), logs) * times[i])
         whole = np.round(total * GRAIN).astype(np.int64).ravel()
         seen = np.flatnonzero(whole)
         yield pa.RecordBatch.from_arrays([pa.array(seen), pa.array(whole[seen])], schema=out)
-    sums = docs.select(lang, text).mapInArrow(run, schema).groupBy("cell").agg(F.sum("n").alias("n"))
-    result = np.zeros(len(pieces.value) * len(langs))
+    sums = counted.mapInArrow(run, schema).groupBy("cell").agg(F.sum("n").alias("n"))
+    result = np.zeros(len(pieces.value) * langs)
     for r in sums.collect():  # a row for each piece and language at most
         result[r.cell] = r.n / GRAIN
-    return result.reshape(-1, len(langs))
+    return result.reshape(-1, langs)
 
 
 def fit(docs: DataFrame, pieces, text: str = "text", lang: str = "lang", rounds: int = ROUNDS) -> dict:
@@ -205,8 +287,9 @@ def fit(docs: DataFrame, pieces, text: str = "text", lang: str = "lang", rounds:
     langs = sorted(r[0] for r in docs.select(lang).distinct().collect())
     n = len(pieces.value)
     prob = np.full((n, 1), 1 / n)
+    counted = saved(word_counts(docs, langs, text, lang)) if langs else None
     for _ in range(rounds if langs else 0):
-        got = expected(docs, langs, pieces, prob, text, lang) + SMOOTHING
+        got = expected(counted, len(langs), pieces, prob) + SMOOTHING
         prob = got / got.sum(0)
     return {"langs": langs, "prob": prob}
 
@@ -215,16 +298,21 @@ class Scorer:
     """Log-probabilities of words in every language; a word that came before is looked up."""
 
     def __init__(self, vocabulary: Vocabulary, prob: np.ndarray):
-        self.vocabulary, self.prob = vocabulary, prob
+        self.vocabulary, self.prob, self.logs = vocabulary, prob, np.log(np.maximum(prob, 1e-300))
         self.known = Words(prob.shape[1])
 
     def words(self, spaced, starts, ends, hashes) -> np.ndarray:
-        if len(self.known.seen) > WORDS_AT_ONCE:
+        if len(self.known.seen) > WORDS_KNOWN:
             self.known = Words(self.prob.shape[1])
         at, new = self.known.rows(hashes)
+        long = new[ends[new] - starts[new] > SHORT]
+        new = new[ends[new] - starts[new] <= SHORT]
         for own, rows in by_size(spaced, starts[new], ends[new]):
             total = forward(self.vocabulary.pieces(rows), rows.shape[1], len(rows), self.prob)[-1]
             self.known.values[at[new[own]]] = np.log(np.maximum(total, 1e-300))
+        for i in long.tolist():
+            n = int(ends[i] - starts[i])
+            self.known.values[at[i]] = long_forward(self.vocabulary.arcs(spaced[starts[i]: ends[i]]), n, self.logs)[n]
         return self.known.values[at]
 
     def texts(self, buf: np.ndarray, offs: np.ndarray) -> np.ndarray:

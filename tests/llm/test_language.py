@@ -20,7 +20,7 @@ def segmentations(word, known):
     """All ways to cut a word into pieces."""
     if not word:
         return [[]]
-    return [[known[word[:n]], *rest] for n in range(1, min(len(word), L.PIECE_BYTES) + 1) if word[:n] in known
+    return [[known[word[:n]], *rest] for n in range(1, len(word) + 1) if word[:n] in known
             for rest in segmentations(word[n:], known)]
 
 
@@ -32,7 +32,7 @@ def words(text):
 
 
 def test_forward_sums_all_segmentations(pieces):
-    known = {b: i for i, b in enumerate(pieces) if len(b) <= L.PIECE_BYTES}
+    known = {b: i for i, b in enumerate(pieces)}
     prob = np.random.default_rng(0).random((len(pieces), 3))
     cut, parts = words("The Thing über naïve xyz inth")
     assert cut == ["the", "thing", "über", "naïve", "xyz", "inth"] and 0 or [c.decode() for c in cut] == [" the", " thing", " über", " naïve", " xyz", " inth"]
@@ -57,9 +57,65 @@ def test_long_pieces_count(pieces):
     assert np.allclose(np.exp(L.Scorer(L.Vocabulary(pieces), prob).words(*parts)), [total(c) for c in cut])
 
 
+LONG = ["donaudampfschifffahrtsgesellschaftskapitänswitwenrente", "语言识别是自然语言处理的一项基本任务" * 2, "x" * 300, "สวัสดีชาวโลกทุกคนในวันนี้"]
+
+
+def log_sums(word, known, logs):
+    """Forward sums of one word in plain Python."""
+    reach = [np.zeros(logs.shape[1])] + [None] * len(word)
+    for high in range(1, len(word) + 1):
+        ways = [reach[low] + logs[known[word[low:high]]] for low in range(high) if word[low:high] in known]
+        top = np.max(ways, 0)
+        reach[high] = top + np.log(np.exp(np.array(ways) - top).sum(0))
+    return reach[-1]
+
+
+def test_runs_of_any_length_are_whole(pieces):
+    """Runs of 50 to 300 bytes, without spaces, against all segmentations (by plain forward sums)."""
+    known = {b: i for i, b in enumerate(pieces)}
+    prob = np.random.default_rng(4).dirichlet(np.ones(len(pieces)), 2).T
+    cut, parts = words(" ".join(LONG))
+    assert cut == [b" " + w.encode() for w in LONG] and all(len(c) > L.SHORT for c in cut)
+    got = L.Scorer(L.Vocabulary(pieces), prob).words(*parts)
+    assert np.allclose(got, [log_sums(c, known, np.log(prob)) for c in cut])
+
+
+def test_both_ways_of_a_word_agree(pieces, monkeypatch):
+    """The same words by length and one by one: scores and expected counts."""
+    vocabulary, prob = L.Vocabulary(pieces), np.random.default_rng(5).dirichlet(np.ones(len(pieces)), 3).T
+    _, parts = words("a thing international über представление 语言")
+    plain = L.Scorer(vocabulary, prob).words(*parts)
+    monkeypatch.setattr(L, "SHORT", 0)
+    assert np.allclose(L.Scorer(vocabulary, prob).words(*parts), plain)
+    word = np.frombuffer(b" international", np.uint8)
+    found = vocabulary.pieces(word[None])
+    a, b = L.forward(found, len(word), 1, prob), L.backward(found, len(word), 1, prob)
+    arcs = vocabulary.arcs(word)
+    got = {(lo, hi): x for lo, hi, x in zip(arcs[0], arcs[1], L.long_expected(arcs, len(word), np.log(prob)))}
+    assert len(got) == len(found)
+    for (lo, hi), (_, piece) in found.items():
+        assert np.allclose(got[lo, hi], a[lo][0] * prob[piece[0]] * b[hi][0] / a[-1][0])
+
+
+def test_training_counts_every_word(spark, pieces):
+    """A round over the table of words against one over the words as they come; long runs included."""
+    rows = [("the thing the " + LONG[0], "en"), (LONG[1] + " thing", "zh"), ("", "en"), (None, "zh"), ("The üb", "en"), ("the", None)]
+    docs = spark.createDataFrame(rows, "text string, lang string")
+    shared = spark.sparkContext.broadcast(pieces)
+    got = L.fit(docs, shared, rounds=1)
+    vocabulary, n = L.Vocabulary(pieces), len(pieces)
+    want = np.zeros((n, 2))
+    for text, lang in rows:
+        for w in words(text)[0] if text and lang else []:
+            arcs = vocabulary.arcs(np.frombuffer(w, np.uint8))
+            np.add.at(want[:, ["en", "zh"].index(lang)], arcs[2], L.long_expected(arcs, len(w), np.full((n, 1), -np.log(n)))[:, 0])
+    want += L.SMOOTHING
+    assert got["langs"] == ["en", "zh"] and np.allclose(got["prob"], want / want.sum(0), rtol=1e-4)
+
+
 def test_expected_counts_are_posterior(pieces):
     """Forward-backward against the posterior over listed segmentations."""
-    known = {b: i for i, b in enumerate(pieces) if len(b) <= L.PIECE_BYTES}
+    known = {b: i for i, b in enumerate(pieces)}
     vocabulary, prob = L.Vocabulary(pieces), np.random.default_rng(1).random((len(pieces), 1))
     word = b" thing"
     rows = np.frombuffer(word, np.uint8)[None]

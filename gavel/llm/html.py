@@ -15,8 +15,9 @@ and otherwise splits the pages of a hot host.
 
 Defined results: null or empty html gives an empty text; pages without a URL or host share the wrapper of the empty
 host; repeated pages give equal texts; a page that has nothing in its host's content slots is labelled by its own wrapper, and so is
-what the host's wrapper has no place for; elements
-nested over ``DEPTH`` deep are read as part of their ancestor; an empty table gives none.
+what the host's wrapper has no place for; elements nested over ``DEPTH`` deep are read as part of their ancestor; html of
+any length is read whole; of main regions with equal weight the first counts; an empty table gives none; only the named
+columns are read, whatever others are called.
 """
 
 from __future__ import annotations
@@ -44,21 +45,32 @@ ALIGNED = 200
 LEVEL_ITEMS = 256
 #: Hosts a task folds at once, and salted groups of partial wrappers of a host.
 HOSTS_AT_ONCE, SALTS = 2000, 32
-#: Pages of different main text from which a text that never changes counts as the template's.
+#: Pages of different main text from which a text that never changes counts as the template's, where a host has no article.
 TEMPLATE_PAGES = 10
 
-_TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>"']|"[^"]*"|'[^']*')*+)>""", re.S)
+# A tag whose quotes don't close ends at the next ">".
+_TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>"']|"[^"]*"|'[^']*')*+)>"""
+                    r"""|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)([^<>]*)>""", re.S)
 _ATTRIBUTE = re.compile(r"""([a-zA-Z-]+)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""")
 _VOID = set("area base br col embed hr img input link meta param source track wbr".split())
-_RAW = set("script style textarea title template noscript iframe svg math object".split())
+_RAW = set("script style textarea title template noscript iframe svg object annotation annotation-xml".split())
 _INLINE = set("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark nobr q s samp small span "
-              "strike strong sub sup time tt u var img wbr br ruby rt rp".split())
+              "strike strong sub sup time tt u var img wbr br ruby rt rp math semantics mrow mi mn mo mtext mspace mfrac msup msub msubsup "
+              "msqrt mroot mstyle munder mover munderover mmultiscripts mtable mtr mtd mfenced mpadded".split())
 _SKIPPED = set("nav header footer aside form button select option menu dialog head audio video canvas map fieldset".split()) | _RAW
 _ROLES = set("navigation banner contentinfo complementary search dialog alert alertdialog form menu menubar toolbar".split())
 _HINTS = set("ad ads adbox advert adverts advertisement advertising banner sponsor sponsored promo promotion cookie cookies consent "
              "gdpr notice popup modal overlay newsletter subscribe signup sidebar menu nav navbar navigation breadcrumb "
              "breadcrumbs footer header masthead comment comments disqus respond replies share sharing social related "
              "recommended widget widgets pagination pager login search toolbar skip".split())
+#: Words that a class or id may hold beside such a hint and still name what the hint says; "has-sidebar",
+#: "comments-open" or "related-work" say something else.
+_NEUTRAL = set("site page global main top bottom left right upper lower box bar block wrapper wrap container section area list item items "
+               "link links button buttons form inner outer slot unit zone panel column col row group posts articles stories news body "
+               "primary secondary wp js the our your my form field icon icons text title message banner policy container".split())
+_COMMENT = {"comment", "comments", "disqus", "respond", "replies"}
+#: Elements that no class or id makes less than text (an article may still be a reader's comment).
+_TEXT_TAGS = set("h1 h2 h3 h4 h5 h6 main article body html".split())
 #: What an open element of the first name is closed by.
 _CLOSED_BY = {
     "p": set("address article aside blockquote details div dl fieldset figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul".split()),
@@ -66,6 +78,8 @@ _CLOSED_BY = {
     "option": {"option"},
 }
 _HEADINGS = {"h1", "h2", "h3"}
+#: Elements that hold a piece of a text, not a region of a page.
+_BLOCKS = set("p h1 h2 h3 h4 h5 h6 ul ol li dl dt dd blockquote pre figure figcaption address details summary".split())
 _MAIN = (("article",), ("main",))
 
 # An item of a wrapper: [signature, optional, repeated, children or None for text, statistics]. Statistics of text:
@@ -75,20 +89,50 @@ _MAIN = (("article",), ("main",))
 TEXT = "#"
 
 
-def signature(tag: str, attributes: str) -> str:
+def _named(tag: str, names: str) -> bool:
+    """Whether a class or id says that an element is no main text: a name of hints and neutral words alone."""
+    hints = _COMMENT if tag == "article" else set() if tag in _TEXT_TAGS else _HINTS
+    for name in names.lower().split():
+        parts = set(re.findall("[a-z]+", name))
+        if parts & hints and parts <= _HINTS | _NEUTRAL:
+            return True
+    return False
+
+
+def signature(tag: str, attributes: str, trusted: frozenset = frozenset()) -> str:
+    """The name of an element in wrappers. One that starts with "!" is no main text, with "!~" by its class or id alone, unless
+    it is among the ``trusted`` names."""
     found = {m[1].lower(): entities.unescape(m[2] or m[3] or m[4] or "") for m in _ATTRIBUTE.finditer(attributes)}
-    names = f"{found.get('class', '')} {found.get('id', '')}".lower()
     hidden = "hidden" in attributes.lower().split() or found.get("aria-hidden") == "true" or "display:none" in found.get("style", "").replace(" ", "")
-    skip = tag in _SKIPPED or hidden or found.get("role", "").lower() in _ROLES or _HINTS & set(re.findall("[a-z]+", names))
+    skip = tag in _SKIPPED or hidden or found.get("role", "").lower() in _ROLES
     names = ".".join(sorted(re.sub("[0-9]+", "#", x) for x in set(found.get("class", "").lower().split())))
     main = "@main" if found.get("role") == "main" or found.get("itemprop") == "articleBody" else ""
-    return f"{'!' if skip and tag not in ('body', 'html') else ''}{tag}{main}.{names}"
+    name = f"{tag}{main}.{names}"
+    if tag in ("body", "html"):
+        return name
+    if skip:
+        return "!" + name
+    by_name = not main and _named(tag, f"{found.get('class', '')} {found.get('id', '')}") and name not in trusted
+    return "!~" + name if by_name else name
 
 
 def parse(html: str) -> tuple[list, list[str]]:
-    """A page's items, unfolded, and its text runs with white space as it came."""
+    """A page's items, unfolded, and its text runs with white space as it came. An element that holds more text than all
+    that is left without it is no menu or notice, whatever its class or id says."""
+    trusted: frozenset = frozenset()
+    while True:
+        items, texts, lost = _parsed(html, trusted)
+        name, most = max(lost.items(), key=lambda x: (x[1], x[0]), default=("", 0))
+        if most <= sum(len(t.strip()) for t in texts):
+            return items, texts
+        trusted |= {name}
+
+
+def _parsed(html: str, trusted: frozenset) -> tuple[list, list[str], Counter]:
+    """Items, text runs, and the characters that elements lost by their class or id."""
     root: list = []
     stack = [("", root, False)]  # tag, children (over DEPTH those of the ancestor), inside something that is no main text
+    lost: Counter = Counter()
     opened: Counter = Counter()  # tags on the stack
     texts: list[str] = []
     run: list[tuple[str, bool]] = []
@@ -107,8 +151,12 @@ def parse(html: str) -> tuple[list, list[str]]:
             run.clear()
 
     def text(s):
-        if s and not stack[-1][2]:
+        if not s:
+            return
+        if not stack[-1][2]:
             run.append((entities.unescape(s), links > 0))
+        elif stack[-1][2][:1] == "~":
+            lost[stack[-1][2][1:]] += len(s.strip())
     at = 0
     while True:
         m = _TOKEN.search(html, at)
@@ -117,17 +165,17 @@ def parse(html: str) -> tuple[list, list[str]]:
             break
         text(html[at: m.start()])
         at = m.end()
-        tag = (m[2] or "").lower()
+        ends, tag, attributes = m[1] or m[4], (m[2] or m[5] or "").lower(), m[3] or m[6] or ""
         if not tag:
             continue
         if tag in _INLINE:
             if tag == "br":
                 text(" ")
             elif tag == "a":
-                links = max(0, links - 1) if m[1] else links + 1
+                links = max(0, links - 1) if ends else links + 1
             continue
         flush()
-        if m[1]:
+        if ends:
             if opened[tag]:
                 links = 0
                 while (name := stack.pop()[0]) != tag:
@@ -135,7 +183,7 @@ def parse(html: str) -> tuple[list, list[str]]:
                 opened[tag] -= 1
             continue
         if tag in _RAW:
-            if not m[3].rstrip().endswith("/"):
+            if not attributes.rstrip().endswith("/"):
                 close = re.compile(rf"</{tag}\b[^>]*>", re.I).search(html, at)
                 at = close.end() if close else len(html)
             continue
@@ -144,15 +192,17 @@ def parse(html: str) -> tuple[list, list[str]]:
             links = 0
         if tag in _VOID:
             continue
-        sign = signature(tag, m[3])
-        skip = stack[-1][2] or sign[0] == "!"
+        sign = signature(tag, attributes, trusted)
+        # Why the element is no main text: "~" and the name that says so, or another reason.
+        within = stack[-1][2]
+        skip = "!" if sign[0] == "!" and sign[1] != "~" or within == "!" else within or (sign[1:] if sign[0] == "!" else False)
         children: list = stack[-1][1] if len(stack) > DEPTH else []
         if not stack[-1][2] and len(stack) <= DEPTH:
             stack[-1][1].append([sign, False, False, children, 1])
         stack.append((tag, children, skip))
         opened[tag] += 1
     flush()
-    return root, texts
+    return root, texts, lost
 
 
 def merged(a: list, b: list) -> list:
@@ -293,15 +343,15 @@ def _regions(items: list, names: tuple[str, ...]) -> list:
 
 
 def label(items: list) -> list:
-    """The wrapper with 1 or 0 as the only number of each text slot: content or not. In an article or main element only
-    text that all pages share is the template's; elsewhere also text that some share, and slots that are mostly links."""
+    """The wrapper with 1 or 0 as the only number of each text slot: content or not. In an article or main element every
+    slot is; elsewhere text that never changes over some pages is the template's, and so are slots that are mostly links."""
     chosen = next((r for names in _MAIN if any(map(weight, r := _regions(items, names)))), None)
     found = chosen is not None
     if not found:
         region = ["", False, False, items, 1]
         while True:
             total = weight(region)
-            inner = max((x for x in region[3] if x[3] is not None and x[0][0] != "!"), key=weight, default=None)
+            inner = max((x for x in region[3] if x[3] is not None and x[0][0] not in "!(" and x[0].split(".")[0] not in _BLOCKS), key=weight, default=None)
             if inner is None or weight(inner) < 0.7 * total or not total:
                 break
             region = inner
@@ -313,17 +363,16 @@ def label(items: list) -> list:
         return any(x[4][3] == 0 if x[3] is None else varies(x[3]) for x in items)
     changing = any(varies(x[3]) for x in chosen)
 
-    def mark(items, within, parent, everywhere):
+    def mark(items, within, parent):
         for x in items:
             if x[3] is None:
                 _, chars, links, only, _, pages = x[4]
-                shared = isinstance(pages, list) and len(pages) >= TEMPLATE_PAGES and (not found or everywhere and not x[1])
+                shared = not found and isinstance(pages, list) and len(pages) >= TEMPLATE_PAGES
                 template = only and changing and shared and parent not in _HEADINGS
                 x[4] = [*x[4][:4], [int(bool(within and not template and (found or 2 * links <= chars)))]]
             elif x[0][0] != "!":
-                first = id(x) in inside
-                mark(x[3], within or first, x[0].split(".")[0], first or everywhere and not x[1])
-    mark(items, whole, "", True)
+                mark(x[3], within or id(x) in inside, x[0].split(".")[0])
+    mark(items, whole, "")
     return items
 
 

@@ -82,10 +82,38 @@ def test_a_wrapper_fits_its_pages():
             assert fits(signs(H.parse(p)[0]), pattern), (pages, pattern)
 
 
-def test_template_text_inside_the_article_goes():
-    pages = [f"<article><h1>Same</h1><div>Read this on our site</div><p>text {i}</p></article>" for i in range(12)]
+def test_constant_text_inside_the_article_stays():
+    """At any number of pages: only the named kinds of elements go."""
+    for n in (9, 10, 40):
+        pages = [f"<article><h1>Same</h1><blockquote>Read this on our site</blockquote><p>text {i}</p></article>" for i in range(n)]
+        known = H.label(json.loads(json.dumps(wrapper(*pages))))
+        assert H.extract(pages[3], known) == "Same\n\nRead this on our site\n\ntext 3"
+
+
+def test_the_wrapper_tells_template_text_where_there_is_no_article():
+    """Pages of divs alone: what never changes over a host's pages isn't the page's text, which one page can't tell."""
+    pages = [f"<div class=top>Our daily paper for everyone</div><div class=story><h2>Head {i}</h2><p>Story number {i} goes on here</p></div>"
+             f"<div class=end>All rights reserved by the paper</div>" for i in range(12)]
     known = H.label(json.loads(json.dumps(wrapper(*pages))))
-    assert H.extract(pages[3], known) == "Same\n\ntext 3"
+    assert H.extract(pages[5], known) == "Head 5\n\nStory number 5 goes on here"
+    assert H.extract(pages[5], None) != H.extract(pages[5], known)
+
+
+def test_class_names_that_say_something_else():
+    text = "<h1>Title</h1><p>the whole story at its full length</p>"
+    for name in ("post has-sidebar", "post comments-open", "single-post no-sidebar", "sidebar"):
+        assert H.extract(f'<body><article class="{name}">{text}</article></body>', None) == "Title\n\nthe whole story at its full length"
+    page = ('<article><h2 id="share-prices">Share prices</h2><p>They rose again today.</p><section id="related-work"><p>Related work here.</p></section>'
+            '<div class="table-header">Year and price</div><div class="comments"><p>nice!</p></div><div class="share-buttons">Share</div>'
+            '<div id="cookie-notice">We use cookies</div><article class="comment">first!</article></article>')
+    assert H.extract(page, None) == "Share prices\n\nThey rose again today.\n\nRelated work here.\n\nYear and price"
+    # An element with most of the page's text is no sidebar.
+    assert H.extract('<body><div class="sidebar">' + text + '</div><div>by us</div></body>', None).startswith("Title\n\nthe whole story")
+
+
+def test_formulas_and_unclosed_quotes():
+    assert H.extract("<article><p>where <math><mi>x</mi><mo>=</mo><mn>2</mn></math> holds</p></article>", None) == "where x=2 holds"
+    assert H.extract("<article><p class='x>one</p><p>two</p></article>", None) == "one\n\ntwo"
 
 
 def test_repeated_text_inside_the_article_stays():

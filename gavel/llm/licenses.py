@@ -4,7 +4,9 @@ Every line and sentence of every whole text, wrapped sentences, blocks between b
 for files named like a licence, the whole text are compared with the notices of ``TEMPLATES`` and the notice texts of
 ``TEXTS``; all words are weighed by their document frequencies, which count every document. A part that reaches the bar
 must hold one of a notice's heaviest words, since the rest of the notice is too short a vector to reach it alone; so
-only parts with such words are split into terms, without losing a match. A file's licence is that of its SPDX line, or
+only parts with such words are split into terms, without losing a match. What tells licences of one family apart (version
+numbers, NC, ND, SA, Lesser, Affero) and a denial must agree exactly, and a sentence must hold its notice's names; a licence
+without a notice here matches none. A file's licence is that of its SPDX line, or
 else of its best notice text, or else of its best sentence. Files that consist mostly of licence
 sentences, or are named like one (LICENSE, COPYING), license their directory, and a file without a licence of its own
 takes that of its nearest ancestor directory: the different directories are joined with their ancestors, then files with
@@ -13,7 +15,7 @@ their directories. Only paths, not texts, take part in the joins, and a director
 Defined results: a null, empty or unlicensed text has a null licence unless it inherits one; rows with equal paths are
 one file, with the best evidence among them; ties go to the greater score, then the greater name; an SPDX expression is
 taken as it stands, less "-only", "-or-later" and "+" after a GNU version; missing parts of a
-path read "-"; an empty table gives none; further columns are left out.
+path read "-"; texts of any length are read whole; an empty table gives none; further columns are left out.
 """
 
 from __future__ import annotations
@@ -36,14 +38,14 @@ TEMPLATES = [
     ("GPL-2.0", "This work is licensed under the GNU General Public License, version 2."),
     ("GPL-3.0", "Redistribute it and/or modify it under the terms of the GNU General Public License, either version 3 of the License, or any later version."),
     ("LGPL-3.0", "This work is licensed under the GNU Lesser General Public License, version 3."),
+    ("LGPL-2.1", "This work is licensed under the GNU Lesser General Public License, version 2.1."),
     ("AGPL-3.0", "This work is licensed under the GNU Affero General Public License, version 3."),
     ("BSD-3-Clause", "Licensed under the BSD 3-Clause License."),
     ("BSD-2-Clause", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met."),
     ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."),
     ("ISC", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted."),
-    ("CC-BY-4.0", "Licensed under CC BY 4.0."),
-    ("CC-BY-SA-4.0", "Licensed under CC BY-SA 4.0."),
-    ("CC-BY-NC-4.0", "Licensed under CC BY-NC 4.0."),
+    *((f"CC-{kind}-{version}", f"Licensed under CC {kind} {version}.") for version in ("3.0", "4.0")
+      for kind in ("BY", "BY-SA", "BY-NC", "BY-ND", "BY-NC-SA", "BY-NC-ND")),
     ("CC0-1.0", "To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work."),
     ("Unlicense", "This is free and unencumbered software released into the public domain."),
 ]
@@ -82,13 +84,19 @@ TEXTS = [
                    "or implied. See the License for the specific language governing permissions and limitations under the License."),
     ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, "
                 "You can obtain one at https://mozilla.org/MPL/2.0/."),
-    ("GPL-3.0", _GNU.format("", 3)), ("GPL-2.0", _GNU.format("", 2)), ("LGPL-3.0", _GNU.format("Lesser ", 3)), ("AGPL-3.0", _GNU.format("Affero ", 3)),
+    ("LGPL-2.1", _GNU.format("Lesser ", 2.1)), ("GPL-3.0", _GNU.format("", 3)), ("GPL-2.0", _GNU.format("", 2)), ("LGPL-3.0", _GNU.format("Lesser ", 3)), ("AGPL-3.0", _GNU.format("Affero ", 3)),
     ("BSD-2-Clause", _BSD.format("")),
     ("BSD-3-Clause", _BSD.format("3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products "
                                  "derived from this software without specific prior written permission. ")),
     ("Unlicense", "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or "
                   "distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means."),
 ]
+#: Terms that tell licences of a family apart, or deny one: a sentence has just those of its notice. Of these, what a notice
+#: text (whose numbers and negations come in many forms) has to share.
+MARKS = ["nc", "nd", "sa", "lesser", "library", "affero", "not", "never", "no", *map(str, range(10))]
+KINDS = ["nc", "nd", "sa", "lesser", "library", "affero"]
+#: Names that a sentence must hold if its notice does.
+NAMES = ["license", "mit", "apache", "gnu", "bsd", "mozilla", "cc", "by", "file", "software"]
 #: Cosine from which a sentence holds a notice.
 BAR = 0.7
 #: Share of a file's words in licence sentences from which it licenses its directory.
@@ -114,14 +122,21 @@ def frequencies(texts: DataFrame, text: str) -> DataFrame:
     return terms.where("term <> ''").groupBy("term").agg(F.count("*").alias("df"))
 
 
+def lists(templates: list) -> list:
+    return [(name, re.findall("[a-z0-9]+", notice.lower()), whole) for name, notice, whole in templates]
+
+
 def model(frequency: DataFrame, n: int, templates: list, bar: float = BAR) -> dict:
     """The unit vectors of notices (license, text, whole), and the words without one of which no part reaches the bar."""
-    lists = [(name, re.findall("[a-z0-9]+", notice.lower()), whole) for name, notice, whole in templates]
-    vocabulary = sorted({w for _, ws, _ in lists for w in ws})
+    known = lists(templates)
+    vocabulary = sorted({w for _, ws, _ in known for w in ws})
     df = {r.term: r.df for r in frequency.where(F.col("term").isin(vocabulary)).collect()}  # a row for each word of the notices
     idf = {w: math.log((2 + n) / (1 + df.get(w, 0))) for w in vocabulary}
     vectors, anchors = [], set()
-    for number, (name, ws, whole) in enumerate(lists):
+    rules = []
+    for number, (name, ws, whole) in enumerate(known):
+        tell = KINDS if whole else MARKS
+        rules.append((number, sorted(set(ws) & set(tell)), sorted(set() if whole else set(ws) & set(NAMES))))
         vector = {w: ws.count(w) * idf[w] for w in set(ws)}
         size = math.sqrt(sum(x * x for x in vector.values()))
         left = 1.0
@@ -130,15 +145,16 @@ def model(frequency: DataFrame, n: int, templates: list, bar: float = BAR) -> di
             if left >= bar * bar - 1e-9:
                 anchors.add(w)
                 left -= (x / size) ** 2
-    return {"vectors": vectors, "anchors": sorted(anchors)}
+    return {"vectors": vectors, "anchors": sorted(anchors), "rules": rules}
 
 
 def notices(files: DataFrame, text: str = "text", templates=TEMPLATES, bar: float = BAR, texts=TEXTS) -> DataFrame:
     """(path, license, score, share): the best notice of each path that has one, and the share of its words in notices."""
     spark = files.sparkSession
     n = files.count()
+    every = [(*x, 0) for x in templates] + [(*x, 1) for x in texts]
     frequency = saved(frequencies(files, text))
-    known = model(frequency, n, [(*x, 0) for x in templates] + [(*x, 1) for x in texts], bar)
+    known = model(frequency, n, every, bar)
     rare = F.array(*map(F.lit, known["anchors"]))
 
     def hopeful(col):
@@ -153,11 +169,21 @@ def notices(files: DataFrame, text: str = "text", templates=TEMPLATES, bar: floa
     parts = rows.select("row", F.posexplode(F.array(*kinds)).alias("kind", "own")).select("row", "kind", F.posexplode("own").alias("pos", "part"))
     at = ["row", "kind", "pos"]
     terms = parts.where(hopeful("part")).select(*at, F.explode(words(F.col("part"))).alias("term")).groupBy(*at, "term").agg(F.count("*").alias("tf"))
+    terms = saved(terms)
+    # The words of the parts at hand are few beside those of all documents: cut to them first, frequencies stay small.
+    frequency = saved(frequency.join(saved(terms.select("term").distinct()), "term", "left_semi"))
     idf = F.log((2 + F.lit(n)) / (1 + F.col("df")))
     terms = saved(terms.join(frequency, "term").select(*at, "term", (F.col("tf") * idf).alias("w"), "tf"))
-    size = terms.groupBy(*at).agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("size"), F.sum("tf").alias("n"))
+
+    def own(names):
+        return F.array_sort(F.collect_set(F.when(F.col("term").isin(names), F.col("term"))))
+    size = terms.groupBy(*at).agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("size"), F.sum("tf").alias("n"), own(MARKS).alias("marks"), own(NAMES).alias("names"))
     dots = terms.join(F.broadcast(vectors), "term").groupBy(*at, "number", "license", "whole").agg(F.sum(F.col("w") * F.col("weight")).alias("dot"))
     best = dots.join(size, at).withColumn("score", F.round(F.col("dot") / F.col("size"), 9)).where(F.col("score") >= bar)
+    rules = literal_rows(spark, known["rules"], "number int, tells array<string>, needs array<string>")
+    best = best.join(F.broadcast(rules), "number")
+    kinds_ = F.array_intersect("marks", F.array(*map(F.lit, KINDS)))
+    best = best.where((F.when(F.col("whole") == 1, kinds_).otherwise(F.col("marks")) == F.col("tells")) & (F.size(F.array_except("needs", "names")) == 0))
     best = best.groupBy(*at).agg(F.max(F.struct("whole", "score", "license")).alias("best"), F.max("n").alias("n"))
     best = best.groupBy("row", "kind").agg(F.max("best").alias("best"), F.sum("n").alias("n"))
     named = F.regexp_replace(F.regexp_extract(text, SPDX, 1), r"(?i)(GPL-[0-9.]+)(?:-only|-or-later|\+)", "$1")
@@ -191,7 +217,8 @@ def scan(files: DataFrame, text: str = "text", templates=TEMPLATES, bar: float =
     found = saved(notices(files, text, templates, bar))
     licensed = found.where((F.col("share") >= file_share) | F.col("path").rlike(FILE_NAME)).withColumn("dir", directory(F.col("path")))
     paths = files.select("path").distinct().withColumn("dir", directory(F.col("path")))
-    above = inherited(paths.select("dir").distinct(), licensed).withColumnRenamed("license", "above")
+    # Directories are far fewer than files; with their size known the optimizer copies them to all tasks if they are few.
+    above = saved(inherited(paths.select("dir").distinct(), licensed).withColumnRenamed("license", "above"))
     out = paths.join(found.drop("share"), "path", "left").join(above, "dir", "left")
     own = F.col("license").isNotNull()
     return out.select("path", F.coalesce("license", "above").alias("license"),

@@ -3,6 +3,7 @@ import math
 import re
 import textwrap
 
+import regex
 from llm_util import awkward, empty
 from pyspark.sql import functions as F
 
@@ -15,29 +16,36 @@ def words(text):
     return [w for w in re.split("[^a-z0-9]+", text.lower()) if w]
 
 
-def brute_notice(texts, bar=L.BAR):
-    """(license, score) of each text by comparing each sentence with each notice."""
-    lists = [(name, words(t)) for name, t in L.TEMPLATES]
+def parts_of(path, text):
+    """Lines and sentences, wrapped sentences, blocks, runs of comment lines, and whole licence files."""
+    runs = [re.sub(L.CODE_LINE, "", x, count=1) for x in re.split(L.NO_COMMENT, text)]
+    return [*re.split(L.SENTENCE, text), *regex.split(L.WRAPPED, text), *re.split(L.BLOCK, text), *runs, *([text] if re.search(L.FILE_NAME, path) else [])]
+
+
+def brute_notice(texts, bar=L.BAR, paths=None):
+    """(license, score) of each text by comparing each part of every kind with each notice, without pruning."""
+    known = [(name, words(t), 0) for name, t in L.TEMPLATES] + [(name, words(t), 1) for name, t in L.TEXTS]
     n = len(texts)
     df = collections.Counter(w for t in texts for w in set(words(t or "")))
-    known = {w for _, ws in lists for w in ws}
-    idf = lambda w: math.log((2 + n) / (1 + df[w])) if w in known else math.log(2 + n)
 
     def vector(ws):
-        v = {w: c * idf(w) for w, c in collections.Counter(ws).items()}
+        v = {w: c * math.log((2 + n) / (1 + df[w])) for w, c in collections.Counter(ws).items()}
         size = math.sqrt(sum(x * x for x in v.values()))
         return {w: x / size for w, x in v.items()} if size else {}
-    notices = [(name, vector(ws)) for name, ws in lists]
+    notices = [(name, set(ws), whole, vector(ws)) for name, ws, whole in known]
     out = []
-    for t in texts:
+    for path, t in zip(paths or ["-"] * n, texts):
         best = None
-        for part in re.split(r"(?<=[.!?])\s+|\n+", t or ""):
-            v = vector(words(part))
-            for name, notice in notices:
+        for ws in {tuple(words(p)) for p in parts_of(path, t or "")}:
+            v, own = vector(ws), set(ws)
+            for name, its, whole, notice in notices:
+                tells = set(L.KINDS if whole else L.MARKS)
+                if own & tells != its & tells or not whole and its & set(L.NAMES) - own:
+                    continue
                 score = round(sum(x * notice.get(w, 0) for w, x in v.items()), 9)
-                if score >= bar and (best is None or (score, name) > best):
-                    best = (score, name)
-        out.append((best[1], round(best[0], 6)) if best else None)
+                if score >= bar and (best is None or (whole, score, name) > best):
+                    best = (whole, score, name)
+        out.append((best[2], round(best[1], 6)) if best else None)
     return out
 
 
@@ -60,6 +68,35 @@ def test_notices_in_running_text(spark):
     assert got["/f0"][0] == "CC-BY-SA-4.0" and got["/f5"][0] == "GPL-2.0" and got["/f4"][0] == "MIT"
 
 
+def test_what_tells_licences_apart(spark):
+    """Versions, NC, ND, SA, Lesser and denials agree exactly; near prose is no notice."""
+    filler = [d.text for d in table(spark, SF_SMALL, "documents").collect()]
+    said = {"Licensed under CC BY-ND 4.0.": "CC-BY-ND-4.0", "Licensed under CC BY-NC-SA 4.0.": "CC-BY-NC-SA-4.0", "Licensed under CC BY 3.0.": "CC-BY-3.0",
+            "Licensed under CC BY 2.5.": None, "This work is not licensed under the GNU General Public License, version 3.": None,
+            "You may not use this road except in compliance with the law.": None, "Released under the MIT License.": "MIT",
+            "This work is licensed under the GNU Lesser General Public License, version 2.1.": "LGPL-2.1",
+            L._GNU.format("Lesser ", "2.1"): "LGPL-2.1", L._GNU.format("", 2): "GPL-2.0", "Licensed under the Apache License, Version 1.1.": None,
+            "You may not use this file except in compliance with the License.": "Apache-2.0"}
+    texts = [*said, *filler]
+    files = spark.createDataFrame([(f"/f{i}", t) for i, t in enumerate(texts)], "path string, text string")
+    got = {r.path: (r.license, round(r.score, 6)) for r in L.notices(files).collect()}
+    assert [got.get(f"/f{i}", (None,))[0] for i in range(len(said))] == list(said.values())
+    assert got == {f"/f{i}": x for i, x in enumerate(brute_notice(texts)) if x}
+
+
+def test_parts_of_every_kind_against_brute_force(spark):
+    gpl, mit, bsd = (dict(L.TEXTS)[x] for x in ("GPL-3.0", "MIT", "BSD-2-Clause"))
+    wrapped = ["\n".join(textwrap.wrap(t, 50)) for t in (gpl, mit, bsd)]
+    texts = ["/*\n * " + wrapped[0].replace("\n", "\n * ") + "\n */\nint x = 1;\n" * 3, "Some words.\n\n" + wrapped[1] + "\n\nOther words here.", wrapped[2],
+             "import os\n# " + wrapped[1].replace("\n", "\n# ") + "\ncode()", "This work is licensed under the\nGNU General Public License,\nversion 3. More.", None, "",
+             "Licensed under CC\nBY-SA 4.0. And so on", "; Released under the MIT License.\nmov ax, bx", "nothing of the kind"]
+    paths = [f"/d{i}/{'LICENSE' if i in (2, 9) else 'x.c'}" for i in range(len(texts))]
+    files = spark.createDataFrame(list(zip(paths, texts)), "path string, text string")
+    got = {r.path: (r.license, round(r.score, 6)) for r in L.notices(files).collect()}
+    want = {p: x for p, x in zip(paths, brute_notice(texts, paths=paths)) if x}
+    assert got == want and len(want) >= 7
+
+
 def test_common_words_weigh_little(spark):
     texts = ["unless noted otherwise somewhere by somebody"] * 300 + ["Released under the MIT License unless noted otherwise somewhere by somebody."]
     files = spark.createDataFrame([(f"/f{i}", t) for i, t in enumerate(texts)], "path string, text string")

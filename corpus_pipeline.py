@@ -3,6 +3,12 @@
 Each stage takes (spark, docs, sf_dir), works on every document that the one before it kept and returns documents with
 the same columns; the last returns one row of tokens per document. Stages that remove documents give back the
 others untouched; the secret stage keeps every document and masks spans of its text.
+
+Defined results, for each stage and the whole: a null or empty text is judged as empty (scored by the classifier, one
+group of empty fingerprints, no passages, no secrets, no tokens); texts of any length are handled whole; rows that
+repeat are judged alike, and of a near-duplicate group the row with the smallest id stays, ties going to the first by all
+columns; null ids are kept as they are; an empty table gives an empty result; the stages read the columns they name
+and hand on all others, whatever they are called.
 """
 
 from pyspark.sql import DataFrame, SparkSession

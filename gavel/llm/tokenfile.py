@@ -71,23 +71,21 @@ def _widths(ids: np.ndarray) -> np.ndarray:
     return np.searchsorted(np.uint64(1) << np.arange(1, 64, dtype=np.uint64), ids, "right").astype(np.uint8) + 1
 
 
-def _reach(widths: np.ndarray) -> dict[int, np.ndarray]:
-    """For each selector's count n, the widest of the n ids from every place (beyond the end nothing is added)."""
-    top = {1: widths}
-    n = 1
-    while n < COUNTS.max():
-        wider = top[n].copy()
-        wider[:-n] = np.maximum(wider[:-n], top[n][n:]) if n < len(widths) else wider[:-n]
-        n *= 2
-        top[n] = wider
-    out = {}
-    for n in COUNTS[1:ESCAPE].tolist():
-        half = 1 << (n.bit_length() - 1)
-        wide = top[half].copy()
-        if half < n and n - half < len(widths):
-            wide[: -(n - half)] = np.maximum(wide[: -(n - half)], top[half][n - half:])
-        out[n] = wide
-    return out
+def _wider(top: dict[int, np.ndarray], n: int) -> np.ndarray:
+    """The widest of the n ids from every place (beyond the end nothing is added). ``top`` has it for 1 and keeps what
+    it finds for powers of two."""
+    half = 1 << (n.bit_length() - 1)
+    while half not in top:
+        k = max(top)
+        wide = top[k].copy()
+        if k < len(wide):
+            np.maximum(wide[:-k], top[k][k:], out=wide[:-k])
+        top[2 * k] = wide
+    if half == n or n - half >= len(top[half]):
+        return top[half]
+    wide = top[half].copy()
+    np.maximum(wide[: half - n], top[half][n - half:], out=wide[: half - n])
+    return wide
 
 
 def pack(ids: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -98,10 +96,13 @@ def pack(ids: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     # The selector of a word that starts at any given id: the one with most ids that fit and end in the document.
     left = np.repeat(ends, np.diff(ends, prepend=0)) - np.arange(len(ids))
     left = np.minimum(left, COUNTS.max()).astype(np.uint8)
-    reach = _reach(_widths(ids))
+    top = {1: _widths(ids)}
     choice = np.full(len(ids), ESCAPE, np.uint8)
     for s in range(LAST, 0, -1):
-        np.copyto(choice, np.uint8(s), where=(reach[int(COUNTS[s])] <= BITS[s]) & (left >= COUNTS[s]))
+        fits = (_wider(top, int(COUNTS[s])) <= BITS[s]) & (left >= COUNTS[s])
+        if not fits.any():  # nor do more ids in fewer bits
+            break
+        np.copyto(choice, np.uint8(s), where=fits)
     step = np.maximum(COUNTS, 1)[choice]
     # Following the words from the first id is the one sequential part.
     steps, at, starts = step.tolist(), 0, []
@@ -240,15 +241,15 @@ class PieceIds:
         key = _piece_hashes(code, cuts, stops)
         slot = (key & np.uint64(SLOTS - 1)).astype(np.int64)
         number = np.where(self.key[slot] == key, self.number[slot], -1)
-        found = number >= 0
-        wrong = found.copy()  # same hash, another piece
-        wrong[found] = self.chars.sizes[number[found]] != size[found]
-        same = np.flatnonzero(found & ~wrong)
-        places = _spread(cuts[same], size[same])
-        differ = self.chars.data[_spread(self.chars.starts[number[same]], size[same])] != code[places]
-        if differ.any():
-            wrong[same[np.repeat(np.arange(len(same)), size[same])[differ]]] = True
-        number[wrong] = -1
+        # The pieces follow each other, so each character has a place in the remembered piece that it is compared with.
+        at = self.chars.starts[number] - cuts if len(self.chars.starts) else np.zeros(len(cuts), np.int64)
+        fits = (number >= 0) & (self.chars.sizes[number] == size) if len(self.chars.sizes) else np.zeros(len(cuts), bool)
+        at[~fits] = -cuts[~fits]
+        place = np.repeat(at, size) + np.arange(len(code))
+        if size.max() > len(self.chars.data):  # an unknown piece longer than all that is remembered
+            place = np.minimum(place, len(self.chars.data) - 1)
+        same = self.chars.data[place] == code
+        number[~(fits & np.logical_and.reduceat(same, cuts))] = -1
         new = np.flatnonzero(number < 0)
         if len(new):
             sample, which = distinct_pieces(code, cuts[new], stops[new], key[new])

@@ -9,8 +9,8 @@ by what their label's share of the sample stands for.
 
 Sizes that do not follow the data: 2 * ``SAMPLE`` neighbours, ``BUCKETS`` features, ``RANK`` dimensions. Defined results: a null or
 empty text has no neighbours and gets the share of label 1; without any labelled row every score is 1 (nothing
-speaks against a document); repeated rows score alike; several labels of one id are averaged; an empty table gives
-none.
+speaks against a document); repeated rows score alike; several labels of one id are averaged, and of several texts of
+one id the first by their features is learned from; an empty table gives none.
 """
 
 from __future__ import annotations
@@ -125,7 +125,9 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
     df[list(counts)] = list(counts.values())
     idf = np.log((1 + n) / (1 + df))
     by_name = {str(k): y for k, y in chosen.items()}
-    rows = sorted(((r.id, r.buckets, r.times) for r in seen.where("id is not null").dropDuplicates(["id"]).toLocalIterator()))
+    # Of several texts with one id the first by features counts, however the rows are dealt.
+    one = seen.where("id is not null").groupBy("id").agg(F.min(F.struct("buckets", "times")).alias("first"))
+    rows = sorted(((r.id, r.first.buckets, r.first.times) for r in one.toLocalIterator()))
     if not rows:
         return None
     bucket = np.concatenate([np.frombuffer(r[1], "<u4") for r in rows]).astype(np.int64)

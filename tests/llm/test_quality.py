@@ -43,6 +43,14 @@ def test_labels_of_held_out_rows_and_other_columns_play_no_part(spark):
     assert sorted(r[0] for r in a) == sorted(r.doc_id for r in docs.collect())
 
 
+def test_several_texts_of_one_id_in_any_order(spark):
+    """The model doesn't depend on how rows are dealt to tasks."""
+    docs = table(spark, SF_SMALL, "documents").withColumn("doc_id", F.col("doc_id") % 40)
+    labels = spark.createDataFrame([(i, i % 2) for i in range(40)], "doc_id long, quality int")
+    a, b = (sorted(map(tuple, Q.score(docs.repartition(n, by), labels).collect())) for n, by in ((2, "text"), (7, "n_chars")))
+    assert a == b
+
+
 def test_awkward_rows(spark):
     docs = awkward(spark).withColumns({"score": F.lit("mine"), "bucket": F.lit(1)})
     labels = spark.createDataFrame([(1, 1), (1, 0), (5, 1), (6, 0), (None, 1), (7, None), (99, 0)], "doc_id long, quality int")

@@ -1,32 +1,46 @@
 """Benchmark decontamination by suffix arrays.
 
-Every task indexes its stretch of the training texts by a suffix array over word numbers and searches every test
-suffix in it by bisection; equal diagonals of neighbouring hits are joined into the longest verbatim matches. Only
-positions whose next words all occur in the test set can start a match, so only those suffixes are kept (a sparse
-suffix array): no match is lost and most of a training text never gets sorted. Texts are read once, nothing is
-shuffled, and the test set travels to the tasks in blocks of bounded size, however many it takes.
+A shard is a stretch of about ``SHARD_BYTES`` of whole training texts in one task. Its suffix array orders the suffixes
+of its words in full, and every suffix of a test item is searched in it by bisection: the range of suffixes that share
+the item's window gives every place of that window, and windows that follow each other on one diagonal are one longest
+verbatim match. Two words can only stand in a match if some test item has them side by side, so only runs of such words
+get into the array (a sparse suffix array): no match is lost and most of a training text is never sorted. Words are
+compared by 64-bit hashes; what matches is compared again by its bytes.
+
+Spark. Tasks cut the test items into words and write them as blocks into the shared checkpoint folder; the driver only
+hands the blocks on, at most ``PASS_BYTES`` of them at a time. Training texts are read in one narrow pass for that many
+bytes of blocks and nothing is shuffled; a larger test set takes one more pass for every further ``PASS_BYTES``, between
+which the table is written with the matches so far.
 
 Defined results: a null or wordless text has no words and stays; a null or wordless item matches nothing; repeated
-items and repeated rows are each judged alone; an empty test set leaves every document; columns of the input that
-share a name with a result column are left out of ``find_matches`` and kept as they are by ``decontaminate``.
+items and repeated rows are each judged alone; an empty test set leaves every document; texts of any length are searched
+whole; ties (a place that several items hold) count for each item; columns of the input that share a name with a result
+column are left out of ``find_matches`` and kept as they are by ``decontaminate``.
 """
 
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from gavel.llm import text as tx
-from gavel.llm.common import arrow_schema, map_batches, table
+from gavel.llm.common import arrow_schema, saved, table
 
 WINDOW_WORDS = 13
-#: Bytes of test texts in one travelling block.
+#: Bytes of test texts in a block, and of blocks that travel at a time.
 BLOCK_BYTES = 8 << 20
+PASS_BYTES = 64 << 20
+#: A shard ends with the text that reaches this many bytes, or this many words in the array.
+SHARD_BYTES = 32 << 20
+SHARD_WORDS = 1 << 20
+#: Matches that are put together at a time.
+HITS = 1 << 22
 #: A document is contaminated from this many hit words in 100.
 HIT_PERCENT = 5
 
@@ -37,95 +51,9 @@ RESULT = T.StructType([
     T.StructField("n_words", T.LongType()), T.StructField("n_hit", T.LongType()),
     T.StructField("n_items", T.LongType()), T.StructField("items_sha256", T.StringType()),
     T.StructField("contaminated", T.BooleanType()), T.StructField("matches", T.ArrayType(MATCH))])
-
-
-def build_index(ids: list, texts: list[str | None], window: int) -> dict:
-    """Word numbers and windows of one block of test items, in the form the tasks search with."""
-    column = pa.array([x or "" for x in texts], pa.large_string())
-    vocabulary: dict[bytes, int] = {}
-    hashes, items, numbers = [], [], []
-    at: dict[bytes, list[tuple[int, int]]] = {}
-    for a, b, buf, offs in tx.blocks(column):
-        buf = tx.LOWER[buf]
-        starts, ends, first = tx.spans(buf, offs, tx.ALNUM_WORD)
-        raw = buf.tobytes()
-        for h, s, e in zip(tx.span_hashes(buf, starts, ends).tolist(), starts.tolist(), ends.tolist()):
-            word = raw[s:e]
-            if word not in vocabulary:
-                vocabulary[word] = len(vocabulary) + 1
-                hashes.append(h)
-            numbers.append(vocabulary[word])
-        base = len(numbers) - len(starts)
-        for i in range(b - a):
-            own = np.array(numbers[base + first[i]: base + first[i + 1]], ">u4")
-            items.append(own)
-            n = min(window, len(own))
-            for p in range(len(own) - n + 1 if n else 0):
-                at.setdefault(own[p: p + n].tobytes(), []).append((a + i, p))
-    order = np.argsort(np.array(hashes, np.uint64)) if hashes else np.zeros(0, np.int64)
-    known = np.array(hashes, np.uint64)[order]
-    if len(known) and (known[1:] == known[:-1]).any():
-        raise ValueError("two test words share a hash; use another hash seed")
-    sieve = np.zeros(1 << 18, bool)
-    sieve[(known >> np.uint64(46)).astype(np.int64)] = True
-    by_size: dict[int, list[bytes]] = {}
-    for key in sorted(at):
-        by_size.setdefault(len(key) // 4, []).append(key)
-    sizes = {}
-    for n, keys in by_size.items():
-        counts = np.array([len(at[k]) for k in keys])
-        sizes[n] = {"keys": np.array(keys, f"S{4 * n}"), "begin": np.concatenate(([0], np.cumsum(counts))),
-                    "item": np.array([x[0] for k in keys for x in at[k]]),
-                    "word": np.array([x[1] for k in keys for x in at[k]])}
-    return {"ids": [None if x is None else str(x) for x in ids], "hashes": known, "numbers": (order + 1).astype(">u4"), "sieve": sieve,
-            "words": [None, *vocabulary], "items": items, "sizes": sizes}
-
-
-def word_numbers(index: dict, hashes: np.ndarray) -> np.ndarray:
-    """The test set's number of each word, 0 for words it lacks."""
-    out = np.zeros(len(hashes), ">u4")
-    if len(index["hashes"]):
-        maybe = np.flatnonzero(index["sieve"][(hashes >> np.uint64(46)).astype(np.int64)])
-        at = np.searchsorted(index["hashes"], hashes[maybe])
-        at[at == len(index["hashes"])] = 0
-        found = index["hashes"][at] == hashes[maybe]
-        out[maybe[found]] = index["numbers"][at[found]]
-    return out
-
-
-def search(index: dict, buf: np.ndarray, starts: np.ndarray, ends: np.ndarray, first: np.ndarray,
-           hashes: np.ndarray) -> list[np.ndarray]:
-    """Longest verbatim matches in one stretch of texts: text, word, item, item's word and length arrays."""
-    numbers = word_numbers(index, hashes)
-    n = len(numbers)
-    left = np.repeat(first[1:], np.diff(first)) - np.arange(n)
-    gaps = np.concatenate((np.flatnonzero(numbers == 0), [n]))
-    run = np.minimum(gaps[np.searchsorted(gaps, np.arange(n))] - np.arange(n), left)
-    found = []
-    for size, group in index["sizes"].items():
-        suffixes = np.flatnonzero(run >= size)
-        if not len(suffixes):
-            continue
-        keys = np.ascontiguousarray(numbers[suffixes[:, None] + np.arange(size)]).view(f"S{4 * size}").ravel()
-        order = np.argsort(keys, kind="stable")
-        suffix_array, keys = suffixes[order], keys[order]
-        low, high = np.searchsorted(keys, group["keys"], "left"), np.searchsorted(keys, group["keys"], "right")
-        hit = np.flatnonzero(high > low)
-        if not len(hit):
-            continue
-        rank = np.repeat(low[hit], (high - low)[hit]) + _within(high[hit] - low[hit])
-        place, window = suffix_array[rank], np.repeat(hit, (high - low)[hit])
-        times = np.diff(group["begin"])[window]
-        source = np.repeat(group["begin"][window], times) + _within(times)
-        place = np.repeat(place, times)
-        found.append(_joined(place, group["item"][source], group["word"][source], size, first))
-    if not found:
-        return []
-    text, word, item, at, length = (np.concatenate(x) for x in zip(*found))
-    raw = buf.tobytes()
-    true = np.array([all(raw[starts[w + k]: ends[w + k]] == index["words"][index["items"][i][a + k]] for k in range(m))
-                     for w, i, a, m in zip(word.tolist(), item.tolist(), at.tolist(), length.tolist())], bool)
-    return [x[true] for x in (text, word, item, at, length)]
+#: A block of test items: ids, where each item's words begin, and the words as hashes, sizes and bytes.
+BLOCK = T.StructType([T.StructField("ids", T.ArrayType(T.StringType()))] + [
+    T.StructField(name, T.BinaryType()) for name in ("first", "hashes", "sizes", "chars")])
 
 
 def _within(counts: np.ndarray) -> np.ndarray:
@@ -134,85 +62,345 @@ def _within(counts: np.ndarray) -> np.ndarray:
     return np.arange(ends[-1] if len(ends) else 0) - np.repeat(ends - counts, counts)
 
 
-def _joined(place: np.ndarray, item: np.ndarray, at: np.ndarray, size: int, first: np.ndarray) -> list[np.ndarray]:
-    """Windows that follow each other on one diagonal become one match."""
-    text = np.searchsorted(first, place, "right") - 1
-    order = np.lexsort((place, place - at, item, text))
-    place, item, at, text = place[order], item[order], at[order], text[order]
-    new = np.ones(len(place), bool)
-    new[1:] = (place[1:] != place[:-1] + 1) | (at[1:] != at[:-1] + 1) | (item[1:] != item[:-1]) | (text[1:] != text[:-1])
-    begin = np.flatnonzero(new)
-    count = np.diff(np.concatenate((begin, [len(place)])))
-    return [text[begin], place[begin], item[begin], at[begin], count + size - 1]
+def _spread(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Every place of the stretches that begin at ``starts``."""
+    return np.repeat(starts, sizes) + _within(sizes)
 
 
-def judge(column: pa.Array, blocks: list) -> Iterator[list]:
-    """Rows of RESULT for each text of a column."""
-    for a, b, buf, offs in tx.blocks(column):
+def _before(sizes: np.ndarray) -> np.ndarray:
+    return np.cumsum(sizes) - sizes
+
+
+def block_rows(ids: list, column: pa.Array, size: int = BLOCK_BYTES) -> Iterator[list]:
+    """Rows of BLOCK of some test items."""
+    for a, b, buf, offs in tx.blocks(column, size):
         buf = tx.LOWER[buf]
         starts, ends, first = tx.spans(buf, offs, tx.ALNUM_WORD)
-        hashes = tx.span_hashes(buf, starts, ends)
-        cover = np.zeros(len(starts) + 1, np.int64)
-        matches: dict[int, list] = {}
-        for block in blocks:
-            index = block.value
-            got = search(index, buf, starts, ends, first, hashes)
-            if got:
-                np.add.at(cover, got[1], 1)
-                np.add.at(cover, got[1] + got[4], -1)
-                for t, w, i, p, m in zip(*(x.tolist() for x in got)):
-                    matches.setdefault(t, []).append((index["ids"][i], w - int(first[t]), p, m))
-            if len(blocks) > 2:  # one block at a time in memory
-                del index
-                block.__dict__.pop("_value", None)
-        n_words = np.diff(first)
-        n_hit = tx.per_text(np.cumsum(cover)[:-1] > 0, first)
-        for t in range(b - a):
-            own = sorted(matches.get(t, []), key=lambda m: (m[1], str(m[0]), m[2]))
-            items = sorted({str(m[0]) for m in own})
-            yield [int(n_words[t]), int(n_hit[t]), len(items), hashlib.sha256(",".join(items).encode()).hexdigest(),
-                   bool(n_hit[t] > 0 and 100 * n_hit[t] >= HIT_PERCENT * n_words[t]), own]
-
-
-def test_blocks(benchmark: DataFrame, item_id: str = "item_id", text: str = "text", window: int = WINDOW_WORDS,
-                block_bytes: int = BLOCK_BYTES) -> list:
-    """The test set's index, broadcast in blocks of about ``block_bytes``: each passes the driver alone."""
-    sc = benchmark.sparkSession.sparkContext
-    blocks, ids, texts, held = [], [], [], 0
-    for row in benchmark.select(item_id, text).toLocalIterator():
-        ids.append(row[0])
-        texts.append(row[1])
-        held += len(row[1] or "")
-        if held >= block_bytes:
-            blocks.append(sc.broadcast(build_index(ids, texts, window)))
-            ids, texts, held = [], [], 0
-    if ids or not blocks:
-        blocks.append(sc.broadcast(build_index(ids, texts, window)))
-    return blocks
-
-
-def find_matches(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", **index) -> DataFrame:
+        yield [ids[a:b], first.astype("<i8").tobytes(), tx.span_hashes(buf, starts, ends).astype("<u8").tobytes(),
+               (ends - starts).astype("<i8").tobytes(), buf[_spread(starts, ends - starts)].tobytes()]
+
+
+class Sieve:
+    """Membership in a set of hashes: a small table answers most of what is not in it."""
+
+    def __init__(self, hashes: np.ndarray):
+        self.hashes = np.unique(hashes)
+        self.maybe = np.zeros(1 << 20, bool)
+        self.maybe[self._slot(self.hashes)] = True
+
+    @staticmethod
+    def _slot(hashes: np.ndarray) -> np.ndarray:
+        return (hashes >> np.uint64(44)).astype(np.int64)
+
+    def __call__(self, hashes: np.ndarray) -> np.ndarray:
+        out = np.zeros(len(hashes), bool)
+        if len(self.hashes):
+            at = np.flatnonzero(self.maybe[self._slot(hashes)])
+            place = np.minimum(np.searchsorted(self.hashes, hashes[at]), len(self.hashes) - 1)
+            out[at] = self.hashes[place] == hashes[at]
+        return out
+
+
+class Block:
+    """A block of test items as a task searches with it."""
+
+    def __init__(self, row, window: int):
+        self.ids, (first, hashes, sizes, chars) = row[0], row[1:]
+        self.first, self.hashes = np.frombuffer(first, "<i8"), np.frombuffer(hashes, "<u8")
+        self.sizes, self.chars = np.frombuffer(sizes, "<i8"), np.frombuffer(chars, np.uint8)
+        self.begin = _before(self.sizes)
+        length = np.diff(self.first)
+        #: Words of each item's windows, and the suffixes (item, first word) that start with a whole window.
+        self.size = np.minimum(length, window)
+        count = np.where(length > 0, length - self.size + 1, 0)
+        self.item, self.at = np.repeat(np.arange(len(length)), count), _spread(self.first[:-1], count)
+        inside = np.ones(max(len(self.hashes) - 1, 0), bool)
+        ends = self.first[1:-1]
+        inside[ends[(ends > 0) & (ends <= len(inside))] - 1] = False
+        self.pairs = Sieve(tx.chain(self.hashes, 2)[inside])
+        self.lone = Sieve(self.hashes[np.repeat(self.size == 1, length)])
+        self.least = int(self.size[self.size > 1].min(initial=max(window, 2)))
+
+
+class Shard:
+    """Runs of words of some texts that may match, and their suffix array."""
+
+    def __init__(self, blocks: list[Block]):
+        self.blocks = blocks
+        self.least = min((b.least for b in blocks), default=2)
+        self.n_words: list[np.ndarray] = []
+        self.parts: list[tuple] = []
+        self.texts = self.bytes = self.words = 0
+
+    def add(self, column: pa.Array) -> None:
+        for a, b, buf, offs in tx.blocks(column):
+            buf = tx.LOWER[buf]
+            starts, ends, first = tx.spans(buf, offs, tx.ALNUM_WORD)
+            hashes = tx.span_hashes(buf, starts, ends)
+            keep, left = self.runs(hashes, first)
+            at = np.flatnonzero(keep)
+            sizes = (ends - starts)[at]
+            text = np.searchsorted(first, at, "right") - 1
+            self.parts.append((hashes[at], left[at], self.texts + text, at - first[text], sizes, buf[_spread(starts[at], sizes)]))
+            self.n_words.append(np.diff(first))
+            self.texts += b - a
+            self.bytes += len(buf)
+            self.words += len(at)
+
+    def runs(self, hashes: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(whether a word is in a run that may hold a match, how many words are left of its run)."""
+        n = len(hashes)
+        # Whether the word before a place stands before it in a test item too.
+        linked = np.zeros(n + 1, bool)
+        lone = np.zeros(n, bool)
+        pairs = tx.chain(hashes, 2)
+        for block in self.blocks:
+            if n > 1:
+                linked[1:-1] |= block.pairs(pairs)
+            if len(block.lone.hashes):
+                lone |= block.lone(hashes)
+        linked[first] = False
+        edge = np.flatnonzero(~linked)  # where a run begins, and the end
+        size = np.diff(edge)
+        left = np.repeat(edge[1:], size) - np.arange(n)
+        return np.repeat(size >= self.least, size) | lone, left
+
+    @property
+    def full(self) -> bool:
+        return self.bytes >= SHARD_BYTES or self.words >= SHARD_WORDS
+
+    def build(self) -> None:
+        columns = [np.concatenate(x) for x in zip(*self.parts)]
+        self.hashes, self.left, self.text, self.word, self.sizes, self.chars = columns
+        self.begin = _before(self.sizes)
+        # A run kept for a lone word alone may lack its other words.
+        follows = np.zeros(len(self.left) + 1, bool)
+        follows[1:-1] = (self.text[1:] == self.text[:-1]) & (self.word[1:] == self.word[:-1] + 1)
+        edge = np.flatnonzero(~follows)
+        self.left = np.minimum(self.left, np.repeat(edge[1:], np.diff(edge)) - np.arange(len(self.left)))
+        self.array = suffix_array(self.hashes, self.left)
+
+    def search(self) -> list[list[tuple]]:
+        """For each text its longest matches: (item id, word of the text, word of the item, words)."""
+        out: list[list[tuple]] = [[] for _ in range(self.texts)]
+        if self.words:
+            self.build()
+            for block in self.blocks:
+                for place, item, at, length in self.matches(block):
+                    for p, i, w, m in zip(place.tolist(), item.tolist(), (at - block.first[item]).tolist(), length.tolist()):
+                        out[self.text[p]].append((block.ids[i], int(self.word[p]), w, m))
+        return out
+
+    def matches(self, block: Block) -> Iterator[tuple]:
+        """Longest matches with a block's items: place in the shard, item, word of the block and length arrays."""
+        size = block.size[block.item]
+        low = self.bisect(block, size, False)
+        found = np.flatnonzero(low < len(self.array))
+        found = found[self.order(self.array[low[found]], block, block.at[found], size[found]) == 0]
+        times = np.zeros(len(low), np.int64)
+        times[found] = self.bisect(block, size, True, found) - low[found]
+        # Whole items at a time, since a diagonal stays in one.
+        total = np.cumsum(np.bincount(block.item, times, len(block.size)).astype(np.int64))
+        a = 0
+        while a < len(total):
+            held = total[a - 1] if a else 0
+            b = max(a + 1, int(np.searchsorted(total, held + HITS, "right")))
+            mine = found[(block.item[found] >= a) & (block.item[found] < b)]
+            if len(mine):
+                place = self.array[_spread(low[mine], times[mine])]
+                yield from self.same_bytes(block, *self.joined(block, place, np.repeat(mine, times[mine])))
+            a = b
+
+    def order(self, place: np.ndarray, block: Block, at: np.ndarray, size: np.ndarray) -> np.ndarray:
+        """-1, 0 or 1 as the shard's suffix comes before, starts with or comes after the item's window."""
+        out = np.zeros(len(place), np.int8)
+        todo = np.arange(len(place))
+        for k in range(int(size.max(initial=0))):
+            todo = todo[size[todo] > k]
+            ended = self.left[place[todo]] <= k
+            out[todo[ended]] = -1
+            todo = todo[~ended]
+            if not len(todo):
+                break
+            ours, theirs = self.hashes[place[todo] + k], block.hashes[at[todo] + k]
+            out[todo[ours < theirs]] = -1
+            out[todo[ours > theirs]] = 1
+            todo = todo[ours == theirs]
+        return out
+
+    def bisect(self, block: Block, size: np.ndarray, after: bool, which: np.ndarray | None = None) -> np.ndarray:
+        """The first place in the array whose suffix does not come before the window, or with ``after`` comes after it."""
+        at = block.at if which is None else block.at[which]
+        size = size if which is None else size[which]
+        low, high = np.zeros(len(at), np.int64), np.full(len(at), len(self.array))
+        while len(todo := np.flatnonzero(low < high)):
+            middle = (low[todo] + high[todo]) >> 1
+            up = self.order(self.array[middle], block, at[todo], size[todo]) < int(after)
+            low[todo[up]] = middle[up] + 1
+            high[todo[~up]] = middle[~up]
+        return low
+
+    def joined(self, block: Block, place: np.ndarray, suffix: np.ndarray) -> tuple:
+        """Windows that follow each other on one diagonal become one match."""
+        item, at = block.item[suffix], block.at[suffix]
+        run = place + self.left[place]  # no match goes beyond a run
+        order = np.lexsort((place, place - at, item))
+        place, item, at, run = place[order], item[order], at[order], run[order]
+        new = np.ones(len(place), bool)
+        new[1:] = (place[1:] != place[:-1] + 1) | (at[1:] != at[:-1] + 1) | (item[1:] != item[:-1]) | (run[1:] != run[:-1])
+        begin = np.flatnonzero(new)
+        count = np.diff(np.concatenate((begin, [len(place)])))
+        return place[begin], item[begin], at[begin], count + block.size[item[begin]] - 1
+
+    def same_bytes(self, block: Block, place: np.ndarray, item: np.ndarray, at: np.ndarray, length: np.ndarray) -> Iterator[tuple]:
+        """The matches whose words are equal by their bytes; one that holds a word of equal hash only is cut there."""
+        ours, theirs = _spread(place, length), _spread(at, length)
+        same = self.sizes[ours] == block.sizes[theirs]
+        alike = np.flatnonzero(same)
+        n = self.sizes[ours[alike]]
+        equal = self.chars[_spread(self.begin[ours[alike]], n)] == block.chars[_spread(block.begin[theirs[alike]], n)]
+        same[alike] = np.logical_and.reduceat(equal, _before(n)) if len(n) else False
+        if not same.all():
+            own = np.repeat(np.arange(len(length)), length)
+            old = np.zeros(len(same) + 1, bool)
+            old[1:-1] = same[:-1] & (own[1:] == own[:-1])
+            begin = np.flatnonzero(same & ~old[:-1])
+            after = np.ones(len(same), bool)
+            after[:-1] = ~(same[1:] & (own[1:] == own[:-1]))
+            count = np.flatnonzero(same & after) + 1 - begin
+            place, at, item, length = ours[begin], theirs[begin], item[own[begin]], count
+            whole = length >= block.size[item]
+            place, at, item, length = place[whole], at[whole], item[whole], length[whole]
+        yield place, item, at, length
+
+
+def suffix_array(words: np.ndarray, left: np.ndarray) -> np.ndarray:
+    """Places of all suffixes in order, by prefix doubling; ``left`` words remain from a place to the end of its run,
+    and a suffix that ends comes first. Suffixes of equal words keep the order of their places."""
+    _, rank = np.unique(words, return_inverse=True)
+    n, step = len(words), 1
+    longest = int(left.max(initial=0))
+    while step < longest and (rank.max(initial=0) + 1 < n):
+        ahead = np.zeros(n, np.int64)
+        more = np.flatnonzero(left > step)
+        ahead[more] = rank[more + step] + 1
+        _, rank = np.unique(rank * (n + 1) + ahead, return_inverse=True)
+        step *= 2
+    return np.argsort(rank, kind="stable")
+
+
+def verdict(n_words: int, matches: list[tuple]) -> list:
+    """A row of RESULT."""
+    matches = sorted(matches, key=lambda m: (m[1], str(m[0]), m[2]))
+    n_hit = end = 0
+    for _, word, _, length in matches:
+        n_hit += max(0, word + length - max(word, end))
+        end = max(end, word + length)
+    items = sorted({str(m[0]) for m in matches})
+    return [n_words, n_hit, len(items), hashlib.sha256(",".join(items).encode()).hexdigest(),
+            n_hit > 0 and 100 * n_hit >= HIT_PERCENT * n_words, matches]
+
+
+def judge(column: pa.Array, blocks: list[Block]) -> list[list]:
+    """Rows of RESULT for each text of a column, as one shard."""
+    shard = Shard(blocks)
+    shard.add(column)
+    n_words = np.concatenate([np.zeros(0, np.int64), *shard.n_words]).tolist()
+    return [verdict(n, own) for n, own in zip(n_words, shard.search())]
+
+
+def test_passes(benchmark: DataFrame, item_id: str = "item_id", text: str = "text", block_bytes: int = BLOCK_BYTES,
+                pass_bytes: int = PASS_BYTES) -> Iterator[list]:
+    """Rows of BLOCK that travel together; at most ``pass_bytes`` of them, or one block, are on the driver."""
+    out = arrow_schema(BLOCK)
+
+    def run(batches):
+        for batch in batches:
+            for row in block_rows(batch.column(0).to_pylist(), batch.column(1), block_bytes):
+                yield pa.RecordBatch.from_arrays([pa.array([x], f.type) for x, f in zip(row, out)], schema=out)
+    items = benchmark.select(F.col(item_id).cast("string"), F.col(text))
+    held, size = [], 0
+    for row in saved(items.mapInArrow(run, BLOCK)).toLocalIterator():
+        n = sum(len(x) for x in row[1:]) + sum(len(x or "") for x in row[0])
+        if held and size + n > pass_bytes:
+            yield held
+            held, size = [], 0
+        held.append(tuple(row))
+        size += n
+    yield held
+
+
+def _passes(docs: DataFrame, at: int, benchmark: DataFrame, window: int, finish: Callable, schema: T.StructType, **index) -> DataFrame:
+    """``finish(batch, rows of RESULT)`` of every batch of ``docs``, after all passes of the test set."""
+    sc = docs.sparkSession.sparkContext
+    width = len(docs.columns)
+    carried = "matches"
+    while carried in docs.columns:
+        carried += "_"
+    between = T.StructType([*docs.schema.fields, T.StructField(carried, T.ArrayType(MATCH))])
+
+    def step(blocks: list, last: bool) -> DataFrame:
+        shared = sc.broadcast(blocks)
+
+        def flush(shard, held):
+            found, row = shard.search(), 0
+            n_words = np.concatenate([np.zeros(0, np.int64), *shard.n_words]).tolist()
+            for batch in held:
+                n = batch.num_rows
+                own = found[row:row + n]
+                if batch.num_columns > width:
+                    earlier = batch.column(width).to_pylist()
+                    own = [[tuple(m.values()) for m in old] + new for old, new in zip(earlier, own)]
+                if last:
+                    rows = [verdict(w, x) for w, x in zip(n_words[row:row + n], own)]
+                    yield finish(pa.RecordBatch.from_arrays(batch.columns[:width], names=batch.schema.names[:width]), rows)
+                else:
+                    matches = pa.array([[dict(zip(MATCH.names, m)) for m in x] for x in own], arrow_schema(between)[width].type)
+                    yield pa.RecordBatch.from_arrays([*batch.columns[:width], matches], schema=arrow_schema(between))
+                row += n
+
+        def run(batches):
+            tests = [Block(b, window) for b in shared.value]
+            shard, held = Shard(tests), []
+            for batch in batches:
+                shard.add(batch.column(at))
+                held.append(batch)
+                if shard.full:
+                    yield from flush(shard, held)
+                    shard, held = Shard(tests), []
+            if held:
+                yield from flush(shard, held)
+        out = docs.mapInArrow(run, schema if last else between)
+        if not last:
+            out = saved(out)
+            shared.destroy()
+        return out
+    blocks = None
+    for following in test_passes(benchmark, **index):
+        if blocks is not None:
+            docs = step(blocks, False)
+        blocks = following
+    return step(blocks, True)
+
+
+def find_matches(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", window: int = WINDOW_WORDS, **index) -> DataFrame:
     """One row per document: its key, counts, verdict, and every longest match with its places."""
-    blocks = test_blocks(benchmark, **index)
     docs = docs.select(key, text)
     schema = T.StructType([docs.schema[0], *RESULT.fields])
     out = arrow_schema(schema)
 
-    def run(batch: pa.RecordBatch):
-        rows = [list(x) for x in zip(*judge(batch.column(1), blocks))] or [[] for _ in RESULT.fields]
-        rows[-1] = [[dict(zip(MATCH.names, m)) for m in own] for own in rows[-1]]
-        return pa.RecordBatch.from_arrays([batch.column(0).cast(out[0].type), *(pa.array(x, f.type) for x, f in zip(rows, list(out)[1:]))], schema=out)
-    return map_batches(docs, run, schema)
+    def finish(batch: pa.RecordBatch, rows: list) -> pa.RecordBatch:
+        columns = [list(x) for x in zip(*rows)] or [[] for _ in RESULT.fields]
+        columns[-1] = [[dict(zip(MATCH.names, m)) for m in own] for own in columns[-1]]
+        return pa.RecordBatch.from_arrays([batch.column(0).cast(out[0].type), *(pa.array(x, f.type) for x, f in zip(columns, list(out)[1:]))], schema=out)
+    return _passes(docs, 1, benchmark, window, finish, schema, **index)
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, text: str = "text", **index) -> DataFrame:
+def decontaminate(docs: DataFrame, benchmark: DataFrame, text: str = "text", window: int = WINDOW_WORDS, **index) -> DataFrame:
     """The documents that are not contaminated, with the columns they came with."""
-    blocks = test_blocks(benchmark, **index)
-    at = docs.columns.index(text)
-
-    def run(batch: pa.RecordBatch):
-        return batch.filter(pa.array([not row[4] for row in judge(batch.column(at), blocks)], pa.bool_()))
-    return map_batches(docs, run, docs.schema)
+    def finish(batch: pa.RecordBatch, rows: list) -> pa.RecordBatch:
+        return batch.filter(pa.array([not row[4] for row in rows], pa.bool_()))
+    return _passes(docs, docs.columns.index(text), benchmark, window, finish, docs.schema, **index)
 
 
 def op4_decontaminate(spark, sf_dir: str) -> DataFrame:

@@ -2,9 +2,10 @@
 
 Words and word pairs are hashed into buckets. Their counts over all documents give the raw multinomial, those of
 trusted documents the target one; a document's verdict is the mean over its n-grams of log target - log raw against a
-fixed bar, so equal texts always get equal verdicts. Trusted are all labelled documents of label 1, marked by a shuffle
-join with their ids at every size; the raw counts take in every document. Both come from one pass whose tasks emit one
-row for each bucket, and a second pass judges, for which no text is shuffled.
+fixed bar, so equal texts always get equal verdicts. Trusted are all labelled documents of label 1; the raw counts take
+in every document, in a narrow pass whose tasks emit one row for each bucket. Documents that a bitmap of the trusted ids'
+hashes lets through are joined with these ids by a shuffle, exactly and at every size, and counted likewise, so other
+texts stay where they are. A last narrow pass judges.
 
 Defined results: a null or empty text has no words and fails; without trusted documents the ratio is zero and the
 counts alone decide; repeated rows are judged alike; an empty table gives none.
@@ -22,8 +23,8 @@ from gavel.llm import text as tx
 from gavel.llm.common import arrow_schema, map_batches, table
 
 BUCKET_BITS = 16
-#: Column that marks trusted rows.
-TARGET = "__trusted"
+#: Bits of the map that keeps most untrusted texts out of the join with the trusted ids (4 MB).
+ID_BITS = 1 << 25
 #: Pseudo-count of every bucket.
 SMOOTHING = 1.0
 #: Mean log ratio from which a document is kept.
@@ -47,32 +48,45 @@ def ngrams(buf: np.ndarray, offs: np.ndarray):
     return np.concatenate((words >> shift, pairs >> shift)).astype(np.int64), np.concatenate((text, text[pair])), words, first
 
 
-def counts(docs: DataFrame, trusted: DataFrame, key: str, text: str, target: str = TARGET) -> np.ndarray:
-    """Raw and target counts of every bucket."""
-    ids = trusted.where(F.col(key).isNotNull()).select(F.col(key).alias("__id"), F.lit(True).alias(target)).distinct().hint("merge")
-    marked = docs.select(key, text).join(ids, F.col(key) == F.col("__id"), "left").select(text, F.coalesce(target, F.lit(False)).alias(target))
-    schema = T.StructType([T.StructField("bucket", T.IntegerType()), T.StructField("raw", T.LongType()), T.StructField("target", T.LongType())])
+def maybe_trusted(docs: DataFrame, ids: DataFrame, key: str) -> DataFrame:
+    """The rows whose key's bit is set in a bitmap of the trusted keys' hashes: all trusted rows and few others. The
+    bitmap has at most ``ID_BITS`` bits whatever the tables hold, so it may be broadcast."""
+    def bit(x):
+        return F.pmod(F.xxhash64(x), F.lit(ID_BITS)) + 1
+    bits = ids.select(bit("__id").alias("bit"))
+    bitmap = bits.groupBy(F.bitmap_bucket_number("bit").alias("__bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("bit")).alias("__bits"))
+    place = F.bitmap_bit_position(bit(key))
+    byte = F.conv(F.hex(F.substring("__bits", (place / 8).cast("int") + 1, 1)), 16, 10).cast("int")
+    near = docs.join(F.broadcast(bitmap), F.bitmap_bucket_number(bit(key)) == F.col("__bucket"))
+    return near.where(byte.bitwiseAND(F.call_function("shiftleft", F.lit(1), (place % 8).cast("int"))) != 0).select(docs.columns)
+
+
+def bucket_counts(texts: DataFrame) -> np.ndarray:
+    """Counts of every bucket over one column of texts."""
+    schema = T.StructType([T.StructField("bucket", T.IntegerType()), T.StructField("n", T.LongType())])
     out = arrow_schema(schema)
 
     def run(batches):
-        total = np.zeros((2, 1 << BUCKET_BITS), np.int64)
+        total = np.zeros(1 << BUCKET_BITS, np.int64)
         for batch in batches:
-            chosen = batch.column(1).to_numpy(zero_copy_only=False)
-            for a, b, buf, offs in tx.blocks(batch.column(0)):
-                bucket, owner, _, _ = ngrams(buf, offs)
-                total[0] += np.bincount(bucket, minlength=1 << BUCKET_BITS)
-                good = chosen[a:b]
-                if good.any():
-                    total[1] += np.bincount(bucket[good[owner]], minlength=1 << BUCKET_BITS)
-        seen = np.flatnonzero(total[0])
-        yield pa.RecordBatch.from_arrays([pa.array(seen.astype(np.int32)), pa.array(total[0][seen]), pa.array(total[1][seen])], schema=out)
-    sums = marked.mapInArrow(run, schema).groupBy("bucket").agg(F.sum("raw").alias("raw"), F.sum("target").alias("target"))
-    result = np.zeros((2, 1 << BUCKET_BITS))
-    for r in sums.collect():  # one row for each bucket at most
-        result[:, r.bucket] = r.raw, r.target
+            for _, _, buf, offs in tx.blocks(batch.column(0)):
+                total += np.bincount(ngrams(buf, offs)[0], minlength=1 << BUCKET_BITS)
+        seen = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(seen.astype(np.int32)), pa.array(total[seen])], schema=out)
+    result = np.zeros(1 << BUCKET_BITS)
+    for r in texts.mapInArrow(run, schema).groupBy("bucket").agg(F.sum("n").alias("n")).collect():  # one row a bucket at most
+        result[r.bucket] = r.n
     return result
 
 
+def counts(docs: DataFrame, trusted: DataFrame, key: str, text: str) -> np.ndarray:
+    """Counts of every bucket over all documents, and over the trusted ones."""
+    docs = docs.select(F.col(key).alias("__key"), F.col(text).alias("__text"))
+    ids = trusted.where(F.col(key).isNotNull()).select(F.col(key).alias("__id")).distinct()
+    chosen = maybe_trusted(docs, ids, "__key").join(ids.hint("merge"), F.col("__key") == F.col("__id"), "left_semi")
+    return np.stack((bucket_counts(docs.select("__text")), bucket_counts(chosen.select("__text"))))
+
+
 def log_ratio(both: np.ndarray) -> np.ndarray:
     if not both[1].any():
         return np.zeros(both.shape[1])

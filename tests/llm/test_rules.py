@@ -39,7 +39,7 @@ def test_ratio_against_plain_counts(spark):
     docs = table(spark, SF_SMALL, "documents")
     trusted = table(spark, SF_SMALL, "labels").where("quality = 1").select("doc_id")
     good = {r.doc_id for r in trusted.collect()}
-    both = R.counts(docs, trusted, "doc_id", "text", R.TARGET)
+    both = R.counts(docs, trusted, "doc_id", "text")
     all_rows = docs.collect()
     n = lambda rows: sum(2 * len(w) - 1 for r in rows if (w := ws_words(r.text)))
     assert both.sum(1).tolist() == [n(all_rows), n([r for r in all_rows if r.doc_id in good])]
@@ -55,7 +55,7 @@ def test_ratio_against_plain_counts(spark):
 def test_all_trusted_documents_count(spark):
     n = 60_000
     docs = spark.range(n + 500).selectExpr("id AS doc_id", "concat('w', id % 7, ' same') AS text")
-    both = R.counts(docs, spark.range(n).selectExpr("id AS doc_id"), "doc_id", "text", R.TARGET)
+    both = R.counts(docs, spark.range(n).selectExpr("id AS doc_id"), "doc_id", "text")
     assert both.sum(1).tolist() == [3 * (n + 500), 3 * n]
 
 
@@ -74,3 +74,25 @@ def test_awkward_rows(spark):
     bare = R.quality_rules(docs, empty(trusted)).collect()
     assert all(r.log_ratio == 0 and r.kept == (not r.base_failed) for r in bare)
     assert R.quality_rules(empty(docs), trusted).count() == 0
+
+
+def test_the_bitmap_lets_all_trusted_rows_through(spark, monkeypatch):
+    """With few bits many other rows pass too; the join with the ids leaves only the trusted ones."""
+    docs = spark.range(-500, 3_000).selectExpr("id AS doc_id", "concat('w', id % 7, ' same') AS text").union(
+        spark.createDataFrame([(None, "no id"), (1, "again")], "doc_id long, text string"))
+    ids = spark.range(-500, 3_000, 9).selectExpr("id AS __id")
+    good = {r[0] for r in ids.collect()}
+    for bits in (1, 64, 1 << 15, 1 << 25):
+        monkeypatch.setattr(R, "ID_BITS", bits)
+        near = [r.doc_id for r in R.maybe_trusted(docs, ids, "doc_id").collect()]
+        assert good <= set(near) and near.count(1) == (2 if 1 in near else 0)
+        assert (len(near) < 600) == (bits > 64)
+        both = R.counts(docs, ids.withColumnRenamed("__id", "doc_id"), "doc_id", "text")
+        n = sum(1 if r.text == "again" else 3 for r in docs.collect() if r.doc_id in good)
+        assert both[1].sum() == n
+
+
+def test_other_texts_are_not_shuffled(spark):
+    docs = table(spark, SF_SMALL, "documents").select("doc_id", "text")
+    plan = R.maybe_trusted(docs, spark.range(5).selectExpr("id AS __id"), "doc_id")._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" not in plan and "ShuffledHash" not in plan and "BroadcastHashJoin" in plan

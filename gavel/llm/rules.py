@@ -79,12 +79,18 @@ def bucket_counts(texts: DataFrame) -> np.ndarray:
     return result
 
 
-def counts(docs: DataFrame, trusted: DataFrame, key: str, text: str) -> np.ndarray:
-    """Counts of every bucket over all documents, and over the trusted ones."""
+def trusted_texts(docs: DataFrame, trusted: DataFrame, key: str, text: str) -> DataFrame:
+    """The texts of the trusted documents. An inner join with different ids, as the optimizer would move a semi join
+    below the bitmap."""
     docs = docs.select(F.col(key).alias("__key"), F.col(text).alias("__text"))
     ids = trusted.where(F.col(key).isNotNull()).select(F.col(key).alias("__id")).distinct()
-    chosen = maybe_trusted(docs, ids, "__key").join(ids.hint("merge"), F.col("__key") == F.col("__id"), "left_semi")
-    return np.stack((bucket_counts(docs.select("__text")), bucket_counts(chosen.select("__text"))))
+    near = maybe_trusted(docs, ids, "__key")
+    return near.join(ids.hint("merge"), F.col("__key") == F.col("__id")).select("__text")
+
+
+def counts(docs: DataFrame, trusted: DataFrame, key: str, text: str) -> np.ndarray:
+    """Counts of every bucket over all documents, and over the trusted ones."""
+    return np.stack((bucket_counts(docs.select(text)), bucket_counts(trusted_texts(docs, trusted, key, text))))
 
 
 def log_ratio(both: np.ndarray) -> np.ndarray:

@@ -93,6 +93,10 @@ def test_the_bitmap_lets_all_trusted_rows_through(spark, monkeypatch):
 
 
 def test_other_texts_are_not_shuffled(spark):
-    docs = table(spark, SF_SMALL, "documents").select("doc_id", "text")
-    plan = R.maybe_trusted(docs, spark.range(5).selectExpr("id AS __id"), "doc_id")._jdf.queryExecution().executedPlan().toString()
-    assert "SortMergeJoin" not in plan and "ShuffledHash" not in plan and "BroadcastHashJoin" in plan
+    """The bitmap is met before the shuffle."""
+    docs, trusted = table(spark, SF_SMALL, "documents"), table(spark, SF_SMALL, "labels").where("quality = 1").select("doc_id")
+    texts = R.trusted_texts(docs, trusted, "doc_id", "text")
+    plan = texts._jdf.queryExecution().sparkPlan().toString().split("\n")
+    depth = {name: next(len(line) - len(line.lstrip(" :+-")) for line in plan if name in line) for name in ("SortMergeJoin", "BroadcastHashJoin")}
+    assert depth["SortMergeJoin"] < depth["BroadcastHashJoin"]
+    assert len([line for line in plan if "Join" in line]) == 2

@@ -35,7 +35,7 @@ from gavel.streaming.frames import means_sink
 from gavel.streaming.late import dropped_rows, without_late
 from gavel.streaming.latency import ccdf_so_far, ccdf_writer, latency_timeline_stream
 from gavel.streaming.replay import STRIDE, write_replay
-from gavel.streaming.sources import ROCKSDB, state_store
+from gavel.streaming.sources import ROCKSDB, state_shards, state_store
 from gavel.streaming.upserts import KeyedLog
 
 # Longest auction of the adapter (expiry is 1 to 90 days after the start).
@@ -73,10 +73,16 @@ def replayed(df: DataFrame, time_col: str = "date_time_ns", batches: int = BATCH
     return write_replay(df, f"{fresh_folder(spark)}/feed", time_col, batches, **how).stream(spark)
 
 
-def finished(writer: DataStreamWriter, folder: str, provider: str = ROCKSDB, checkpoint: str = "checkpoint") -> StreamingQuery:
-    """Run a streaming query over all input that is there."""
+def rows_of(spark: SparkSession, sf: str, *names: str) -> int:
+    """Rows of the shared tables, from the files' footers."""
+    return sum(read_table(spark, sf, name).count() for name in names)
+
+
+def finished(writer: DataStreamWriter, folder: str, provider: str = ROCKSDB, checkpoint: str = "checkpoint", rows: int | None = None) -> StreamingQuery:
+    """Run a streaming query over all input that is there. With `rows`, the most that a micro-batch reads, its state is
+    sharded for that many, and not counted."""
     spark = SparkSession.active()
-    with state_store(spark, provider):
+    with state_store(spark, provider, None if rows is None else state_shards(spark, rows), counted=rows is None):
         query = writer.option("checkpointLocation", f"{folder}/{checkpoint}").trigger(availableNow=True).start()
     query.awaitTermination()
     return query
@@ -86,10 +92,10 @@ def into(df: DataFrame, folder: str) -> DataStreamWriter:
     return df.writeStream.format("parquet").option("path", f"{folder}/table").outputMode("append")
 
 
-def run_to_table(df: DataFrame) -> DataFrame:
+def run_to_table(df: DataFrame, rows: int | None = None) -> DataFrame:
     """Run a streaming query over all input that is there, into shared storage; its result as a table."""
     folder = fresh_folder(df.sparkSession)
-    finished(into(df, folder), folder)
+    finished(into(df, folder), folder, rows=rows)
     return df.sparkSession.read.schema(df.schema).parquet(f"{folder}/table")
 
 
@@ -108,16 +114,28 @@ def _dense(spark: SparkSession, sf: str) -> DataFrame:
     return timed(bids_from_events(read_stream(spark, sf, "events")))
 
 
+def _closing_rows(spark: SparkSession, sf: str, batches: int = 1) -> int:
+    return -(-rows_of(spark, sf, "orders", "lineitem") // batches)
+
+
+def _closed(spark: SparkSession, sf: str, events: DataFrame, rows: int) -> DataFrame:
+    return closed_auctions_sessions(events)
+
+
 def _closed_of_tables(spark: SparkSession, sf: str) -> DataFrame:
-    return closed_auctions_sessions(to_events(stream_tpch(spark, sf)))
+    return _closed(spark, sf, to_events(stream_tpch(spark, sf)), _closing_rows(spark, sf))
+
+
+def _closed_of_replay(spark: SparkSession, sf: str, batches: int) -> DataFrame:
+    return _closed(spark, sf, replayed(auction_events(spark, sf), batches=batches), _closing_rows(spark, sf, batches))
 
 
-def means(closed: DataFrame, sinks: dict[str, tuple[str, int | None]]) -> dict[str, DataFrame]:
+def means(closed: DataFrame, sinks: dict[str, tuple[str, int | None]], rows: int | None = None) -> dict[str, DataFrame]:
     """Run one closing stream into several running means: name -> (key, last); their results by name."""
     spark = closed.sparkSession
     folder = fresh_folder(spark)
     made = {name: means_sink(spark, f"{folder}/{name}", f"{folder}/{name}-state", key, last) for name, (key, last) in sinks.items()}
-    finished(fan_out(closed, made), folder)
+    finished(fan_out(closed, made), folder, rows=rows)
     out = {}
     for name, (key, _) in sinks.items():
         schema = f"{key} long, auction long, expires_ns long, avg_price long, batch int"
@@ -127,8 +145,8 @@ def means(closed: DataFrame, sinks: dict[str, tuple[str, int | None]]) -> dict[s
 
 def q4_q6_shared(spark: SparkSession, sf: str) -> DataFrame:
     """Q4 and Q6 from one closing of the auctions, which come in time order in a few micro-batches."""
-    closed = closed_auctions_sessions(replayed(auction_events(spark, sf), batches=SHARED_BATCHES))
-    got = means(closed, {"q4": ("category", None), "q6": ("bidder", 10)})
+    closed = _closed_of_replay(spark, sf, SHARED_BATCHES)
+    got = means(closed, {"q4": ("category", None), "q6": ("bidder", 10)}, _closing_rows(spark, sf, SHARED_BATCHES))
     rows = [df.select(F.lit(name).alias("query"), F.col(df.columns[0]).alias("key"), "auction", "expires_ns", "avg_price") for name, df in got.items()]
     return rows[0].unionByName(rows[1])
 
@@ -137,11 +155,13 @@ def q4_update(spark: SparkSession, sf: str) -> DataFrame:
     """Q4's latest mean per category: one query closes the auctions into a table, a second one reads its files as they
     come, in update mode into an upsert table."""
     folder = fresh_folder(spark)
-    closed = closed_auctions_sessions(replayed(auction_events(spark, sf), batches=SHARED_BATCHES))
-    finished(into(closed, folder), folder)
+    rows = _closing_rows(spark, sf, SHARED_BATCHES)
+    closed = _closed_of_replay(spark, sf, SHARED_BATCHES)
+    finished(into(closed, folder), folder, rows=rows)
     again = spark.readStream.schema(closed.schema).option("maxFilesPerTrigger", 8).parquet(f"{folder}/table")
     log = KeyedLog(spark, f"{folder}/q4", "category long, avg_price long", ["category"])
-    finished(S.q4_category_avg_stream(again).writeStream.outputMode("update").foreachBatch(log.put), folder, checkpoint="second")
+    # A category is a row of a task's partial sums, so its state is far less than its closings.
+    finished(S.q4_category_avg_stream(again).writeStream.outputMode("update").foreachBatch(log.put), folder, checkpoint="second", rows=0)
     return log.table()
 
 
@@ -149,17 +169,21 @@ def dense_replay(spark: SparkSession, sf: str, delay: str = "0 seconds", **how)
     return timed(replayed(dense_bids(spark, sf), **how), delay)
 
 
+def _dense_rows(spark: SparkSession, sf: str, batches: int = BATCHES) -> int:
+    return -(-rows_of(spark, sf, "events") // batches)
+
+
 def diff_q5(spark: SparkSession, sf: str) -> DataFrame:
     """Q5 by window() against Q5 by panes, both live: equal, so the result is empty."""
     bids = dense_replay(spark, sf)
-    return run_to_table(diff_stream(S.q5_stream(bids, *Q5_DENSE, timed=True), S.q5_stream_panes(bids, *Q5_DENSE, timed=True))).drop("event_time")
+    return run_to_table(diff_stream(S.q5_stream(bids, *Q5_DENSE, timed=True), S.q5_stream_panes(bids, *Q5_DENSE, timed=True)), _dense_rows(spark, sf)).drop("event_time")
 
 
 def diff_q7(spark: SparkSession, sf: str) -> DataFrame:
     """Q7 on raw against Q7 on converted prices, both live: every window differs."""
     bids = replayed(dense_bids(spark, sf))
     raw, converted = (S.q7_stream(timed(b), "1 hour", timed=True) for b in (bids, S.q1_currency(bids)))
-    return run_to_table(diff_stream(raw, converted)).drop("event_time")
+    return run_to_table(diff_stream(raw, converted), _dense_rows(spark, sf)).drop("event_time")
 
 
 def disorder_of(rows: int, batches: int = BATCHES) -> int:
@@ -171,10 +195,11 @@ def disorder_of(rows: int, batches: int = BATCHES) -> int:
 def late_rows(spark: SparkSession, sf: str, delay: str) -> DataFrame:
     """Q7 over bids that come in bounded disorder, and how many of them the delay was too short for (by Spark's metric)."""
     bids = dense_bids(spark, sf)
-    feed = timed(replayed(bids, disorder=disorder_of(bids.count())), delay)
+    n = bids.count()
+    feed = timed(replayed(bids, disorder=disorder_of(n)), delay)
     kept = S.q7_stream(without_late(feed, ["date_time_ns"]), "1 hour")
     folder = fresh_folder(spark)
-    query = finished(into(kept, folder), folder)
+    query = finished(into(kept, folder), folder, rows=-(-n // BATCHES))
     table = spark.read.schema(kept.schema).parquet(f"{folder}/table")
     lost = spark.range(1).select(F.lit("dropped").alias("what"), F.lit(None).cast("long").alias("window_end_ns"), F.lit(dropped_rows(query)).cast("long").alias("value"))
     return table.select(F.lit("window").alias("what"), "window_end_ns", F.col("price").alias("value")).unionByName(lost)
@@ -188,30 +213,30 @@ def _samples(spark: SparkSession, sf: str) -> DataFrame:
 def latency_ccdf_live(spark: SparkSession, sf: str) -> DataFrame:
     folder = fresh_folder(spark)
     writer, log = ccdf_writer(_samples(spark, sf), f"{folder}/histogram")
-    finished(writer, folder)
+    finished(writer, folder, rows=_dense_rows(spark, sf))
     return ccdf_so_far(log)
 
 
 STREAM_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    "q3_stream": lambda s, d: (lambda t: run_to_table(S.q3_stream(t.auction, t.person)))(stream_tpch(s, d)),
-    "q5_stream": lambda s, d: run_to_table(S.q5_stream_panes(_dense(s, d), "1 hour", "10 minutes")),
-    "q7_stream": lambda s, d: run_to_table(S.q7_stream(timed(replayed(dense_bids(s, d))), "1 hour")),
+    "q3_stream": lambda s, d: (lambda t: run_to_table(S.q3_stream(t.auction, t.person), rows_of(s, d, "customer", "orders")))(stream_tpch(s, d)),
+    "q5_stream": lambda s, d: run_to_table(S.q5_stream_panes(_dense(s, d), "1 hour", "10 minutes"), _dense_rows(s, d, 1)),
+    "q7_stream": lambda s, d: run_to_table(S.q7_stream(timed(replayed(dense_bids(s, d))), "1 hour"), _dense_rows(s, d)),
     "q8_stream": lambda s, d: (lambda t: run_to_table(
-        S.q8_stream(timed(t.person), timed(t.auction), "30 days")))(stream_tpch(s, d)),
+        S.q8_stream(timed(t.person), timed(t.auction), "30 days"), rows_of(s, d, "customer", "orders")))(stream_tpch(s, d)),
     "q8_as_written_stream": lambda s, d: (lambda t: run_to_table(
-        S.q8_as_written_stream(timed(t.auction), "12 hours")))(stream_tpch(s, d)),
-    "closed_auctions_stream": lambda s, d: run_to_table(closed_auctions_sessions(replayed(auction_events(s, d)))),
-    "closed_auctions_table_stream": lambda s, d: run_to_table(_closed_of_tables(s, d)),
-    "closed_auctions_bounded_stream": lambda s, d: run_to_table(_closed_bounded(s, d)).drop("event_time"),
-    "q4_running_stream": lambda s, d: means(_closed_of_tables(s, d), {"q4": ("category", None)})["q4"],
-    "q6_stream": lambda s, d: means(_closed_of_tables(s, d), {"q6": ("bidder", 10)})["q6"],
+        S.q8_as_written_stream(timed(t.auction), "12 hours"), rows_of(s, d, "orders")))(stream_tpch(s, d)),
+    "closed_auctions_stream": lambda s, d: run_to_table(_closed_of_replay(s, d, BATCHES), _closing_rows(s, d, BATCHES)),
+    "closed_auctions_table_stream": lambda s, d: run_to_table(_closed_of_tables(s, d), _closing_rows(s, d)),
+    "closed_auctions_bounded_stream": lambda s, d: run_to_table(_closed_bounded(s, d), _closing_rows(s, d)).drop("event_time"),
+    "q4_running_stream": lambda s, d: means(_closed_of_tables(s, d), {"q4": ("category", None)}, _closing_rows(s, d))["q4"],
+    "q6_stream": lambda s, d: means(_closed_of_tables(s, d), {"q6": ("bidder", 10)}, _closing_rows(s, d))["q6"],
     "q4_q6_shared_stream": q4_q6_shared,
     "q4_update_stream": q4_update,
     "diff_q5_stream": diff_q5,
     "diff_q7_stream": diff_q7,
     "late_rows_stream": lambda s, d: late_rows(s, d, "1 hour"),
     "late_rows_none_stream": lambda s, d: late_rows(s, d, "8 days"),
-    "latency_timeline_stream": lambda s, d: run_to_table(latency_timeline_stream(_samples(s, d), "1 hour")),
+    "latency_timeline_stream": lambda s, d: run_to_table(latency_timeline_stream(_samples(s, d), "1 hour"), _dense_rows(s, d)),
     "latency_ccdf_stream": latency_ccdf_live,
 }
 

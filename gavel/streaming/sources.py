@@ -19,19 +19,34 @@ from gavel.sources.tables import AuctionTables
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
+# Rows of a micro-batch that are worth a state shard of their own.
+SHARD_ROWS = 100_000
+
+
+def state_shards(spark: SparkSession, rows: int) -> int:
+    """Shards of each stateful operator for micro-batches of `rows` rows: one a core, as many again as the rows grow, at
+    most the session's shuffle partitions. A commit writes files for every shard, however few rows it holds."""
+    most, cores = int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism
+    return min(most, max(1, -(-rows // (SHARD_ROWS * cores))) * cores)
+
 
 @contextlib.contextmanager
-def state_store(spark: SparkSession, provider: str | None = ROCKSDB) -> Iterator[None]:
+def state_store(spark: SparkSession, provider: str | None = ROCKSDB, shards: int | None = None, counted: bool = True) -> Iterator[None]:
     """The state store of the queries started inside, and the session's own
     settings again afterwards (a query keeps the settings it started with).
 
     Keyed processors (transformWithState) require RocksDB. Changelog
     checkpointing commits only the changes of a micro-batch (snapshots are
-    taken in the background).
+    taken in the background). `shards` is the number of shards of each stateful
+    operator (else the session's shuffle partitions); without `counted` RocksDB
+    doesn't look each key up again to report how many rows it holds.
     """
     wanted = {} if provider is None else {"spark.sql.streaming.stateStore.providerClass": provider}
     if provider == ROCKSDB:
         wanted["spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled"] = "true"
+        wanted["spark.sql.streaming.stateStore.rocksdb.trackTotalNumberOfRows"] = str(counted).lower()
+    if shards is not None:
+        wanted["spark.sql.shuffle.partitions"] = str(shards)
     before = {k: spark.conf.get(k, None) for k in wanted}
     for k, v in wanted.items():
         spark.conf.set(k, v)
@@ -85,4 +100,4 @@ def timed_tables(events: DataFrame) -> AuctionTables:
     return AuctionTables(part("Person", "person"), part("Auction", "auction"), part("Bid", "bid"))
 
 
-__all__ = ["state_store", "generated_event_stream", "generated_table_stream", "event_file_stream", "timed_events", "timed_tables"]
+__all__ = ["state_store", "state_shards", "generated_event_stream", "generated_table_stream", "event_file_stream", "timed_events", "timed_tables"]

@@ -28,7 +28,7 @@ from gavel.streaming.diff import diff_stream
 from gavel.streaming.fanout import fan_out, table_sink
 from gavel.streaming.frames import means_sink
 from gavel.streaming.replay import STRIDE, write_replay
-from gavel.streaming.sources import event_file_stream, state_store
+from gavel.streaming.sources import SHARD_ROWS, event_file_stream, state_shards, state_store
 from gavel.streaming.upserts import KeyedLog
 
 SF = "/root/testdata/sf0.001"
@@ -106,6 +106,25 @@ def test_a_hot_auction_is_many_tasks(spark):
     assert same(closed_auctions_sessions(events, salts=64), closed_auctions(a, b))
 
 
+# Shards of state
+
+
+def test_state_is_sharded_by_the_rows_of_a_micro_batch(spark, monkeypatch):
+    key, cores = "spark.sql.shuffle.partitions", spark.sparkContext.defaultParallelism
+    before, seen = spark.conf.get(key), []
+    finished = P.finished
+    monkeypatch.setattr(P, "finished", lambda *a, **k: seen.append(finished(*a, **k)) or seen[-1])
+    spark.conf.set(key, "64")
+    try:
+        assert state_shards(spark, 0) == state_shards(spark, SHARD_ROWS * cores) == min(64, cores)
+        assert state_shards(spark, SHARD_ROWS * cores + 1) == min(64, 2 * cores) and state_shards(spark, 10**12) == 64
+        P.STREAM_QUERIES["q7_stream"](spark, SF).count()
+        assert spark.conf.get(key) == "64"
+        assert {op["numShufflePartitions"] for p in seen[0].recentProgress for op in p["stateOperators"]} == {min(64, cores)}
+    finally:
+        spark.conf.set(key, before)
+
+
 # Ordered replay
 
 

@@ -153,12 +153,13 @@ def q4_q6_shared(spark: SparkSession, sf: str) -> DataFrame:
 
 def q4_update(spark: SparkSession, sf: str) -> DataFrame:
     """Q4's latest mean per category: one query closes the auctions into a table, a second one reads its files as they
-    come, in update mode into an upsert table."""
+    come, in update mode into an upsert table. It takes as many files a micro-batch as the first one writes in one."""
     folder = fresh_folder(spark)
     rows = _closing_rows(spark, sf, SHARED_BATCHES)
     closed = _closed_of_replay(spark, sf, SHARED_BATCHES)
     finished(into(closed, folder), folder, rows=rows)
-    again = spark.readStream.schema(closed.schema).option("maxFilesPerTrigger", 8).parquet(f"{folder}/table")
+    files = max(8, state_shards(spark, rows))
+    again = spark.readStream.schema(closed.schema).option("maxFilesPerTrigger", files).parquet(f"{folder}/table")
     log = KeyedLog(spark, f"{folder}/q4", "category long, avg_price long", ["category"])
     # A category is a row of a task's partial sums, so its state is far less than its closings.
     finished(S.q4_category_avg_stream(again).writeStream.outputMode("update").foreachBatch(log.put), folder, checkpoint="second", rows=0)

@@ -125,6 +125,23 @@ def test_state_is_sharded_by_the_rows_of_a_micro_batch(spark, monkeypatch):
         spark.conf.set(key, before)
 
 
+def test_the_second_query_takes_a_batch_of_the_first_at_once(spark, monkeypatch):
+    """Q4 in update mode: its micro-batches don't grow with the files of the closings."""
+    key = "spark.sql.shuffle.partitions"
+    before, seen = spark.conf.get(key), []
+    finished = P.finished
+    monkeypatch.setattr(P, "finished", lambda *a, **k: seen.append(finished(*a, **k)) or seen[-1])
+    monkeypatch.setattr(P, "state_shards", lambda *a: 30)
+    spark.conf.set(key, "30")
+    try:
+        got = P.q4_update(spark, "/root/testdata/sf0.01")
+        first, second = ([p for p in q.recentProgress if p["numInputRows"]] for q in seen)
+        assert len(first) == P.SHARED_BATCHES and len(second) <= P.SHARED_BATCHES + 1
+        assert got.count() == 5
+    finally:
+        spark.conf.set(key, before)
+
+
 # Ordered replay
 
 

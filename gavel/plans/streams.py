@@ -28,7 +28,7 @@ from gavel.sources.tables import (
     person_from_customer, read_table,
 )
 from gavel.streaming import queries as S
-from gavel.streaming.closing import closed_auctions_sessions
+from gavel.streaming.closing import SALTS, closed_auctions_sessions, hot_auctions
 from gavel.streaming.diff import diff_stream
 from gavel.streaming.fanout import fan_out
 from gavel.streaming.frames import means_sink
@@ -119,7 +119,9 @@ def _closing_rows(spark: SparkSession, sf: str, batches: int = 1) -> int:
 
 
 def _closed(spark: SparkSession, sf: str, events: DataFrame, rows: int) -> DataFrame:
-    return closed_auctions_sessions(events)
+    """The closing of auctions that come in micro-batches of `rows` rows, hot ones over all shards."""
+    shards = state_shards(spark, rows)
+    return closed_auctions_sessions(events, salts=max(SALTS, shards), hot=hot_auctions(bid_from_lineitem(read_table(spark, sf, "lineitem")), rows, shards))
 
 
 def _closed_of_tables(spark: SparkSession, sf: str) -> DataFrame:

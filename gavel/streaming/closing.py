@@ -14,7 +14,9 @@ a bid and an auction that it doesn't belong to touch.
 
 Hot auctions: with `salts` > 1 a bid goes to one of that many salts and an auction to all of them; each salt has its
 own session and partial winner, and a second aggregation over the same session picks the winner, in the
-same query. So half of all bids on one auction are that many tasks' work.
+same query. So half of all bids on one auction are that many tasks' work. An auction in every salt is that many
+rows of state, so a caller that knows the hot ids (`hot_auctions`) names them in `hot`, and only they are salted. Which
+ids are salted changes no result.
 """
 
 from __future__ import annotations
@@ -28,14 +30,24 @@ from gavel.operators.closing import CLOSED_COLS
 TICKS = 3
 SALTS = 4
 
+# Fewer bids than this on an auction are no task's burden.
+HOT_BIDS = 10_000
+
 
 def tick(ns: Column) -> Column:
     """ns -> a TIMESTAMP on the clock of the sessions."""
     return F.timestamp_micros(ns * F.lit(TICKS))
 
 
-def session_rows(events: DataFrame, salts: int = SALTS) -> DataFrame:
-    """Auctions and bids of tagged events as sessions: (id, salt, begin, ticks, a, b, rank)."""
+def hot_auctions(bid: DataFrame, rows: int, shards: int) -> list[int]:
+    """Ids with over a quarter of what a shard gets of `rows` rows, a micro-batch's; a bounded list, by one aggregation."""
+    least = max(HOT_BIDS, rows // (4 * shards))
+    counts = bid.where("auction IS NOT NULL").groupBy("auction").agg(F.count(F.lit(1)).alias("n"))
+    return [r.auction for r in counts.where(F.col("n") > least).collect()]
+
+
+def session_rows(events: DataFrame, salts: int = SALTS, hot: list[int] | None = None) -> DataFrame:
+    """Auctions and bids of tagged events as sessions: (id, salt, begin, ticks, a, b, rank). With `hot`, only those ids are salted."""
     if salts < 1:
         raise ValueError("salts must be at least 1")
     a, b, opens = F.col("auction"), F.col("bid"), F.col("type") == "Auction"
@@ -48,21 +60,24 @@ def session_rows(events: DataFrame, salts: int = SALTS) -> DataFrame:
         # Order of winners: price up, time down, bidder down.
         F.when(~opens, F.struct(b["price"], -b["date_time_ns"], -b["bidder"])).alias("rank"))
     rows = rows.where("id IS NOT NULL AND begin IS NOT NULL")
-    if salts == 1:
+    if salts == 1 or hot == []:
         return rows.withColumn("salt", F.lit(0))
     one = F.array(F.pmod(F.xxhash64("b"), F.lit(salts)).cast("int"))
-    return rows.withColumn("salt", F.explode(F.when(F.col("a").isNotNull(), F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(one)))
+    dealt = F.when(F.col("a").isNotNull(), F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(one)
+    if hot is not None:
+        dealt = F.when(F.col("id").isin(hot), dealt).otherwise(F.array(F.lit(0)))
+    return rows.withColumn("salt", F.explode(dealt))
 
 
-def closed_auctions_sessions(events: DataFrame, delay: str | int = "0 seconds", salts: int = SALTS) -> DataFrame:
+def closed_auctions_sessions(events: DataFrame, delay: str | int = "0 seconds", salts: int = SALTS, hot: list[int] | None = None) -> DataFrame:
     """(auction, category, seller, expires_ns, bidder, price, bid_time_ns) of every closed auction, once the watermark
     (the latest time of any auction or bid, less `delay`) has passed its expiry. Auction ids are unique."""
-    rows = session_rows(events, salts).withWatermark("begin", f"{duration_ns(delay) * TICKS} microseconds")
+    rows = session_rows(events, salts, hot).withWatermark("begin", f"{duration_ns(delay) * TICKS} microseconds")
     span = F.expr("make_interval(0, 0, 0, 0, 0, 0, CAST(ticks AS DECIMAL(20, 0)) / 1000000)")
     best = F.max_by("b", "rank").alias("b")
     won = (rows.groupBy("id", "salt", F.session_window("begin", span).alias("session"))
            .agg(F.max("a").alias("a"), best, F.max("rank").alias("rank"))
            .where("a IS NOT NULL AND b.price >= a.reserve"))
-    if salts > 1:
+    if salts > 1 and hot != []:
         won = won.groupBy("id", "session").agg(F.max("a").alias("a"), best)
     return won.select(F.col("id").alias("auction"), "a.category", "a.seller", "a.expires_ns", "b.bidder", "b.price", "b.bid_time_ns").select(*CLOSED_COLS)

@@ -23,7 +23,7 @@ from gavel.sources.files import numbered, part_files
 from gavel.sources.generator import GeneratorConfig, generate_events
 from gavel.sources.tables import AuctionTables, dense_bids
 from gavel.streaming import queries as S
-from gavel.streaming.closing import closed_auctions_sessions, session_rows
+from gavel.streaming.closing import closed_auctions_sessions, hot_auctions, session_rows
 from gavel.streaming.diff import diff_stream
 from gavel.streaming.fanout import fan_out, table_sink
 from gavel.streaming.frames import means_sink
@@ -106,6 +106,21 @@ def test_a_hot_auction_is_many_tasks(spark):
     assert same(closed_auctions_sessions(events, salts=64), closed_auctions(a, b))
 
 
+def test_only_hot_auctions_are_salted(spark):
+    """An auction that isn't hot is one row of state, and the winners are the same whichever ids are salted."""
+    n = 60_000
+    a = auctions(spark, [dict(id=i, t=0, exp=10**9, reserve=i % 50) for i in range(500)])
+    b = bids(spark, [(7 if i % 3 else i % 499, i % 7, i * 7919 % 10_007, i) for i in range(n)])
+    events = to_events(AuctionTables(persons(spark, []), a, b))
+    hot = hot_auctions(b, n, 8)
+    assert hot == [7]
+    made = {r.id: r["count"] for r in session_rows(events, 16, hot).where("a IS NOT NULL").groupBy("id").count().collect()}
+    assert made == {i: 16 if i == 7 else 1 for i in range(500)}
+    want = rows(closed_auctions(a, b))
+    for ids in ([], hot, [7, 8, 10**6]):
+        assert rows(closed_auctions_sessions(events, salts=16, hot=ids)) == want and len(want) > 400
+
+
 # Shards of state
 
 

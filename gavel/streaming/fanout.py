@@ -24,6 +24,7 @@ def fan_out(stream: DataFrame, sinks: Mapping[str, Sink]) -> DataStreamWriter:
     def write(batch: DataFrame, batch_id: int) -> None:
         batch = batch.persist(StorageLevel.MEMORY_AND_DISK)
         try:
+            batch.count()  # all partitions at once: a sink's first look (isEmpty) would work through them a few at a time
             for sink in sinks.values():
                 sink(batch, batch_id)
         finally:

@@ -14,19 +14,20 @@ from test_streaming import BASE, CFG, N, auction_event, bid_event, feed, write_f
 from gavel.operators.asof import latest_before, q3_latest_registration
 from gavel.operators.averages import q4_category_avg, q4_running_avg, q6_last_avg
 from gavel.operators.closing import closed_auctions
-from gavel.operators.joins import q3_local_items
+from gavel.operators.joins import q3_local_items, q8_as_written
 from gavel.operators.latency import latency_ccdf, latency_timeline
 from gavel.operators.windows import q5_hot_items, q5_hot_items_deltas
 from gavel.plans import streams as P
 from gavel.sources.events import demux, to_events
 from gavel.sources.files import numbered, part_files
 from gavel.sources.generator import GeneratorConfig, generate_events
-from gavel.sources.tables import AuctionTables, dense_bids
+from gavel.sources.tables import TABLE_SCHEMAS, AuctionTables, auction_from_orders, dense_bids, from_tpch
 from gavel.streaming import queries as S
 from gavel.streaming.closing import closed_auctions_sessions, hot_auctions, session_rows
 from gavel.streaming.diff import diff_stream
 from gavel.streaming.fanout import fan_out, table_sink
 from gavel.streaming.frames import means_sink
+from gavel.streaming.packs import packed
 from gavel.streaming.replay import STRIDE, write_replay
 from gavel.streaming.sources import SHARD_ROWS, event_file_stream, state_shards, state_store
 from gavel.streaming.upserts import KeyedLog
@@ -157,6 +158,38 @@ def test_the_second_query_takes_a_batch_of_the_first_at_once(spark, monkeypatch)
         spark.conf.set(key, before)
 
 
+def test_q8_as_written_keeps_packs_in_state(spark, monkeypatch):
+    """Packs of auctions are the state's rows; repeated ids, a hot seller of several packs and nulls give the pairs of the batch form."""
+    folder, seen = fresh("orders"), []
+    n = 6000
+    (spark.range(n).selectExpr(
+        "IF(id % 50 = 1, NULL, id % 2000) AS o_orderkey",
+        "CASE WHEN id % 41 = 0 THEN NULL WHEN id % 3 = 0 THEN 7 ELSE id % 900 END AS o_custkey",
+        "'O' AS o_orderstatus", "CAST(id AS DOUBLE) AS o_totalprice",
+        "IF(id % 37 = 0, NULL, TIMESTAMP_NTZ'1995-01-01 00:00:00' + make_dt_interval(0, CAST(id * 7919 % 400 AS INT))) AS o_orderdate",
+        "'1' AS o_orderpriority").repartition(3).write.parquet(f"{folder}/orders.parquet"))
+    for name in ("customer", "lineitem"):
+        spark.createDataFrame([], TABLE_SCHEMAS[name]).write.parquet(f"{folder}/{name}.parquet")
+    want = rows(q8_as_written(from_tpch(spark, folder).auction, "12 hours"))
+    finished = P.finished
+    monkeypatch.setattr(P, "finished", lambda *a, **k: seen.append(finished(*a, **k)) or seen[-1])
+    assert rows(P.STREAM_QUERIES["q8_as_written_stream"](spark, folder)) == want and len(want) > n // 2
+    assert 0 < sum(op["numRowsUpdated"] for p in seen[0].recentProgress for op in p["stateOperators"]) < n // 8
+    # Several micro-batches in no time order: rows of one meet those of another.
+    orders = spark.readStream.schema(TABLE_SCHEMAS["orders"]).option("maxFilesPerTrigger", 1).parquet(f"{folder}/orders.parquet")
+    assert rows(P.run_to_table(S.q8_as_written_stream(P.timed(auction_from_orders(orders)), "12 hours", n // 3), n)) == want
+    assert len([p for p in seen[1].recentProgress if p["numInputRows"]]) == 3
+
+
+@pytest.mark.parametrize("chunk, largest", [(1, 1024), (7, 2), (10**6, 3)])
+def test_packs_hold_every_row_once(spark, chunk, largest):
+    df = spark.range(200).selectExpr("id % 5 AS k", "IF(id % 9 = 0, NULL, id) AS v")
+    got = packed(df, "k", 3, 200, chunk, largest)
+    assert got.where(F.size("k") > largest).isEmpty() and got.where("size(k) != size(v) OR block NOT BETWEEN 0 AND 2").isEmpty()
+    assert rows(got.select(F.inline(F.arrays_zip("k", "v")))) == rows(df)
+    assert got.select("block", F.explode("k").alias("k")).distinct().count() == 5
+
+
 # Ordered replay
 
 

@@ -179,10 +179,12 @@ def votes(model: dict, buf: np.ndarray, offs: np.ndarray) -> np.ndarray:
     latent = np.divide(latent, size, out=np.zeros_like(latent), where=size > 0)
     out = np.full(n, float(model["share"]))
     k = min(NEIGHBOURS, len(model["near"]))
+    # In double precision, as a product in single precision depends on a text's place in its block.
+    near = model["near"].T.astype(float)
     for low in range(0, n, 256):
-        cosine = latent[low: low + 256] @ model["near"].T
+        cosine = latent[low: low + 256].astype(float) @ near
         best = np.argpartition(cosine, -k, axis=1)[:, -k:]
-        like = np.maximum(np.take_along_axis(cosine, best, 1), 0).astype(float) ** SHARPNESS * model["vote"][best]
+        like = np.maximum(np.take_along_axis(cosine, best, 1), 0) ** SHARPNESS * model["vote"][best]
         total = like.sum(1)
         some = total > 1e-12
         out[low: low + 256][some] = ((like * model["y"][best]).sum(1)[some]) / total[some]

@@ -78,8 +78,9 @@ def labelled(labels: DataFrame, key: str, label: str, sample: int) -> tuple[dict
     total, ones = rows.agg(F.count("*"), F.sum("y")).first()
     if not total:
         return {}, 1.0
-    ranked = [rows.where(F.col("y") == y).orderBy(F.xxhash64(F.col(key)), key).limit(sample) for y in (0, 1)]
-    return {r[0]: r[1] for part in ranked for r in part.collect()}, ones / total
+    # A union, as a limit that is collected by itself sends ``sample`` rows of every partition to the driver.
+    zeros, units = (rows.where(F.col("y") == y).orderBy(F.xxhash64(F.col(key)), key).limit(sample) for y in (0, 1))
+    return {r[0]: r[1] for r in zeros.unionByName(units).collect()}, ones / total
 
 
 def survey(docs: DataFrame, key: str, text: str, chosen: dict) -> DataFrame:
@@ -114,22 +115,44 @@ def survey(docs: DataFrame, key: str, text: str, chosen: dict) -> DataFrame:
 
 def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "quality",
         sample: int = SAMPLE, rank: int = RANK) -> dict | None:
-    """The latent space, the neighbours' vectors and labels; None without labelled documents."""
+    """The latent space, the neighbours' vectors and labels; None without labelled documents.
+
+    One task decomposes the sample, whose size is bounded; the driver only gets the model."""
     chosen, share = labelled(labels, key, label, sample)
     if not chosen:
         return None
     seen = saved(survey(docs, key, text, chosen))
-    counts = {r[0]: r[1] for r in seen.where("bucket is not null").groupBy("bucket").agg(F.sum("n")).collect()}
-    n = counts.pop(-1, 0)
-    df = np.zeros(BUCKETS)
-    df[list(counts)] = list(counts.values())
-    idf = np.log((1 + n) / (1 + df))
-    by_name = {str(k): y for k, y in chosen.items()}
     # Of several texts with one id the first by features counts, however the rows are dealt.
-    one = seen.where("id is not null").groupBy("id").agg(F.min(F.struct("buckets", "times")).alias("first"))
-    rows = sorted(((r.id, r.first.buckets, r.first.times) for r in one.toLocalIterator()))
-    if not rows:
+    seen = seen.groupBy("bucket", "id").agg(F.sum("n").alias("n"), F.min(F.struct("buckets", "times")).alias("first"))
+    seen = seen.select("bucket", "n", "id", "first.buckets", "first.times")
+    by_name = {str(k): y for k, y in chosen.items()}
+    schema = T.StructType([T.StructField("name", T.StringType()), T.StructField("value", T.BinaryType())])
+    out = arrow_schema(schema)
+
+    def run(batches):
+        n, df, rows = 0, np.zeros(BUCKETS), []
+        for batch in batches:
+            counted = batch.filter(batch.column(0).is_valid())
+            bucket, times = counted.column(0).to_numpy(), counted.column(1).to_numpy()
+            n += int(times[bucket < 0].sum())
+            df[bucket[bucket >= 0]] = times[bucket >= 0]
+            rows += zip(*(batch.filter(batch.column(2).is_valid()).column(c).to_pylist() for c in (2, 3, 4)))
+        if rows:
+            for name, value in decomposed(np.log((1 + n) / (1 + df)), sorted(rows), by_name, share, rank):
+                yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([value.tobytes()], pa.binary())], schema=out)
+    found: dict[str, list] = {}
+    for name, value in seen.repartition(1).mapInArrow(run, schema).collect():
+        found.setdefault(name, []).append(value)
+    if not found:
         return None
+    model = {name: np.frombuffer(b"".join(parts), "<f4" if name in ("space", "near") else "<f8") for name, parts in found.items()}
+    for name, length in (("space", BUCKETS), ("near", len(model["y"]))):
+        model[name] = model[name].reshape(length, -1)
+    return model | {"share": share}
+
+
+def decomposed(idf: np.ndarray, rows: list[tuple], by_name: dict, share: float, rank: int):
+    """Named arrays of the model, the space in stretches of buckets; ``rows`` are ids, buckets and times of the sample."""
     bucket = np.concatenate([np.frombuffer(r[1], "<u4") for r in rows]).astype(np.int64)
     times = np.concatenate([np.frombuffer(r[2], "<u4") for r in rows]).astype(np.int64)
     doc = np.repeat(np.arange(len(rows)), [len(r[1]) // 4 for r in rows])
@@ -149,19 +172,23 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
     for i in range(len(cuts) - 1):
         x = stretch(i)
         gram += x @ x.T
+    del x
     value, vector = np.linalg.eigh(gram)
+    del gram
     top = np.argsort(value)[::-1][:rank]
     top = top[value[top] > 1e-9]
-    scale = np.sqrt(value[top])
-    space = np.concatenate([stretch(i).T @ (vector[:, top] / scale) for i in range(len(cuts) - 1)])[:BUCKETS]
-    near = vector[:, top] * scale
+    vector, scale = vector[:, top], np.sqrt(value[top])
+    near = vector * scale
     size = np.linalg.norm(near, axis=1, keepdims=True)
     y = np.array([by_name[r[0]] for r in rows], float)
     ones = y.mean()
+    yield "idf", idf
+    for i in range(len(cuts) - 1):
+        yield "space", (stretch(i).T @ (vector / scale))[:BUCKETS - i * step].astype("<f4")
+    yield "near", (near / np.where(size > 0, size, 1)).astype("<f4")
+    yield "y", y
     # A label's votes count as much as its share of all labelled rows, whatever its share of the sample.
-    vote = np.where(y > 0, share / max(ones, 1e-9), (1 - share) / max(1 - ones, 1e-9))
-    return {"idf": idf, "space": space.astype(np.float32), "near": (near / np.where(size > 0, size, 1)).astype(np.float32),
-            "y": y, "vote": vote, "share": share}
+    yield "vote", np.where(y > 0, share / max(ones, 1e-9), (1 - share) / max(1 - ones, 1e-9))
 
 
 def votes(model: dict, buf: np.ndarray, offs: np.ndarray) -> np.ndarray:

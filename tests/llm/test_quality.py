@@ -1,3 +1,5 @@
+import tracemalloc
+
 import numpy as np
 import pyarrow as pa
 from llm_util import awkward, empty
@@ -61,3 +63,34 @@ def test_awkward_rows(spark):
     assert kept.columns == docs.columns and kept.count() == sum(r.predicted for r in rows)
     assert {r.score for r in Q.score(docs, empty(labels)).collect()} == {1.0}
     assert Q.score(empty(docs), labels).count() == 0
+
+
+def test_the_driver_only_gets_the_model(spark):
+    """Neither the driver's memory nor the number of jobs follows the sample or the number of partitions."""
+    rng = np.random.default_rng(3)
+    words = [f"w{i}" for i in range(3000)]
+    rows = [(i, " ".join(rng.choice(words, 40))) for i in range(2 * Q.SAMPLE + 50)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i, _ in rows], "doc_id long, quality int")
+    sc = spark.sparkContext
+    was = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled")}
+    jobs = {}
+    try:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+        for n in (4, 24):
+            spark.conf.set("spark.sql.shuffle.partitions", str(n))
+            sc.setJobGroup(f"fit-{n}", "fit")
+            tracemalloc.start()
+            model = Q.fit(docs, labels)
+            peak = tracemalloc.get_traced_memory()[1]
+            tracemalloc.stop()
+            jobs[n] = len(sc.statusTracker().getJobIdsForGroup(f"fit-{n}"))
+            assert len(model["y"]) == len(model["near"]) == 2 * Q.SAMPLE and model["space"].shape == (Q.BUCKETS, Q.RANK)
+            assert peak < 64 << 20, f"{peak >> 20} MB"
+    finally:
+        tracemalloc.stop()
+        sc.setLocalProperty("spark.jobGroup.id", None)
+        sc.setLocalProperty("spark.job.description", None)
+        for k, v in was.items():
+            spark.conf.set(k, v)
+    assert 0 < jobs[4] == jobs[24]

@@ -28,6 +28,7 @@ from gavel.sources.tables import (
     person_from_customer, read_table,
 )
 from gavel.streaming import queries as S
+from gavel.streaming.blocks import rows_by_blocks
 from gavel.streaming.closing import SALTS, closed_auctions_sessions, hot_auctions
 from gavel.streaming.diff import diff_stream
 from gavel.streaming.fanout import fan_out
@@ -46,6 +47,9 @@ MAX_AUCTION_LENGTH = "90 days"
 BATCHES = 20
 SHARED_BATCHES = 4
 
+# Rows of a replay's file where a micro-batch is several files.
+FILE_ROWS = 500_000
+
 Q5_DENSE = ("1 hour", "10 minutes")
 
 
@@ -121,8 +125,9 @@ def _closing_rows(spark: SparkSession, sf: str, batches: int = 1) -> int:
 
 def _closed(spark: SparkSession, sf: str, events: DataFrame, rows: int) -> DataFrame:
     """The closing of auctions that come in micro-batches of `rows` rows, hot ones over all shards."""
-    shards = state_shards(spark, rows)
-    return closed_auctions_sessions(events, salts=max(SALTS, shards), hot=hot_auctions(bid_from_lineitem(read_table(spark, sf, "lineitem")), rows, shards))
+    shards = state_shards(spark, rows_by_blocks(rows))
+    hot = hot_auctions(bid_from_lineitem(read_table(spark, sf, "lineitem")), rows, shards)
+    return closed_auctions_sessions(events, salts=max(SALTS, shards), hot=hot, per_batch=rows)
 
 
 def _closed_of_tables(spark: SparkSession, sf: str) -> DataFrame:
@@ -130,15 +135,20 @@ def _closed_of_tables(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _closed_of_replay(spark: SparkSession, sf: str, batches: int) -> DataFrame:
-    return _closed(spark, sf, replayed(auction_events(spark, sf), batches=batches), _closing_rows(spark, sf, batches))
+    rows = _closing_rows(spark, sf, batches)
+    # The feed holds the fields that closing reads.
+    auction = F.struct(*[f"auction.{c}" for c in ("id", "reserve", "date_time_ns", "expires_ns", "seller", "category")])
+    events = auction_events(spark, sf).select("type", auction.alias("auction"), "bid", "date_time_ns")
+    return _closed(spark, sf, replayed(events, batches=batches, files_per_batch=max(1, -(-rows // FILE_ROWS))), rows)
 
 
 def means(closed: DataFrame, sinks: dict[str, tuple[str, int | None]], rows: int | None = None) -> dict[str, DataFrame]:
-    """Run one closing stream into several running means: name -> (key, last); their results by name."""
+    """Run one closing stream (by blocks, of `rows` rows a micro-batch) into several running means: name -> (key, last);
+    their results by name."""
     spark = closed.sparkSession
     folder = fresh_folder(spark)
     made = {name: means_sink(spark, f"{folder}/{name}", f"{folder}/{name}-state", key, last) for name, (key, last) in sinks.items()}
-    finished(fan_out(closed, made), folder, rows=rows)
+    finished(fan_out(closed, made), folder, rows=None if rows is None else rows_by_blocks(rows))
     out = {}
     for name, (key, _) in sinks.items():
         schema = f"{key} long, auction long, expires_ns long, avg_price long, batch int"
@@ -160,8 +170,8 @@ def q4_update(spark: SparkSession, sf: str) -> DataFrame:
     folder = fresh_folder(spark)
     rows = _closing_rows(spark, sf, SHARED_BATCHES)
     closed = _closed_of_replay(spark, sf, SHARED_BATCHES)
-    finished(into(closed, folder), folder, rows=rows)
-    files = max(8, state_shards(spark, rows))
+    finished(into(closed, folder), folder, rows=rows_by_blocks(rows))
+    files = max(8, state_shards(spark, rows_by_blocks(rows)))
     again = spark.readStream.schema(closed.schema).option("maxFilesPerTrigger", files).parquet(f"{folder}/table")
     log = KeyedLog(spark, f"{folder}/q4", "category long, avg_price long", ["category"])
     # A category is a row of a task's partial sums, so its state is far less than its closings.
@@ -234,8 +244,8 @@ STREAM_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "q8_stream": lambda s, d: (lambda t: run_to_table(
         S.q8_stream(timed(t.person), timed(t.auction), "30 days"), rows_of(s, d, "customer", "orders")))(stream_tpch(s, d)),
     "q8_as_written_stream": q8_as_written,
-    "closed_auctions_stream": lambda s, d: run_to_table(_closed_of_replay(s, d, BATCHES), _closing_rows(s, d, BATCHES)),
-    "closed_auctions_table_stream": lambda s, d: run_to_table(_closed_of_tables(s, d), _closing_rows(s, d)),
+    "closed_auctions_stream": lambda s, d: run_to_table(_closed_of_replay(s, d, BATCHES), rows_by_blocks(_closing_rows(s, d, BATCHES))),
+    "closed_auctions_table_stream": lambda s, d: run_to_table(_closed_of_tables(s, d), rows_by_blocks(_closing_rows(s, d))),
     "closed_auctions_bounded_stream": lambda s, d: run_to_table(_closed_bounded(s, d), _closing_rows(s, d)).drop("event_time"),
     "q4_running_stream": lambda s, d: means(_closed_of_tables(s, d), {"q4": ("category", None)}, _closing_rows(s, d))["q4"],
     "q6_stream": lambda s, d: means(_closed_of_tables(s, d), {"q6": ("bidder", 10)}, _closing_rows(s, d))["q6"],

@@ -17,6 +17,9 @@ own session and partial winner, and a second aggregation over the same session p
 same query. So half of all bids on one auction are that many tasks' work. An auction in every salt is that many
 rows of state, so a caller that knows the hot ids (`hot_auctions`) names them in `hot`, and only they are salted. Which
 ids are salted changes no result.
+
+With `per_batch`, the rows of a (large) micro-batch, the same sessions are found by blocks of ids (`blocks`), whose state is
+a row per block; without it by Spark's session windows, whose state is a row per session.
 """
 
 from __future__ import annotations
@@ -26,6 +29,8 @@ from pyspark.sql import functions as F
 
 from gavel.functions.time import duration_ns
 from gavel.operators.closing import CLOSED_COLS
+from gavel.streaming.blocks import block_labels, closed_by_blocks, rows_by_blocks
+from gavel.streaming.sources import state_shards
 
 TICKS = 3
 SALTS = 4
@@ -69,10 +74,18 @@ def session_rows(events: DataFrame, salts: int = SALTS, hot: list[int] | None =
     return rows.withColumn("salt", F.explode(dealt))
 
 
-def closed_auctions_sessions(events: DataFrame, delay: str | int = "0 seconds", salts: int = SALTS, hot: list[int] | None = None) -> DataFrame:
+def closed_auctions_sessions(events: DataFrame, delay: str | int = "0 seconds", salts: int = SALTS, hot: list[int] | None = None,
+                             per_batch: int | None = None) -> DataFrame:
     """(auction, category, seller, expires_ns, bidder, price, bid_time_ns) of every closed auction, once the watermark
-    (the latest time of any auction or bid, less `delay`) has passed its expiry. Auction ids are unique."""
+    (the latest time of any auction or bid, less `delay`) has passed its expiry. Auction ids are unique. With
+    `per_batch`, the rows of a micro-batch, by blocks; only the ids in `hot` are salted then."""
+    if per_batch is not None:
+        hot = hot or []
     rows = session_rows(events, salts, hot).withWatermark("begin", f"{duration_ns(delay) * TICKS} microseconds")
+    if per_batch is not None:
+        spark = events.sparkSession
+        labels = block_labels(spark, per_batch, state_shards(spark, rows_by_blocks(per_batch)), salts if hot else 1)
+        return closed_by_blocks(rows, labels, hot).select(*CLOSED_COLS)
     span = F.expr("make_interval(0, 0, 0, 0, 0, 0, CAST(ticks AS DECIMAL(20, 0)) / 1000000)")
     best = F.max_by("b", "rank").alias("b")
     won = (rows.groupBy("id", "salt", F.session_window("begin", span).alias("session"))

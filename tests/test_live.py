@@ -122,6 +122,47 @@ def test_only_hot_auctions_are_salted(spark):
         assert rows(closed_auctions_sessions(events, salts=16, hot=ids)) == want and len(want) > 400
 
 
+# Closing by blocks
+
+
+def _closing_feed(draw, batches=6, per_batch=400):
+    """Auctions of repeated, overlapping and null ids, bids early, late and on the edges, nulls everywhere, in no time order."""
+    feed = []
+    for k in range(batches):
+        made = []
+        for _ in range(per_batch):
+            at = k * 20 + draw.randrange(-25, 40)
+            id_ = draw.choice([None, 10**6] if draw.random() < 0.02 else range(60))
+            if draw.random() < 0.25:
+                times = BASE + at * 10**9, BASE + (at + draw.randrange(-1, 30)) * 10**9
+                made.append(("Auction", None, (id_, "", "", 0, draw.choice([None, 0, 3, 5, 7]), draw.choice([None, times[0], *[times[0]] * 20]),
+                                               draw.choice([None, *[times[1]] * 20]), draw.choice([None, 1, 2]), draw.choice([None, 10, 11])), None))
+            else:
+                made.append(("Bid", None, None, (id_, draw.choice([None, 1, 2, 3]), draw.choice([None, *range(9)]),
+                                                 draw.choice([None, *[BASE + at * 10**9 + draw.randrange(-1, 2)] * 20]))))
+        feed.append(made)
+    return feed + [[bid_event(10**7, 1, 10**5)], [bid_event(10**7, 1, 10**5 + 1)]]
+
+
+@pytest.mark.parametrize("seed, delay, hot", [(1, "0 seconds", []), (2, "15 seconds", [3, 7]), (3, "40 seconds", [5])])
+def test_blocks_close_as_sessions_do(spark, seed, delay, hot):
+    """Closing by blocks gives the rows of Spark's session windows: late rows, repeated ids, nulls and salts."""
+    folder = write_feed(spark, _closing_feed(random.Random(seed)))
+    read = lambda: event_file_stream(spark, folder, 1)
+    want = rows(P.run_to_table(closed_auctions_sessions(read(), delay, 4, hot)))
+    assert rows(P.run_to_table(closed_auctions_sessions(read(), delay, 4, hot, per_batch=1000))) == want and len(want) > 20
+
+
+def test_registered_closing_keeps_blocks_in_state(spark, monkeypatch):
+    """The state's rows are blocks of auctions, not auctions and bids; a row each, for all of the micro-batch's rows."""
+    seen, finished = [], P.finished
+    monkeypatch.setattr(P, "finished", lambda *a, **k: seen.append(finished(*a, **k)) or seen[-1])
+    assert P.STREAM_QUERIES["q6_stream"](spark, SF).count() > 0
+    first = seen[0].recentProgress[0]
+    assert first["numInputRows"] > 5000
+    assert 0 < sum(op["numRowsUpdated"] for op in first["stateOperators"]) < 200
+
+
 # Shards of state
 
 

@@ -111,8 +111,9 @@ def auction_events(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _closed_bounded(spark: SparkSession, sf: str) -> DataFrame:
-    t = stream_tpch(spark, sf)
-    return S.closed_auctions_stream_bounded(to_events(t), MAX_AUCTION_LENGTH)
+    rows = _closing_rows(spark, sf)
+    shards, hot = _hot(spark, sf, rows)
+    return S.closed_auctions_stream_bounded(to_events(stream_tpch(spark, sf)), MAX_AUCTION_LENGTH, per_batch=rows, salts=max(SALTS, shards), hot=hot)
 
 
 def _dense(spark: SparkSession, sf: str) -> DataFrame:
@@ -123,10 +124,15 @@ def _closing_rows(spark: SparkSession, sf: str, batches: int = 1) -> int:
     return -(-rows_of(spark, sf, "orders", "lineitem") // batches)
 
 
+def _hot(spark: SparkSession, sf: str, rows: int) -> tuple[int, list[int]]:
+    """Shards for closing by blocks, of micro-batches of `rows` rows, and the auctions that are hot for them."""
+    shards = state_shards(spark, rows_by_blocks(rows))
+    return shards, hot_auctions(bid_from_lineitem(read_table(spark, sf, "lineitem")), rows, shards)
+
+
 def _closed(spark: SparkSession, sf: str, events: DataFrame, rows: int) -> DataFrame:
     """The closing of auctions that come in micro-batches of `rows` rows, hot ones over all shards."""
-    shards = state_shards(spark, rows_by_blocks(rows))
-    hot = hot_auctions(bid_from_lineitem(read_table(spark, sf, "lineitem")), rows, shards)
+    shards, hot = _hot(spark, sf, rows)
     return closed_auctions_sessions(events, salts=max(SALTS, shards), hot=hot, per_batch=rows)
 
 
@@ -246,7 +252,7 @@ STREAM_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "q8_as_written_stream": q8_as_written,
     "closed_auctions_stream": lambda s, d: run_to_table(_closed_of_replay(s, d, BATCHES), rows_by_blocks(_closing_rows(s, d, BATCHES))),
     "closed_auctions_table_stream": lambda s, d: run_to_table(_closed_of_tables(s, d), rows_by_blocks(_closing_rows(s, d))),
-    "closed_auctions_bounded_stream": lambda s, d: run_to_table(_closed_bounded(s, d), _closing_rows(s, d)).drop("event_time"),
+    "closed_auctions_bounded_stream": lambda s, d: run_to_table(_closed_bounded(s, d), rows_by_blocks(_closing_rows(s, d))).drop("event_time"),
     "q4_running_stream": lambda s, d: means(_closed_of_tables(s, d), {"q4": ("category", None)}, _closing_rows(s, d))["q4"],
     "q6_stream": lambda s, d: means(_closed_of_tables(s, d), {"q6": ("bidder", 10)}, _closing_rows(s, d))["q6"],
     "q4_q6_shared_stream": q4_q6_shared,

@@ -25,7 +25,7 @@ import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark import cloudpickle
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.stateful_processor import (
     ExpiredTimerInfo, StatefulProcessor, StatefulProcessorHandle, TimerValues,
@@ -160,7 +160,10 @@ def step(held: pa.Table | None, new: list[pa.Table], late: int, now: int) -> tup
 
 class BlockProcessor(StatefulProcessor):
     """State of a block: the watermark of its last step, and its rows. A timer behind the watermark calls every block in
-    the next micro-batch that has a later one."""
+    the next micro-batch that has a later one. `step` gets times in us."""
+
+    def __init__(self, step):
+        self.step = step
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
@@ -169,7 +172,7 @@ class BlockProcessor(StatefulProcessor):
     def _run(self, new: list[pa.Table], now_ms: int) -> Iterator[pd.DataFrame]:
         before = self.state.get()
         late_ms, rows = (0, None) if before is None else before
-        closed, kept = step(None if rows is None else decoded(bytes(rows)), new, late_ms * 1000, now_ms * 1000)
+        closed, kept = self.step(None if rows is None else decoded(bytes(rows)), new, late_ms * 1000, now_ms * 1000)
         self.state.update((now_ms, encoded(kept) if kept.num_rows else None))
         if before is None or now_ms > late_ms:
             if before is not None:
@@ -189,19 +192,21 @@ class BlockProcessor(StatefulProcessor):
         pass
 
 
-def _packer(labels: list[int]):
-    """Rows of (spread, opens, COLUMNS) as blobs by block; the first task calls every block."""
+def _of_length(rows: pa.Table) -> pa.Table:
+    """Without auctions of no length, which hold no bid."""
+    end, no_end = numbers(rows["end"])
+    return rows.filter(pa.array(~rows["opens"].to_numpy() | (~no_end & (end > numbers(rows["begin"])[0]))))
+
+
+def _packer(labels: list[int], columns: list[str], some):
+    """`some` of the rows as blobs of `columns` by block (`spread`); the first task calls every block."""
     def run(batches):
         from pyspark import TaskContext
         names = np.array(labels, np.int64)
         if TaskContext.get().partitionId() == 0:
             yield pa.RecordBatch.from_arrays([longs(names), pa.nulls(len(names), pa.binary())], names=["block", "rows"])
-        for rows in chunks(batches):
-            # An auction of no length holds no bid.
-            end, no_end = numbers(rows["end"])
-            opens = rows["opens"].to_numpy()
-            rows = rows.filter(pa.array(~opens | (~no_end & (end > numbers(rows["begin"])[0]))))
-            made = list(cut(rows.select(COLUMNS), numbers(rows["spread"])[0] % len(labels)))
+        for rows in map(some, chunks(batches)):
+            made = list(cut(pa.table(rows.select(columns).columns, names=columns), numbers(rows["spread"])[0] % len(labels)))
             if made:
                 yield pa.RecordBatch.from_arrays([longs(names[[k for k, _ in made]]), pa.array([x for _, x in made], pa.binary())], names=["block", "rows"])
     return run
@@ -232,14 +237,87 @@ def _merger(hot: list[int]):
     return run
 
 
+def _spread(id_: str, labels: list[int]) -> Column:
+    """The number of a row's block; each salt of an id has another one."""
+    return (F.pmod(F.xxhash64(id_), F.lit(len(labels))) + F.col("salt")).alias("spread")
+
+
+def _found(flat: DataFrame, labels: list[int], columns: list[str], some, step, hot: list[int]) -> DataFrame:
+    found = (flat.mapInArrow(_packer(labels, columns, some), "block long, rows binary").groupBy("block")
+             .transformWithStateInPandas(BlockProcessor(step), "found binary", "Append", "EventTime")
+             .mapInArrow(_unpack, ", ".join(f"{c} long" for c in FOUND)))
+    return found.repartition("auction").mapInArrow(_merger(hot), found.schema) if hot else found
+
+
 def closed_by_blocks(rows: DataFrame, labels: list[int], hot: list[int]) -> DataFrame:
     """FOUND of watermarked session rows (id, salt, begin, ticks, a, b): `closing.session_rows`."""
     opens = F.col("a").isNotNull()
     begin = F.unix_micros("begin")
-    flat = rows.select((F.pmod(F.xxhash64("id"), F.lit(len(labels))) + F.col("salt")).alias("spread"), opens.alias("opens"), "id", begin.alias("begin"),
+    flat = rows.select(_spread("id", labels), opens.alias("opens"), "id", begin.alias("begin"),
                        F.when(opens, begin + F.col("ticks")).alias("end"), F.col("a.expires_ns").alias("expires_ns"),
                        F.coalesce("a.category", "b.bidder").alias("x"), F.coalesce("a.seller", "b.price").alias("y"), F.col("a.reserve").alias("z"))
-    found = (flat.mapInArrow(_packer(labels), "block long, rows binary").groupBy("block")
-             .transformWithStateInPandas(BlockProcessor(), "found binary", "Append", "EventTime")
-             .mapInArrow(_unpack, ", ".join(f"{c} long" for c in FOUND)))
-    return found.repartition("auction").mapInArrow(_merger(hot), found.schema) if hot else found
+    return _found(flat, labels, COLUMNS, _of_length, step, hot)
+
+
+# Bounded closing: a row is an auction, a bid, or the best bid so far of an auction (`at`: its start, or the bid's time).
+AUCTION, BID, WINNER = range(3)
+BOUNDED = ["kind", "id", "at", "expires_ns", "category", "seller", "reserve", "bidder", "price"]
+
+
+def _close_us(expires_ns: np.ndarray) -> np.ndarray:
+    return (expires_ns + 1_000_000) // 1000
+
+
+def bounded_step(bound_us: int):
+    """As `step`, for auctions of bounded length, as a join of bids and auctions with an arg-max per 1 ms of close time
+    does it: an auction waits for bids until the watermark passes its close, a bid for auctions as long as the bound; a
+    winner leaves once the watermark less the bound has passed its close."""
+    def run(held: pa.Table | None, new: list[pa.Table], late: int, now: int) -> tuple[pa.Table, pa.Table]:
+        come = pa.concat_tables(new) if new else pa.table([longs(np.zeros(0, np.int64))] * len(BOUNDED), names=BOUNDED)
+        expires, at, kind = (numbers(come[k])[0] for k in ("expires_ns", "at", "kind"))
+        come = come.filter(pa.array(np.where(kind == BID, at // 1000, _close_us(expires)) > late))
+        rows = come if held is None else pa.concat_tables([held, come])
+        c = {k: numbers(rows[k]) for k in BOUNDED}
+        kind = c["kind"][0]
+        a, b, g = ({k: (v[kind == x], null[kind == x]) for k, (v, null) in c.items()} for x in (AUCTION, BID, WINNER))
+        order = np.lexsort((b["at"][0], b["id"][0]))
+        b = {k: (v[order], null[order]) for k, (v, null) in b.items()}
+        # The bids of an auction's id from its start to its expiry are a range in the order of (id, time).
+        n, m = len(a["id"][0]), len(order)
+        marks = np.lexsort((np.repeat([0, 1], [2 * n, m]), np.concatenate((a["at"][0], a["expires_ns"][0], b["at"][0])),
+                            np.concatenate((a["id"][0], a["id"][0], b["id"][0]))))
+        place = np.empty(2 * n + m, np.int64)
+        place[marks] = np.cumsum(marks >= 2 * n)
+        first, many = place[:n], np.maximum(place[n:2 * n] - place[:n], 0)
+        of = np.repeat(np.arange(n), many)
+        bid = np.arange(len(of)) - np.repeat(np.cumsum(many) - many, many) + first[of]
+        valid = b["price"][0][bid] >= a["reserve"][0][of]
+        of, bid = of[valid], bid[valid]
+        best = _best(of, {k: (v[0][bid], v[1][bid]) for k, v in (("x", b["bidder"]), ("y", b["price"]), ("begin", b["at"]))}, np.arange(len(of)))
+        of, bid = of[best], bid[best]
+        w = {k: tuple(np.concatenate((g[k][i], src[k][i][pick])) for i in (0, 1))
+             for k, src, pick in [(k, a, of) for k in ("id", "expires_ns", "category", "seller")] + [(k, b, bid) for k in ("at", "bidder", "price")]}
+        window = _close_us(w["expires_ns"][0]) // 1000 * 1000 + 1000  # the end of the 1 ms of the close
+        order = np.lexsort((-w["bidder"][0], ~w["bidder"][1], -w["at"][0], w["price"][0], window, w["id"][0]))
+        ids, ends = w["id"][0][order], window[order]
+        top = order[np.append((ids[1:] != ids[:-1]) | (ends[1:] != ends[:-1]), True)[:len(order)]]
+        over = window[top] <= (now - bound_us) // 1000 * 1000 - 1000
+        out, stay = top[over], top[~over]
+        closed = pa.table([longs(w[k][0][out], w[k][1][out]) for k in ("id", "category", "seller", "expires_ns", "bidder", "price", "at")]
+                          + [longs(window[out] - 1)], names=FOUND)
+        w |= {"kind": (np.full(len(window), WINNER), np.zeros(len(window), bool)), "reserve": (np.zeros(len(window), np.int64), np.ones(len(window), bool))}
+        kept = [(a, np.flatnonzero(_close_us(a["expires_ns"][0]) > now)), (b, np.flatnonzero(b["at"][0] // 1000 > now - bound_us - 1000)), (w, stay)]
+        return closed, pa.concat_tables([pa.table([longs(x[k][0][at], x[k][1][at]) for k in BOUNDED], names=BOUNDED) for x, at in kept])
+    return run
+
+
+def bounded_by_blocks(auction: DataFrame, bid: DataFrame, bound_us: int, labels: list[int], salts: int, hot: list[int]) -> DataFrame:
+    """FOUND, `begin` being the time of a row, of auctions (id, at, expires_ns, category, seller, reserve) and bids (id, at,
+    bidder, price), each with its watermark. An id in `hot` has its bids dealt to `salts` blocks, its auction to all of them."""
+    def salted(rows: DataFrame, kind: int, many: Column) -> DataFrame:
+        dealt = F.when(F.col("id").isin(hot), many).otherwise(F.array(F.lit(0))) if hot else F.array(F.lit(0))
+        none = [F.lit(None).cast("long").alias(k) for k in BOUNDED[1:] if k not in rows.columns]
+        return rows.select(F.lit(kind).cast("long").alias("kind"), *[k for k in rows.columns if k in BOUNDED], *none, F.explode(dealt).alias("salt"))
+    rows = salted(auction, AUCTION, F.sequence(F.lit(0), F.lit(salts - 1))).unionByName(
+        salted(bid, BID, F.array(F.pmod(F.xxhash64("at", "bidder", "price"), F.lit(salts)).cast("int"))))
+    return _found(rows.select(_spread("id", labels), *BOUNDED), labels, BOUNDED, lambda rows: rows, bounded_step(bound_us), hot)

@@ -153,6 +153,23 @@ def test_blocks_close_as_sessions_do(spark, seed, delay, hot):
     assert rows(P.run_to_table(closed_auctions_sessions(read(), delay, 4, hot, per_batch=1000))) == want and len(want) > 20
 
 
+@pytest.mark.parametrize("seed, delay, hot", [(4, "0 seconds", []), (5, "15 seconds", [3, 7])])
+def test_bounded_blocks_close_as_the_join_does(spark, seed, delay, hot):
+    """Bounded closing by blocks gives the rows of the stream-stream join, to the millisecond of the watermark."""
+    feed = []
+    for made in _closing_feed(random.Random(seed)):
+        # Of two auctions of one id that close in the same ms either may be named; here they are alike.
+        feed.append([(k, p, a and (a[0], "", "", 0, a[4], a[5], a[6], 1, 10), b) for k, p, a, b in made])
+    for shift in (3, 4):
+        # The last auction sets the watermark: 31 s of bound, and its close, decide what leaves.
+        last = [auction_event(10**7, 10**3, 10**3 + 1), bid_event(10**7, 1, 120)]
+        last = [last[0], (*last[1][:3], (*last[1][3][:3], BASE + 120 * 10**9 + shift * 10**6))]
+        folder = write_feed(spark, feed[:-2] + [last, [bid_event(10**7, 1, 120)]])
+        read = lambda: event_file_stream(spark, folder, 1)
+        want = rows(P.run_to_table(S.closed_auctions_stream_bounded(read(), "31 seconds", delay)))
+        assert rows(P.run_to_table(S.closed_auctions_stream_bounded(read(), "31 seconds", delay, 1000, 4, hot))) == want and len(want) > 20
+
+
 def test_registered_closing_keeps_blocks_in_state(spark, monkeypatch):
     """The state's rows are blocks of auctions, not auctions and bids; a row each, for all of the micro-batch's rows."""
     seen, finished = [], P.finished

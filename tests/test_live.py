@@ -23,6 +23,7 @@ from gavel.sources.files import numbered, part_files
 from gavel.sources.generator import GeneratorConfig, generate_events
 from gavel.sources.tables import TABLE_SCHEMAS, AuctionTables, auction_from_orders, dense_bids, from_tpch
 from gavel.streaming import queries as S
+from gavel.streaming import replay as R
 from gavel.streaming.closing import closed_auctions_sessions, hot_auctions, session_rows
 from gavel.streaming.diff import diff_stream
 from gavel.streaming.fanout import fan_out, table_sink
@@ -268,6 +269,19 @@ def test_replay_comes_in_time_order_and_evicts(spark):
     assert ops[-1][-1]["numRowsTotal"] < feed.rows / 10
 
 
+def test_replay_in_order_numbers_no_rows(spark, monkeypatch):
+    """The cuts are exact whichever keys repeat, and rows in time order are neither numbered nor checkpointed."""
+    draw = random.Random(2)
+    made = [(draw.randrange(40), draw.randrange(10**6)) for _ in range(3000)]
+    made += [made[0]] * 2000
+    ranks = [1, 2, 1000, 2500, len(made) - 1, len(made)]
+    monkeypatch.setattr(R, "SUMMARY", 16)
+    assert R.keys_at(spark.createDataFrame(made, "t long, tie long").repartition(5), ranks) == [sorted(made)[r - 1] for r in ranks]
+    monkeypatch.setattr(R, "running_frame", lambda *a, **k: pytest.fail("numbered"))
+    feed = write_replay(spark.range(100), fresh("plain") + "/feed", "id", 5, files_per_batch=2)
+    assert [len(spark.read.parquet(f).collect()) for f in part_files(spark, feed.folder)] == [10] * 10
+
+
 @pytest.mark.parametrize("disorder", [1, 7, 100, 954])
 def test_bounded_disorder(spark, disorder):
     n = 1000
